@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import attach, shared_dir, staged
@@ -92,16 +92,18 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", *, cac
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), body.alias("_text"), F.unhex(F.sha2(body, 256)).alias("digest"))
     seen = staged(rows.select("doc_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "digests")
-    stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
-    misses = rows.select("digest", "_text").join(stored.select("digest"), "digest", "left_anti")
+    stored = read_cache(spark, cache)
+    # One text of each digest is encoded; equal digests mean equal texts, so any will do. Copies meet map-side first.
+    misses = rows.groupBy("digest").agg(F.first("_text").alias("_text"))
+    if stored is not None:
+        misses = misses.join(stored.where(F.col("tokenizer") == version).select("digest"), "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t.as_py()) for t in b.column(1)], pa.int64())], names=["digest", "n_tokens"])
 
-    # One text of each digest is encoded; equal digests mean equal texts, so any will do.
-    fresh = misses.groupBy("digest").agg(F.first("_text").alias("_text")).mapInArrow(encode, SCHEMA)
+    fresh = misses.mapInArrow(encode, SCHEMA)
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     total = seen.count()
     uses = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("_uses"))
@@ -110,9 +112,9 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", *, cac
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def read_cache(spark, cache: str) -> DataFrame:
+def read_cache(spark: SparkSession, cache: str) -> DataFrame | None:
     schema = "digest binary, tokenizer string, n_tokens long"
     there = spark._jvm.org.apache.hadoop.fs.Path(cache)
     if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        return spark.createDataFrame([], schema)
+        return None
     return spark.read.schema(schema).parquet(cache)
