@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lm_scoring import score_documents
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .url_filters import RULES, judge_urls
 
@@ -25,9 +27,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULES))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_url_filters, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_url_filters, op4_lm_scoring, op8_simhash, op10_quality_rules)}
 ORACLE: dict[str, str] = {}
