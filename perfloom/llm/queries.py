@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup
+from .decontamination import contaminated
 from .lm_scoring import score_documents
 from .packing import pack_documents
+from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -37,6 +39,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("_th")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("_th")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.coalesce("text", F.lit("")).alias("text"))
@@ -50,5 +60,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op7_line_dedup, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_quality_classifier, op7_line_dedup, op8_simhash, op10_quality_rules)}
 ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
