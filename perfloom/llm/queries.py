@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .url_filters import RULES, judge_urls
 
@@ -56,9 +57,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_quality_classifier, op7_line_dedup, op8_simhash, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_quality_classifier, op7_line_dedup, op8_simhash, op9_suffix_dedup, op10_quality_rules)}
 ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
