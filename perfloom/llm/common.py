@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lower-casing of A-Z only, and the white space that ends a word (space, \t, \n, \v, \f, \r), are what bytes.lower() and
@@ -52,6 +52,16 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
     return rows.join(hot, list(keys), "inner").unionByName(few_rows.join(few, list(keys), how))
 
 
+def without(docs: DataFrame, gone: DataFrame, *, once: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Rows of docs whose doc_id and text hash are not in gone (doc_id, _th). once: of rows that agree in both, one stays."""
+    mark = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("_th").alias("__th")).distinct()
+    left = mark.join(gone, ["__id", "__th"], "left_anti")
+    if once:
+        left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__id"))).where("__n = 1")
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def salted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str, salts: int = 64) -> DataFrame:
     """rows inner-joined with a table of one row per key; each key is dealt over salts partitions by a hash of column spread."""
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

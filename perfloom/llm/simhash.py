@@ -50,7 +50,7 @@ def fingerprint(body: bytes, n: int = 3) -> int:
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         codes = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(codes, pa.int64())], names=["doc_id", "_th", "fp"])
 
 
 def correlated_order(bits: np.ndarray) -> list[int]:
@@ -146,21 +146,23 @@ def links(codes: DataFrame, total: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every row.
+    """doc_id, fingerprint (16 hex digits), component_id and stays for every row; _th is the text's hash.
 
-    component_id is the smallest doc_id that can be reached over links of at most two differing bits, itself included. Null
-    and empty texts have fingerprint zero and link like any other. Repeated rows each come back; a null doc_id never is a
-    component_id unless all of the component are null; other columns are not read.
+    component_id is the smallest doc_id that can be reached over links of at most two differing bits, itself included. stays:
+    the row is its component's first by doc_id and _th (rows that agree in both all are). Null and empty texts have fingerprint
+    zero and link like any other. Repeated rows each come back; a null doc_id is a component_id only if all of the component
+    are null; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-    prints = staged(rows.mapInArrow(scan, "doc_id long, fp long"), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("uses")), "classes")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.cast("binary").alias("_text"), F.xxhash64(body).alias("_th"))
+    prints = staged(rows.mapInArrow(scan, "doc_id long, _th long, fp long"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
+    classes = staged(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses")), "classes")
     n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
     found = components(links(classes.select("fp"), n_classes))
     where = classes.join(found.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     where = staged(where, "class-roots")
-    # The least doc_id of each component; most components are one class, which needs no lookup.
-    tops = where.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = staged(attach(where, tops, ["root"], "n", n_classes).select("fp", "uses", "component_id"), "class-names")
+    tops = where.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n"))
+    named = staged(attach(where, tops, ["root"], "n", n_classes).select("fp", "uses", "top"), "class-names")
     out = attach(prints, named, ["fp"], "uses", n_rows or 0)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "_th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (place == F.col("top")).alias("stays"))
