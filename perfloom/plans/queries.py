@@ -1,0 +1,436 @@
+"""Named queries over the generated tables, each with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import metrics as M
+from ..functions import text as T
+from ..operators import diagnosis, history, parsers, responses, suggestions
+from ..sources import sinks
+from ..sources import tables as S
+from ..streaming import observe
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+SNAP = """snap AS (
+ SELECT ts, n::DOUBLE / 86400e0 AS qps, s::DOUBLE / n::DOUBLE AS avg_latency, p50_latency, p99_latency, e::DOUBLE / n::DOUBLE AS error_rate, 4e-3 AS target_qps
+ FROM (SELECT ts, count(*) AS n, sum(value::DECIMAL(20,6)) AS s, count(*) FILTER (WHERE event_type = 'error') AS e,
+        list_sort(list(value))[least(floor(count(*) * 0.5e0)::INT, count(*)::INT - 1) + 1] AS p50_latency,
+        list_sort(list(value))[least(floor(count(*) * 0.99e0)::INT, count(*)::INT - 1) + 1] AS p99_latency
+       FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS ts, value, event_type FROM events) GROUP BY ts))"""
+REC = """rec AS (
+ SELECT o_orderkey AS seq, o_orderpriority AS system, o_orderdate AS ts, o_totalprice AS target_qps, actual_qps, avg_latency, error_rate, threads
+ FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(20,4) * (1 - l_discount::DECIMAL(10,4)))::DOUBLE AS actual_qps, sum(l_quantity::DECIMAL(20,4))::DOUBLE / count(*) AS avg_latency,
+   count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS error_rate, count(*)::INT AS threads FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
+SUG = r"""sug AS (
+ SELECT doc_id AS seq, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:4], ' ') AS title, substring(text, 1, 200) AS description,
+  CASE WHEN doc_id % 7 = 0 THEN '# 无代码' ELSE 'lock(m) {' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '}' END END AS pseudocode,
+  (1 + doc_id % 5)::INT AS priority, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS risk_level,
+  CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'QPS +' || (doc_id % 40) || '%' END AS expected_gain, (doc_id % 4)::INT AS n_steps, source AS source_model, (doc_id % 11) / 10e0 AS self_confidence, 1e0 AS base_weight
+ FROM documents)"""
+
+
+def stop(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def split_sql(c: str, words: list[str]) -> str:
+    return rf"list_filter(list_distinct(regexp_split_to_array(lower({c}), '\s+')), lambda w: w <> '' AND NOT list_contains({stop(words)}, w))"
+
+
+def word_sql(c: str, words: list[str]) -> str:
+    return rf"list_filter(list_distinct(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')), lambda w: NOT list_contains({stop(words)}, w))"
+
+
+def jac(a: str, b: str) -> str:
+    n = f"len(list_intersect({a}, {b}))"
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE {n}::DOUBLE / (len({a}) + len({b}) - {n}) END"
+
+
+SETS = f"""sets AS (SELECT seq, source_model, {split_sql("title", T.CONSENSUS_TITLE)} AS tt, {word_sql("description", T.CONSENSUS_KEYWORDS)} AS dt FROM sug),
+pairs AS (SELECT x.seq AS a, y.seq AS b, x.source_model AS ma, y.source_model AS mb FROM sets x JOIN sets y ON x.seq < y.seq
+  WHERE {jac("x.tt", "y.tt")} > 0.8e0 OR {jac("x.dt", "y.dt")} > 0.6e0),
+cons AS (SELECT sug.seq, count(p.a) AS n_similar FROM sug LEFT JOIN (SELECT a, ma, mb FROM pairs UNION ALL SELECT b, mb, ma FROM pairs) p ON sug.seq = p.a AND p.ma <> p.mb GROUP BY sug.seq),
+hist AS (SELECT source AS source_model, count(*) AS total, sum(quality)::BIGINT AS adopted FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+weights AS (SELECT sug.*, n_similar, greatest(0.1e0, least(2e0, base_weight * ((coalesce(adopted, 0) + 1e0) / (coalesce(total, 0) + 2e0) + 0.5e0)
+   * CASE WHEN n_similar = 0 THEN 0.8e0 WHEN n_similar = 1 THEN 0.9e0 WHEN n_similar = 2 THEN 1e0 WHEN n_similar <= 4 THEN 1.2e0 ELSE 1.5e0 END
+   * self_confidence * CASE risk_level WHEN 'low' THEN 1.1e0 WHEN 'medium' THEN 1e0 ELSE 0.8e0 END)) AS final_weight
+  FROM sug JOIN cons USING (seq) LEFT JOIN hist USING (source_model))"""
+LAG = """SELECT ts, qps, {c} AS qps_change, {l} AS latency_change, error_rate - pe AS error_rate_change,
+ coalesce({c}, 0) < -5 OR coalesce(error_rate - pe, 0) > 0.01e0 AS has_regression,
+ CASE WHEN coalesce({c}, 0) < -20 OR coalesce(error_rate - pe, 0) > 0.05e0 THEN 'severe' WHEN coalesce({c}, 0) < -10 OR coalesce(error_rate - pe, 0) > 0.02e0 THEN 'moderate'
+  WHEN coalesce({c}, 0) < -5 OR coalesce(error_rate - pe, 0) > 0.01e0 THEN 'minor' ELSE 'none' END AS severity FROM p""".format(c="CASE WHEN pq > 0 THEN (qps - pq) / pq * 100 WHEN pq IS NOT NULL THEN 0 END", l="CASE WHEN pl > 0 THEN (avg_latency - pl) / pl * 100 WHEN pl IS NOT NULL THEN 0 END")
+
+
+@query(f"WITH {SNAP} SELECT * FROM snap")
+def q01_snapshots_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return S.snapshots(spark, sf)
+
+
+@query(f"WITH {SNAP}, p AS (SELECT *, lag(qps) OVER w AS pq, lag(avg_latency) OVER w AS pl, lag(error_rate) OVER w AS pe FROM snap WINDOW w AS (ORDER BY ts)) {LAG}")
+def q02_regression_compare(spark, sf):
+    return history.compare_previous(S.snapshots(spark, sf)).select("ts", "qps", "qps_change", "latency_change", "error_rate_change", "has_regression", "severity")
+
+
+@query(f"WITH {SNAP}, p AS (SELECT s.*, b.qps AS pq, b.avg_latency AS pl, b.error_rate AS pe FROM snap s, (SELECT * FROM snap ORDER BY ts LIMIT 1) b) {LAG}")
+def q03_regression_vs_baseline(spark, sf):
+    return history.compare_baseline(S.snapshots(spark, sf)).select("ts", "qps", "qps_change", "latency_change", "error_rate_change", "has_regression", "severity")
+
+
+LONG = "one AS (UNPIVOT (SELECT ts, qps, avg_latency, p99_latency FROM snap WHERE ts >= (SELECT max(ts) FROM snap) - INTERVAL 7 DAY) ON qps, avg_latency, p99_latency INTO NAME metric VALUE v)"
+
+
+@query(f"""WITH {SNAP}, {LONG}, a AS (SELECT metric, count(*) AS n, arg_min(v, ts) AS f, arg_max(v, ts) AS l FROM one GROUP BY metric), c AS (SELECT *, CASE WHEN f > 0 THEN (l - f) / f * 100 ELSE 0 END AS c FROM a)
+SELECT metric, n, f AS previous, l AS current, c AS change_percent, CASE WHEN c > 5 THEN 'improving' WHEN c < -5 THEN 'degrading' ELSE 'stable' END AS trend FROM c""")
+def q04_trend_first_last(spark, sf):
+    return history.trend_first_last(S.snapshots(spark, sf), ["qps", "avg_latency", "p99_latency"])
+
+
+@query(f"""WITH {SNAP}, {LONG}, r AS (SELECT metric, v::DECIMAL(30,12) AS v, row_number() OVER (PARTITION BY metric ORDER BY ts) AS r, count(*) OVER (PARTITION BY metric) AS n FROM one),
+a AS (SELECT metric, max(n) AS n, (sum(v) FILTER (WHERE r <= n // 2))::DOUBLE / count(*) FILTER (WHERE r <= n // 2) AS a, (sum(v) FILTER (WHERE r > n // 2))::DOUBLE / count(*) FILTER (WHERE r > n // 2) AS b, min(v)::DOUBLE AS min_value, max(v)::DOUBLE AS max_value FROM r GROUP BY metric)
+SELECT metric, n, CASE WHEN a > 0 THEN (b - a) / a * 100 ELSE 0 END AS change_percent, min_value, max_value, CASE WHEN b > a * 1.05e0 THEN 'increasing' WHEN b < a * 0.95e0 THEN 'decreasing' ELSE 'stable' END AS trend FROM a""")
+def q05_trend_half_split(spark, sf):
+    return history.trend_half_split(S.snapshots(spark, sf), ["qps", "avg_latency", "p99_latency"])
+
+
+@query(f"WITH {SNAP} SELECT ts, qps FROM snap ORDER BY ts DESC LIMIT 5")
+def q06_recent_topk(spark, sf):
+    return S.snapshots(spark, sf).select("ts", "qps").orderBy(F.desc("ts")).limit(5)
+
+
+@query(f"""WITH {REC} SELECT system, count(*) AS total, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE ok) / count(*)::DOUBLE AS success_rate, sum(actual_qps::DECIMAL(30,6))::DOUBLE / count(*) AS avg_qps,
+ sum(avg_latency::DECIMAL(30,6))::DOUBLE / count(*) AS avg_latency, max(actual_qps) AS max_qps FROM (SELECT *, actual_qps >= target_qps * 0.9e0 AND error_rate < 0.05e0 AS ok FROM rec) GROUP BY system""")
+def q07_record_summary(spark, sf):
+    return history.record_summary(S.records(spark, sf))
+
+
+@query(f"WITH {REC} SELECT seq, system, actual_qps FROM rec ORDER BY actual_qps DESC, seq LIMIT 1")
+def q08_best_record(spark, sf):
+    return S.records(spark, sf).select("seq", "system", "actual_qps").orderBy(F.desc("actual_qps"), "seq").limit(1)
+
+
+@query(f"WITH {SNAP} SELECT ts, qps FROM snap WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
+def q09_timerange(spark, sf):
+    return history.time_range(S.snapshots(spark, sf), "2024-01-10 00:00:00", "2024-01-20 00:00:00").select("ts", "qps")
+
+
+@query(f"""WITH {SNAP}, c AS (SELECT ts, (CASE WHEN qps * 50000 >= 300 THEN 30 WHEN qps * 50000 >= 200 THEN 20 WHEN qps * 50000 >= 100 THEN 10 ELSE 0 END) + (CASE WHEN avg_latency <= 5 THEN 25 WHEN avg_latency <= 10 THEN 15 ELSE 0 END)
+ + (CASE WHEN p99_latency <= 20 THEN 25 WHEN p99_latency <= 50 THEN 15 ELSE 0 END) + (CASE WHEN error_rate < 0.01e0 THEN 20 WHEN error_rate < 0.05e0 THEN 10 ELSE 0 END) AS score FROM snap)
+SELECT ts, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS grade FROM c""")
+def q10_metric_scorecard(spark, sf):
+    s = M.score_card(F.col("qps") * 50000, F.col("avg_latency"), F.col("p99_latency"), F.col("error_rate"))
+    return S.snapshots(spark, sf).select("ts", s.alias("score")).withColumn("grade", M.grade(F.col("score")))
+
+
+@query(f"""WITH {SNAP} SELECT ts, CASE WHEN target_qps <= 0 THEN 0 ELSE (target_qps - qps) / target_qps * 100 END AS gap, error_rate < 0.01e0 AS healthy, qps >= target_qps * 0.9e0 AND error_rate < 0.05e0 AS success,
+ greatest(2, least(16, trunc(qps * 100000 / 90)::INT + 1)) AS threads FROM snap""")
+def q11_gap_health(spark, sf):
+    q, t, e = F.col("qps"), F.col("target_qps"), F.col("error_rate")
+    return S.snapshots(spark, sf).select("ts", M.gap_to_target(q, t).alias("gap"), M.is_healthy(e).alias("healthy"), M.succeeded(q, t, e).alias("success"), M.threads_for(q * 100000).alias("threads"))
+
+
+@query("""SELECT o_orderpriority AS system, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS adopted, count(*) FILTER (WHERE l_linestatus = 'F') / count(*)::DOUBLE AS adoption_rate,
+""" + ", ".join(f"count(*) FILTER (WHERE 1 + l_linenumber % 5 = {i}) AS priority_{i}" for i in range(1, 6)) + """, count(*) FILTER (WHERE l_returnflag NOT IN ('R', 'A')) AS risk_low, count(*) FILTER (WHERE l_returnflag = 'A') AS risk_medium,
+ count(*) FILTER (WHERE l_returnflag = 'R') AS risk_high FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def q12_adoption_stats_nested(spark, sf):
+    return history.adoption_stats(S.records(spark, sf))
+
+
+@query("""SELECT source AS source_model, count(*) AS total, sum(quality)::BIGINT AS adopted, sum(quality)::DOUBLE / count(*) AS accuracy, (sum(quality)::BIGINT + 1e0) / (count(*) + 2e0) + 0.5e0 AS weight FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+def q13_model_stats_bayes(spark, sf):
+    h = S.model_history(spark, sf)
+    return h.select("*", F.try_divide(F.col("adopted").cast("double"), F.col("total")).alias("accuracy"), M.accuracy_factor(F.col("adopted"), F.col("total")).alias("weight"))
+
+
+@query(f"WITH {SUG}, s AS (SELECT seq, {word_sql('title', T.DEDUP_TITLE)} AS tt FROM sug) SELECT x.seq AS a, y.seq AS b, {jac('x.tt', 'y.tt')} AS similarity FROM s x JOIN s y ON x.seq < y.seq WHERE {jac('x.tt', 'y.tt')} > 0.5e0")
+def q14_title_jaccard_pairs(spark, sf):
+    s = S.suggestions(spark, sf).select("seq", T.word_tokens(F.col("title"), T.DEDUP_TITLE).alias("tt"))
+    return suggestions.similar_pairs(s, "tt", 0.5)
+
+
+@query(f"WITH {SUG}, s AS (SELECT seq, {word_sql('description', T.CONSENSUS_KEYWORDS)} AS dt FROM sug) SELECT x.seq AS a, y.seq AS b, {jac('x.dt', 'y.dt')} AS similarity FROM s x JOIN s y ON x.seq < y.seq WHERE {jac('x.dt', 'y.dt')} > 0.6e0")
+def q15_keyword_jaccard_pairs(spark, sf):
+    s = S.suggestions(spark, sf).select("seq", T.word_tokens(F.col("description"), T.CONSENSUS_KEYWORDS).alias("dt"))
+    return suggestions.similar_pairs(s, "dt", 0.6)
+
+
+@query(f"WITH {SUG}, {SETS} SELECT seq, n_similar FROM cons")
+def q16_consensus_count(spark, sf):
+    return suggestions.consensus_counts(S.suggestions(spark, sf))
+
+
+@query(f"WITH {SUG}, {SETS} SELECT seq, source_model, n_similar, final_weight FROM weights")
+def q17_final_weight(spark, sf):
+    return suggestions.weighted(S.suggestions(spark, sf), S.model_history(spark, sf)).select("seq", "source_model", "n_similar", "final_weight")
+
+
+def _prefix(n: int) -> str:
+    return f"WITH {SUG}, r AS (SELECT *, row_number() OVER (PARTITION BY substring(lower(title), 1, {n}) ORDER BY priority DESC, seq) AS r FROM sug) SELECT seq, title, priority FROM r WHERE r = 1"
+
+
+@query(_prefix(30))
+def q18_prefix_dedup30(spark, sf):
+    return suggestions.prefix_dedup(S.suggestions(spark, sf), 30).select("seq", "title", "priority")
+
+
+@query(_prefix(20))
+def q19_prefix_dedup20(spark, sf):
+    return suggestions.prefix_dedup(S.suggestions(spark, sf), 20).select("seq", "title", "priority")
+
+
+def _weighted(spark, sf):
+    return suggestions.weighted(S.suggestions(spark, sf), S.model_history(spark, sf))
+
+
+@query()
+def q20_greedy_dedup(spark, sf):
+    return suggestions.greedy_dedup(_weighted(spark, sf)).select("seq", "source_model", "final_weight")
+
+
+GOOD = "final_weight >= 0.3e0 AND coalesce(title, '') <> '' AND coalesce(description, '') <> '' AND coalesce(pseudocode, '') NOT IN ('', '# 无代码')"
+
+
+@query(f"""WITH {SUG}, {SETS} SELECT seq, title, risk_level, final_weight, row_number() OVER (ORDER BY CASE risk_level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, final_weight DESC, priority DESC, seq)::INT AS rank
+ FROM weights WHERE {GOOD} ORDER BY rank LIMIT 20""")
+def q21_rank_filter_topk(spark, sf):
+    return suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), 20).select("seq", "title", "risk_level", "final_weight", "rank")
+
+
+@query()
+def q22_aggregate_end_to_end(spark, sf):
+    return suggestions.aggregate(S.suggestions(spark, sf), S.model_history(spark, sf)).select("rank", "seq", "title", "source_model", "risk_level", "final_weight")
+
+
+@query(f"WITH {SUG} SELECT r.risk_level, count(seq) AS n, coalesce(max(priority), 0)::INT AS top_priority FROM (VALUES ('low'), ('medium'), ('high')) r(risk_level) LEFT JOIN sug USING (risk_level) GROUP BY 1")
+def q23_group_by_risk(spark, sf):
+    levels = spark.createDataFrame([("low",), ("medium",), ("high",)], "risk_level string")
+    per = S.suggestions(spark, sf).groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), F.max("priority").alias("p"))
+    return levels.join(per, "risk_level", "left").select("risk_level", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0)).alias("top_priority"))
+
+
+@query(f"WITH {SUG} SELECT unnest(string_split(source_model || CASE WHEN seq % 9 = 0 THEN ' + extra' ELSE '' END, ' + ')) AS model, count(*) AS n FROM sug GROUP BY 1")
+def q24_summary_by_model_split(spark, sf):
+    s = S.suggestions(spark, sf).withColumn("source_model", F.concat("source_model", F.when(F.col("seq") % 9 == 0, " + extra").otherwise("")))
+    return s.select(F.explode(F.split("source_model", r" \+ ")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"WITH {SUG}, s AS (SELECT seq, list_filter(list_distinct(regexp_split_to_array(lower(title), '\s+')), lambda w: w <> '') AS t FROM sug WHERE priority = 5) SELECT x.seq AS a, y.seq AS b, len(list_intersect(x.t, y.t)) AS overlap FROM s x JOIN s y ON x.seq < y.seq WHERE len(list_intersect(x.t, y.t)) >= 2")
+def q25_conflict_pairs(spark, sf):
+    return suggestions.conflicts(S.suggestions(spark, sf).where("priority = 5"))
+
+
+@query(rf"WITH {SUG}, s AS (SELECT array_to_string(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda w: w <> '')[1:2], ' ') AS topic FROM sug) SELECT topic, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 2")
+def q26_topic_groups(spark, sf):
+    return suggestions.topics(S.suggestions(spark, sf))
+
+
+CHECKS = f"""WITH {SUG}, v AS (SELECT seq, risk_level, (coalesce(title, '') <> '')::INT + (coalesce(description, '') <> '')::INT + (coalesce(pseudocode, '') <> '')::INT + (priority BETWEEN 1 AND 5)::INT + (risk_level IN ('low', 'medium', 'high'))::INT
+  + (coalesce(expected_gain, '') NOT IN ('', '未知'))::INT + (n_steps > 0)::INT AS passed FROM sug), w AS (SELECT *, passed / 7e0 AS confidence, passed >= 7e0 * 0.7e0 AS is_valid FROM v)"""
+
+
+@query(f"{CHECKS} SELECT * FROM w")
+def q27_verify_checks(spark, sf):
+    return suggestions.verified(S.suggestions(spark, sf))
+
+
+@query(f"{CHECKS} SELECT count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE is_valid AND risk_level = 'low') AS low, count(*) FILTER (WHERE is_valid AND risk_level = 'high') AS high, sum(passed) FILTER (WHERE is_valid)::BIGINT AS checks_passed FROM w")
+def q28_verification_summary(spark, sf):
+    v = suggestions.verified(S.suggestions(spark, sf))
+    ok = F.col("is_valid")
+    return v.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(ok & (F.col("risk_level") == "low")).alias("low"), F.count_if(ok & (F.col("risk_level") == "high")).alias("high"), F.sum(F.when(ok, F.col("passed"))).cast("long").alias("checks_passed"))
+
+
+#: Texts that bear keywords of every problem type.
+INCIDENTS = ["service crash with SIGSEGV", "cannot start, not running", "OOM: out of memory", "memory leak in cache", "deadlock, hang", "slow throughput", "leak of handles", "all is well"]
+
+
+def _incident_sql(kind: str) -> str:
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(INCIDENTS))
+    has = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+    case = " ".join(f"WHEN {has(w)} THEN " + (f"'{v}'" if v != "memory_" else "CASE WHEN contains(t, 'leak') OR contains(t, '泄漏') THEN 'memory_leak' ELSE 'page_fault' END") for w, v in diagnosis.PROBLEMS)
+    return f"WITH i(k, s) AS (VALUES {values}), d AS (SELECT turn, conv_id, lower(text || ' ' || s) AS t, s FROM conversations JOIN i ON conv_id % 8 = k), c AS (SELECT conv_id, turn, s, CASE {case} ELSE 'performance' END AS problem FROM d) {kind}"
+
+
+def _incidents(spark, sf):
+    i = F.broadcast(spark.createDataFrame(list(enumerate(INCIDENTS)), "k long, s string"))
+    c = S.table(spark, sf, "conversations").withColumn("k", F.col("conv_id") % 8).join(i, "k")
+    return c.select("conv_id", "turn", "s", diagnosis.problem_type(F.col("text"), F.col("s")).alias("problem"))
+
+
+@query(_incident_sql("SELECT conv_id, turn, problem FROM c"))
+def q29_classify_problem(spark, sf):
+    return _incidents(spark, sf).select("conv_id", "turn", "problem")
+
+
+@query(_incident_sql("""SELECT conv_id, turn, CASE WHEN problem = 'crash' THEN 'critical' WHEN problem = 'startup_failure' THEN 'high' WHEN contains(s, 'SIGSEGV') OR contains(s, 'SIGABRT') OR contains(s, 'OOM') OR contains(s, '段错误') THEN 'critical'
+ WHEN contains(s, 'leak') OR contains(s, 'deadlock') OR contains(s, '内存泄漏') OR contains(s, '死锁') THEN 'high' ELSE 'medium' END AS severity FROM c"""))
+def q30_severity(spark, sf):
+    return _incidents(spark, sf).select("conv_id", "turn", diagnosis.severity(F.col("problem"), F.array("s")).alias("severity"))
+
+
+@query("""SELECT conv_id, least((CASE WHEN count(*) >= 5 THEN 70 WHEN count(*) >= 3 THEN 60 ELSE 50 END) + 5 * count(*) FILTER (WHERE role = 'user' AND coalesce(text, '') <> ''), 95) / 100e0 AS confidence FROM conversations GROUP BY 1""")
+def q31_diag_confidence(spark, sf):
+    c = S.table(spark, sf, "conversations").select("conv_id", F.col("text").alias("stdout"), F.lit("").alias("stderr"), F.when(F.col("role") == "user", 0).otherwise(1).alias("returncode"))
+    return diagnosis.confidence(c, "conv_id")
+
+
+@query(f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || description) AS t FROM sug), c AS (SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.CATEGORIES) + " ELSE 'other' END AS category FROM t) SELECT category, count(*) AS n FROM c GROUP BY 1")
+def q32_category_buckets(spark, sf):
+    return suggestions.categories(S.suggestions(spark, sf)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+TEXT_STD = "'QPS: ' || event_id || '.5' || chr(10) || 'Avg Latency: ' || (event_id % 97) || '.25 ms' || chr(10) || 'P99 Latency: ' || (event_id % 301) || ' ms' || chr(10) || 'Error Rate: ' || (event_id % 7) || '%'"
+TEXT_ZH = "(event_id % 997) || '.5 ops/s' || chr(10) || '平均延迟: ' || (event_id % 97) || '.25 ms' || chr(10) || 'p99 延迟: ' || (event_id % 301) || '.5 ms'"
+
+
+def _output(spark, sf, text: str) -> DataFrame:
+    return S.table(spark, sf, "events").select("event_id", F.expr(text).alias("output"))
+
+
+@query("SELECT event_id, event_id + 0.5e0 AS qps, (event_id % 97) + 0.25e0 AS avg_latency, 0e0 AS p50_latency, (event_id % 301)::DOUBLE AS p99_latency, CASE WHEN event_id % 7 > 1 THEN (event_id % 7) / 100e0 ELSE (event_id % 7)::DOUBLE END AS error_rate FROM events")
+def q33_parse_bench_standard(spark, sf):
+    return parsers.bench_metrics(_output(spark, sf, TEXT_STD), "output", "standard").drop("output")
+
+
+@query("SELECT event_id, (event_id % 997) + 0.5e0 AS qps, (event_id % 97) + 0.25e0 AS avg_latency, 0e0 AS p50_latency, (event_id % 301) + 0.5e0 AS p99_latency, 0e0 AS error_rate FROM events")
+def q34_parse_bench_cascade(spark, sf):
+    return parsers.bench_metrics(_output(spark, sf, TEXT_ZH), "output").drop("output")
+
+
+@query("""SELECT event_type, list_sort(list(v))[least(floor(count(*) * 0.99e0)::INT, count(*)::INT - 1) + 1] * 1000 AS p99_ms FROM (SELECT event_type, (event_id % 1000) / 1000e0 AS v FROM events) GROUP BY 1""")
+def q35_nearest_rank_p99(spark, sf):
+    e = S.table(spark, sf, "events").select("event_type", F.concat(F.lit("# Query_time: 0."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit("  Lock_time: 0")).alias("line"))
+    v = e.select("event_type", parsers.number(F.col("line"), r"Query_time:\s+([\d.]+)").alias("v"))
+    return history.nearest_rank(v, "event_type", "v", {"p": 0.99}).select("event_type", (F.col("p") * 1000).alias("p99_ms"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
+def q36_log_tail_per_file(spark, sf):
+    return parsers.tail(S.table(spark, sf, "conversations"), "conv_id", "turn", 2).select("conv_id", "turn")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM a WHERE r <= 20 AND event_type = 'error')
+SELECT user_id, event_id FROM b WHERE k <= 2""")
+def q37_error_log_filter(spark, sf):
+    return parsers.error_lines(S.table(spark, sf, "events"), "user_id", "event_type", "event_id", 20, 2).select("user_id", "event_id")
+
+
+@query("""WITH l AS (SELECT user_id % 200 AS cluster, event_type, user_id % 3 AS term FROM events WHERE event_id % 10 = 0), a AS (SELECT cluster, bool_or(event_type IN ('click', 'view')) AS leader, bool_or(event_type = 'view') AS ready, count(term) AS n_terms, count(DISTINCT term) AS kinds FROM l GROUP BY 1),
+b AS (SELECT *, CASE WHEN NOT leader THEN 'no_leader' WHEN NOT ready THEN 'not_ready' WHEN n_terms < 3 THEN 'few_logs' WHEN kinds = 1 THEN 'healthy' ELSE 'terms_differ' END AS reason FROM a) SELECT cluster, leader, ready, n_terms, reason, reason = 'healthy' AS healthy FROM b""")
+def q38_cluster_health(spark, sf):
+    e = S.table(spark, sf, "events").where("event_id % 10 = 0")
+    word = F.when(F.col("event_type") == "click", "I am the leader").when(F.col("event_type") == "view", "Leader election complete").otherwise("idle")
+    return diagnosis.cluster_health(e.select((F.col("user_id") % 200).alias("cluster"), F.col("event_id").alias("node"), F.concat(word, F.lit(" term{"), (F.col("user_id") % 3).cast("string"), F.lit("}")).alias("content")), "cluster")
+
+
+LEVELS = "lev AS (SELECT p_brand AS brand, p_size AS level, count(*)::DOUBLE AS actual_qps, max(p_retailprice) AS p99_latency, (sum(p_partkey) % 100) / 1000e0 AS error_rate, sum(p_partkey) % 5 <> 0 AS success FROM part GROUP BY 1, 2)"
+
+
+def _levels(spark, sf):
+    k = F.sum("p_partkey")
+    return S.table(spark, sf, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_size").alias("level")).agg(F.count(F.lit(1)).cast("double").alias("actual_qps"), F.max("p_retailprice").alias("p99_latency"), ((k % 100) / F.lit(1000.0)).alias("error_rate"), (k % 5 != 0).alias("success"))
+
+
+@query(f"""WITH {LEVELS}, o AS (SELECT *, bool_or(error_rate >= 0.05e0) OVER (PARTITION BY brand ORDER BY level) AS over FROM lev WHERE success)
+SELECT brand, coalesce(max(actual_qps) FILTER (WHERE NOT over), 0) AS max_achievable, min(level) FILTER (WHERE error_rate >= 0.05e0) AS bottleneck FROM o GROUP BY 1""")
+def q39_saturation_takewhile(spark, sf):
+    return history.saturation(_levels(spark, sf), "brand")
+
+
+@query(f"""WITH {LEVELS}, s AS (SELECT *, 0.6e0 * actual_qps / 400 + 0.4e0 * (10e0 / (p99_latency + 0.1e0)) AS score FROM lev WHERE success AND error_rate < 0.05e0)
+SELECT brand, level, actual_qps, score FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, level) AS r FROM s) WHERE r = 1""")
+def q40_optimal_config(spark, sf):
+    return history.optimal_config(_levels(spark, sf), "brand")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, l_linenumber AS pos, round(l_quantity)::INT AS q, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos, q::VARCHAR) AS n FROM r WHERE q + 0.25e0 > 0.5e0)
+SELECT k, q + 0.25e0 AS percent, 'f' || pos AS name, (6 - n)::INT AS priority FROM f WHERE n <= 5""")
+def q41_hotspot_topk(spark, sf):
+    line = F.concat(F.lit("  "), F.round("l_quantity").cast("int").cast("string"), F.lit(".25%  f"), F.col("l_linenumber").cast("string"))
+    text = S.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("x")))).alias("a"))
+    text = text.select("k", F.array_join(F.transform("a", lambda x: x.x), "\n").alias("report")).join(S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), "k")
+    return parsers.hotspots(text, "report", "k")
+
+
+@query("SELECT event_id, i::INT AS frame, '0x' || format('{:x}', event_id + 16) AS address, 'f' || (event_id % 9) AS function FROM events, (VALUES (0), (1)) v(i)")
+def q42_gdb_frames(spark, sf):
+    e = S.table(spark, sf, "events").select("event_id", F.expr("'#0  0x' || lower(hex(event_id + 16)) || ' in f' || event_id % 9 || ' ()\n#1  0x' || lower(hex(event_id + 16)) || ' in f' || event_id % 9 || ' ()\n#2  0x1 in g (x=1)'").alias("t"))
+    return parsers.gdb_frames(e, "t", "event_id")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE 'src/a' || (event_id % 10) || '.cpp' END AS file, CASE event_id % 4 WHEN 3 THEN 0 ELSE (event_id % 500)::INT END AS line_start, CASE event_id % 4 WHEN 3 THEN 0 ELSE (event_id % 500)::INT + 5 END AS line_end FROM events""")
+def q43_location_parse(spark, sf):
+    text = "'src/a' || event_id % 10 || '.cpp' || CASE event_id % 4 WHEN 0 THEN ':' || event_id % 500 WHEN 1 THEN ' line ' || event_id % 500 WHEN 2 THEN ' 第 ' || event_id % 500 || ' 行' ELSE '' END"
+    return parsers.location(_output(spark, sf, text), "output").drop("output")
+
+
+@query(f"WITH {SUG} SELECT seq, page_id IS NOT NULL AS found, url FROM sug LEFT JOIN pages ON seq % 400 = page_id")
+def q44_location_left_join(spark, sf):
+    p = S.table(spark, sf, "pages").select("page_id", "url")
+    s = S.suggestions(spark, sf).select("seq", (F.col("seq") % 400).alias("page_id"))
+    return s.join(p.withColumn("found", F.lit(True)), "page_id", "left").select("seq", F.coalesce("found", F.lit(False)).alias("found"), "url")
+
+
+@query(f"WITH {SUG} SELECT seq, trim(pseudocode) = '' AS blank, len(pseudocode) - len(replace(pseudocode, '{{', '')) = len(pseudocode) - len(replace(pseudocode, '}}', '')) AS braces, true AS parens, true AS brackets, false AS loop_lock, false AS delete_lock, false AS memcpy FROM sug")
+def q45_syntax_checks(spark, sf):
+    return S.suggestions(spark, sf).select("seq", suggestions.syntax_checks(F.col("pseudocode")).alias("c")).select("seq", "c.*")
+
+
+@query()
+def q46_snippet_slice(spark, sf):
+    return parsers.snippet(S.table(spark, sf, "documents").select("doc_id", "text"), "text", F.lit(3)).select("doc_id", "snippet")
+
+
+@query("""SELECT event_id, pos::INT AS pos, 't' || event_id AS title, CASE WHEN pos = 0 THEN 5 ELSE 1 END::INT AS priority, 'low' AS risk_level, CASE WHEN pos = 0 THEN 1e0 ELSE 0.5e0 END AS confidence FROM events, (VALUES (0), (1)) v(pos) WHERE NOT (pos = 1 AND event_id % 5 = 0)""")
+def q47_json_suggestions(spark, sf):
+    one = """'{"title": "t' || event_id || '", "priority": 9, "risk_level": "low", "self_confidence": 3}, {"title": "t' || event_id || '", "priority": -2, "risk_level": "' || CASE event_id % 5 WHEN 0 THEN 'odd' ELSE 'LOW' END || '"}'"""
+    text = f"CASE event_id % 3 WHEN 0 THEN '[' || {one} || ']' WHEN 1 THEN 'so:\\n```json\\n[' || {one} || ']\\n```' ELSE '{{\"suggestions\": [' || {one} || ']}}' END"
+    return responses.suggestions_of(_output(spark, sf, text), "output", "event_id").select("event_id", "pos", "title", "priority", "risk_level", "confidence")
+
+
+@query("SELECT o_orderkey AS seq, substring(md5(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ':' || o_custkey || ':' || o_orderkey), 1, 12) AS record_id FROM orders")
+def q48_record_id_md5(spark, sf):
+    o = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("actual_qps"), F.col("o_orderkey").alias("target_qps"))
+    return sinks.with_record_id(o).select("seq", "record_id")
+
+
+@query(f"""WITH {SUG} SELECT seq, CASE WHEN n_steps = 0 THEN '无法估算（代码位置无效）' WHEN priority >= 4 AND risk_level = 'low' THEN '预期收益高，风险低，建议优先实施' WHEN priority >= 4 AND risk_level = 'medium' THEN '预期收益高，需谨慎实施，建议先在测试环境验证'
+ WHEN priority >= 4 THEN '预期收益高，但风险也高，建议最后实施' WHEN priority >= 3 THEN '预期收益中等，可以考虑实施' ELSE '优先级较低，可以延后处理' END AS impact FROM sug""")
+def q49_impact_labels(spark, sf):
+    return S.suggestions(spark, sf).select("seq", M.impact(F.col("priority"), F.col("risk_level"), F.col("n_steps") > 0).alias("impact"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS ts, event_type, count(*) AS n, sum(value::DECIMAL(20,6))::DOUBLE AS total FROM events GROUP BY 1, 2")
+def q50_stream_daily_counts(spark, sf):
+    return observe.replay(spark, sf)
+
+
+@query(f"WITH {SUG} SELECT seq, CASE WHEN contains(source_model, '1') THEN 1.2e0 ELSE 0.7e0 END AS weight FROM sug")
+def q51_default_weights(spark, sf):
+    name = F.when(F.col("source_model").contains("1"), F.concat(F.lit("GPT-4-"), "source_model")).otherwise(F.col("source_model"))
+    return S.suggestions(spark, sf).select("seq", M.default_weight(name).alias("weight"))
+
+
+@query("SELECT event_id, (event_id % 900 + 1) / 2e0 AS qps, (event_id % 50) / 1000e0 AS avg_latency, (event_id % 50) / 1000e0 * 0.8e0 AS p50_latency, (event_id % 50) / 1000e0 * 2 AS p99_latency FROM events")
+def q52_parse_redis(spark, sf):
+    text = "'SET: ' || (event_id % 900 + 1) || ' requests in 2.0 s' || chr(10) || 'Latency: ' || event_id % 50 || ' us'"
+    return parsers.redis_metrics(_output(spark, sf, text), "output").drop("output")
+
+
+@query()
+def q53_markdown_report(spark, sf):
+    return sinks.markdown_report("Suggestions", suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), 5))
