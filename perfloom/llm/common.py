@@ -1,57 +1,26 @@
-"""What the operators of this subpackage share: shared storage, skew-proof lookups, connected components."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scale import HOT, attach, components, shared_dir, staged
+
+__all__ = ["HOT", "WORD", "attach", "components", "keyed", "salted_lookup", "shared_dir", "staged", "without"]
+
 #: Lower-casing of A-Z only, and the white space that ends a word (space, \t, \n, \v, \f, \r), are what bytes.lower() and
 #: bytes.split() do, so Python code works on UTF-8 bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key counts as hot from this share of all rows on; so there are at most HOT hot keys, however large the table is.
-HOT = 2000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of this machine only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="perfloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no more than a reread."""
-    path = f"{shared_dir(df.sparkSession)}/perfloom/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """_id, _th (hash of the text) and _text (UTF-8 bytes, null as empty) of each row: rows that agree in _id and _th are one document."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(body).alias("_th"), body.cast("binary").alias("_text"))
 
 
-def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with table on keys, safe against hot keys.
-
-    table has one row per key, and in column weight how many of the total rows have that key. Keys with over total / HOT
-    rows are at most HOT, so they are broadcast; the others, which are all small, meet in a shuffle. rows is read twice:
-    give a staged or cheap one. how: inner or left. Keys must not be null.
-    """
-    hot = F.broadcast(table.where(F.col(weight) * HOT > F.lit(total)))
-    few = table.where(F.col(weight) * HOT <= F.lit(total))
-    few_rows = rows.join(hot.select(*keys), list(keys), "left_anti")
-    return rows.join(hot, list(keys), "inner").unionByName(few_rows.join(few, list(keys), how))
-
-
 def without(docs: DataFrame, gone: DataFrame, *, once: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows of docs whose doc_id and text hash are not in gone (doc_id, _th). once: of rows that agree in both, one stays."""
     mark = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
@@ -67,28 +36,3 @@ def salted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = rows.withColumn("_salt", F.pmod(F.hash(F.col(spread)), F.lit(salts)))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b): root is the smallest node that can be reached.
-
-    Large-star and small-star steps in turn (Kiveris et al. 2014), each as a grouped minimum and a lookup; each round is
-    staged. Ends when a round changes nothing.
-    """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        n, mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if n == 0 or (n, mark) == before:
-            break
-        before = (n, mark)
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("w"))
-        large = attach(both, least, ["u"], "w", 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, "large-star")
-        n = large.count()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w"))
-        small = attach(large, least, ["a"], "w", n)
-        now = small.where("b <> m").select("b", "m").union(least.select("a", "m")).toDF("a", "b").distinct()
-        now = staged(now, "small-star")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
