@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, keyed, staged
 
-SPAN, GRAM, SHALLOW, CROWD = 100, 24, 16, 64
+SPAN, GRAM, SHALLOW, CROWD = 100, 40, 16, 64
 #: Bits of the anchor bitmap: 16 MB, whatever the input.
 BITMAP = 1 << 27
 #: A document is scanned in blocks of this many positions, for bounded memory.
@@ -103,39 +103,59 @@ def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())], names=["h"])
 
 
-def bitmap_of(anchors: DataFrame) -> np.ndarray:
-    """Bits of the hashes that occur twice or more; what comes to the driver are at most BITMAP / 64 rows."""
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
-    words = twice.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each hash (column h); what comes to the driver are at most BITMAP / 64 rows."""
+    bits = hashes.select(F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(BITMAP // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-CONTEXTS = "doc long, th long, at long, h long, left int, context binary"
+def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h & (BITMAP - 1)
+    return np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+
+
+CONTEXTS = "doc long, th long, at int, h long, c long, left int, context binary"
 
 
 def contexts(bitmap: np.ndarray):
-    """doc, th, at (first start that has the anchor), h, left (anchor less that start), context (all bytes of the starts' strings)."""
+    """doc, th, at (first start that has the anchor), h, c (hash of what follows), left (anchor less that start), context (all bytes of the starts' strings)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors().find
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        names = ["doc", "th", "at", "h", "left", "context"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc", "th", "at", "h", "c", "left", "context"]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            cols[4] = np.array(cols[4], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
         for b in batches:
             rows: list[tuple] = []
             for doc, th, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 text = body.as_py()
                 for lo, at, h, first, last in find(text):
-                    bit = h & (BITMAP - 1)
-                    for k in np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).tolist():
-                        i, j = lo + int(first[k]), lo + int(last[k])
-                        rows.append((doc, th, i, int(h[k]), int(at[k]) - int(first[k]), text[i : j + SPAN]))
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    k = marked(bitmap, h)
+                    for i, j, x, a in zip((lo + first[k]).tolist(), (lo + last[k]).tolist(), h[k].tolist(), (at[k] - first[k]).tolist(), strict=True):
+                        context = text[i : j + SPAN]
+                        rows.append((doc, th, i, x, xxhash.xxh3_64_intdigest(context, a), a, context))
+                if len(rows) > 20_000:
+                    yield batch(rows)
                     rows = []
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            yield batch(rows)
+
+    return run
+
+
+def of_marked(bitmap: np.ndarray):
+    """Rows (h first) whose h is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.take(pa.array(marked(bitmap, b.column(0).to_numpy())))
 
     return run
 
@@ -291,29 +311,33 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts to one row for each string: doc, th, at, digest."""
     for b in batches:
-        for doc, th, at, context in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            n = len(context) - SPAN + 1
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array([xxhash.xxh3_128_digest(context[k : k + SPAN]) for k in range(n)], pa.binary())], names=["doc", "th", "at", "digest"])
+        size = np.array([len(x.as_py()) - SPAN + 1 for x in b.column(3)], int)
+        own = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        digests = [xxhash.xxh3_128_digest(x.as_py()[k : k + SPAN]) for x, n in zip(b.column(3), size.tolist(), strict=True) for k in range(n)]
+        at = b.column(2).to_numpy()[own] + step
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), pa.array(at, pa.int64()), pa.array(digests, pa.binary())], names=["doc", "th", "at", "digest"])
 
 
 def covered_runs(docs: DataFrame) -> DataFrame:
     """doc, th, lo, hi: the starts lo to hi of a document are those of strings that also start earlier. docs: _id, _th, _text."""
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(bitmap_of(docs.select("_text").mapInArrow(count_anchors, "h long")))
-    seen = staged(docs.mapInArrow(lambda batches: contexts(bitmap.value)(batches), CONTEXTS).withColumn("_key", F.unhex(F.md5("context"))), "contexts")
+    anchors = docs.select("_text").mapInArrow(count_anchors, "h long")
+    twice = spark.sparkContext.broadcast(bitmap_of(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
+    seen = staged(docs.mapInArrow(lambda batches: contexts(twice.value)(batches), CONTEXTS), "contexts")
     # Rows that are equal in doc, th and at are one document's, read twice; they are one occurrence.
     place = F.struct("doc", "th", "at")
-    same = ["h", "left", "_key"]
-    kinds = staged(seen.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "context-kinds")
+    kinds = staged(seen.groupBy("h", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "context-kinds")
     total = kinds.agg(F.sum("n")).first()[0] or 0
-    last = (F.col("at") + F.octet_length("context") - SPAN).alias("hi")
-    later = attach(seen.select(*same, "doc", "th", "at", F.octet_length("context").alias("_len")), kinds.where("n > 1"), same, "n", total).where(place > F.col("first"))
-    later = later.select("doc", "th", F.col("at").alias("lo"), (F.col("at") + F.col("_len") - SPAN).alias("hi"))
+    length = F.octet_length("context")
+    later = attach(seen.select("h", "c", "doc", "th", "at", (length - SPAN).alias("more")), kinds.where("n > 1"), ["h", "c"], "n", total).where(place > F.col("first"))
+    later = later.select("doc", "th", F.col("at").cast("long").alias("lo"), (F.col("at") + F.col("more")).cast("long").alias("hi"))
     # Anchors with several contexts: the earliest occurrence of each context meets those of the others.
     several = staged(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
-    n_kinds = kinds.count()
-    reps = attach(kinds.select("h", "first.*"), several, ["h"], "m", n_kinds)
-    full = staged(reps.join(seen.select("doc", "th", "at", "h", "left", "context").distinct(), ["doc", "th", "at", "h"]), "representatives")
+    mixed = spark.sparkContext.broadcast(bitmap_of(several))
+    picked = seen.select("h", "c", "doc", "th", "at", "left", "context").mapInArrow(lambda batches: of_marked(mixed.value)(batches), "h long, c long, doc long, th long, at int, left int, context binary")
+    reps = staged(picked.groupBy("h", "c").agg(F.min(F.struct("doc", "th", "at", "left", "context")).alias("r")).select("h", "r.*"), "representatives")
+    full = attach(reps, several, ["h"], "m", reps.count())
     few = full.where(F.col("m") <= CROWD).groupBy("h").agg(F.collect_list(F.struct("doc", "th", "at", "left", "context")).alias("rows")).select("rows")
     few = few.mapInArrow(compare, "doc long, th long, lo long, hi long")
     strings = full.where(F.col("m") > CROWD).select("doc", "th", "at", "context").mapInArrow(split_strings, "doc long, th long, at long, digest binary")
