@@ -21,7 +21,7 @@ from .common import attach, staged
 BITS, PRIOR = 17, 50.0
 #: The model is fitted on at most this many labelled documents (those of the smallest hashes), of at most FIT_BYTES bytes each.
 FIT_ROWS, FIT_BYTES = 6_000, 32_768
-SHAPE = 8
+SHAPE, CLEAR = 8, 4.5
 SCHEMA = "doc_id long, _th long, host string, path string, evidence double"
 
 
@@ -42,8 +42,12 @@ def shape(body: bytes, words: list[bytes]) -> list[float]:
     return [10 * capitals / n, 10 * digits / n, 20 * symbols / n, 20 * marks / n, sum(len(x) <= 1 for x in words) / w, 2 * len(set(words)) / w, 2 * (1 - len(set(lines)) / max(1, len(lines))), 1.0 if w >= 5 else 0.0]
 
 
-def fit(bodies: list[bytes], good: np.ndarray, rounds: int = 120) -> np.ndarray:
-    """Weights of hashed features, then of the shape, then a bias; logistic loss, each class with half the weight, Adam."""
+def fit(bodies: list[bytes], good: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights of hashed features, then of the shape, then a bias; logistic loss, each class with half the weight, Adam.
+
+    Hashed features are used only where the shares of good and of other documents that have them differ by CLEAR standard
+    errors: most words are too rare to tell.
+    """
     size = (1 << BITS) + SHAPE + 1
     row, col, val = [], [], []
     for i, body in enumerate(bodies):
@@ -57,12 +61,18 @@ def fit(bodies: list[bytes], good: np.ndarray, rounds: int = 120) -> np.ndarray:
         w[-1] = 0.0 if not row else (4.0 if good.all() else -4.0)
         return w
     row, col, val = map(np.concatenate, (row, col, val))
+    there, n_good, n_bad = val != 0, good.sum(), (~good).sum()
+    a, b = (np.bincount(col[there & (good[row] == g)], minlength=size) for g in (True, False))
+    p = (a + b) / len(bodies)
+    z = np.abs(a / n_good - b / n_bad) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n_good + 1 / n_bad))
+    use = ((z >= CLEAR) & (a + b >= 3) | (np.arange(size) >= 1 << BITS))[col]
+    row, col, val = row[use], col[use], val[use]
     share = np.where(good, 0.5 / good.sum(), 0.5 / (~good).sum())
     m, v = np.zeros(size), np.zeros(size)
     for k in range(1, rounds + 1):
         z = np.bincount(row, w[col] * val, len(bodies))
         slope = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
-        g = np.bincount(col, slope[row] * val, size) + 1e-6 * w
+        g = np.bincount(col, slope[row] * val, size) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
     return w
