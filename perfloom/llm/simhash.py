@@ -135,9 +135,9 @@ def links(codes: DataFrame, total: int) -> DataFrame:
     crowd = attach(asked, large, ["part", "value"], "w", n).select("fp").distinct()
     crowd = staged(crowd, "crowded")
     small = sizes.where(F.col("w") <= BUCKET)
-    lone = lambda rows: rows.join(small, ["part", "value"], "left_semi")
+    lone = lambda rows, name: rows.join(small, ["part", "value"], "left_semi").select(F.col("fp").alias(name), "part", "value")
     differ = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    met = lone(held).toDF("a", "part", "value").join(lone(asked).toDF("b", "part", "value"), ["part", "value"]).where((F.col("a") != F.col("b")) & (differ("a", "b") <= TAU)).select("a", "b")
+    met = lone(held, "a").join(lone(asked, "b"), ["part", "value"]).where((F.col("a") != F.col("b")) & (differ("a", "b") <= TAU)).select("a", "b")
     flips = F.array(*(long(f) for f in [0, *(1 << b for b in range(BITS))]))
     shared = crowd.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("code"))
     least = shared.groupBy("code").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
