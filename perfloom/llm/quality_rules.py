@@ -82,3 +82,25 @@ def quality_rules(docs: DataFrame, *, min_docs: int = 6, share: float = 0.05, le
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stays = F.col("n_words") - F.col("n_removed_words") >= F.lit(left) * F.col("n_words")
     return out.select("doc_id", *STATS, failed.alias("base_failed"), "n_removed_words", (~failed & stays).alias("kept"))
+
+
+#: DuckDB SQL for quality_rules with its default parameters, over documents with distinct doc_id.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+per AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY 1),
+g AS (SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o AS gram FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+often AS (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g WHERE gram IS NOT NULL),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM often WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
+f AS (SELECT doc_id, host, line, translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY 1),
+h AS (SELECT host, count(*) AS docs FROM d GROUP BY 1),
+above AS (SELECT host, norm FROM f JOIN h USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT doc_id) >= 6 AND count(DISTINCT doc_id) > 0.05e0 * docs),
+gone AS (SELECT doc_id, sum(n)::BIGINT AS n FROM f JOIN above USING (host, norm) GROUP BY 1),
+a AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+  FROM d LEFT JOIN per USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= 0.5e0 * n_words AS kept FROM b
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import line_dedup, url_filters
+from . import quality_rules as rules
 from .decontamination import contaminated
 from .lm_scoring import score_documents
 from .packing import pack_documents
@@ -66,4 +67,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_quality_classifier, op7_line_dedup, op8_simhash, op9_suffix_dedup, op10_quality_rules)}
-ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
+ORACLE: dict[str, str] = {"op3_url_filters": url_filters.sql(URL_RULES), "op7_line_dedup": line_dedup.SQL, "op10_quality_rules": rules.SQL}
