@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach
+from .common import attach, staged
 
-#: A line counts if it has a character that isn't ASCII white space.
-FILLED = r"[^\x20\x09-\x0D]"
+#: ASCII white space within lines: a line that has another character is filled.
+BLANK = " \t\x0b\x0c\r"
 
 
 def repeated_windows(docs: DataFrame, *, size: int = 3) -> DataFrame:
@@ -16,11 +16,10 @@ def repeated_windows(docs: DataFrame, *, size: int = 3) -> DataFrame:
     start = F.sequence(F.lit(0), F.size("_full") - size)
     body = lambda j: [F.element_at("_lines", F.element_at("_full", j + 1 + k) + 1) for k in range(size)]
     each = F.transform(start, lambda j: F.struct(j.alias("_at"), F.xxhash64(*body(j)).alias("_h1"), F.xxhash64(F.lit("#"), *body(j)).alias("_h2")))
-    windows = docs.where(F.size("_full") >= size).select("_id", "_th", F.inline(each))
+    windows = staged(docs.where(F.size("_full") >= size).select("_id", "_th", F.inline(each)), "windows")
     place = F.struct("_id", "_th", "_at")
     again = windows.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
-    total = docs.agg(F.sum(F.greatest(F.size("_full") - (size - 1), F.lit(0)))).first()[0] or 0
-    return attach(windows, again, ["_h1", "_h2"], "_n", total).where(place > F.col("_first")).select("_id", "_th", "_at")
+    return attach(windows, staged(again, "repeated-windows"), ["_h1", "_h2"], "_n", windows.count()).where(place > F.col("_first")).select("_id", "_th", "_at")
 
 
 def dedup_lines(docs: DataFrame, *, size: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -34,7 +33,7 @@ def dedup_lines(docs: DataFrame, *, size: int = 3, text: str = "text", key: str
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_id"), F.xxhash64(body).alias("_th"), F.split(body, "\n").alias("_lines"))
-    mine = mine.withColumn("_full", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.element_at("_lines", i + 1).rlike(FILLED)))
+    mine = mine.withColumn("_full", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.ltrim(F.element_at("_lines", i + 1), F.lit(BLANK)) != ""))
     gone = repeated_windows(mine, size=size).distinct().groupBy("_id", "_th").agg(F.collect_list("_at").alias("_gone")).toDF("_id2", "_th2", "_gone")
     both = mine.join(gone, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")), "left")
     none = F.array().cast("array<int>")
