@@ -7,6 +7,7 @@ plus all that a block's frequent terms could give. Only passages with a block th
 
 from __future__ import annotations
 
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 K1, B, BLOCK, THRESHOLD, SHINGLE, OVERLAP = 1.2, 0.75, 8, 0.5, 5, 0.8
 #: Items are indexed in blocks of about this many bytes, each broadcast; every block is queried by all passages.
 INDEX_BYTES = 16 << 20
-PUNCTUATION = b".,;:!?\"()[]{}"
+PUNCTUATION = string.punctuation.encode()
 SCHEMA = "doc_id long, _th long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
