@@ -13,6 +13,9 @@ it, so that no length is gathered in one task.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,27 +33,57 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level models write bytes: printable ones as they are, the others from U+0100 on, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+#: Words of these characters alone need no normaliser but lower-casing: ASCII, and Latin letters that are composed already.
+PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
+#: How the split of the word tokenizer reads, for such characters in lower case.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+
+
 def word_encoder(path: str) -> Callable[[bytes], bytes]:
     """Ids (unsigned 32-bit little-endian) of a text as tokenizers gives them without added special tokens.
 
     For a tokenizer that drops white space, words between ASCII white space are encoded apart and kept: its normaliser and
-    its split never look across them. Other tokenizers get whole texts.
+    its split never look across them. Plain words of the known split go to the tokenizer's model part by part, without the
+    costly steps before it; other words go to the tokenizer as they are. Other tokenizers get whole texts.
     """
-    import json
-
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    drops = model.encode("a b", add_special_tokens=False).ids == model.encode("a \n\t b", add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
-        apart = drops and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or " " in x["content"] for x in json.load(f)["added_tokens"])
-    pack = lambda e: np.asarray(e.ids, "<u4").tobytes()
+        spec = json.load(f)
+    drops = model.encode("a b", add_special_tokens=False).ids == model.encode("a \n\t b", add_special_tokens=False).ids
+    added = spec["added_tokens"]
+    apart = drops and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or " " in x["content"] for x in added)
+    steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = [x.get("pattern", {}).get("Regex", x["type"]) for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    known = steps == ["NFC", "Replace", "Lowercase"] and split == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel"] and spec.get("post_processor") is None
+    special = re.compile("|".join(re.escape(x["content"]) for x in added) or "(?!)")
+    letters, bpe = byte_letters(), model.model
+    pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
     memo: dict[bytes, bytes] = {}
+    parts: dict[str, bytes] = {}
+
+    def plain(word: str) -> bytes:
+        out = []
+        for p in PARTS.findall(word.lower()):
+            if (x := parts.get(p)) is None:
+                if len(parts) > MEMO:
+                    parts.clear()
+                x = parts[p] = pack([t.id for t in bpe.tokenize(p.encode().decode("latin-1").translate(letters))])
+            out.append(x)
+        return b"".join(out)
 
     def encode(body: bytes) -> bytes:
         nonlocal memo
         if not apart:
-            return pack(model.encode(body.decode(), add_special_tokens=False))
+            return pack(model.encode(body.decode(), add_special_tokens=False).ids)
         words = body.split()
         try:
             return b"".join(map(memo.__getitem__, words))
@@ -58,7 +91,15 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
             fresh = [w for w in set(words) if w not in memo]
             if len(memo) + len(fresh) > MEMO:
                 memo, fresh = {}, list(set(words))
-            memo.update(zip(fresh, map(pack, model.encode_batch([w.decode() for w in fresh], add_special_tokens=False)), strict=True))
+            rest = []
+            for w in fresh:
+                t = w.decode()
+                if known and PLAIN.fullmatch(t) and not special.search(t):
+                    memo[w] = plain(t)
+                else:
+                    rest.append(w)
+            if rest:
+                memo.update(zip(rest, (pack(e.ids) for e in model.encode_batch([w.decode() for w in rest], add_special_tokens=False)), strict=True))
             return b"".join(map(memo.__getitem__, words))
 
     return encode
