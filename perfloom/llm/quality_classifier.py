@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import attach, staged
 
 BITS, PRIOR = 17, 50.0
-#: The model is fitted on at most this many labelled documents (those of the smallest hashes), of at most FIT_BYTES bytes each.
-FIT_ROWS, FIT_BYTES = 6_000, 32_768
+#: The model is fitted on at most this many labelled documents (those of the smallest hashes), with their whole texts.
+FIT_ROWS = 6_000
 SHAPE, CLEAR = 8, 4.5
 SCHEMA = "doc_id long, _th long, host string, path string, evidence double"
 
@@ -121,7 +121,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("_th"), body.cast("binary").alias("_text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"))
     pick = marks.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    known = rows.join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select(F.substring("_text", 1, FIT_BYTES).alias("t"), "good", "doc_id", "_th").orderBy("doc_id", "_th").limit(fit_rows).toArrow()
+    known = rows.join(F.broadcast(pick), F.col("doc_id") == F.col("_id")).select(F.col("_text").alias("t"), "good", "doc_id", "_th").orderBy("doc_id", "_th").limit(fit_rows).toArrow()
     w = fit([x.as_py() for x in known["t"]], known["good"].to_numpy() == 1)
     weights = spark.sparkContext.broadcast(w.astype(np.float32))
     told = staged(rows.mapInArrow(lambda batches: judge(weights.value)(batches), SCHEMA), "evidence")
