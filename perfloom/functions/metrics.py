@@ -98,3 +98,24 @@ def impact(priority: Column, risk: Column, valid: Column) -> Column:
         .when(priority >= 3, "预期收益中等，可以考虑实施")
         .otherwise("优先级较低，可以延后处理")
     )
+
+
+def provider(base_url: Column, model: Column) -> Column:
+    """The provider that a base URL or a model name tells, the first that fits."""
+    url, name = F.lower(base_url), F.lower(model)
+    return F.when(url.contains("deepseek"), "deepseek").when(url.contains("dashscope") | name.contains("qwen"), "dashscope").when(url.contains("openai"), "openai").otherwise("openai-compatible")
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part over whole as a double; 0 without a positive whole."""
+    return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(0.0))
+
+
+def strengths(qps: Column, avg: Column, p99: Column, err: Column) -> Column:
+    """Names of the metrics that are good."""
+    return F.filter(F.array(F.when(qps >= 350, "qps"), F.when(avg <= 5, "avg_latency"), F.when(p99 <= 15, "p99_latency"), F.when(err < 0.01, "error_rate")), lambda x: x.isNotNull())
+
+
+def bottlenecks(qps: Column, avg: Column, p99: Column, err: Column) -> Column:
+    """Names of the metrics that are bad."""
+    return F.filter(F.array(F.when(qps < 200, "qps"), F.when(avg > 10, "avg_latency"), F.when(p99 > 50, "p99_latency"), F.when(err > 0.05, "error_rate")), lambda x: x.isNotNull())

@@ -170,3 +170,46 @@ def verified(s: DataFrame, *, strict_enum: bool = False) -> DataFrame:
 def syntax_checks(code: Column) -> Column:
     count = lambda ch: F.length(code) - F.length(F.replace(code, F.lit(ch), F.lit("")))
     return F.struct((F.trim(code) == "").alias("blank"), (count("{") == count("}")).alias("braces"), (count("(") == count(")")).alias("parens"), (count("[") == count("]")).alias("brackets"), (code.contains("while") & F.lower(code).contains("lock")).alias("loop_lock"), (code.contains("delete") & F.lower(code).contains("lock")).alias("delete_lock"), code.contains("memcpy").alias("memcpy"))
+
+
+#: Keywords of each bottleneck, tried in order, with the file they point to. Those with capitals never fit, as the text is in lower case.
+BOTTLENECKS = [
+    (["batch", "AppendEntries", "send", "buffer"], "raft_core"),
+    (["pipeline", "window", "nextIndex", "in_flight"], "raft_core"),
+    (["ReadIndex", "read", "linearizable", "lease"], "raft_core"),
+    (["persist", "save", "fsync", "snapshot"], "persister"),
+    (["skiplist", "search", "insert", "lock"], "skiplist"),
+    (["rpc", "channel", "connect", "timeout"], "rpc_channel"),
+]
+
+
+def related_file(s: DataFrame) -> DataFrame:
+    """s with file: what the first bottleneck in title and description points to, or null."""
+    return s.withColumn("file", F.nullif(first_hit(F.lower(F.concat_ws(" ", "title", "description")), BOTTLENECKS, ""), F.lit("")))
+
+
+def top_by(s: DataFrame, *, risk: int | None = None, least_priority: int | None = None, k: int = 5) -> DataFrame:
+    """The ranking without dedup and quality filter; risk: 0 low, 1 medium, 2 high, others are passed over."""
+    if risk is not None and 0 <= risk <= 2:
+        s = s.where(F.col("risk_level") == ["low", "medium", "high"][risk])
+    return top_ranked(s if least_priority is None else s.where(F.col("priority") >= least_priority), k)
+
+
+def roadmap(s: DataFrame, k: int = 5) -> DataFrame:
+    """The first k with low risk last, by priority within."""
+    order = [F.col("risk_level") == "low", F.desc("priority"), F.col("seq")]
+    return s.orderBy(*order).limit(k).withColumn("step", F.row_number().over(Window.orderBy(*order)))
+
+
+def related_code(s: DataFrame, files: DataFrame) -> DataFrame:
+    """seq, path, pos, code: of the first file that holds a term of the suggestion, the lines around the first hit of its first term.
+
+    files: path, content. Terms are at most 21, so terms of suggestions and of lines meet in an equi-join on the term.
+    """
+    mine = s.select("seq", F.posexplode(terms(F.concat_ws(" ", "title", "description"))).alias("term_no", "term"))
+    lines = files.select("path", F.split("content", "\n").alias("lines")).select("path", "lines", F.posexplode("lines").alias("pos", "line"))
+    hits = lines.select("path", "pos", "lines", F.explode(terms(F.col("line"))).alias("term"))
+    hits = hits.groupBy("path", "term").agg(F.min("pos").alias("pos"), F.min_by("lines", "pos").alias("lines"))
+    code = F.array_join(F.slice("lines", F.greatest(F.col("pos") - 1, F.lit(1)), F.least(F.col("pos") + 5, F.size("lines")) - F.greatest(F.col("pos") - 1, F.lit(1)) + 1), "\n")
+    found = mine.join(hits.select("path", "term", "pos", code.alias("code")), "term")
+    return found.groupBy("seq").agg(F.min(F.struct("path", "term_no", "pos", "code")).alias("b")).select("seq", "b.path", "b.pos", "b.code")

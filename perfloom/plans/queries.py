@@ -434,3 +434,72 @@ def q52_parse_redis(spark, sf):
 @query()
 def q53_markdown_report(spark, sf):
     return sinks.markdown_report("Suggestions", suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), 5))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'deepseek' WHEN page_id % 4 = 1 THEN 'dashscope' WHEN page_id % 4 = 2 THEN 'openai' ELSE 'openai-compatible' END AS provider FROM pages")
+def q54_provider(spark, sf):
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, "https://api.DeepSeek.com").when(k == 2, "https://api.openai.com").otherwise("https://localhost")
+    return S.table(spark, sf, "pages").select("page_id", M.provider(url, F.when(k == 1, "Qwen-plus").otherwise("m")).alias("provider"))
+
+
+@query("SELECT user_id, CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE event_type = 'error'))::DOUBLE / count(*) ELSE 0 END AS error_rate, CASE WHEN (sum(event_id) % 7) > 0 THEN count(*)::DOUBLE / (sum(event_id) % 7)::BIGINT ELSE 0 END AS qps FROM events GROUP BY 1")
+def q55_status_ratios(spark, sf):
+    n = F.count(F.lit(1))
+    return S.table(spark, sf, "events").groupBy("user_id").agg(M.ratio(F.count_if(F.col("event_type") == "error"), n).alias("error_rate"), M.ratio(n, F.sum("event_id") % 7).alias("qps"))
+
+
+@query(f"""WITH {SNAP} SELECT count(*) AS n, sum(qps::DECIMAL(30,12))::DOUBLE / count(*) AS avg_qps, max(qps) AS max_qps, min(qps) AS min_qps, sum(avg_latency::DECIMAL(30,12))::DOUBLE / count(*) AS avg_latency, count(*) * 60e0 AS duration FROM snap""")
+def q56_sample_summary(spark, sf):
+    mean = lambda c: F.sum(F.col(c).cast("decimal(30,12)")).cast("double") / F.count(F.lit(1))
+    return S.snapshots(spark, sf).agg(F.count(F.lit(1)).alias("n"), mean("qps").alias("avg_qps"), F.max("qps").alias("max_qps"), F.min("qps").alias("min_qps"), mean("avg_latency").alias("avg_latency"), (F.count(F.lit(1)) * F.lit(60.0)).alias("duration"))
+
+
+@query(f"""WITH {SUG}, {SETS} SELECT seq, priority, final_weight, row_number() OVER (ORDER BY final_weight DESC, priority DESC, seq)::INT AS rank FROM weights WHERE risk_level = 'medium' AND priority >= 4 ORDER BY rank LIMIT 5""")
+def q57_top_by_risk_and_priority(spark, sf):
+    return suggestions.top_by(_weighted(spark, sf), risk=1, least_priority=4).select("seq", "priority", "final_weight", "rank")
+
+
+@query(f"WITH {SUG} SELECT seq, risk_level, priority, row_number() OVER (ORDER BY risk_level = 'low', priority DESC, seq)::INT AS step FROM sug ORDER BY step LIMIT 5")
+def q58_roadmap(spark, sf):
+    return suggestions.roadmap(S.suggestions(spark, sf)).select("seq", "risk_level", "priority", "step")
+
+
+@query(f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || description) AS t FROM sug) SELECT seq, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.BOTTLENECKS) + " END AS file FROM t")
+def q59_bottleneck_file(spark, sf):
+    return suggestions.related_file(S.suggestions(spark, sf)).select("seq", "file")
+
+
+def _with_term(spark, sf):
+    """Suggestions whose titles end in a technical term."""
+    return S.suggestions(spark, sf).withColumn("title", F.concat("title", F.lit(" "), F.element_at(F.array(*map(F.lit, suggestions.TERMS)), (F.col("seq") % 21).cast("int") + 1)))
+
+
+@query(f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || {stop(suggestions.TERMS)}[(seq % 21)::INT + 1] || ' ' || description) AS t FROM sug) SELECT seq, term FROM t, (SELECT unnest({stop(suggestions.TERMS)}) AS term) WHERE contains(t, lower(term))")
+def q60_technical_terms(spark, sf):
+    return _with_term(spark, sf).select("seq", F.explode(suggestions.terms(F.concat_ws(" ", "title", "description"))).alias("term"))
+
+
+@query()
+def q61_related_code(spark, sf):
+    files = S.table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n").alias("content"))
+    files = files.withColumn("content", F.concat("content", F.lit("\nthe log of a Batch\nend")))
+    return suggestions.related_code(_with_term(spark, sf), files)
+
+
+@query(f"""WITH {SNAP} SELECT ts, list_filter([CASE WHEN qps * 50000 >= 350 THEN 'qps' END, CASE WHEN avg_latency <= 5 THEN 'avg_latency' END, CASE WHEN p99_latency <= 15 THEN 'p99_latency' END, CASE WHEN error_rate < 0.01e0 THEN 'error_rate' END], lambda x: x IS NOT NULL).len() AS strong,
+ list_filter([CASE WHEN qps * 50000 < 200 THEN 'qps' END, CASE WHEN avg_latency > 10 THEN 'avg_latency' END, CASE WHEN p99_latency > 50 THEN 'p99_latency' END, CASE WHEN error_rate > 0.05e0 THEN 'error_rate' END], lambda x: x IS NOT NULL).len() AS weak FROM snap""")
+def q62_strengths(spark, sf):
+    c = (F.col("qps") * 50000, F.col("avg_latency"), F.col("p99_latency"), F.col("error_rate"))
+    return S.snapshots(spark, sf).select("ts", F.size(M.strengths(*c)).cast("long").alias("strong"), F.size(M.bottlenecks(*c)).cast("long").alias("weak"))
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
+def q63_enabled_models(spark, sf):
+    return S.table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"))
+
+
+@query("SELECT turn, role, n FROM (SELECT turn, role, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY turn) AS r FROM conversations GROUP BY 1, 2) WHERE r <= 10")
+def q64_distinct_commands_capped(spark, sf):
+    c = S.table(spark, sf, "conversations").groupBy("turn", "role").agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("r", F.row_number().over(Window.partitionBy("role").orderBy("turn"))).where("r <= 10").drop("r")
