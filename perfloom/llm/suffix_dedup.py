@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import attach, keyed, staged
 
-SPAN, GRAM, SHALLOW, CROWD = 100, 40, 16, 64
+SPAN, GRAM, SHALLOW, CROWD = 100, 24, 16, 512
+#: Groups of up to this many go to a blind trie at once.
+TINY = 8
 #: Bits of the anchor bitmap: 16 MB, whatever the input.
 BITMAP = 1 << 27
 #: A document is scanned in blocks of this many positions, for bounded memory.
@@ -246,6 +248,12 @@ class BlindTrie:
 
 def sorted_groups(items: list[int], text: bytes, end: int = SPAN, shallow: int = SHALLOW) -> Iterator[list[int]]:
     """Deep-shallow sorting: the groups of suffixes that agree in end bytes, in the order of their bytes."""
+    if len(items) <= TINY:
+        trie = BlindTrie(text, 0, end)
+        for i in items:
+            trie.add(i)
+        yield from trie.groups()
+        return
     ranges: list[list[int]] = []
     quicksort(items, text, 0, min(shallow, end), ranges)
     for group in ranges:

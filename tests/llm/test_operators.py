@@ -361,7 +361,9 @@ def test_suffix_dedup_nasty(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-def test_deep_shallow_sort():
+@pytest.mark.parametrize("tiny", [0, 8, 500])
+def test_deep_shallow_sort(monkeypatch, tiny):
+    monkeypatch.setattr(suffix_dedup, "TINY", tiny)
     rng = random.Random(10)
     for end, shallow in ((12, 3), (30, 16), (5, 9)):
         t = bytes(rng.choice(b"ab") for _ in range(200))
