@@ -1,8 +1,8 @@
 """Benchmark decontamination: every passage queries a BM25 index of test items through block-max WAND.
 
 Scores are divided by an item's score for its own words, so one threshold fits items of any length. Before the walk over
-postings, upper bounds are added up for all passages of a batch at once: what rare terms can give each block of items,
-plus all that a block's frequent terms could give. Only passages with a block that reaches the threshold are walked.
+postings, upper bounds are added up for all passages of a batch at once: what rare terms give each item, plus all that the
+item's frequent terms could give. Only passages with an item that can reach the threshold are walked.
 """
 
 from __future__ import annotations
@@ -66,33 +66,32 @@ class Index:
         self.docs = [np.array([d for d, _ in posts[t]]) for t in range(len(self.term))]
         self.impact = [np.array([x for _, x in posts[t]]) for t in range(len(self.term))]
         self.top = np.array([x.max() for x in self.impact])
-        self.n_blocks = -(-len(bags) // BLOCK)
         self.block_max: list[dict[int, float]] = []
-        flat: list[tuple[int, int, float]] = []
-        self.often = np.zeros(self.n_blocks)
         for t in range(len(self.term)):
             most: dict[int, float] = {}
             for d, x in posts[t]:
                 most[d // BLOCK] = max(most.get(d // BLOCK, 0.0), x)
             self.block_max.append(most)
-            if len(posts[t]) > max(2, len(bags) // 50):
-                for b, x in most.items():
-                    self.often[b] += x
-            else:
-                flat += [(t, b, x) for b, x in most.items()]
+        # Frequent terms: the most frequent ones, as long as all of them together stay clearly under the threshold in every item.
+        self.often = np.zeros(len(bags))
+        frequent: set[int] = set()
+        for t in sorted(range(len(self.term)), key=lambda t: (-len(posts[t]), t)):
+            if len(posts[t]) <= 2 or (self.often[self.docs[t]] + self.impact[t]).max() > 0.8 * THRESHOLD:
+                break
+            self.often[self.docs[t]] += self.impact[t]
+            frequent.add(t)
+        flat = [(t, d, x) for t in range(len(self.term)) if t not in frequent for d, x in posts[t]]
         self.rare_start = np.searchsorted([f[0] for f in flat], np.arange(len(self.term) + 1)) if flat else np.zeros(len(self.term) + 1, int)
-        self.rare_block = np.array([f[1] for f in flat], int)
-        self.rare_max = np.array([f[2] for f in flat], float)
+        self.rare_item = np.array([f[1] for f in flat], int)
+        self.rare_impact = np.array([f[2] for f in flat], float)
 
     def promising(self, term: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-        """Of n passages, given as distinct (passage, term) pairs, those where some block can reach the threshold."""
-        if self.often.max(initial=0.0) >= THRESHOLD:
-            return np.arange(n)
+        """Of n passages, given as distinct (passage, term) pairs, those where some item can reach the threshold."""
         many = self.rare_start[term + 1] - self.rare_start[term]
         at = np.repeat(self.rare_start[term] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        cell, back = np.unique(np.repeat(passage, many) * self.n_blocks + self.rare_block[at], return_inverse=True)
-        bound = np.bincount(back, self.rare_max[at], len(cell)) + self.often[cell % self.n_blocks]
-        return np.unique(cell[bound >= THRESHOLD - 1e-9] // self.n_blocks)
+        cell, back = np.unique(np.repeat(passage, many) * len(self.ids) + self.rare_item[at], return_inverse=True)
+        bound = np.bincount(back, self.rare_impact[at], len(cell)) + self.often[cell % len(self.ids)]
+        return np.unique(cell[bound >= THRESHOLD - 1e-9] // len(self.ids))
 
     def walk(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All (item, score) with a score of at least THRESHOLD, by WAND with block maxima."""
