@@ -5,9 +5,9 @@ symbol's contexts are the up to ORDER symbols before it in its word. Escapes fol
 count as escapes), and symbols of a longer context that escaped are excluded in the shorter ones. As contexts stay within
 a word, a word has one code length, wherever it stands; so it is worked out once per distinct word, and documents add up.
 
-What grows with the corpus (words and their counts) stays in tables. Broadcast are only words and trie nodes with a fixed
-least share of all occurrences, of which there are at most as many as the inverse of that share. The mass of trie nodes
-below it goes to their context's escape; it isn't lost.
+What grows with the corpus (words, trie nodes and their counts) stays in tables; every node counts, however rare. Each
+distinct gram of the words meets the nodes of its contexts in a join. Broadcast are only words with a fixed least share of
+all occurrences and nodes that many contexts end in, as a shortcut.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import attach, staged
 
 ORDER = 5
-#: Words with over 1/WORDS of all tokens, and trie nodes with over 1/NODES of all symbols, are broadcast.
-WORDS, NODES = 1 << 20, 1 << 19
+#: Words with over 1/WORDS of all tokens are broadcast.
+WORDS = 1 << 20
 #: A task passes its counts on when it holds this many.
 FLUSH = 300_000
 #: Symbols that no word holds: the end of a word (and, as context, its start), and the end of a document.
@@ -116,12 +116,17 @@ def count_grams(order: int) -> Callable:
     return run
 
 
-def build_trie(words: DataFrame, order: int, nodes: int) -> Trie:
-    """The trie over all training words; rows of the collected table: at most (order + 1) * nodes symbols."""
+def counted_grams(words: DataFrame, order: int) -> DataFrame:
+    """(gram, n): all grams of the training words and the ends of these."""
     top = words.where("train > 0").select("word", "train").mapInArrow(count_grams(order), "gram binary, n long")
     top = top.groupBy("gram").agg(F.sum("n").alias("n"))
     ends = F.transform(F.sequence(F.lit(1), F.octet_length("gram")), lambda i: F.substring("gram", i, F.octet_length("gram")))
-    every = staged(top.select(F.explode(ends).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    return staged(top.select(F.explode(ends).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def build_trie(words: DataFrame, order: int, nodes: int) -> Trie:
+    """The trie over all training words, on the driver; nodes with up to 1/nodes of all symbols go to their context's escape."""
+    every = counted_grams(words, order)
     symbols = every.where(F.octet_length("gram") == 1).agg(F.sum("n")).first()[0] or 0
     size = F.octet_length("gram")
     keep = F.col("n") * nodes > F.lit(symbols)
@@ -133,7 +138,46 @@ def build_trie(words: DataFrame, order: int, nodes: int) -> Trie:
     return trie
 
 
-def score_documents(docs: DataFrame, *, order: int = ORDER, words: int = WORDS, nodes: int = NODES, text: str = "text", key: str = "doc_id") -> DataFrame:
+def spelled(order: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, g, n) for w in b.column(0).to_pylist() for g, n in Counter(grams(w, order)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["word", "gram", "times"])
+
+    return run
+
+
+def gram_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, p) from grams of one context and the nodes of its ends."""
+    for b in batches:
+        out = []
+        for asked, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            trie = {x["context"]: (0, {y["s"][0]: y["n"] for y in x["next"]}) for x in nodes or []}
+            out += [(g, log10_of(g, trie)) for g in asked]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.float64())], names=["gram", "p"])
+
+
+def word_scores(vocabulary: DataFrame, order: int) -> DataFrame:
+    """The vocabulary with column score: log10 of each word's probability, from the whole trie."""
+    head, size = lambda c: F.substring(c, F.lit(1), F.octet_length(c) - 1), F.octet_length("gram")
+    every = counted_grams(vocabulary, order)
+    nodes = every.groupBy(head("gram").alias("context")).agg(F.collect_list(F.struct(F.substring("gram", size, F.lit(1)).alias("s"), "n")).alias("next"))
+    parts = staged(vocabulary.select("word").mapInArrow(spelled(order), "word binary, gram binary, times long"), "word-grams")
+    asked = staged(parts.groupBy("gram").agg(F.count(F.lit(1)).alias("w")), "asked-grams")
+    tops = asked.groupBy(head("gram").alias("top")).agg(F.collect_list("gram").alias("asked"))
+    width = F.octet_length("top")
+    ends = F.transform(F.sequence(F.lit(1), width + 1), lambda i: F.substring("top", i, width))
+    chains = staged(asked.select(head("gram").alias("top")).distinct().select("top", F.explode(ends).alias("context")), "contexts")
+    uses = chains.groupBy("context").agg(F.count(F.lit(1)).alias("w"))
+    met = attach(chains, staged(nodes.join(uses, "context"), "trie"), ["context"], "w", chains.count())
+    met = met.groupBy("top").agg(F.collect_list(F.struct("context", "next")).alias("nodes"))
+    scores = tops.join(met, "top", "left").select("asked", "nodes").mapInArrow(gram_scores, "gram binary, p double")
+    scores = staged(scores.join(asked, "gram"), "gram-scores")
+    sums = attach(parts, scores, ["gram"], "w", parts.count()).groupBy("word").agg(F.sum(F.col("times") * F.col("p")).alias("score"))
+    return staged(vocabulary.join(sums, "word"), "word-scores")
+
+
+def score_documents(docs: DataFrame, *, order: int = ORDER, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) for every row.
 
     Learns from documents whose crc32(doc_id as text) mod 7 is not 2. Null texts are empty: one token, their end. A null
@@ -145,14 +189,7 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, words: int = WORDS,
     vocabulary = staged(rows.mapInArrow(count_words, "word binary, train long, other long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("other").alias("other")), "words")
     n_train, n_kinds, n_all = vocabulary.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum(F.col("train") + F.col("other"))).first()
     n_train, n_all = n_train or 0, n_all or 0
-    trie = spark.sparkContext.broadcast(build_trie(vocabulary, order, nodes))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(trie.value, order)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([score(w) for w in b.column(0).to_pylist()], pa.float64())], names=["word", "train", "other", "score"])
-
-    scored = staged(vocabulary.mapInArrow(spell, "word binary, train long, other long, score double"), "word-scores")
+    scored = word_scores(vocabulary, order)
     often = (F.col("train") + F.col("other")) * words > F.lit(n_all)
     table = scored.where(often).select("word", "train", "score").toArrow()
     heavy = spark.sparkContext.broadcast((table["word"].to_pylist(), table["train"].to_numpy(), table["score"].to_numpy()))
