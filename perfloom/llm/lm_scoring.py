@@ -1,13 +1,16 @@
 """Code lengths by prediction by partial matching (PPM) over a byte-context trie.
 
-The model spells a document as its lower-cased words, each with an end mark, and a last symbol that ends the document. A
-symbol's contexts are the up to ORDER symbols before it in its word. Escapes follow method C (a context's distinct symbols
-count as escapes), and symbols of a longer context that escaped are excluded in the shorter ones. As contexts stay within
-a word, a word has one code length, wherever it stands; so it is worked out once per distinct word, and documents add up.
-
-What grows with the corpus (words, trie nodes and their counts) stays in tables; every node counts, however rare. Each
-distinct gram of the words meets the nodes of its contexts in a join. Broadcast are only words with a fixed least share of
-all occurrences and nodes that many contexts end in, as a shortcut.
+The model spells a document as its lower-cased words with one space between them, and a last symbol that ends it. A symbol's
+contexts are the up to ORDER symbols before it, across words; ahead of the text stand ORDER start marks. Escapes follow
+method C (a context's distinct symbols count as escapes), and symbols of a longer context that escaped are excluded in the
+shorter ones, exactly: as every symbol of a context also follows its shorter contexts, what is left of a shorter one are
+its counts less those of the symbols that the longer one knows. So no symbol sets are needed, only sums.
+
+A node of the trie is a gram: up to ORDER symbols and the symbol behind them, as a number of one byte each. All grams of the
+corpus, held-out ones included, are counted, however rare; each level of the trie is the level below without the first
+symbol, by grouped sums, and each distinct gram gets its probability by joins between the levels. No group is larger than
+the 256 symbols. Documents then add up their grams: those with a fixed least share of all symbols come from a broadcast
+table, the others from a join.
 """
 
 from __future__ import annotations
@@ -19,68 +22,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, staged
+from .common import staged
 
+#: Grams are numbers of ORDER + 1 bytes, so ORDER is at most 6.
 ORDER = 5
-#: Words with over 1/WORDS of all tokens are broadcast.
-WORDS = 1 << 20
-#: A task passes its counts on when it holds this many.
-FLUSH = 300_000
-#: Symbols that no word holds: the end of a word (and, as context, its start), and the end of a document.
-WORD_END, DOC_END = b" ", b"\n"
-
-Trie = dict[bytes, tuple[int, dict[int, int]]]
-
-
-def grams(word: bytes, order: int) -> list[bytes]:
-    """Each symbol of a word behind its longest context; the empty word stands for the end of a document."""
-    s = WORD_END + (word + WORD_END if word else DOC_END)
-    return [s[max(0, i - order) : i + 1] for i in range(1, len(s))]
-
-
-def log10_of(gram: bytes, trie: Trie) -> float:
-    """log10 of the probability of a gram's last symbol behind the others."""
-    symbol, out, shut = gram[-1], 0.0, ()
-    for start in range(len(gram)):
-        if (node := trie.get(gram[start:-1])) is None:
-            continue
-        lost, counts = node
-        here, kinds = sum(counts.values()), len(counts)
-        if shut:
-            gone = [n for s, n in counts.items() if s in shut]
-            here, kinds = here - sum(gone), kinds - len(gone)
-        escape = kinds + lost
-        if symbol in counts:
-            return out + math.log10(counts[symbol] / (here + escape))
-        if here:
-            out += math.log10(escape / (here + escape))
-        shut = counts
-    return out - math.log10(256 - len(shut))
-
-
-def scorer(trie: Trie, order: int) -> Callable[[bytes], float]:
-    memo: dict[bytes, float] = {}
-
-    def score(word: bytes) -> float:
-        total = 0.0
-        for g in grams(word, order):
-            if (x := memo.get(g)) is None:
-                if len(memo) > FLUSH:
-                    memo.clear()
-                x = memo[g] = log10_of(g, trie)
-            total += x
-        return total
-
-    return score
+#: Words with over 1/WORDS of all tokens are broadcast, and grams with over 1/GRAMS of all symbols: at most so many each.
+WORDS, GRAMS = 1 << 20, 1 << 23
+#: A task passes its counts on when it holds this many; it takes so many bytes of text at a time.
+FLUSH, PIECE = 300_000, 1 << 22
+#: Symbols that no word holds: the marks ahead of a document, and its end.
+START, END = b"\x0b", b"\n"
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def pieces(bodies: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of documents, where each starts, grams) of pieces of bounded size; grams behind START stand for no symbol.
+
+    Documents are spelled one after the other; a piece starts with the document that its first gram is of.
+    """
+    texts, size, first = [], 0, 0
+    for i, body in enumerate(bodies):
+        texts.append(START * order + b" ".join(body.lower().split()) + END)
+        size += len(texts[-1])
+        if size >= PIECE or i == len(bodies) - 1:
+            a = np.frombuffer(b"".join(texts), np.uint8)
+            ends = np.cumsum([len(t) for t in texts])
+            begins = np.concatenate([[0], ends[:-1]])
+            for lo in range(0, len(a), PIECE):
+                hi = min(lo + PIECE, len(a))
+                gram = a[lo:hi].astype(np.int64)
+                for k in range(1, order + 1):
+                    part = a[max(0, lo - k) : hi - k]
+                    gram[hi - lo - len(part) :] |= part.astype(np.int64) << (8 * k)
+                some = slice(int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(begins, hi, "left")))
+                yield np.arange(len(texts))[some] + first, np.maximum(begins[some] - lo, 0), gram
+            texts, size, first = [], 0, i + 1
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     both = Counter(), Counter()
 
@@ -100,84 +84,99 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def count_grams(order: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["gram", "n"])
-        for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for g in grams(word, order):
-                    c[g] += n
-            if len(c) > FLUSH:
-                yield flush()
-                c.clear()
-        yield flush()
-
-    return run
-
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, with the sums of their counts."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], *(np.add.reduceat(c[by], first) if len(keys) else c for c in counts)
 
-def counted_grams(words: DataFrame, order: int) -> DataFrame:
-    """(gram, n): all grams of the training words and the ends of these."""
-    top = words.where("train > 0").select("word", "train").mapInArrow(count_grams(order), "gram binary, n long")
-    top = top.groupBy("gram").agg(F.sum("n").alias("n"))
-    ends = F.transform(F.sequence(F.lit(1), F.octet_length("gram")), lambda i: F.substring("gram", i, F.octet_length("gram")))
-    return staged(top.select(F.explode(ends).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
+def count_grams(order: int) -> Callable:
+    """(doc_id, body) to (gram, n, seen): how often grams are in training documents, and in all."""
 
-def build_trie(words: DataFrame, order: int, nodes: int) -> Trie:
-    """The trie over all training words, on the driver; nodes with up to 1/nodes of all symbols go to their context's escape."""
-    every = counted_grams(words, order)
-    symbols = every.where(F.octet_length("gram") == 1).agg(F.sum("n")).first()[0] or 0
-    size = F.octet_length("gram")
-    keep = F.col("n") * nodes > F.lit(symbols)
-    rows = every.groupBy(F.substring("gram", F.lit(1), size - 1).alias("context")).agg(F.sum("n").alias("n"), F.collect_list(F.when(keep, F.struct(F.substring("gram", size, F.lit(1)).alias("s"), "n"))).alias("next"))
-    trie: Trie = {}
-    for context, n, after in rows.where(F.size("next") > 0).toLocalIterator():
-        counts = {bytes(s)[0]: m for s, m in after}
-        trie[bytes(context)] = (n - sum(counts.values()), counts)
-    return trie
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
 
+        def batch(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names=["gram", "n", "seen"])
 
-def spelled(order: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, g, n) for w in b.column(0).to_pylist() for g, n in Counter(grams(w, order)).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["word", "gram", "times"])
+            ids, bodies = b.column(0).to_pylist(), b.column(1)
+            for train in (True, False):
+                some = [t.as_py() for i, t in zip(ids, bodies, strict=True) if held_out(i) != train]
+                for _, _, gram in pieces(some, order):
+                    keys, n = np.unique(gram[gram & 255 != START[0]], return_counts=True)
+                    held.append((keys, n * train, n))
+                    if sum(len(x[0]) for x in held) > 8 * FLUSH:
+                        held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                        if len(held[0][0]) > 4 * FLUSH:
+                            yield batch(held.pop())
+        yield batch(summed(*map(np.concatenate, zip(*held, strict=True))) if held else (none, none, none))
 
     return run
 
 
-def gram_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, p) from grams of one context and the nodes of its ends."""
-    for b in batches:
-        out = []
-        for asked, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            trie = {x["context"]: (0, {y["s"][0]: y["n"] for y in x["next"]}) for x in nodes or []}
-            out += [(g, log10_of(g, trie)) for g in asked]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.float64())], names=["gram", "p"])
-
-
-def word_scores(vocabulary: DataFrame, order: int) -> DataFrame:
-    """The vocabulary with column score: log10 of each word's probability, from the whole trie."""
-    head, size = lambda c: F.substring(c, F.lit(1), F.octet_length(c) - 1), F.octet_length("gram")
-    every = counted_grams(vocabulary, order)
-    nodes = every.groupBy(head("gram").alias("context")).agg(F.collect_list(F.struct(F.substring("gram", size, F.lit(1)).alias("s"), "n")).alias("next"))
-    parts = staged(vocabulary.select("word").mapInArrow(spelled(order), "word binary, gram binary, times long"), "word-grams")
-    asked = staged(parts.groupBy("gram").agg(F.count(F.lit(1)).alias("w")), "asked-grams")
-    tops = asked.groupBy(head("gram").alias("top")).agg(F.collect_list("gram").alias("asked"))
-    width = F.octet_length("top")
-    ends = F.transform(F.sequence(F.lit(1), width + 1), lambda i: F.substring("top", i, width))
-    chains = staged(asked.select(head("gram").alias("top")).distinct().select("top", F.explode(ends).alias("context")), "contexts")
-    uses = chains.groupBy("context").agg(F.count(F.lit(1)).alias("w"))
-    met = attach(chains, staged(nodes.join(uses, "context"), "trie"), ["context"], "w", chains.count())
-    met = met.groupBy("top").agg(F.collect_list(F.struct("context", "next")).alias("nodes"))
-    scores = tops.join(met, "top", "left").select("asked", "nodes").mapInArrow(gram_scores, "gram binary, p double")
-    scores = staged(scores.join(asked, "gram"), "gram-scores")
-    sums = attach(parts, scores, ["gram"], "w", parts.count()).groupBy("word").agg(F.sum(F.col("times") * F.col("p")).alias("score"))
-    return staged(vocabulary.join(sums, "word"), "word-scores")
-
-
-def score_documents(docs: DataFrame, *, order: int = ORDER, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def gram_scores(counted: DataFrame, order: int) -> DataFrame:
+    """counted (gram of order + 1 symbols, n, seen; distinct) with score: log10 of the last symbol's probability behind the others.
+
+    From the shortest contexts up: rest is what a gram adds once its context has escaped, with that context's symbols excluded.
+    """
+    levels = {order: counted.select("gram", "n")}
+    for k in range(order - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        levels[k] = staged(levels[k + 1].groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n")), f"grams-{k}")
+    total, kinds = levels[0].agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    below = levels[0].select(F.col("gram").alias("low"), F.col("n").alias("low_n"), F.lit(total or 0).alias("low_total"), F.lit(kinds or 0).alias("low_kinds"), F.lit(-math.log10(max(1, 256 - (kinds or 0)))).alias("low_rest"))
+    share = lambda a, b: F.log10(a / b.cast("double"))
+    for k in range(1, order + 1):
+        rows = levels[k].withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(below, "low")
+        node = Window.partitionBy(F.shiftright("gram", 8))
+        rows = rows.withColumns({"total": F.sum("n").over(node), "kinds": F.count_if(F.col("n") > 0).over(node), "shut": F.sum(F.when(F.col("n") > 0, F.col("low_n")).otherwise(0)).over(node)})
+        left, ways = F.col("low_total") - F.col("shut"), F.col("low_kinds") - F.col("kinds")
+        rest = F.when(F.col("low_n") > 0, share(F.col("low_n"), left + ways)).otherwise(F.when(left > 0, share(ways, left + ways)).otherwise(0.0) + F.col("low_rest"))
+        below = rows.select(F.col("gram").alias("low"), F.col("n").alias("low_n"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"), F.when(F.col("n") == 0, rest).alias("low_rest"))
+    whole = F.col("low_total") + F.col("low_kinds")
+    score = F.when(F.col("low_n") > 0, share(F.col("low_n"), whole)).otherwise(F.when(F.col("low_total") > 0, share(F.col("low_kinds"), whole)).otherwise(0.0) + F.col("low_rest"))
+    return below.select(F.col("low").alias("gram"), score.alias("score"))
+
+
+class Table:
+    """Whole numbers by whole numbers: open addressing, all at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, 0)  # slot -1 finds a key that is compared, but never right where the slot is empty
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        at, left = self.place(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            free = left[self.slot[at[left]] < 0]
+            self.slot[at[free]] = free
+            left = left[self.slot[at[left]] != left]
+            at[left] = at[left] + 1 & len(self.slot) - 1
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, or -1."""
+        at = self.place(keys)
+        out = self.slot[at]
+        left = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
+        at = at[left]
+        while len(left):
+            at = at + 1 & len(self.slot) - 1
+            out[left] = self.slot[at]
+            more = (self.keys[out[left]] != keys[left]) & (out[left] >= 0)
+            left, at = left[more], at[more]
+        return out
+
+
+SUMS = "doc_id long, held_out boolean, n_tokens long, _known long, _base double, _score double, _rare array<binary>, _grams array<long>, _row long"
+
+
+def score_documents(docs: DataFrame, *, order: int = ORDER, words: int = WORDS, grams: int = GRAMS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) for every row.
 
     Learns from documents whose crc32(doc_id as text) mod 7 is not 2. Null texts are empty: one token, their end. A null
@@ -189,32 +188,52 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, words: int = WORDS,
     vocabulary = staged(rows.mapInArrow(count_words, "word binary, train long, other long").groupBy("word").agg(F.sum("train").alias("train"), F.sum("other").alias("other")), "words")
     n_train, n_kinds, n_all = vocabulary.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum(F.col("train") + F.col("other"))).first()
     n_train, n_all = n_train or 0, n_all or 0
-    scored = word_scores(vocabulary, order)
-    often = (F.col("train") + F.col("other")) * words > F.lit(n_all)
-    table = scored.where(often).select("word", "train", "score").toArrow()
-    heavy = spark.sparkContext.broadcast((table["word"].to_pylist(), table["train"].to_numpy(), table["score"].to_numpy()))
     scale = math.log10(n_train + n_kinds + 1)
+    often = (F.col("train") + F.col("other")) * words > F.lit(n_all)
+    table = vocabulary.where(often).select("word", "train").toArrow()
+    heavy = spark.sparkContext.broadcast((table["word"].to_pylist(), table["train"].to_numpy()))
+
+    counted = staged(rows.mapInArrow(count_grams(order), "gram long, n long, seen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")), f"grams-{order}")
+    n_symbols = counted.agg(F.sum("seen")).first()[0] or 0
+    spelled = staged(gram_scores(counted, order).join(counted.select("gram", "seen"), "gram"), "gram-scores")
+    many = F.col("seen") * grams > F.lit(n_symbols)
+    table = spelled.where(many).select("gram", "score").toArrow()
+    heavy_grams = spark.sparkContext.broadcast((table["gram"].to_numpy(), table["score"].to_numpy()))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts, scores = heavy.value
+        names, counts = heavy.value
         index = {w: i for i, w in enumerate(names)}
-        # Slot -1 is for words that aren't in the table; those add nothing here.
-        known, base, model = (np.append(x, 0).astype(float) for x in (counts > 0, np.log10(counts + 1.0) - scale, scores))
+        # Slot -1 is for words and grams that aren't in the tables; those add nothing here.
+        known, base = np.append(counts > 0, 0).astype(float), np.append(np.log10(counts + 1.0) - scale, 0)
+        find, model = Table(heavy_grams.value[0]).find, np.append(heavy_grams.value[1], 0)
         for b in batches:
+            bodies = [t.as_py() for t in b.column(1)]
+            scores, left = np.zeros(len(bodies)), [[] for _ in bodies]
+            for own, begin, gram in pieces(bodies, order):
+                at = find(gram)
+                symbol = gram & 255 != START[0]
+                scores[own] += np.add.reduceat(np.where(symbol, model[at], 0.0), begin)
+                lost = np.flatnonzero((at < 0) & symbol)
+                cut = np.searchsorted(lost, [*begin, len(gram)])
+                for i, lo, hi in zip(own.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    if hi > lo:
+                        left[i].append(gram[lost[lo:hi]])
             out: list[tuple] = []
-            for doc_id, body, row in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                tokens = body.as_py().lower().split()
+            for doc_id, body, row, score, rest in zip(b.column(0).to_pylist(), bodies, b.column(2).to_pylist(), scores.tolist(), left, strict=True):
+                tokens = body.lower().split()
                 tokens.append(b"")
                 at = np.array([index.get(t, -1) for t in tokens])
                 rare = [tokens[i] for i in np.flatnonzero(at < 0)]
-                out.append((doc_id, held_out(doc_id), len(tokens), int(known[at].sum()), float(base[at].sum()), float(model[at].sum()), rare, row))
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.int64()), strict=True)], names=["doc_id", "held_out", "n_tokens", "_known", "_base", "_score", "_rare", "_row"])
-
-    sums = staged(rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, _known long, _base double, _score double, _rare array<binary>, _row long"), "lm-sums")
-    # Each word here has at most 1/words of all tokens, so none makes a large group.
-    rest = sums.select("_row", F.explode("_rare").alias("word")).join(scored.where(~often), "word")
-    rest = rest.groupBy("_row").agg(F.count_if(F.col("train") > 0).alias("_k"), F.sum(F.log10(F.col("train") + 1.0) - scale).alias("_b"), F.sum("score").alias("_s"))
-    out = sums.drop("_rare").join(rest, "_row", "left")
+                out.append((doc_id, held_out(doc_id), len(tokens), int(known[at].sum()), float(base[at].sum()), score, rare, np.concatenate(rest) if rest else [], row))
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "_known", "_base", "_score", "_rare", "_grams", "_row"])
+
+    sums = staged(rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(add_up, SUMS), "lm-sums")
+    # Each word and gram here has at most a fixed small share of all, so none makes a large group.
+    rest = sums.select("_row", F.explode("_rare").alias("word")).join(vocabulary.where(~often), "word")
+    rest = rest.groupBy("_row").agg(F.count_if(F.col("train") > 0).alias("_k"), F.sum(F.log10(F.col("train") + 1.0) - scale).alias("_b"))
+    more = sums.select("_row", F.explode("_grams").alias("gram")).join(spelled.where(~many).select("gram", "score"), "gram").groupBy("_row").agg(F.sum("score").alias("_s"))
+    out = sums.drop("_rare", "_grams").join(rest, "_row", "left").join(more, "_row", "left")
     plus = lambda a, b, zero: F.col(a) + F.coalesce(F.col(b), F.lit(zero))
     return out.select("doc_id", "held_out", "n_tokens", plus("_known", "_k", 0).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), plus("_base", "_b", 0.0).alias("base_score"), plus("_score", "_s", 0.0).alias("score"))

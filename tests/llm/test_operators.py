@@ -140,40 +140,6 @@ def test_lm_base_and_score(spark):
     assert lm_scoring.score_documents(empty(spark)).count() == 0
 
 
-def brute_log10(gram, counts):
-    """PPM by method C straight from counts of all suffixes."""
-    out, shut = 0.0, set()
-    for k in range(len(gram)):
-        here = {g[-1]: n for g, n in counts.items() if g[:-1] == gram[k:-1]}
-        if not here:
-            continue
-        left = {s: n for s, n in here.items() if s not in shut}
-        total = sum(left.values()) + len(left)
-        if gram[-1] in left:
-            return out + math.log10(left[gram[-1]] / total)
-        if left:
-            out += math.log10(len(left) / total)
-        shut |= set(here)
-    return out - math.log10(256 - len(shut))
-
-
-def test_ppm_probabilities(spark):
-    vocabulary = {b"the": 5, b"then": 2, b"a": 3, b"": 4, b"hat": 1}
-    counts = collections.Counter()
-    for w, n in vocabulary.items():
-        for g in lm_scoring.grams(w, 3):
-            for k in range(len(g)):
-                counts[g[k:]] += n
-    df = spark.createDataFrame([(bytearray(w), n) for w, n in vocabulary.items()], "word binary, train long")
-    trie = lm_scoring.build_trie(df, 3, 1 << 18)
-    score = lm_scoring.scorer(trie, 3)
-    for w in (b"the", b"that", b"", b"zebra", b"hen"):
-        assert math.isclose(score(w), sum(brute_log10(g, counts) for g in lm_scoring.grams(w, 3)))
-    assert math.isclose(sum(10 ** lm_scoring.log10_of(b"th" + bytes([s]), trie) for s in range(256)), 1.0)
-    pruned = lm_scoring.build_trie(df, 3, 10)
-    assert math.isclose(sum(10 ** lm_scoring.log10_of(b"th" + bytes([s]), pruned) for s in range(256)), 1.0)
-
-
 # benchmark decontamination
 
 
