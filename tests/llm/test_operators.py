@@ -308,9 +308,10 @@ def repeats(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect()}
 
 
-@pytest.mark.parametrize("crowd", [64, 3])
-def test_suffix_dedup(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+@pytest.mark.parametrize(("group", "held"), [(2000, 200_000), (3, 200_000), (3, 7)])
+def test_suffix_dedup(spark, monkeypatch, group, held):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
     monkeypatch.setattr(suffix_dedup, "PART", 500)
     rng = random.Random(9)
     parts = [words(rng, 40) for _ in range(4)]
@@ -327,16 +328,16 @@ def test_suffix_dedup_nasty(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("tiny", [0, 8, 500])
-def test_deep_shallow_sort(monkeypatch, tiny):
-    monkeypatch.setattr(suffix_dedup, "TINY", tiny)
+def test_deep_shallow_sort():
     rng = random.Random(10)
-    for end, shallow in ((12, 3), (30, 16), (5, 9)):
-        t = bytes(rng.choice(b"ab") for _ in range(200))
-        items = rng.sample(range(160), 90)
-        groups = list(suffix_dedup.sorted_groups(list(items), t, end, shallow))
-        assert [t[g[0] : g[0] + end] for g in groups] == sorted({t[i : i + end] for i in items})
-        assert sorted(sum(groups, [])) == sorted(items)
+    for shallow in (8, 16, 40):
+        arms = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(60))) for _ in range(80)]
+        arms += [arms[0] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(60)] + arms[:30]
+        groups, lcp = suffix_dedup.deep_shallow_sort(arms, shallow)
+        assert [arms[g[0]] for g in groups] == sorted(set(arms))
+        assert all({arms[i] for i in g} == {arms[g[0]]} for g in groups) and sorted(sum(groups, [])) == list(range(len(arms)))
+        order = sorted(set(arms))
+        assert lcp == [-1, *(len(os.path.commonprefix([a, b])) for a, b in zip(order, order[1:], strict=False))]
 
 
 # quality rules
@@ -366,3 +367,16 @@ def test_quality_rules_reject_depleted(spark):
     loose = {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(d, min_docs=200).collect()}
     assert set(loose.values()) == {0}
     assert F is not None
+
+
+def test_anchors_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(13)
+    bodies = [words(rng, n).encode() for n in (300, 3, 40, 2000, 1)] + [b"a" * 950]
+
+    def starts(find):
+        return {(int(i), s): (int(x), int(d + lo - s)) for p in find for i, x, lo, hi, d in zip(*p, strict=True) for s in range(int(lo), int(hi) + 1)}
+
+    whole = starts(suffix_dedup.Anchors().find(bodies))
+    assert len(whole) == sum(max(0, len(b) - 99) for b in bodies)
+    monkeypatch.setattr(suffix_dedup, "PART", 200)
+    assert starts(suffix_dedup.Anchors().find(bodies)) == whole
