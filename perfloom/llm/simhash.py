@@ -1,7 +1,7 @@
 """Near-duplicates by SimHash and the generalised pigeonhole principle.
 
 Fingerprints that differ in at most tau bits agree, for partitions of the bits with thresholds t_i (-1: not used) that add
-up to tau - m + 1, in at least one partition within its threshold. Correlated bits share a partition; sizes and
+up to tau - m + 1, in at least one partition within its threshold. Correlated bits share a partition; cuts and
 thresholds come from dynamic programming over estimated costs, the estimate from a bounded sample of fingerprints.
 Every distinct fingerprint is probed by all values within t_i of its part. Fingerprints that meet are verified.
 
@@ -13,6 +13,7 @@ least of them loses nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, components, staged
+from .similar_texts import similar_texts
 
-TAU, BITS, BUCKET = 2, 64, 32
+TAU, BITS, BUCKET, STEP = 2, 64, 32, 4
 #: Fingerprints that the partitions are fitted on.
 SAMPLE = 20_000
 
@@ -68,35 +70,35 @@ def correlated_order(bits: np.ndarray) -> list[int]:
 
 
 def values_within(width: int, t: int) -> int:
-    return [1, 1 + width, 1 + width + width * (width - 1) // 2][t]
+    return sum(math.comb(width, k) for k in range(t + 1))
 
 
 def plan_partitions(sample: np.ndarray, total: int) -> list[tuple[list[int], int]]:
     """Partitions (bits, threshold) of least estimated cost: values probed, plus pairs that meet, for total fingerprints.
 
-    For each number of partitions from 1 to 3 the bits are cut evenly in correlated order; thresholds t_i >= 0 that add up
-    to TAU - m + 1 are chosen by dynamic programming.
+    Partitions are runs of bits in correlated order, cut at multiples of STEP. With thresholds t_i from -1 (not used, free) to
+    TAU, the principle asks that all t_i + 1 add up to TAU + 1; how many partitions there are is open. Dynamic programming
+    over the end of the last partition and the sum so far finds the cuts and the thresholds together.
     """
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(float)
     order = correlated_order(bits) if len(sample) > 2 else list(range(BITS))
     n = max(len(sample), 2)
-    best: tuple[float, list] = (np.inf, [])
-    for m in (1, 2, 3):
-        groups = [order[i * BITS // m : (i + 1) * BITS // m] for i in range(m)]
-        cost = []
-        for g in groups:
-            value = sample & np.uint64(sum(1 << b for b in g))
-            same = np.unique(value, return_counts=True)[1].astype(float)
+    best: dict[tuple[int, int], tuple[float, list]] = {(0, 0): (0.0, [])}
+    for end in range(STEP, BITS + 1, STEP):
+        for begin in range(0, end, STEP):
+            group = order[begin:end]
+            same = np.unique(sample & np.uint64(sum(1 << b for b in group)), return_counts=True)[1].astype(float)
             pairs = float((same * (same - 1) / 2).sum()) / (n * (n - 1) / 2) * total * (total - 1) / 2
-            # Pairs within t bits are estimated from those that agree, times the values that are probed.
-            cost.append([total * values_within(len(g), t) + pairs * values_within(len(g), t) for t in range(TAU + 1)])
-        budget = TAU - m + 1
-        table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for c in cost:
-            table = {s: min(((v + c[t], ts + [t]) for s0, (v, ts) in table.items() for t in range(TAU + 1) if s0 + t == s), key=lambda x: x[0]) for s in range(budget + 1) if any(0 <= s - s0 <= TAU for s0 in table)}
-        if table[budget][0] < best[0]:
-            best = (table[budget][0], list(zip(groups, table[budget][1], strict=True)))
-    return best[1]
+            for t in range(-1, TAU + 1):
+                # Pairs within t bits are estimated from those that agree, times the values that are probed.
+                cost = (total + pairs) * values_within(len(group), t)
+                for used in range(TAU + 1 - t):
+                    if (begin, used) in best:
+                        value, way = best[begin, used]
+                        at = (end, used + t + 1)
+                        if value + cost < best.get(at, (np.inf, []))[0]:
+                            best[at] = (value + cost, [*way, (group, t)])
+    return [(group, t) for group, t in best[BITS, TAU + 1][1] if t >= 0]
 
 
 def probe_masks(parts: list[tuple[list[int], int]]) -> list[tuple[int, int, list[int]]]:
@@ -145,6 +147,15 @@ def links(codes: DataFrame, total: int) -> DataFrame:
     return met.union(star)
 
 
+def similar_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """near_duplicates for texts instead of fingerprints: links are five-word Jaccard similarities of 0.8 or more.
+
+    Close fingerprints (of five-word shingles) are verified first; as most such texts differ in more bits than can be probed,
+    an exact join adds all other links. doc_id, _th, component_id and stays as similar_texts gives them.
+    """
+    return similar_texts(docs, fingerprint, links, text=text, key=key)
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and stays for every row; _th is the text's hash.
 

@@ -1,11 +1,15 @@
 """Near-duplicate texts: all pairs of word-shingle sets with at least a given Jaccard similarity, joined to components.
 
-Candidates come from prefix filtering: in any one order of all shingles, two sets that are similar enough share one of the
-first ones of each, so no pair is lost. The order puts shingles that a bounded sample of documents holds often at the end;
-the result doesn't depend on it. Candidates are verified by the similarity itself.
-
-Buckets (classes that share a prefix shingle) of up to BUCKET give their pairs. In a larger one each class meets the least
-of the bucket first; what is linked then counts as one, and only classes that are still apart are compared pair by pair.
+Links come from SimHash first: fingerprints within the radius of the generalised pigeonhole probing, verified. Texts of such
+similarity can differ in many more bits than any radius that can be probed, so an exact join finds the rest, by prefix
+filtering: in any one order of all shingles, two sets that are similar enough share one of the first ones of each. The order
+puts shingles that a bounded sample of documents holds often at the end; the result doesn't depend on it. Pairs are told
+apart cheaply by size and by parity sketches (a bit of such a sketch is the parity of the shingles that hash to it, so two
+sets differ in at least as many shingles as their sketches in bits), and verified by the similarity itself.
+
+In a bucket (classes that share a prefix shingle) each class meets the least one first; what is linked then counts as one.
+Buckets that still hold several components are compared in blocks of at most BLOCK classes, and only pairs of different
+components that pass the sketches become rows.
 """
 
 from __future__ import annotations
@@ -15,14 +19,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, components, keyed, staged
 
-WORDS, SIMILARITY, BUCKET = 5, 0.8, 16
+WORDS, SIMILARITY, BLOCK = 5, 0.8, 4096
 #: Documents that the order of shingles comes from, and the shingles that it puts last: bounds of a broadcast, not of the result.
 SAMPLE, OFTEN = 5_000, 100_000
+SKETCH = ["b0", "b1", "b2", "b3"]
+#: Of two sets that are similar enough, this share of their sizes' sum differs at most.
+DIFFER = (1 - SIMILARITY) / (1 + SIMILARITY)
 
 
 def shingles(body: bytes, n: int = WORDS) -> np.ndarray:
@@ -52,15 +59,26 @@ def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
     return h[by], n[by]
 
 
-def scan(often) -> Callable:
+def sketch(own: np.ndarray) -> np.ndarray:
+    """256 parity bits as four signed numbers."""
+    return np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+PRINTS = "_id long, _th long, cls long, size int, prefix array<long>, fp long, b0 long, b1 long, b2 long, b3 long"
+
+
+def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, uses = often.value
         for b in batches:
-            cls, size, first = [], [], []
+            cls, size, first, code, bits = [], [], [], [], []
             for t in b.column(2):
-                own = shingles(t.as_py())
+                body = t.as_py()
+                own = shingles(body)
                 cls.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 size.append(len(own))
+                code.append(fingerprint(body, WORDS))
+                bits.append(sketch(own))
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -68,7 +86,9 @@ def scan(often) -> Callable:
                 # Of sets of this size two share an element here: similar ones share at least SIMILARITY of the size.
                 n = len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-9)) + 1 if len(own) else 0
                 first.append(own[np.lexsort((own, weight))[:n]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(cls, np.uint64).view(np.int64), pa.int64()), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["_id", "_th", "cls", "size", "prefix"])
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+            table = np.array(bits, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(cls), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), signed(code), *(pa.array(table[:, i]) for i in range(4))], names=["_id", "_th", "cls", "size", "prefix", "fp", *SKETCH])
 
     return run
 
@@ -81,9 +101,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(texts.select("cls", "_text").mapInArrow(as_sets, "cls long, own array<long>").dropDuplicates(["cls"]), "shingle-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
-    n = pairs.count()
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough; pairs are staged."""
+    sets, n = sets_of(docs, classes, pairs), pairs.count()
     uses = pairs.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
     held = staged(uses.join(sets, "cls").select(F.col("cls").alias("b"), "w", F.col("own").alias("of_b")), "pair-sets")
     both = attach(pairs, held, ["b"], "w", n)
@@ -92,65 +112,101 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(both.where(shared >= F.lit(SIMILARITY) * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).select("a", "b"), "similar-pairs")
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def seeds(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Pairs (a, b) that SimHash finds: classes of one fingerprint with the least of them, and least ones of fingerprints that are close."""
+    tops = staged(classes.groupBy("fp").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("w")), "fingerprint-tops")
+    n_codes, n = tops.agg(F.count(F.lit(1)), F.sum("w")).first()
+    same = attach(classes.select("fp", F.col("cls").alias("a")), tops.where("w > 1"), ["fp"], "w", n or 0).where("a <> b").select("a", "b")
+    near = close(tops.select("fp"), n_codes)
+    top = tops.select("fp", "b")
+    near = near.join(top.toDF("a", "x"), "a").join(top.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return verified(staged(same.union(near), "fingerprint-pairs"), docs, classes)
+
+
+def near_enough(size: Column, bits: list, size2: Column, bits2: list) -> Column:
+    """False only for pairs that can't be similar enough."""
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits, bits2, strict=True)), F.lit(0))
+    return (F.least(size, size2) >= F.lit(SIMILARITY) * F.greatest(size, size2) - 1e-9) & (apart <= F.lit(DIFFER) * (size + size2) + 1e-9)
+
+
+def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows h, i, j, block, cls, root, size, sketch: pairs of different roots that can be similar enough, within a bucket's blocks i and j."""
+    held: list[np.ndarray] = []
+    key = None
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held)
+        _, i, j = key
+        one, two = (x, x) if i == j else (x[x[:, 3] == i], x[x[:, 3] == j])
+        bits = two[:, 7:].view(np.uint64)
+        for k in range(0, len(one), 64):
+            part = one[k : k + 64]
+            apart = np.bitwise_count(part[:, 7:].view(np.uint64)[:, None] ^ bits[None]).sum(2, dtype=np.int32)
+            a, b = part[:, 6][:, None], two[:, 6][None]
+            ok = (part[:, 5][:, None] != two[:, 5][None]) & (apart <= DIFFER * (a + b) + 1e-9) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9)
+            if i == j:
+                ok &= part[:, 4][:, None] > two[:, 4][None]
+            p, q = np.nonzero(ok)
+            if len(p):
+                a, b = part[p, 4], two[q, 4]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    for b in batches:
+        x = np.stack([c.to_numpy() for c in b.columns], 1) if b.num_rows else np.zeros((0, 11), np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], (x[1:, :3] != x[:-1, :3]).any(1), [True]])).tolist() if len(x) else []
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            new = tuple(x[lo, :3].tolist())
+            if new != key and held:
+                yield from pairs()
+                held = []
+            key = new
+            held.append(x[lo:hi])
+    if held:
+        yield from pairs()
+
+
+def links(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Edges (a, b) that join all classes similar to each other, directly or by others."""
-    rows = classes.select("cls", "size", F.explode("prefix").alias("h"))
-    buckets = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min("cls").alias("least")).where("w > 1"), "shingle-buckets")
+    sure = seeds(docs, classes, close)
+    rows = classes.select("cls", "size", *SKETCH, F.explode("prefix").alias("h"))
+    one = F.struct("cls", "size", *SKETCH)
+    buckets = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min(one).alias("least")).where("w > 1"), "shingle-buckets")
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     met = staged(attach(rows, buckets, ["h"], "w", total), "bucket-members")
-    near = lambda a, b: F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b) - 1e-9
-
-    small = met.where(F.col("w") <= BUCKET)
-    two = small.alias("x").join(small.alias("y"), "h").where(near(F.col("x.size"), F.col("y.size")) & (F.col("x.cls") > F.col("y.cls")))
-    two = two.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    large = met.where(F.col("w") > BUCKET)
-    stars = staged(large.where("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct(), "stars")
-    two = staged(two, "small-pairs")
-    # First the least of each class's pivots; most of a large group is one component after that.
-    one = staged(stars.groupBy("a").agg(F.min("b").alias("b")), "first-pivots")
-    sure = verified(one, sets_of(docs, classes, one))
-
-    def apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-        """The pairs whose ends are not yet in one component."""
-        ends = pairs.join(root.toDF("a", "_ra"), "a", "left")
-        hot = staged(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("w")).join(root.toDF("b", "_rb"), "b", "left"), "pivot-roots")
-        ends = attach(staged(ends, "pair-roots"), hot, ["b"], "w", pairs.count())
-        return staged(ends.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b"), "pairs-apart")
-
-    more = apart(two.union(stars.join(one, ["a", "b"], "left_anti")), components(sure))
-    sure = sure.union(verified(more, sets_of(docs, classes, more)))
-    # What is left of large buckets: classes of different components, compared block by block.
-    root = components(sure)
-    tagged = staged(large.join(root.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "large-members")
+    near = near_enough(F.col("size"), [F.col(c) for c in SKETCH], F.col("least.size"), [F.col(f"least.{c}") for c in SKETCH])
+    stars = met.where((F.col("cls") != F.col("least.cls")) & near).select(F.col("cls").alias("a"), F.col("least.cls").alias("b")).distinct()
+    sure = sure.union(verified(staged(stars.join(sure, ["a", "b"], "left_anti"), "stars"), docs, classes))
+    # What is left: buckets with several components. In one of two classes the only pair has been looked at.
+    many = met.where("w > 2").select("h", "w", "cls", "size", *SKETCH)
+    tagged = staged(many.join(components(sure).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "tagged-members")
     split = tagged.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "n")
-    split = staged(split, "split-buckets")
-    if split.isEmpty():
-        return sure
-    tagged = staged(attach(tagged, split, ["h"], "n", total), "split-members")
-    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
-    left = tagged.withColumn("block", F.pmod(F.hash("cls"), blocks))
-    right = tagged.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = left.alias("x").join(right.alias("y"), ["h", "block"]).where((F.col("x.root") != F.col("y.root")) & (F.col("x.cls") > F.col("y.cls")) & near(F.col("x.size"), F.col("y.size")))
-    rest = staged(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(more, ["a", "b"], "left_anti"), "rest-pairs")
-    return sure.union(verified(rest, sets_of(docs, classes, rest)))
-
-
-def similar_texts(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    blocks = F.ceil(F.col("w") / BLOCK).cast("int")
+    own = F.pmod(F.hash("cls"), blocks).cast("long")
+    parts = attach(tagged, staged(split, "split-buckets"), ["h"], "n", total).withColumn("block", own)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
+    parts = parts.select("h", "block", other.alias("other"), "cls", "root", F.col("size").cast("long").alias("size"), *SKETCH)
+    parts = parts.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "size", *SKETCH)
+    found = parts.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(cross_pairs, "a long, b long").distinct()
+    return sure.union(verified(staged(found.join(stars, ["a", "b"], "left_anti"), "cross-pairs"), docs, classes))
+
+
+def similar_texts(docs: DataFrame, fingerprint: Callable[[bytes, int], int], close: Callable[[DataFrame, int], DataFrame], *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, _th (the text's hash), component_id and stays for every row.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles (A-Z lower-cased) is at least 0.8; texts
     without words are all alike. component_id is the least doc_id that can be reached over links; stays: the row is its
-    component's first by doc_id and _th (rows that agree in both all are). Other columns are not read.
+    component's first by doc_id and _th (rows that agree in both all are). Other columns are not read. fingerprint (of a
+    text and a shingle length) and close (pairs of close fingerprints) are what SimHash brings.
     """
     rows = keyed(docs, text, key)
     often = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, docs.count()))
-    prints = staged(rows.mapInArrow(scan(often), "_id long, _th long, cls long, size int, prefix array<long>"), "shingle-prefixes")
+    prints = staged(rows.mapInArrow(scan(often, fingerprint), PRINTS), "shingle-prefixes")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")
-    classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "text-classes")
+    classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", *SKETCH))), "text-classes")
     n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
-    where = classes.select("cls", "first", "uses").join(components(links(rows, classes)).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    where = classes.select("cls", "first", "uses").join(components(links(rows, classes, close)).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     where = staged(where, "text-roots")
     tops = where.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n"))
     named = staged(attach(where, tops, ["root"], "n", n_classes).select("cls", "uses", "top"), "text-names")
-    out = attach(prints.drop("prefix"), named, ["cls"], "uses", n_rows or 0)
+    out = attach(prints.select("_id", "_th", "cls"), named, ["cls"], "uses", n_rows or 0)
     return out.select(F.col("_id").alias("doc_id"), "_th", F.col("top._id").alias("component_id"), (place == F.col("top")).alias("stays"))

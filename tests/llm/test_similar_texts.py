@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from perfloom.llm import similar_texts
+from perfloom.llm.simhash import similar_duplicates
 from perfloom.llm.similar_texts import shingles
 
 from .cases import empty, nasty, nasty_rows, words
@@ -32,9 +33,9 @@ def first_of(docs):
     return {docs[i][0]: docs[t][0] for i, t in enumerate(top)}
 
 
-@pytest.mark.parametrize("bucket", [16, 2])
-def test_similar_texts(spark, monkeypatch, bucket):
-    monkeypatch.setattr(similar_texts, "BUCKET", bucket)
+@pytest.mark.parametrize("block", [4096, 5])
+def test_similar_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(similar_texts, "BLOCK", block)
     rng = random.Random(21)
     docs = []
     for k in range(4):
@@ -46,14 +47,14 @@ def test_similar_texts(spark, monkeypatch, bucket):
     docs += [menu + " " + words(rng, 30) for _ in range(20)]  # a common passage, yet not similar
     docs += [docs[0], docs[1].upper(), "", None, "one two", "one  two\n"]
     docs = list(enumerate(docs))
-    got = similar_texts.similar_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = similar_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == first_of(docs)
     assert all(r.stays == (r.doc_id == r.component_id) for r in got)
 
 
 def test_similar_texts_nasty(spark):
-    assert similar_texts.similar_texts(nasty(spark)).count() == len(nasty_rows())
-    assert similar_texts.similar_texts(empty(spark)).count() == 0
+    assert similar_duplicates(nasty(spark)).count() == len(nasty_rows())
+    assert similar_duplicates(empty(spark)).count() == 0
 
 
 def test_stage_drops_copies_beyond_two_bits(spark, tmp_path):
