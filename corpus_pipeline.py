@@ -10,7 +10,7 @@ from perfloom.llm.decontamination import contaminated
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.packing import pack_documents
 from perfloom.llm.quality_classifier import classify
-from perfloom.llm.similar_texts import similar_texts
+from perfloom.llm.simhash import similar_duplicates
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word Jaccard similarity of 0.8 or more, found without loss.
 
-    Fingerprints don't choose the candidates here: such texts differ in up to 11 bits and more.
+    SimHash links what it can reach, verified; such texts differ in up to 11 bits and more, so an exact join adds the rest.
     """
-    return without(docs, similar_texts(docs).where("not stays"), once=True)
+    return without(docs, similar_duplicates(docs).where("not stays"), once=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
