@@ -40,9 +40,9 @@ BUCKET = 8
 #: Bits of the anchor bitmap: 16 MB, whatever the input.
 BITMAP = 1 << 27
 #: A document is scanned in parts of this many positions, and parts are taken together up to this many: for bounded memory.
-PART = 1 << 20
+PART = 1 << 18
 #: A map task compares its contexts when it holds this many.
-HELD = 200_000
+HELD = 120_000
 #: Where documents without an id stand in the order.
 NULL_ID = -(1 << 63)
 DISTANCES = SPAN - GRAM + 1
@@ -357,7 +357,7 @@ def local(bitmap: np.ndarray) -> Callable:
                     else:
                         g, doc, th, at, left, context = rows[0]
                         compare.out.append((g, doc, th, at, at + len(context) - SPAN, left, context))
-                if len(compare.out) + len(compare.rows) > 20_000:
+                if len(compare.out) + len(compare.rows) > 10_000:
                     yield compare.flush()
             yield compare.flush()
             held = []
@@ -412,7 +412,7 @@ def compare_groups(deal: bool) -> Callable:
             (g, salt), rows = x
             if len(rows) > 1 or salt >= 0:
                 compare.add(g, rows, salt >= 0)
-            if len(compare.out) + len(compare.rows) > 20_000:
+            if len(compare.out) + len(compare.rows) > 10_000:
                 yield compare.flush()
         yield compare.flush()
 

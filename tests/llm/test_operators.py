@@ -308,7 +308,7 @@ def repeats(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(df).collect()}
 
 
-@pytest.mark.parametrize(("group", "held"), [(2000, 200_000), (3, 200_000), (3, 7)])
+@pytest.mark.parametrize(("group", "held"), [(2000, 120_000), (3, 120_000), (3, 7)])
 def test_suffix_dedup(spark, monkeypatch, group, held):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "HELD", held)
