@@ -27,7 +27,8 @@ from .common import attach, components, keyed, staged
 WORDS, SIMILARITY, BLOCK = 5, 0.8, 4096
 #: Documents that the order of shingles comes from, and the shingles that it puts last: bounds of a broadcast, not of the result.
 SAMPLE, OFTEN = 5_000, 100_000
-SKETCH = ["b0", "b1", "b2", "b3"]
+#: The small sketch goes with each row of a bucket; one of WIDE bits is looked up for pairs that pass the small one.
+SKETCH, WIDE = ["b0", "b1", "b2", "b3"], 2048
 #: Of two sets that are similar enough, this share of their sizes' sum differs at most.
 DIFFER = (1 - SIMILARITY) / (1 + SIMILARITY)
 
@@ -59,19 +60,19 @@ def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarra
     return h[by], n[by]
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """256 parity bits as four signed numbers."""
-    return np.packbits(np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+def sketch(own: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Parity bits as signed numbers of 64."""
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
-PRINTS = "_id long, _th long, cls long, size int, prefix array<long>, fp long, b0 long, b1 long, b2 long, b3 long"
+PRINTS = "_id long, _th long, cls long, size int, prefix array<long>, fp long, wide array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
 def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, uses = often.value
         for b in batches:
-            cls, size, first, code, bits = [], [], [], [], []
+            cls, size, first, code, bits, wide = [], [], [], [], [], []
             for t in b.column(2):
                 body = t.as_py()
                 own = shingles(body)
@@ -79,6 +80,7 @@ def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
                 size.append(len(own))
                 code.append(fingerprint(body, WORDS))
                 bits.append(sketch(own))
+                wide.append(sketch(own, WIDE))
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -88,7 +90,7 @@ def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
                 first.append(own[np.lexsort((own, weight))[:n]].view(np.int64))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             table = np.array(bits, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(cls), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), signed(code), *(pa.array(table[:, i]) for i in range(4))], names=["_id", "_th", "cls", "size", "prefix", "fp", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(cls), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), signed(code), pa.array(wide, pa.list_(pa.int64())), *(pa.array(table[:, i]) for i in range(4))], names=["_id", "_th", "cls", "size", "prefix", "fp", "wide", *SKETCH])
 
     return run
 
@@ -103,13 +105,19 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough; pairs are staged."""
-    sets, n = sets_of(docs, classes, pairs), pairs.count()
-    uses = pairs.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
-    held = staged(uses.join(sets, "cls").select(F.col("cls").alias("b"), "w", F.col("own").alias("of_b")), "pair-sets")
-    both = attach(pairs, held, ["b"], "w", n)
-    both = both.join(sets.select(F.col("cls").alias("a"), F.col("own").alias("of_a")), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return staged(both.where(shared >= F.lit(SIMILARITY) * (F.size("of_a") + F.size("of_b") - shared) - 1e-9).select("a", "b"), "similar-pairs")
+
+    def with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """pairs with what table (cls, x) has of both ends, x and y; b may be the end of many."""
+        uses = pairs.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
+        held = staged(uses.join(table, "cls").select(F.col("cls").alias("b"), "w", F.col("x").alias("y")), "pair-ends")
+        return attach(pairs, held, ["b"], "w", pairs.count()).join(table.withColumnRenamed("cls", "a"), "a")
+
+    wide = with_ends(pairs, classes.select("cls", F.struct("size", "wide").alias("x")))
+    apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    pairs = staged(wide.where(apart <= F.lit(DIFFER) * (F.col("x.size") + F.col("y.size")) + 1e-9).select("a", "b"), "promising-pairs")
+    both = with_ends(pairs, sets_of(docs, classes, pairs).toDF("cls", "x"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return staged(both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "similar-pairs")
 
 
 def seeds(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -202,7 +210,7 @@ def similar_texts(docs: DataFrame, fingerprint: Callable[[bytes, int], int], clo
     often = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, docs.count()))
     prints = staged(rows.mapInArrow(scan(often, fingerprint), PRINTS), "shingle-prefixes")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")
-    classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", *SKETCH))), "text-classes")
+    classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", "wide", *SKETCH))), "text-classes")
     n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
     where = classes.select("cls", "first", "uses").join(components(links(rows, classes, close)).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     where = staged(where, "text-roots")
