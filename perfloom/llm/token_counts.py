@@ -20,6 +20,8 @@ from .common import attach, shared_dir, staged
 
 MEMO = 400_000
 SCHEMA = "digest binary, n_tokens long"
+#: The session's setting for the folder of a cache that outlives the call.
+CACHE = "spark.perfloom.tokenCache"
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,13 +84,13 @@ def counter(path: str) -> Callable[[str], int]:
 def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", *, cache: str | None = None, limit: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row.
 
-    tokenizer: a path, or the name of a public tokenizer file. cache: the cache's folder; None: a new one in the shared
-    folder. Null and empty texts have 0 bytes and 0 tokens; repeated rows each come back; other columns are not read.
+    tokenizer: a path, or the name of a public tokenizer file. cache: the cache's folder; None: the one that the session
+    names in spark.perfloom.tokenCache, else a new one in the shared folder. Null and empty texts have 0 bytes and 0 tokens; repeated rows each come back; other columns are not read.
     """
     spark = docs.sparkSession
     path = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
     version = tokenizer_digest(path)
-    cache = cache or f"{shared_dir(spark)}/perfloom/token-cache-{uuid.uuid4().hex}"
+    cache = cache or spark.conf.get(CACHE, None) or f"{shared_dir(spark)}/perfloom/token-cache-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), body.alias("_text"), F.unhex(F.sha2(body, 256)).alias("digest"))
     seen = staged(rows.select("doc_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "digests")

@@ -100,6 +100,20 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert count_tokens(empty(spark)).count() == 0
 
 
+def test_token_counts_come_from_the_cache(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    spark.conf.set("spark.perfloom.tokenCache", cache)
+    try:
+        docs = spark.createDataFrame([(1, "some text"), (2, "more")], "doc_id long, text string")
+        assert count_tokens(docs).count() == 2
+        stored = spark.read.parquet(cache).withColumn("n_tokens", F.lit(77).cast("long")).collect()
+        spark.createDataFrame(stored, "digest binary, tokenizer string, n_tokens long").write.mode("overwrite").parquet(cache)
+        more = spark.createDataFrame([(1, "some text"), (2, "more"), (3, "")], "doc_id long, text string")
+        assert rows_of(count_tokens(more), "doc_id", "n_tokens") == [(1, 77), (2, 77), (3, 0)]
+    finally:
+        spark.conf.unset("spark.perfloom.tokenCache")
+
+
 # URL rules
 
 
@@ -360,13 +374,23 @@ def test_quality_rules(spark):
 def test_quality_rules_reject_depleted(spark):
     rng = random.Random(11)
     menu = words(rng, 20)
-    docs = [(i, (menu.upper() if i % 2 else menu) + "\n" + (words(rng, 40) if i % 3 else "a b c"), "h" if i < 90 else "other") for i in range(100)]
+    docs = [(i, (menu.upper() if i % 2 else menu) + "\n" + (words(rng, 40) if i % 3 else f"a b c{i}"), "h" if i < 90 else "other") for i in range(100)]
+    docs += [(100 + i, docs[0][1], "copies") for i in range(50)]  # one text, however often
     d = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(d, min_docs=11).collect()}
-    assert got == {i: not (i < 90 and i % 3 == 0) for i in range(100)}
-    loose = {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(d, min_docs=200).collect()}
+    judged = quality_rules.quality_rules(d, max_docs=11, min_docs=11)
+    got = {r.doc_id: r.kept for r in judged.collect()}
+    assert got == {i: not (i < 90 and i % 3 == 0) for i in range(150)}
+    left = {r.doc_id: r.text for r in quality_rules.stripped(d, judged).collect()}
+    assert left == {i: t.split("\n", 1)[1] if i < 90 else t for i, t, _ in docs if got[i]}
+    loose = {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(d, max_docs=200, min_docs=200).collect()}
     assert set(loose.values()) == {0}
-    assert F is not None
+
+
+def test_quality_rules_limit_does_not_grow_with_the_host(spark):
+    rng = random.Random(14)
+    docs = [(i, ("shared line of words\n" if i < 10 else "") + words(rng, 12), "h") for i in range(1500)]
+    got = {r.doc_id: r.n_removed_words for r in quality_rules.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == {i: 4 if i < 10 else 0 for i in range(1500)}
 
 
 def test_anchors_do_not_depend_on_parts(monkeypatch):
