@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 K1, B, BLOCK, THRESHOLD, SHINGLE, OVERLAP = 1.2, 0.75, 8, 0.5, 5, 0.8
-#: Items are indexed in blocks of about this many bytes, each broadcast; every block is queried by all passages.
+#: Items are indexed in blocks of about this many bytes, each broadcast; every block is queried by all passages, and scores
+#: are those of one index of all items, whatever the blocks.
 INDEX_BYTES = 16 << 20
 PUNCTUATION = string.punctuation.encode()
 SCHEMA = "doc_id long, _th long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -45,7 +48,8 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple]:
 class Index:
     """Postings of impacts (BM25 weight of a term in an item, as a share of the item's own score), items in blocks."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], corpus: tuple[int, float, dict[bytes, int]] | None = None):
+        """corpus: number of items, their mean length and the items that hold each term, where these are more than the given."""
         parts = [(i, *question_and_answer(t)) for i, t in items]
         parts = sorted((p for p in parts if p[1] or p[2]), key=lambda p: (len(p[1]) + len(p[2]), p[0]))
         self.ids = [p[0] for p in parts]
@@ -56,10 +60,10 @@ class Index:
         self.longest = int(sizes.max(initial=1))
         df = Counter(t for b in bags for t in b)
         self.term = {t: i for i, t in enumerate(sorted(df))}
-        mean = float(sizes.mean()) if len(sizes) else 1.0
+        many, mean, df = corpus or (len(bags), float(sizes.mean()) if len(sizes) else 1.0, df)
         posts: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for d, bag in enumerate(bags):
-            w = {t: np.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[d] / mean)) for t, n in bag.items()}
+            w = {t: np.log(1 + (many - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * sizes[d] / mean)) for t, n in bag.items()}
             own = sum(w.values())
             for t, x in w.items():
                 posts[self.term[t]].append((d, x / own))
@@ -187,23 +191,43 @@ def scan(index: Index) -> callable:
     return run
 
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items to (term, n): each distinct word once; the number of all words stands behind a null term."""
+    for b in batches:
+        bags = [[w for part in question_and_answer(t.as_py()) for w in part] for t in b.column(0)]
+        terms = [(t, 1) for bag in bags for t in set(bag)] + [(None, len(bag)) for bag in bags if bag]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.binary()), pa.array([n for _, n in terms], pa.int64())], names=["term", "n"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, score, question_overlap and answer_overlap for each row of docs that holds an item; _th is the text's hash.
 
     Words are lower-cased and freed from punctuation. Passages are as long as twice the longest item (128 words at least)
     and overlap by half. A hit scores at least THRESHOLD of the item's own BM25 score and holds at least OVERLAP of the
     five-word shingles of its question, of its answer and of both together. An item of fewer words must stand there whole.
-    Null or empty texts and items hit nothing. Items are taken in blocks of bounded size, one broadcast each.
+    Null or empty texts and items hit nothing. Items are taken in blocks of bounded size, one broadcast each; term
+    statistics and the passage length are those of all items.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = -(-size // index_bytes) or 1
+    whole = longest = None
+    if n > 1:
+        terms = staged(items.select("t").mapInArrow(term_counts, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("most")), "benchmark-terms")
+        whole = terms.where("term is null").first()
+        longest = whole.most if whole else 1
     out = None
     for k in range(n):
         some = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r.i, bytes(r.t)) for r in some.collect()]))
+        held, corpus = [(r.i, bytes(r.t)) for r in some.collect()], None
+        if whole:
+            own = some.select("t").mapInArrow(term_counts, "term binary, n long").select("term").distinct()
+            corpus = (whole.rows, whole.n / whole.rows, {bytes(r.term): r.n for r in terms.join(own, "term").collect()})
+        index = Index(held, corpus)
+        index.longest = longest or index.longest
+        index = spark.sparkContext.broadcast(index)
         part = rows.mapInArrow(lambda batches, index=index: scan(index.value)(batches), SCHEMA)
         out = part if out is None else out.union(part)
     return out
