@@ -8,7 +8,7 @@ first, fill windows without a gap.
 
 Only the histogram (window - 1 counts) and the plan (bounded by the combinations of granules) come to the driver. The n-th
 tail of a length takes the n-th place that the plan has for it, and n is a rank within (length, salt) plus counts before
-it, so that no length is gathered in one task.
+it; a length has one salt for each RANKED of its pieces, so that no task ranks many more than that.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .common import staged
 from .token_counts import tokenizer_path
 
-WINDOW, GRANULE, SLACK, SALTS = 2048, 8, 40, 64
+WINDOW, GRANULE, SLACK, RANKED = 2048, 8, 40, 100_000
 MEMO = 300_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<long>"
-PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<long>, ids binary"
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long, ids binary"
 
 
 def byte_letters() -> dict[int, str]:
@@ -244,13 +244,13 @@ def place(p: dict, whole: int, window: int) -> Callable:
         last = p["total"] - p["total"] % window
         for b in batches:
             out = []
-            for doc_id, start, length, crc, tokens, parts, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, start, length, crc, tokens, parts, ids, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if length == window:
-                    out.append((doc_id, start, length, crc, tokens, rank, 0))
+                    out.append((doc_id, start, length, crc, tokens, rank, 0, ids))
                 elif rank < p["rest"][length]:
                     g, r = int(p["bins"][length]), int(p["base"][length]) + rank
                     _, first, _, sequence, slot = seg[bisect.bisect_right(keys, (g, r)) - 1].tolist()
-                    out.append((doc_id, start, length, crc, tokens, whole + sequence + r - first, slot))
+                    out.append((doc_id, start, length, crc, tokens, whole + sequence + r - first, slot, ids))
                 else:
                     at = start
                     for piece, c in zip(powers(length), parts, strict=True):
@@ -264,19 +264,20 @@ def place(p: dict, whole: int, window: int) -> Callable:
                                     sequence += i
                                     break
                                 end += size
-                        out.append((doc_id, at, piece, c, tokens, sequence, slot))
+                        out.append((doc_id, at, piece, c, tokens, sequence, slot, ids and ids[4 * (at - start) : 4 * (at - start + piece)]))
                         at += piece
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "ids"])
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, end_id: int = 1, window: int = WINDOW, granule: int = GRANULE, slack: int = SLACK, salts: int = SALTS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
+def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids: bool = True, end_id: int = 1, window: int = WINDOW, granule: int = GRANULE, slack: int = SLACK, ranked: int = RANKED, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids of every piece.
 
     Each document is its ids followed by end_id; null and empty texts are that id alone. Every id lies in exactly one piece.
-    Windows are filled from offset 0 without gaps. Equal rows are documents of their own; other columns are not read.
+    Windows are filled from offset 0 without gaps. ids has the piece's ids, unsigned 32-bit little-endian; with ids=False it
+    is left out, and only digests and places are moved. Equal rows are documents of their own; other columns are not read.
     """
     path = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
     tail = np.asarray([end_id], "<u4").tobytes()
@@ -286,22 +287,25 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, end
         for b in batches:
             rows = []
             for doc_id, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(body.as_py()) + tail
-                rows += [(doc_id, *x[:3], len(ids) // 4, x[3]) for x in cut(ids, window)]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64()))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts"])
+                line = encode(body.as_py()) + tail
+                rows += [(doc_id, *x[:3], len(line) // 4, x[3], line[4 * x[0] : 4 * (x[0] + x[1])] if ids else None) for x in cut(line, window)]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-    pieces = staged(rows.mapInArrow(tokenize, PIECES), "pieces").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
-    groups = staged(pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")  # at most window * salts rows
+    pieces = staged(rows.mapInArrow(tokenize, PIECES), "pieces")
     hist = np.zeros(window + 1, np.int64)
-    for length, n in groups.groupBy("length").agg(F.sum("n")).collect():
+    for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():
         hist[length] = n
     whole = int(hist[window])
+    salts = F.element_at(F.array(*(F.lit(int(x)) for x in -(-hist // ranked))), F.col("length").cast("int") + 1)
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
+    groups = staged(pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")  # a row for each RANKED pieces
     earlier = groups.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(earlier), ["length", "_salt"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
-    placed = ranked.mapInArrow(place(plan(hist[:window], window, granule, slack), whole, window), PLACED)
+    ranks = pieces.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(earlier), ["length", "_salt"])
+    ranks = ranks.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", "ids", (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
+    placed = ranks.mapInArrow(place(plan(hist[:window], window, granule, slack), whole, window), PLACED)
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot", "start")) - F.col("length")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    out = placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "ids")
+    return out if ids else out.drop("ids")

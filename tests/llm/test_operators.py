@@ -36,6 +36,7 @@ def check_pieces(got, docs):
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     ids = [(i, np.asarray([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, x in docs]
     assert sum(r["length"] for r in got) * 4 == sum(len(b) for _, b in ids)
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
     want = collections.Counter((i, len(b) // 4) for i, b in ids)
     have = collections.Counter()
     bodies = collections.defaultdict(list)
@@ -59,7 +60,10 @@ def check_pieces(got, docs):
 
 def test_packing_round_trip(spark):
     docs = [(r[0], r[1]) for r in nasty_rows()]
-    check_pieces(packing.pack_documents(nasty(spark)).collect(), docs)
+    for ranked in (100_000, 3):
+        check_pieces(packing.pack_documents(nasty(spark), ranked=ranked).collect(), docs)
+    places = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows_of(packing.pack_documents(nasty(spark), ids=False), *places) == rows_of(packing.pack_documents(nasty(spark)), *places)
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
@@ -172,7 +176,7 @@ def test_decontamination(spark):
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     few = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, index_bytes=1500)
-    assert {(r.doc_id, r.item_id) for r in few.collect()} == want
+    assert [(*k, *(round(x, 9) for x in v)) for *k, v in sorted((r.doc_id, r.item_id, tuple(r)[3:]) for r in few.collect())] == [(*k, *(round(x, 9) for x in v)) for *k, v in sorted((r.doc_id, r.item_id, tuple(r)[3:]) for r in got.collect())]
     assert decontamination.contaminated(nasty(spark), b).count() == 0
     assert decontamination.contaminated(nasty(spark), b.where("false")).count() == 0
     assert decontamination.contaminated(empty(spark), b).count() == 0
@@ -211,12 +215,62 @@ def test_classifier_held_out(spark):
     assert sum(r.keep == (r.doc_id % 4 != 0) for r in held) >= 0.97 * len(held)
 
 
+def site_shares(rows):
+    """site_prior by (host, path), and the corpus's share, straight from documents' evidence."""
+    p = [(r.host, r.path, 1 / (1 + math.exp(-r.evidence))) for r in rows]
+    hosts, sites = collections.defaultdict(list), collections.defaultdict(list)
+    for h, q, x in p:
+        hosts[h].append(x)
+        sites[h, q].append(x)
+    n, mean = len(p), np.mean([x for *_, x in p])
+
+    def worth(outer, inner, centre, base):
+        k = len(inner) - len(outer)
+        if k < 1:
+            return 50.0
+        within = sum(np.var(x) * len(x) for x in inner.values()) / max(1, n - len(inner))
+        between = sum(len(x) * (np.mean(x) - centre(key)) ** 2 for key, x in inner.items()) / k
+        size = (n - sum(len(x) ** 2 / base(key) for key, x in inner.items())) / k
+        spread = (between - within) / size if size > 0 else None
+        return 50.0 if spread is None else 1e6 if spread * 1e6 <= within else max(1.0, within / spread)
+
+    of_host = worth({0: p}, hosts, lambda _: mean, lambda _: n)
+    of_path = worth(hosts, sites, lambda k: np.mean(hosts[k[0]]), lambda k: len(hosts[k[0]]))
+    overall = (sum(x for *_, x in p) + 1) / (n + 2)
+    host = {h: (sum(x) + of_host * overall) / (len(x) + of_host) for h, x in hosts.items()}
+    return {k: (sum(x) + of_path * host[k[0]]) / (len(x) + of_path) for k, x in sites.items()}, overall
+
+
 def test_classifier_shrinks_sparse_sites(spark):
+    rng = random.Random(15)
+    docs, labels = [], []
+    for i in range(500):
+        host = i % 7 if i < 480 else f"s{i}"
+        bad = i % 7 == 0 and i % 5 != 0 or i % 11 == 0
+        docs.append((i, " ".join(["vile"] * rng.randrange(1, 4)) + " " + words(rng, 12) if bad else words(rng, 15), "en" if i % 3 else "de", str(host)))
+        labels.append((i, int(not bad), 0))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    rows = classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    prior, overall = site_shares(rows)
+    logit = lambda x: math.log(x / (1 - x))
+    for r in rows:
+        assert math.isclose(r.site_prior, prior[r.host, r.path], rel_tol=1e-9)
+        assert math.isclose(r.posterior, 1 / (1 + math.exp(-(r.evidence + logit(r.site_prior) - logit(overall)))), rel_tol=1e-9)
+        assert r.keep == (r.posterior >= 0.5)
+    own = {k: np.mean([1 / (1 + math.exp(-r.evidence)) for r in rows if (r.host, r.path) == k]) for k in prior}
+    moved = {k: abs(prior[k] - overall) / abs(own[k] - overall) for k in prior if abs(own[k] - overall) > 0.02}
+    assert max(v for k, v in moved.items() if k[0][0] == "s") < 1 and min(v for k, v in moved.items() if k[0] == "0") > max(v for k, v in moved.items() if k[0][0] == "s")
+
+
+def test_classifier_nasty(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     d = spark.createDataFrame([(i, "x", "en", "big" if i < 500 else f"s{i}") for i in range(510)], "doc_id long, text string, lang string, source string")
-    out = classify(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    assert {r.keep for r in out.collect()} == {True} and out.count() == 510
-    assert classify(nasty(spark), spark.createDataFrame([(1, None, None), (3, 1, None)], "doc_id long, quality int, toxic int")).count() == len(nasty_rows())
-    assert classify(empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert {(r.keep, r.evidence, round(r.posterior, 9)) for r in classify(d, none).collect()} == {(True, 0.0, 0.5)}
+    one = classify(nasty(spark), spark.createDataFrame([(1, None, None), (3, 1, None)], "doc_id long, quality int, toxic int")).collect()
+    assert len(one) == len(nasty_rows()) and {r.evidence for r in one} == {4.0}
+    both = classify(nasty(spark), spark.createDataFrame([(7, 0, 0), (5, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert len(both) == len(nasty_rows()) and site_shares(both)[0] == pytest.approx({(r.host, r.path): r.site_prior for r in both})
+    assert classify(empty(spark), none).count() == 0
 
 
 # line dedup
