@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.metrics import accuracy_factor, consensus_factor, first_hit, risk_factor
-from .scale import components
+from .scale import attach, components, staged
 
 #: Keywords of each category, in the order they are tried.
 CATEGORIES = [
@@ -21,43 +21,92 @@ CATEGORIES = [
 TERMS = ["AppendEntries", "Pipeline", "Batch", "nextIndex", "matchIndex", "ReadIndex", "Snapshot", "Persister", "SkipList", "Lock", "buffer", "channel", "RPC", "commit", "apply", "log", "raft", "leader", "follower", "candidate", "election"]
 
 
-def blocked_pairs(rows: DataFrame, tokens: str, least: float) -> DataFrame:
-    """(a, b) with a < b: all pairs of seq whose token sets can have a Jaccard similarity of over least, and some others.
+def key_of(tokens: Column) -> Column:
+    """The same for equal token sets alone."""
+    return F.md5(F.array_join(F.array_sort(tokens), "\u0001"))
 
-    Prefix filter: such sets share one of their n - ceil(least * n) + 1 rarest tokens (ties by the token), so only those
-    are joined. Rare tokens make short lists; frequent ones are a set's last choice.
-    """
-    one = rows.select("seq", F.size(tokens).alias("_n"), F.explode(tokens).alias("t"))
+
+def kinds_of(rows: DataFrame, tokens: str) -> DataFrame:
+    """k, x, n, first: each distinct token set once, how many rows have it, and the least seq of those."""
+    return rows.groupBy(key_of(F.col(tokens)).alias("k")).agg(F.first(tokens).alias("x"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+
+
+def ranked_tokens(kinds: DataFrame) -> DataFrame:
+    """k, t, size, r: the tokens of each set, the rarest first (ties by the token)."""
+    one = kinds.select("k", F.size("x").alias("size"), F.explode("x").alias("t"))
     df = one.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = one.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("seq").orderBy("df", "t")))
-    keep = ranked.where(F.col("r") <= F.col("_n") - F.ceil(F.col("_n") * F.lit(least)) + 1).select("seq", "t", "_n")
-    a, b = keep.toDF("a", "t", "na"), keep.toDF("b", "t", "nb")
+    return one.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("df", "t")))
+
+
+def blocked_pairs(kinds: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b: all pairs of sets (k, x) that can have a Jaccard similarity of over least, and some others.
+
+    Prefix filter: such sets share one of their n - ceil(least * n) + 1 rarest tokens, so only those are joined. Rare tokens
+    make short lists; frequent ones are a set's last choice. Equal sets are one, so copies make no pairs.
+    """
+    keep = ranked_tokens(kinds).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1)
+    a, b = keep.select(F.col("k").alias("a"), "t", F.col("size").alias("na")), keep.select(F.col("k").alias("b"), "t", F.col("size").alias("nb"))
     sizes = (F.col("na") >= F.col("nb") * F.lit(least)) & (F.col("nb") >= F.col("na") * F.lit(least))
     return a.join(b, "t").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
 
 
-def similar_pairs(rows: DataFrame, tokens: str, over: float) -> DataFrame:
-    """(a, b, similarity) of all pairs whose Jaccard similarity is over the bound."""
-    sets = rows.select("seq", F.col(tokens).alias("x"))
-    p = blocked_pairs(rows, tokens, over)
-    p = p.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+def similar_kinds(kinds: DataFrame, over: float) -> DataFrame:
+    """(a, b, similarity) of all pairs of different sets whose Jaccard similarity is over the bound."""
+    sets = kinds.select("k", "x")
+    p = blocked_pairs(sets, over).join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     return p.select("a", "b", T.jaccard(F.col("xa"), F.col("xb")).alias("similarity")).where(F.col("similarity") > over)
 
 
-def consensus_pairs(s: DataFrame) -> DataFrame:
-    """Pairs with a title similarity over 0.8 or a description similarity over 0.6."""
-    sets = s.select("seq", T.split_tokens(F.col("title"), T.CONSENSUS_TITLE).alias("tt"), T.word_tokens(F.col("description"), T.CONSENSUS_KEYWORDS).alias("dt"))
-    return similar_pairs(sets, "tt", 0.8).select("a", "b").union(similar_pairs(sets, "dt", 0.6).select("a", "b")).distinct()
+def named_pairs(pairs: DataFrame, kinds: DataFrame, value: str, own: Column) -> DataFrame:
+    """Pairs of sets by the least seq of each (a < b), with how many rows have them (n_a, n_b); several equal ones pair with themselves (value own)."""
+    at = kinds.select("k", "n", "first")
+    p = pairs.join(at.toDF("a", "n1", "f1"), "a").join(at.toDF("b", "n2", "f2"), "b")
+    low = F.col("f1") < F.col("f2")
+    p = p.select(F.least("f1", "f2").alias("a"), F.greatest("f1", "f2").alias("b"), value, F.when(low, F.col("n1")).otherwise(F.col("n2")).alias("n_a"), F.when(low, F.col("n2")).otherwise(F.col("n1")).alias("n_b"))
+    same = kinds.where("n > 1").select(F.col("first").alias("a"), F.col("first").alias("b"), own.alias(value), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return p.union(same)
+
+
+def similar_pairs(rows: DataFrame, tokens: str, over: float) -> DataFrame:
+    """(a, b, similarity, n_a, n_b): distinct token sets, by the least seq of each, whose Jaccard similarity is over the bound."""
+    kinds = staged(kinds_of(rows.where(F.size(tokens) > 0), tokens), "token-sets")
+    return named_pairs(similar_kinds(kinds, over), kinds, "similarity", F.lit(1.0))
+
+
+def both_ways(kinds: DataFrame, over: float) -> DataFrame:
+    """(a, b): a set, and each that is similar to it, itself included where it holds tokens."""
+    p = similar_kinds(kinds, over).select("a", "b")
+    return p.union(p.select("b", "a")).union(kinds.where(F.size("x") > 0).select("k", "k")).toDF("a", "b")
 
 
 def consensus_counts(s: DataFrame) -> DataFrame:
-    """seq, n_similar: how many suggestions of other models are similar."""
-    p = consensus_pairs(s)
-    both = p.union(p.select("b", "a"))
-    m = s.select("seq", "source_model")
-    both = both.join(m.toDF("a", "ma"), "a").join(m.toDF("b", "mb"), "b").where("ma <> mb")
-    n = both.groupBy(F.col("a").alias("seq")).agg(F.count(F.lit(1)).alias("n_similar"))
-    return s.select("seq").join(n, "seq", "left").select("seq", F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
+    """seq, n_similar: how many suggestions of other models are similar (title over 0.8 or description over 0.6).
+
+    Counted by distinct sets: those with similar titles, plus those with similar descriptions, less those with both; of
+    each, all models less the own one. No pair of rows is made.
+    """
+    rows = s.select("seq", F.coalesce("source_model", F.lit("")).alias("model"), T.split_tokens(F.col("title"), T.CONSENSUS_TITLE).alias("tt"), T.word_tokens(F.col("description"), T.CONSENSUS_KEYWORDS).alias("dt"))
+    rows = staged(rows.withColumns({"kt": key_of(F.col("tt")), "kd": key_of(F.col("dt"))}), "suggestion-sets")
+    title = staged(both_ways(kinds_of(rows, "tt"), 0.8), "title-edges")
+    text = staged(both_ways(kinds_of(rows, "dt"), 0.6), "description-edges")
+    kinds = staged(rows.groupBy("kt", "kd", "model").agg(F.count(F.lit(1)).alias("n")), "suggestion-kinds")
+    forms = kinds.select("kt", "kd").distinct()
+    both = forms.join(title.toDF("kt", "t2"), "kt").join(text.toDF("kd", "d2"), "kd").join(forms.toDF("t2", "d2"), ["t2", "d2"])
+
+    def others(edges: DataFrame, key: list[str], end: list[str]) -> DataFrame:
+        """key, model, m: how many rows at the other ends are of other models."""
+        there = kinds.groupBy(*(F.col(k).alias(e) for k, e in zip(key, end, strict=True)), "model").agg(F.sum("n").alias("n"))
+        met = edges.join(there, end)
+        every, own = met.groupBy(*key).agg(F.sum("n").alias("every")), met.groupBy(*key, "model").agg(F.sum("n").alias("own"))
+        mine = kinds.select(*key, "model").distinct()
+        return mine.join(every, key, "left").join(own, [*key, "model"], "left").select(*key, "model", (F.coalesce("every", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("m"))
+
+    a = others(title.toDF("kt", "t2"), ["kt"], ["t2"]).withColumnRenamed("m", "by_title")
+    b = others(text.toDF("kd", "d2"), ["kd"], ["d2"]).withColumnRenamed("m", "by_text")
+    c = others(both, ["kt", "kd"], ["t2", "d2"]).withColumnRenamed("m", "by_both")
+    told = kinds.join(a, ["kt", "model"]).join(b, ["kd", "model"]).join(c, ["kt", "kd", "model"])
+    told = staged(told.select("kt", "kd", "model", "n", (F.col("by_title") + F.col("by_text") - F.col("by_both")).alias("n_similar")), "consensus")
+    return attach(rows.select("seq", "kt", "kd", "model"), told, ["kt", "kd", "model"], "n", rows.count()).select("seq", "n_similar")
 
 
 def weighted(s: DataFrame, history: DataFrame) -> DataFrame:
@@ -86,27 +135,39 @@ def greedy_dedup(s: DataFrame, over: float = 0.75) -> DataFrame:
     A heavier newcomer goes to the end of those kept and keeps its own model label; otherwise the kept one's label gains the
     newcomer's, unless it holds it already. Only suggestions in one component of the graph of alike pairs can meet, so the
     run is done per component. Over the bound the title similarity is over twice (bound - 0.5), which the blocking uses.
+    Suggestions with equal token sets are one node of the graph, and within a component each pair of nodes is compared once.
     """
     sets = s.withColumns({"tt": T.word_tokens(F.col("title"), T.DEDUP_TITLE), "dt": T.word_tokens(F.col("description"), T.DEDUP_KEYWORDS), "gt": T.word_tokens(F.col("expected_gain"), T.DEDUP_KEYWORDS)})
-    cols = sets.select("seq", "tt", "dt", "gt")
-    p = blocked_pairs(cols, "tt", 2 * (over - 0.5))
-    p = p.join(cols.toDF("a", "ta", "da", "ga"), "a").join(cols.toDF("b", "tb", "db", "gb"), "b")
+    sets = staged(sets.withColumn("k", F.concat(*(key_of(F.col(c)) for c in ("tt", "dt", "gt")))), "dedup-sets")
+    nodes = staged(sets.groupBy("k").agg(*(F.first(c).alias(c) for c in ("tt", "dt", "gt")), F.count(F.lit(1)).alias("n")), "dedup-kinds")
+    p = blocked_pairs(nodes.select("k", F.col("tt").alias("x")), 2 * (over - 0.5))
+    at = nodes.select("k", "tt", "dt", "gt")
+    p = p.join(at.toDF("a", "ta", "da", "ga"), "a").join(at.toDF("b", "tb", "db", "gb"), "b")
     score = F.lit(0.5) * T.jaccard(F.col("ta"), F.col("tb")) + F.lit(0.3) * T.jaccard(F.col("da"), F.col("db")) + F.lit(0.2) * T.jaccard(F.col("ga"), F.col("gb"))
-    label = components(p.where(score > over).select("a", "b")).toDF("seq", "c")
-    tagged = sets.join(label, "seq", "left")
+    label = components(p.where(score > over).select("a", "b")).toDF("k", "c")
+    groups = staged(nodes.select("k", "n").join(label, "k", "left").where("c is not null or n > 1").select("k", "n", F.coalesce("c", "k").alias("c")), "dedup-groups")
+    tagged = attach(sets, groups, ["k"], "n", sets.count(), "left")
     kept = s.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [r | {k: set(r[k]) for k in ("tt", "dt", "gt")} for r in pdf.sort_values("seq").to_dict("records")]
+        rows = pdf.sort_values("seq").to_dict("records")
+        tokens = {r["k"]: {c: set(r[c]) for c in ("tt", "dt", "gt")} for r in rows}
+        alike: dict[tuple[str, str], bool] = {}
+
+        def same(a: str, b: str) -> bool:
+            if (a, b) not in alike:
+                alike[a, b] = alike[b, a] = composite(tokens[a], tokens[b]) > over
+            return alike[a, b]
+
         stay: list[dict] = []
         for r in rows:
-            twin = next((k for k in stay if composite(r, k) > over), None)
+            twin = next((i for i, k in enumerate(stay) if same(r["k"], k["k"])), None)
             if twin is None:
                 stay.append(r)
-            elif r["final_weight"] > twin["final_weight"]:
-                stay = [k for k in stay if k is not twin] + [r]
-            elif r["source_model"] not in twin["source_model"]:
-                twin["source_model"] = f"{twin['source_model']} + {r['source_model']}"
+            elif r["final_weight"] > stay[twin]["final_weight"]:
+                stay = [*stay[:twin], *stay[twin + 1 :], r]
+            elif r["source_model"] not in stay[twin]["source_model"]:
+                stay[twin]["source_model"] = f"{stay[twin]['source_model']} + {r['source_model']}"
         return pd.DataFrame(stay)[kept]
 
     alone = tagged.where("c is null").select(*kept)
@@ -137,9 +198,16 @@ def aggregate(s: DataFrame, history: DataFrame, *, least: float = 0.3, k: int =
 
 
 def conflicts(s: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, overlap): pairs whose titles share at least so many words."""
-    t = s.select("seq", F.explode(T.split_tokens(F.col("title"))).alias("t"))
-    return t.toDF("a", "t").join(t.toDF("b", "t"), "t").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    """(a, b, overlap, n_a, n_b): distinct title word sets, by the least seq of each, that share at least so many words.
+
+    Two such sets share a word besides the least - 1 most frequent ones of each, so those make no candidates.
+    """
+    kinds = staged(kinds_of(s.select("seq", T.split_tokens(F.col("title")).alias("x")).where(F.size("x") >= least), "x"), "title-sets")
+    keep = ranked_tokens(kinds).where(F.col("r") <= F.col("size") - (least - 1)).select("k", "t")
+    p = keep.toDF("a", "t").join(keep.toDF("b", "t"), "t").where("a < b").select("a", "b").distinct()
+    x = kinds.select("k", "x")
+    p = p.join(x.toDF("a", "xa"), "a").join(x.toDF("b", "xb"), "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).cast("long").alias("overlap"))
+    return named_pairs(p.where(F.col("overlap") >= least), kinds, "overlap", F.size("x").cast("long"))
 
 
 def topics(s: DataFrame) -> DataFrame:

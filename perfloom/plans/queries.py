@@ -37,7 +37,7 @@ REC = """rec AS (
  FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(20,4) * (1 - l_discount::DECIMAL(10,4)))::DOUBLE AS actual_qps, sum(l_quantity::DECIMAL(20,4))::DOUBLE / count(*) AS avg_latency,
    count(*) FILTER (WHERE l_returnflag = 'R') / count(*)::DOUBLE AS error_rate, count(*)::INT AS threads FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 SUG = r"""sug AS (
- SELECT doc_id AS seq, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:4], ' ') AS title, substring(text, 1, 200) AS description,
+ SELECT doc_id AS seq, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:4], ' ') AS title, text AS description,
   CASE WHEN doc_id % 7 = 0 THEN '# 无代码' ELSE 'lock(m) {' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '}' END END AS pseudocode,
   (1 + doc_id % 5)::INT AS priority, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS risk_level,
   CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'QPS +' || (doc_id % 40) || '%' END AS expected_gain, (doc_id % 4)::INT AS n_steps, source AS source_model, (doc_id % 11) / 10e0 AS self_confidence, 1e0 AS base_weight
@@ -61,10 +61,23 @@ def jac(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0e0 ELSE {n}::DOUBLE / (len({a}) + len({b}) - {n}) END"
 
 
-SETS = f"""sets AS (SELECT seq, source_model, {split_sql("title", T.CONSENSUS_TITLE)} AS tt, {word_sql("description", T.CONSENSUS_KEYWORDS)} AS dt FROM sug),
-pairs AS (SELECT x.seq AS a, y.seq AS b, x.source_model AS ma, y.source_model AS mb FROM sets x JOIN sets y ON x.seq < y.seq
-  WHERE {jac("x.tt", "y.tt")} > 0.8e0 OR {jac("x.dt", "y.dt")} > 0.6e0),
-cons AS (SELECT sug.seq, count(p.a) AS n_similar FROM sug LEFT JOIN (SELECT a, ma, mb FROM pairs UNION ALL SELECT b, mb, ma FROM pairs) p ON sug.seq = p.a AND p.ma <> p.mb GROUP BY sug.seq),
+def kinds_sql(name: str, sets: str, tokens: str, over: str) -> str:
+    """CTEs: distinct token sets of a relation (numbered), and all ordered pairs of those that are similar, each with itself."""
+    return f"""{name}k AS MATERIALIZED (SELECT row_number() OVER () AS k, x, len(x) AS n FROM (SELECT DISTINCT list_sort({tokens}) AS x FROM {sets})), {name}t AS MATERIALIZED (SELECT k, n, unnest(x) AS t FROM {name}k),
+{name}p AS MATERIALIZED (SELECT x.k AS a, y.k AS b, count(*)::DOUBLE / (x.n + y.n - count(*)) AS similarity FROM {name}t x JOIN {name}t y ON x.t = y.t GROUP BY x.k, y.k, x.n, y.n HAVING count(*)::DOUBLE / (x.n + y.n - count(*)) > {over})"""
+
+
+def pairs_sql(sets: str, tokens: str, over: str) -> str:
+    """similar_pairs of a relation with seq."""
+    return f"""{kinds_sql("o", sets, tokens, over)}, f AS (SELECT k, min(seq) AS f, count(*) AS m FROM {sets} JOIN ok ON list_sort({tokens}) = ok.x GROUP BY k)
+SELECT i.f AS a, j.f AS b, similarity, i.m AS n_a, j.m AS n_b FROM op JOIN f i ON op.a = i.k JOIN f j ON op.b = j.k WHERE i.f < j.f OR i.f = j.f AND i.m > 1"""
+
+
+SETS = f"""sets AS MATERIALIZED (SELECT seq, source_model, {split_sql("title", T.CONSENSUS_TITLE)} AS tt, {word_sql("description", T.CONSENSUS_KEYWORDS)} AS dt FROM sug),
+{kinds_sql("t", "sets", "tt", "0.8e0")}, {kinds_sql("d", "sets", "dt", "0.6e0")},
+rk AS MATERIALIZED (SELECT seq, source_model AS m, tk.k AS t, dk.k AS d FROM sets JOIN tk ON list_sort(tt) = tk.x JOIN dk ON list_sort(dt) = dk.x),
+pairs AS (SELECT x.seq AS a, y.seq AS b FROM rk x JOIN tp ON x.t = tp.a JOIN rk y ON y.t = tp.b WHERE x.m <> y.m UNION SELECT x.seq, y.seq FROM rk x JOIN dp ON x.d = dp.a JOIN rk y ON y.d = dp.b WHERE x.m <> y.m),
+cons AS (SELECT sug.seq, count(p.a) AS n_similar FROM sug LEFT JOIN pairs p ON sug.seq = p.a GROUP BY sug.seq),
 hist AS (SELECT source AS source_model, count(*) AS total, sum(quality)::BIGINT AS adopted FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 weights AS (SELECT sug.*, n_similar, greatest(0.1e0, least(2e0, base_weight * ((coalesce(adopted, 0) + 1e0) / (coalesce(total, 0) + 2e0) + 0.5e0)
    * CASE WHEN n_similar = 0 THEN 0.8e0 WHEN n_similar = 1 THEN 0.9e0 WHEN n_similar = 2 THEN 1e0 WHEN n_similar <= 4 THEN 1.2e0 ELSE 1.5e0 END
@@ -156,13 +169,13 @@ def q13_model_stats_bayes(spark, sf):
     return h.select("*", F.try_divide(F.col("adopted").cast("double"), F.col("total")).alias("accuracy"), M.accuracy_factor(F.col("adopted"), F.col("total")).alias("weight"))
 
 
-@query(f"WITH {SUG}, s AS (SELECT seq, {word_sql('title', T.DEDUP_TITLE)} AS tt FROM sug) SELECT x.seq AS a, y.seq AS b, {jac('x.tt', 'y.tt')} AS similarity FROM s x JOIN s y ON x.seq < y.seq WHERE {jac('x.tt', 'y.tt')} > 0.5e0")
+@query(f"WITH {SUG}, s AS MATERIALIZED (SELECT seq, {word_sql('title', T.DEDUP_TITLE)} AS x FROM sug), {pairs_sql('s', 's.x', '0.5e0')}")
 def q14_title_jaccard_pairs(spark, sf):
     s = S.suggestions(spark, sf).select("seq", T.word_tokens(F.col("title"), T.DEDUP_TITLE).alias("tt"))
     return suggestions.similar_pairs(s, "tt", 0.5)
 
 
-@query(f"WITH {SUG}, s AS (SELECT seq, {word_sql('description', T.CONSENSUS_KEYWORDS)} AS dt FROM sug) SELECT x.seq AS a, y.seq AS b, {jac('x.dt', 'y.dt')} AS similarity FROM s x JOIN s y ON x.seq < y.seq WHERE {jac('x.dt', 'y.dt')} > 0.6e0")
+@query(f"WITH {SUG}, s AS MATERIALIZED (SELECT seq, {word_sql('description', T.CONSENSUS_KEYWORDS)} AS x FROM sug), {pairs_sql('s', 's.x', '0.6e0')}")
 def q15_keyword_jaccard_pairs(spark, sf):
     s = S.suggestions(spark, sf).select("seq", T.word_tokens(F.col("description"), T.CONSENSUS_KEYWORDS).alias("dt"))
     return suggestions.similar_pairs(s, "dt", 0.6)
@@ -228,9 +241,10 @@ def q24_summary_by_model_split(spark, sf):
     return s.select(F.explode(F.split("source_model", r" \+ ")).alias("model")).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rf"WITH {SUG}, s AS (SELECT seq, list_filter(list_distinct(regexp_split_to_array(lower(title), '\s+')), lambda w: w <> '') AS t FROM sug WHERE priority = 5) SELECT x.seq AS a, y.seq AS b, len(list_intersect(x.t, y.t)) AS overlap FROM s x JOIN s y ON x.seq < y.seq WHERE len(list_intersect(x.t, y.t)) >= 2")
+@query(f"""WITH {SUG}, s AS (SELECT list_sort({split_sql('title', ['!'])}) AS x, min(seq) AS f, count(*) AS m FROM sug GROUP BY 1 HAVING len(x) >= 2), t AS (SELECT f, m, unnest(x) AS t FROM s)
+SELECT x.f AS a, y.f AS b, count(*) AS overlap, x.m AS n_a, y.m AS n_b FROM t x JOIN t y ON x.t = y.t AND (x.f < y.f OR x.f = y.f AND x.m > 1) GROUP BY ALL HAVING count(*) >= 2""")
 def q25_conflict_pairs(spark, sf):
-    return suggestions.conflicts(S.suggestions(spark, sf).where("priority = 5"))
+    return suggestions.conflicts(S.suggestions(spark, sf))
 
 
 @query(rf"WITH {SUG}, s AS (SELECT array_to_string(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda w: w <> '')[1:2], ' ') AS topic FROM sug) SELECT topic, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 2")
@@ -329,10 +343,10 @@ def q37_error_log_filter(spark, sf):
     return parsers.error_lines(S.table(spark, sf, "events"), "user_id", "event_type", "event_id", 20, 2).select("user_id", "event_id")
 
 
-@query("""WITH l AS (SELECT user_id % 200 AS cluster, event_type, user_id % 3 AS term FROM events WHERE event_id % 10 = 0), a AS (SELECT cluster, bool_or(event_type IN ('click', 'view')) AS leader, bool_or(event_type = 'view') AS ready, count(term) AS n_terms, count(DISTINCT term) AS kinds FROM l GROUP BY 1),
+@query("""WITH l AS (SELECT user_id % 200 AS cluster, event_type, user_id % 3 AS term FROM events), a AS (SELECT cluster, bool_or(event_type IN ('click', 'view')) AS leader, bool_or(event_type = 'view') AS ready, count(term) AS n_terms, count(DISTINCT term) AS kinds FROM l GROUP BY 1),
 b AS (SELECT *, CASE WHEN NOT leader THEN 'no_leader' WHEN NOT ready THEN 'not_ready' WHEN n_terms < 3 THEN 'few_logs' WHEN kinds = 1 THEN 'healthy' ELSE 'terms_differ' END AS reason FROM a) SELECT cluster, leader, ready, n_terms, reason, reason = 'healthy' AS healthy FROM b""")
 def q38_cluster_health(spark, sf):
-    e = S.table(spark, sf, "events").where("event_id % 10 = 0")
+    e = S.table(spark, sf, "events")
     word = F.when(F.col("event_type") == "click", "I am the leader").when(F.col("event_type") == "view", "Leader election complete").otherwise("idle")
     return diagnosis.cluster_health(e.select((F.col("user_id") % 200).alias("cluster"), F.col("event_id").alias("node"), F.concat(word, F.lit(" term{"), (F.col("user_id") % 3).cast("string"), F.lit("}")).alias("content")), "cluster")
 

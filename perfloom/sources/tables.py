@@ -38,14 +38,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: seq, title (four words), description (200 characters), priority, risk_level, source_model and so on."""
+    """A row per document: seq, title (four words), description (the whole text), priority, risk_level, source_model and so on."""
     d = table(spark, sf_dir, "documents")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     k = F.col("doc_id")
     return d.select(
         k.alias("seq"),
         F.array_join(F.slice(words, 1, 4), " ").alias("title"),
-        F.substring("text", 1, 200).alias("description"),
+        F.col("text").alias("description"),
         F.when(k % 7 == 0, "# 无代码").otherwise(F.concat(F.lit("lock(m) {"), F.when(k % 5 == 0, "").otherwise("}"))).alias("pseudocode"),
         (1 + k % 5).cast("int").alias("priority"),
         F.when(k % 3 == 0, "low").when(k % 3 == 1, "medium").otherwise("high").alias("risk_level"),

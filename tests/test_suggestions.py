@@ -78,13 +78,52 @@ def test_identical_twins_keep_the_heavier(spark):
     assert len(got) == 1 and got[0].source_model.startswith("claude")
 
 
-def test_blocked_pairs_lose_nothing(spark):
+def by_set(sets):
+    """Least seq and number of rows of each distinct set."""
+    out = {}
+    for i, x in sets:
+        first, n = out.get(frozenset(x), (i, 0))
+        out[frozenset(x)] = (min(first, i), n + 1)
+    return out
+
+
+def brute_pairs(sets, value, ok):
+    kinds = by_set(sets)
+    out = set()
+    for a, (i, n) in kinds.items():
+        for b, (j, m) in kinds.items():
+            if (i < j or i == j and n > 1) and ok(value(a, b)):
+                out.add((i, j, value(a, b), n, m))
+    return out
+
+
+def test_similar_pairs_lose_nothing(spark):
     rng = random.Random(4)
-    sets = [(i, rng.sample("abcdefghij", rng.randrange(1, 7))) for i in range(60)]
+    sets = [(i, rng.sample("abcdefghij", rng.randrange(0, 7))) for i in range(60)]
+    sets += [(100 + i, sets[5][1][::-1] or ["a"]) for i in range(9)]
     df = spark.createDataFrame(sets, "seq long, t array<string>")
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
     for least in (0.5, 0.6, 0.8):
-        got = {(r.a, r.b) for r in suggestions.similar_pairs(df, "t", least).collect()}
-        assert got == {(i, j) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) > least}
+        assert {tuple(r) for r in suggestions.similar_pairs(df, "t", least).collect()} == brute_pairs(sets, jaccard, lambda x, least=least: x > least)
+
+
+def test_conflicts(spark):
+    rng = random.Random(5)
+    titles = [(i, " ".join(rng.sample("ab cd ef gh ij kl mn op qr".split(), rng.randrange(1, 5)))) for i in range(50)] + [(60, "AB cd"), (61, "cd ab")]
+    got = {tuple(r) for r in suggestions.conflicts(spark.createDataFrame(titles, "seq long, title string")).collect()}
+    assert got == brute_pairs([(i, t.lower().split()) for i, t in titles], lambda a, b: len(a & b), lambda x: x >= 2)
+
+
+def test_consensus_counts(spark):
+    rng = random.Random(6)
+    w = "memory pool lock skip list batch raft window".split()
+    rows = [row(i, " ".join(rng.sample(w, rng.randrange(0, 4))), rng.choice(["a", "b", "c"]), " ".join(rng.sample(w, rng.randrange(0, 7)))) for i in range(60)]
+    rows += [row(100 + i, "the same", rng.choice(["a", "b"]), "twins all over") for i in range(30)]
+    word = lambda t, stop: set(__import__("re").findall(r"\w+", t.lower())) - set(stop)
+    j = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    sets = [(r[8], set(r[1].lower().split()) - set(T.CONSENSUS_TITLE), word(r[2], T.CONSENSUS_KEYWORDS)) for r in rows]
+    want = {r[0]: sum(m != x[0] and (j(t, x[1]) > 0.8 or j(d, x[2]) > 0.6) for m, t, d in sets) for r, x in zip(rows, sets, strict=True)}
+    assert {r.seq: r.n_similar for r in suggestions.consensus_counts(frame(spark, rows)).collect()} == want
 
 
 def test_filter_rank_verify(spark):
