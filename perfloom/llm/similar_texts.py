@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, keyed, staged
+from .common import attach, bitmap_of, components, keyed, marked, staged
 
-WORDS, SIMILARITY, BLOCK = 5, 0.8, 4096
+WORDS, SIMILARITY, BLOCK, TOGETHER = 5, 0.8, 4096, 64
 #: Documents that the order of shingles comes from, and the shingles that it puts last: bounds of a broadcast, not of the result.
 SAMPLE, OFTEN = 5_000, 100_000
 #: The small sketch goes with each row of a bucket; one of WIDE bits is looked up for pairs that pass the small one.
@@ -47,7 +47,7 @@ def shingles(body: bytes, n: int = WORDS) -> np.ndarray:
 def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to (key, shingles)."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["cls", "own"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingles(t.as_py()).view(np.int64)) for t in b.column(1)], pa.list_(pa.int64()))], names=["cls", "own"])
 
 
 def common_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,21 +103,40 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(texts.select("cls", "_text").mapInArrow(as_sets, "cls long, own array<long>").dropDuplicates(["cls"]), "shingle-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough; pairs are staged."""
+def compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows b, salt, a, own, sorted so that the set of b (a is null) comes before those of a: the pairs that are similar enough."""
+    end, mine = None, None
+    for batch in batches:
+        out = []
+        for b, salt, a, own in zip(*(batch.column(i) for i in range(4)), strict=True):
+            other = own.values.to_numpy()
+            if not a.is_valid:
+                end, mine = (b.as_py(), salt.as_py()), other
+            elif end == (b.as_py(), salt.as_py()):
+                at = np.minimum(np.searchsorted(mine, other), max(0, len(mine) - 1))
+                shared = int((mine[at] == other).sum()) if len(mine) else 0
+                if shared >= SIMILARITY * (len(mine) + len(other) - shared) - 1e-9:
+                    out.append((a.as_py(), end[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
 
-    def with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        """pairs with what table (cls, x) has of both ends, x and y; b may be the end of many."""
-        uses = pairs.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
-        held = staged(uses.join(table, "cls").select(F.col("cls").alias("b"), "w", F.col("x").alias("y")), "pair-ends")
-        return attach(pairs, held, ["b"], "w", pairs.count()).join(table.withColumnRenamed("cls", "a"), "a")
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough; pairs are staged.
 
-    wide = with_ends(pairs, classes.select("cls", F.struct("size", "wide").alias("x")))
+    Wide sketches first; then the set of b goes once to each group of TOGETHER of its pairs, and those of a to their pair.
+    """
+    wide = classes.select("cls", F.struct("size", "wide").alias("x"))
+    uses = pairs.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
+    held = staged(uses.join(wide, "cls").select(F.col("cls").alias("b"), "w", F.col("x").alias("y")), "pair-ends")
+    both = attach(pairs, held, ["b"], "w", pairs.count()).join(wide.withColumnRenamed("cls", "a"), "a")
     apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    pairs = staged(wide.where(apart <= F.lit(DIFFER) * (F.col("x.size") + F.col("y.size")) + 1e-9).select("a", "b"), "promising-pairs")
-    both = with_ends(pairs, sets_of(docs, classes, pairs).toDF("cls", "x"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return staged(both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"), "similar-pairs")
+    pairs = staged(both.where(apart <= F.lit(DIFFER) * (F.col("x.size") + F.col("y.size")) + 1e-9).select("a", "b", F.ceil(F.col("w") / TOGETHER).cast("int").alias("salts")), "promising-pairs")
+    sets = sets_of(docs, classes, pairs)
+    ends = pairs.select("b", "salts").distinct().join(sets.toDF("b", "own"), "b")
+    ends = ends.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "own")
+    rows = ends.union(pairs.join(sets.toDF("a", "own"), "a").select("b", F.pmod(F.hash("a"), F.col("salts")).alias("salt"), "a", "own"))
+    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+    return staged(rows.mapInArrow(compare_sets, "a long, b long"), "similar-pairs")
 
 
 def seeds(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -131,6 +150,20 @@ def seeds(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int],
     return verified(staged(same.union(near), "fingerprint-pairs"), docs, classes)
 
 
+def of_marked(bitmap: np.ndarray) -> Callable:
+    """cls, prefix: without the shingles that the bitmap tells are in no other prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            kept = marked(bitmap, flat)
+            cut = np.searchsorted(kept, ends).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat[kept]))], names=["cls", "prefix"])
+
+    return run
+
+
 def near_enough(size: Column, bits: list, size2: Column, bits2: list) -> Column:
     """False only for pairs that can't be similar enough."""
     apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits, bits2, strict=True)), F.lit(0))
@@ -176,10 +209,13 @@ def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
     """Edges (a, b) that join all classes similar to each other, directly or by others."""
     sure = seeds(docs, classes, close)
-    rows = classes.select("cls", "size", *SKETCH, F.explode("prefix").alias("h"))
+    counts = classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
+    twice = docs.sparkSession.sparkContext.broadcast(bitmap_of(staged(counts, "repeated-shingles").select("h")))
+    few = classes.select("cls", "prefix").mapInArrow(lambda batches: of_marked(twice.value)(batches), "cls long, prefix array<long>").where(F.size("prefix") > 0)
+    rows = staged(few.join(classes.select("cls", "size", *SKETCH), "cls").select("cls", "size", *SKETCH, F.explode("prefix").alias("h")), "prefix-shingles")
     one = F.struct("cls", "size", *SKETCH)
     buckets = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min(one).alias("least")).where("w > 1"), "shingle-buckets")
-    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    total = rows.count()
     met = staged(attach(rows, buckets, ["h"], "w", total), "bucket-members")
     near = near_enough(F.col("size"), [F.col(c) for c in SKETCH], F.col("least.size"), [F.col(f"least.{c}") for c in SKETCH])
     stars = met.where((F.col("cls") != F.col("least.cls")) & near).select(F.col("cls").alias("a"), F.col("least.cls").alias("b")).distinct()

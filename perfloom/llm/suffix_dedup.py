@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, staged
+from .common import bitmap_of, keyed, marked, staged
 
 SPAN, GRAM = 100, 24
 #: The quicksort takes SYMBOL bytes at a time, and this many in all: a right arm's anchor and two symbols, a left arm's two symbols.
@@ -37,8 +37,6 @@ SYMBOL, RIGHT, LEFT = 8, GRAM + 16, 16
 GROUP, SHARE = 2000, 1 << 18
 #: Strings of so many distances in a row from an anchor are dealt together by the bytes that all of them have.
 BUCKET = 8
-#: Bits of the anchor bitmap: 16 MB, whatever the input.
-BITMAP = 1 << 27
 #: A document is scanned in parts of this many positions, and parts are taken together up to this many: for bounded memory.
 PART = 1 << 18
 #: A map task compares its contexts when it holds this many.
@@ -127,20 +125,6 @@ def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["g", "n"])
 
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each hash (column g); what comes to the driver are at most BITMAP / 64 rows."""
-    bits = hashes.select(F.col("g").bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(BITMAP // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h & (BITMAP - 1)
-    return np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-
-
 def agree(a: bytes, b: bytes) -> int:
     """Length of the longest common prefix."""
     n = min(len(a), len(b))
@@ -424,7 +408,7 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts = docs.select("_text").mapInArrow(count_anchors, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     counts = staged(counts, "repeated-anchors")
-    twice = spark.sparkContext.broadcast(bitmap_of(counts))
+    twice = spark.sparkContext.broadcast(bitmap_of(counts.select(F.col("g").alias("h"))))
     rows = docs.mapInArrow(lambda batches: local(twice.value)(batches), ROWS)
     total, deal, covered = counts.agg(F.sum("n")).first()[0] or 0, True, None
     while True:
