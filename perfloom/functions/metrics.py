@@ -30,6 +30,10 @@ def succeeded(actual: Column, target: Column, error_rate: Column) -> Column:
     return (actual >= target * 0.9) & (error_rate < 0.05)
 
 
+def achievable(qps: Column, target: Column) -> Column:
+    return qps >= target * 0.9
+
+
 def threads_for(qps: Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(16), (qps / 90).cast("int") + 1))
 

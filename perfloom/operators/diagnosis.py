@@ -15,6 +15,7 @@ PROBLEMS = [
     (["memory leak", "内存泄漏", "leak"], "memory_leak"),
     (["deadlock", "死锁", "hang", "hung", "卡死", "无响应"], "deadlock"),
 ]
+#: Words of severe symptoms, of leaders and of clusters that are ready.
 CRITICAL, HIGH = ["段错误", "SIGSEGV", "SIGABRT", "OOM"], ["内存泄漏", "死锁", "leak", "deadlock"]
 LEADER = ["I am the leader", "become Leader", "elected as leader", "Leader election", "doHeartBeat()-Leader:", "Leader:{", "发送心跳"]
 READY = ["Leader election complete", "election complete", "Leader ready", "start to serve"]
@@ -54,3 +55,59 @@ def cluster_health(logs: DataFrame, by: str) -> DataFrame:
     a = logs.groupBy(by).agg(F.bool_or(any_of(c, LEADER)).alias("leader"), F.bool_or(any_of(c, READY)).alias("ready"), F.count(term).alias("n_terms"), F.count_distinct(term).alias("kinds"))
     reason = F.when(~F.col("leader"), "no_leader").when(~F.col("ready"), "not_ready").when(F.col("n_terms") < 3, "few_logs").when(F.col("kinds") == 1, "healthy").otherwise("terms_differ")
     return a.select(by, "leader", "ready", F.col("n_terms").cast("long").alias("n_terms"), reason.alias("reason"), (reason == "healthy").alias("healthy"))
+
+
+#: What to do about each problem: title, command.
+TEMPLATES = [
+    ("crash", 1, "使用 GDB 调试", "gdb ./binary core"),
+    ("crash", 2, "检查动态库依赖", "ldd ./binary"),
+    ("memory_leak", 1, "使用 Valgrind 检测", "valgrind --leak-check=full ./binary"),
+    ("memory_leak", 2, "使用 AddressSanitizer", "g++ -fsanitize=address -g main.cpp -o main"),
+    ("performance", 1, "生成火焰图", "perf record -F 99 -a -g -- sleep 30"),
+    ("performance", 2, "检查 CPU 使用", "top -bn1 | head -20"),
+]
+
+
+def listed(*cases: Column) -> Column:
+    """The cases that aren't null, as an array."""
+    return F.filter(F.array(*cases), lambda x: x.isNotNull())
+
+
+def output_symptoms(problem: Column, stdout: Column, stderr: Column) -> Column:
+    """Symptoms (fixed texts) that a command's output shows for a problem."""
+    low = F.lower(stderr)
+    return listed(
+        F.when((problem == "crash") & (stdout.contains("SIGSEGV") | stderr.contains("SIGSEGV")), "检测到段错误 (SIGSEGV)"),
+        F.when((problem == "crash") & (stdout.contains("SIGABRT") | stderr.contains("SIGABRT")), "检测到程序中止 (SIGABRT)"),
+        F.when((problem == "memory_leak") & low.contains("leak"), "Valgrind 检测到内存泄漏"),
+        F.when((problem == "page_fault") & (low.contains("oom") | low.contains("out of memory")), "系统内存不足 (OOM)"),
+    )
+
+
+def output_causes(problem: Column, stdout: Column, stderr: Column) -> Column:
+    """Root causes (fixed texts) that a command's output shows for a problem."""
+    lost = F.regexp_extract(stdout, r"(\d+,?\d*) bytes in", 1)
+    return listed(
+        F.when((problem == "crash") & stderr.contains("not found"), "缺少动态库依赖"),
+        F.when((problem == "crash") & stderr.contains("permission denied"), "文件权限不足"),
+        F.when((problem == "memory_leak") & stdout.contains("definitely lost") & (lost != ""), F.concat(F.lit("确定丢失内存: "), lost, F.lit(" bytes"))),
+        F.when((problem == "page_fault") & F.lower(stderr).contains("oom"), "系统物理内存耗尽，触发 OOM Killer"),
+    )
+
+
+def log_symptoms(logs: Column) -> Column:
+    """The first ten lines of an error log that aren't blank, 100 characters of each."""
+    first = F.slice(F.split(F.coalesce(logs, F.lit("")), "\n"), 1, 10)
+    return F.transform(F.filter(F.transform(first, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.concat(F.lit("日志错误: "), F.substring(x, 1, 100)))
+
+
+def repairs(outputs: DataFrame, by: str) -> DataFrame:
+    """by, priority, title, command: the templates of the problem, then one for each output that misses something.
+
+    outputs: by, problem (one per by), seq, stderr.
+    """
+    spark = outputs.sparkSession
+    dim = spark.createDataFrame(TEMPLATES, "problem string, priority int, title string, command string")
+    known = outputs.groupBy(by).agg(F.first("problem").alias("problem")).join(F.broadcast(dim), "problem").select(by, "priority", "title", "command")
+    missing = outputs.where(F.col("stderr").contains("not found")).select(by, F.lit(1).alias("priority"), F.lit("安装缺失依赖").alias("title"), F.concat(F.lit("# 检查具体缺失的库: "), "stderr").alias("command"))
+    return known.union(missing)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import succeeded
+from ..functions.metrics import succeeded, threads_for
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
@@ -92,11 +92,14 @@ def time_range(rows: DataFrame, start: str | None = None, end: str | None = None
     return rows if end is None else rows.where(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
 
 
-def record_summary(records: DataFrame) -> DataFrame:
-    """Runs, successes, and means over all records."""
+def record_summary(records: DataFrame, by: str | None = "system") -> DataFrame:
+    """Runs, successes, means, the best rate and the time of the last record by seq, of each system; without by one row, zeros for no records."""
     ok = succeeded(F.col("actual_qps"), F.col("target_qps"), F.col("error_rate"))
-    mean = lambda c: F.sum(F.col(c).cast("decimal(30,6)")).cast("double") / F.count(F.lit(1))
-    return records.groupBy("system").agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successes"), (F.count_if(ok) / F.count(F.lit(1)).cast("double")).alias("success_rate"), mean("actual_qps").alias("avg_qps"), mean("avg_latency").alias("avg_latency"), F.max("actual_qps").alias("max_qps"))
+    n = F.count(F.lit(1))
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c).cast("decimal(30,6)")).cast("double"), n), F.lit(0.0))
+    p99 = [mean("p99_latency").alias("avg_p99")] if "p99_latency" in records.columns else []
+    aggs = [n.alias("total"), F.count_if(ok).alias("successes"), F.coalesce(F.try_divide(F.count_if(ok).cast("double"), n), F.lit(0.0)).alias("success_rate"), mean("actual_qps").alias("avg_qps"), mean("avg_latency").alias("avg_latency"), *p99, F.coalesce(F.max("actual_qps"), F.lit(0.0)).alias("max_qps"), F.max_by("ts", "seq").alias("latest")]
+    return records.groupBy(*([by] if by else [])).agg(*aggs)
 
 
 def adoption_stats(records: DataFrame) -> DataFrame:
@@ -120,7 +123,14 @@ def saturation(levels: DataFrame, by: str) -> DataFrame:
 
 
 def optimal_config(levels: DataFrame, by: str) -> DataFrame:
-    """The successful level with an error rate under 5 % of the best score: rate over 400, and latency."""
+    """level, actual_qps, p99_latency, score, threads, ops of the successful level with an error rate under 5 % of the best score (rate over 400, and latency).
+
+    Without any: level, rate, latency and score 0, 4 threads, 100 operations.
+    """
     score = 0.6 * F.col("actual_qps") / 400 + 0.4 * (10.0 / (F.col("p99_latency") + 0.1))
-    good = levels.where("success and error_rate < 0.05").withColumn("score", score)
-    return good.groupBy(by).agg(F.max(F.struct("score", (-F.col("level")).alias("_l"), "level", "actual_qps")).alias("b")).select(by, "b.level", "b.actual_qps", "b.score")
+    good = F.col("success") & (F.col("error_rate") < 0.05)
+    b = F.max(F.when(good, F.struct(score.alias("score"), (-F.col("level")).alias("_l"), "level", "actual_qps", "p99_latency"))).alias("b")
+    zero = lambda c: F.coalesce(F.col(f"b.{c}"), F.lit(0)).alias(c)
+    none = F.col("b").isNull()
+    threads = F.when(none, 4).otherwise(threads_for(F.col("b.actual_qps"))).alias("threads")
+    return levels.groupBy(by).agg(b).select(by, zero("level"), zero("actual_qps"), zero("p99_latency"), zero("score"), threads, F.when(none, 100).otherwise(200).alias("ops"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 ITEM = "array<struct<title: string, description: string, pseudocode: string, priority: double, risk_level: string, expected_gain: string, steps: array<string>, confidence: double>>"
 FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
 HEADING = re.compile(r"^#{1,3}\s+(.+)$", re.M)
+#: How titles of suggestions look in answers that aren't JSON.
+LOOSE = [re.compile(r"(?:^|\n)#{1,3}\s*(优化|优化方案|建议)[:：]?\s*(.+)", re.M), re.compile(r"()(?:优化|优化方案|建议)\s*\d*[:：]\s*(.+)", re.M)]
 
 
 def _items(value: object) -> list | None:
@@ -27,36 +29,100 @@ def _load(text: str) -> list | None:
         return None
 
 
-def items(text: str | None) -> list[dict]:
-    """The whole as JSON; else the first fenced block that parses; else placeholders for the first three headings."""
+def typed(x: dict) -> dict:
+    num = lambda k, d: float(v) if isinstance(v := x.get(k, d), int | float) else d
+    txt = lambda k, d="": str(x.get(k, d) if x.get(k, d) is not None else "")
+    return {"title": txt("title"), "description": txt("description"), "pseudocode": txt("pseudocode"), "priority": num("priority", 3.0), "risk_level": txt("risk_level", "medium") if isinstance(x.get("risk_level", "medium"), str) else "medium", "expected_gain": txt("expected_gain"), "steps": [str(s) for s in x.get("implementation_steps") or []], "confidence": num("self_confidence", num("confidence", 0.5))}
+
+
+def loose(text: str) -> list[dict]:
+    """Placeholders for the first three different titles that look like suggestions (whole titles, for both patterns)."""
+    titles = [m[-1].strip() for p in LOOSE for m in p.findall(text)]
+    return [{"title": t, "description": "请参考完整响应获取详细分析", "pseudocode": "# 请参考完整响应", "expected_gain": "待评估", "implementation_steps": ["参考完整响应"], "confidence": 0.3} for t in list(dict.fromkeys(titles))[:3]]
+
+
+def items(text: str | None, *, or_loose: bool = False) -> list[dict]:
+    """The whole as JSON; else the first fenced block that parses; else placeholders for the first three headings; if nothing came of it and or_loose, loose()."""
     text = text or ""
     found = _load(text)
     if found is None:
         found = next((x for x in map(_load, FENCE.findall(text)) if x is not None), None)
     if found is None:
         found = [{"title": t.strip(), "description": "", "pseudocode": "# 无代码", "confidence": 0.3} for t in HEADING.findall(text)[:3]]
-    out = []
-    for x in found:
-        if isinstance(x, dict):
-            num = lambda k, d: float(v) if isinstance(v := x.get(k, d), int | float) else d  # noqa: E731, B023
-            txt = lambda k, d="": str(x.get(k, d) if x.get(k, d) is not None else "")  # noqa: E731, B023
-            out.append({"title": txt("title"), "description": txt("description"), "pseudocode": txt("pseudocode"), "priority": num("priority", 3.0), "risk_level": txt("risk_level", "medium") if isinstance(x.get("risk_level", "medium"), str) else "medium", "expected_gain": txt("expected_gain"), "steps": [str(s) for s in x.get("implementation_steps") or []], "confidence": num("self_confidence", num("confidence", 0.5))})
-    return out
+    out = [typed(x) for x in found if isinstance(x, dict)]
+    return [typed(x) for x in loose(text)] if or_loose and not out else out
+
+
+def command_items(text: str | None) -> list[dict]:
+    """Suggestions of a model asked by command: fences off, then an array, an object, or the widest braces or brackets in the text."""
+    body = (text or "").strip()
+    if body.startswith("```"):
+        body = re.sub(r"\s*```$", "", re.sub(r"(?m)^```json?\s*", "", body)).strip()
+    if not body.startswith(("[", "{")):
+        wide = re.search(r"\{[\s\S]*\}|\[[\s\S]*\]", text or "")
+        body = wide[0] if wide else "[]"
+    try:
+        data = json.loads(body)
+    except ValueError:
+        return []
+    if isinstance(data, dict):
+        if "optimization_suggestion" in data or "suggestion" in data:
+            title = str(data.get("optimization_suggestion", data.get("suggestion")) or "")
+            return [typed(data | {"title": title[:100] or "优化建议", "description": data.get("rationale", data.get("description", "")), "priority": 3, "risk_level": "medium", "expected_gain": data.get("expected_gain", "性能提升")})]
+        data = data.get("suggestions", data.get("data", []))
+    return [typed(x) for x in data if isinstance(x, dict)] if isinstance(data, list) else []
+
+
+def cleaned(text: str | None) -> str:
+    """JSON out of a fenced answer: its first part that starts like JSON, else its last; other answers as they are."""
+    body = (text or "").strip()
+    if not body.startswith("```"):
+        return body
+    parts = [p.strip() for p in body.split("```")]
+    parts = [p[4:].strip() if p.startswith("json") else p for p in parts]
+    return next((p for p in parts if p.startswith(("{", "["))), parts[-1])
+
+
+def decision(text: str | None) -> dict:
+    """A debate's outcome: final suggestions, code by location (those that name a line), whether any was accepted."""
+    try:
+        data = json.loads(cleaned(text))
+    except ValueError:
+        data = {}
+    data = data if isinstance(data, dict) else {}
+    final = [typed(x) for x in data.get("final_suggestions") or [] if isinstance(x, dict)]
+    places = {p["location"]: str(p.get("pseudocode", "")) for p in data.get("proposals") or [] if isinstance(p, dict) and ":" in str(p.get("location") or "")}
+    accepted = (data.get("decision_summary") or {}).get("accepted", 0)
+    return {"suggestions": final, "snippets": places, "consensus": isinstance(accepted, int | float) and accepted > 0}
+
 
+#: The ways to read an answer, by what gave it.
+WAYS = {"typed": items, "loose": lambda t: items(t, or_loose=True), "command": command_items}
 
-def parsed(text: Column) -> Column:
-    """items() of a text column, Arrow batches at a time."""
+
+def parsed(text: Column, way: str = "typed") -> Column:
+    """Suggestions of a text column, Arrow batches at a time; way: one of WAYS."""
+    read = WAYS[way]
 
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(items)
+        return texts.map(read)
 
     return F.pandas_udf(run, ITEM)(text)
 
 
-def suggestions_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
+def decided(text: Column) -> Column:
+    """decision() of a text column: suggestions, snippets (map), consensus."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decision(t) for t in texts], columns=["suggestions", "snippets", "consensus"])
+
+    return F.pandas_udf(run, f"suggestions {ITEM}, snippets map<string, string>, consensus boolean")(text)
+
+
+def suggestions_of(df: DataFrame, text: str, *keep: str, way: str = "typed") -> DataFrame:
     """One row per suggestion: priority clamped to 1 to 5, confidence to 0 to 1, unknown risks dropped."""
     from ..functions.metrics import confidence_clamped, priority_clamped
 
-    rows = df.select(*keep, F.posexplode(parsed(F.col(text))).alias("pos", "s")).select(*keep, "pos", "s.*")
+    rows = df.select(*keep, F.posexplode(parsed(F.col(text), way)).alias("pos", "s")).select(*keep, "pos", "s.*")
     risk: Column = F.lower(F.trim("risk_level"))
     return rows.where(risk.isin("low", "medium", "high")).withColumns({"risk_level": risk, "priority": priority_clamped(F.col("priority").cast("int")), "confidence": confidence_clamped(F.col("confidence"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from ..operators import diagnosis, history, parsers, responses, suggestions
+from ..operators import caches, diagnosis, history, parsers, reports, responses, suggestions, summaries
 from ..sources import sinks
 from ..sources import tables as S
 from ..streaming import observe
@@ -122,18 +122,18 @@ def q05_trend_half_split(spark, sf):
 
 @query(f"WITH {SNAP} SELECT ts, qps FROM snap ORDER BY ts DESC LIMIT 5")
 def q06_recent_topk(spark, sf):
-    return S.snapshots(spark, sf).select("ts", "qps").orderBy(F.desc("ts")).limit(5)
+    return summaries.latest(S.snapshots(spark, sf).select("ts", "qps"), 5)
 
 
 @query(f"""WITH {REC} SELECT system, count(*) AS total, count(*) FILTER (WHERE ok) AS successes, count(*) FILTER (WHERE ok) / count(*)::DOUBLE AS success_rate, sum(actual_qps::DECIMAL(30,6))::DOUBLE / count(*) AS avg_qps,
- sum(avg_latency::DECIMAL(30,6))::DOUBLE / count(*) AS avg_latency, max(actual_qps) AS max_qps FROM (SELECT *, actual_qps >= target_qps * 0.9e0 AND error_rate < 0.05e0 AS ok FROM rec) GROUP BY system""")
+ sum(avg_latency::DECIMAL(30,6))::DOUBLE / count(*) AS avg_latency, sum((avg_latency * 2)::DECIMAL(30,6))::DOUBLE / count(*) AS avg_p99, max(actual_qps) AS max_qps, arg_max(ts, seq) AS latest FROM (SELECT *, actual_qps >= target_qps * 0.9e0 AND error_rate < 0.05e0 AS ok FROM rec) GROUP BY system""")
 def q07_record_summary(spark, sf):
-    return history.record_summary(S.records(spark, sf))
+    return history.record_summary(S.records(spark, sf).withColumn("p99_latency", F.col("avg_latency") * 2))
 
 
 @query(f"WITH {REC} SELECT seq, system, actual_qps FROM rec ORDER BY actual_qps DESC, seq LIMIT 1")
 def q08_best_record(spark, sf):
-    return S.records(spark, sf).select("seq", "system", "actual_qps").orderBy(F.desc("actual_qps"), "seq").limit(1)
+    return summaries.best(S.records(spark, sf).select("seq", "system", "actual_qps"), "actual_qps", "seq")
 
 
 @query(f"WITH {SNAP} SELECT ts, qps FROM snap WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20'")
@@ -141,19 +141,28 @@ def q09_timerange(spark, sf):
     return history.time_range(S.snapshots(spark, sf), "2024-01-10 00:00:00", "2024-01-20 00:00:00").select("ts", "qps")
 
 
-@query(f"""WITH {SNAP}, c AS (SELECT ts, (CASE WHEN qps * 50000 >= 300 THEN 30 WHEN qps * 50000 >= 200 THEN 20 WHEN qps * 50000 >= 100 THEN 10 ELSE 0 END) + (CASE WHEN avg_latency <= 5 THEN 25 WHEN avg_latency <= 10 THEN 15 ELSE 0 END)
- + (CASE WHEN p99_latency <= 20 THEN 25 WHEN p99_latency <= 50 THEN 15 ELSE 0 END) + (CASE WHEN error_rate < 0.01e0 THEN 20 WHEN error_rate < 0.05e0 THEN 10 ELSE 0 END) AS score FROM snap)
-SELECT ts, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS grade FROM c""")
+#: Metrics that reach every branch of the rules, drawn from event ids.
+MET = "met AS (SELECT event_id, (event_id % 8) * 60e0 AS qps, (event_id % 7) * 2e0 AS avg_latency, (event_id % 9) * 8e0 AS p99_latency, (event_id % 10) / 100e0 AS error_rate, (event_id % 5) * 100e0 AS target_qps FROM events)"
+
+
+def _metrics(spark, sf):
+    k = F.col("event_id")
+    return S.table(spark, sf, "events").select("event_id", ((k % 8) * F.lit(60.0)).alias("qps"), ((k % 7) * F.lit(2.0)).alias("avg_latency"), ((k % 9) * F.lit(8.0)).alias("p99_latency"), ((k % 10) / F.lit(100.0)).alias("error_rate"), ((k % 5) * F.lit(100.0)).alias("target_qps"))
+
+
+@query(f"""WITH {MET}, c AS (SELECT event_id, (CASE WHEN qps >= 300 THEN 30 WHEN qps >= 200 THEN 20 WHEN qps >= 100 THEN 10 ELSE 0 END) + (CASE WHEN avg_latency <= 5 THEN 25 WHEN avg_latency <= 10 THEN 15 ELSE 0 END)
+ + (CASE WHEN p99_latency <= 20 THEN 25 WHEN p99_latency <= 50 THEN 15 ELSE 0 END) + (CASE WHEN error_rate < 0.01e0 THEN 20 WHEN error_rate < 0.05e0 THEN 10 ELSE 0 END) AS score, qps >= target_qps * 0.9e0 AS achievable FROM met)
+SELECT event_id, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS grade, achievable FROM c""")
 def q10_metric_scorecard(spark, sf):
-    s = M.score_card(F.col("qps") * 50000, F.col("avg_latency"), F.col("p99_latency"), F.col("error_rate"))
-    return S.snapshots(spark, sf).select("ts", s.alias("score")).withColumn("grade", M.grade(F.col("score")))
+    s = M.score_card(F.col("qps"), F.col("avg_latency"), F.col("p99_latency"), F.col("error_rate"))
+    return _metrics(spark, sf).select("event_id", s.alias("score"), M.grade(s).alias("grade"), M.achievable(F.col("qps"), F.col("target_qps")).alias("achievable"))
 
 
-@query(f"""WITH {SNAP} SELECT ts, CASE WHEN target_qps <= 0 THEN 0 ELSE (target_qps - qps) / target_qps * 100 END AS gap, error_rate < 0.01e0 AS healthy, qps >= target_qps * 0.9e0 AND error_rate < 0.05e0 AS success,
- greatest(2, least(16, trunc(qps * 100000 / 90)::INT + 1)) AS threads FROM snap""")
+@query(f"""WITH {MET} SELECT event_id, CASE WHEN target_qps <= 0 THEN 0 ELSE (target_qps - qps) / target_qps * 100 END AS gap, error_rate < 0.01e0 AS healthy, qps >= target_qps * 0.9e0 AND error_rate < 0.05e0 AS success,
+ greatest(2, least(16, trunc(qps * 10 / 90)::INT + 1)) AS threads FROM met""")
 def q11_gap_health(spark, sf):
     q, t, e = F.col("qps"), F.col("target_qps"), F.col("error_rate")
-    return S.snapshots(spark, sf).select("ts", M.gap_to_target(q, t).alias("gap"), M.is_healthy(e).alias("healthy"), M.succeeded(q, t, e).alias("success"), M.threads_for(q * 100000).alias("threads"))
+    return _metrics(spark, sf).select("event_id", M.gap_to_target(q, t).alias("gap"), M.is_healthy(e).alias("healthy"), M.succeeded(q, t, e).alias("success"), M.threads_for(q * 10).alias("threads"))
 
 
 @query("""SELECT o_orderpriority AS system, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS adopted, count(*) FILTER (WHERE l_linestatus = 'F') / count(*)::DOUBLE AS adoption_rate,
@@ -228,11 +237,9 @@ def q22_aggregate_end_to_end(spark, sf):
     return suggestions.aggregate(S.suggestions(spark, sf), S.model_history(spark, sf)).select("rank", "seq", "title", "source_model", "risk_level", "final_weight")
 
 
-@query(f"WITH {SUG} SELECT r.risk_level, count(seq) AS n, coalesce(max(priority), 0)::INT AS top_priority FROM (VALUES ('low'), ('medium'), ('high')) r(risk_level) LEFT JOIN sug USING (risk_level) GROUP BY 1")
+@query(f"WITH {SUG} SELECT r.pos, r.risk_level, count(seq) AS n, coalesce(max(priority), 0)::INT AS top_priority, coalesce(string_agg(title, '|' ORDER BY seq), '') AS titles FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'high')) r(pos, risk_level) LEFT JOIN sug USING (risk_level) GROUP BY 1, 2")
 def q23_group_by_risk(spark, sf):
-    levels = spark.createDataFrame([("low",), ("medium",), ("high",)], "risk_level string")
-    per = S.suggestions(spark, sf).groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), F.max("priority").alias("p"))
-    return levels.join(per, "risk_level", "left").select("risk_level", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0)).alias("top_priority"))
+    return summaries.grouped_by_risk(S.suggestions(spark, sf)).withColumn("titles", F.array_join("titles", "|"))
 
 
 @query(f"WITH {SUG} SELECT unnest(string_split(source_model || CASE WHEN seq % 9 = 0 THEN ' + extra' ELSE '' END, ' + ')) AS model, count(*) AS n FROM sug GROUP BY 1")
@@ -252,20 +259,31 @@ def q26_topic_groups(spark, sf):
     return suggestions.topics(S.suggestions(spark, sf))
 
 
-CHECKS = f"""WITH {SUG}, v AS (SELECT seq, risk_level, (coalesce(title, '') <> '')::INT + (coalesce(description, '') <> '')::INT + (coalesce(pseudocode, '') <> '')::INT + (priority BETWEEN 1 AND 5)::INT + (risk_level IN ('low', 'medium', 'high'))::INT
-  + (coalesce(expected_gain, '') NOT IN ('', '未知'))::INT + (n_steps > 0)::INT AS passed FROM sug), w AS (SELECT *, passed / 7e0 AS confidence, passed >= 7e0 * 0.7e0 AS is_valid FROM v)"""
+def _checked(spark, sf):
+    """Suggestions of which some lack what the checks ask for."""
+    k, n = F.col("seq"), S.suggestions(spark, sf)
+    return n.withColumns({"description": F.when(k % 3 == 0, "").otherwise(F.col("description")), "pseudocode": F.when(k % 4 == 0, "").otherwise(F.col("pseudocode")), "risk_level": F.when(k % 8 == 0, "odd").otherwise(F.col("risk_level")), "priority": F.when(k % 9 == 0, 9).otherwise(F.col("priority")), "expected_gain": F.when(k % 5 == 0, "未知").otherwise(F.col("expected_gain"))})
+
+
+CHECKS = f"""WITH {SUG}, chk AS (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN '' ELSE description END AS description, CASE WHEN seq % 4 = 0 THEN '' ELSE pseudocode END AS pseudocode, CASE WHEN seq % 8 = 0 THEN 'odd' ELSE risk_level END AS risk_level, CASE WHEN seq % 9 = 0 THEN 9 ELSE priority END AS priority, CASE WHEN seq % 5 = 0 THEN '未知' ELSE expected_gain END AS expected_gain) FROM sug),
+v AS (SELECT seq, risk_level, (coalesce(title, '') <> '')::INT + (coalesce(description, '') <> '')::INT + (coalesce(pseudocode, '') <> '')::INT + (priority BETWEEN 1 AND 5)::INT + (risk_level IN ('low', 'medium', 'high'))::INT
+  + (coalesce(expected_gain, '') NOT IN ('', '未知'))::INT + (n_steps > 0)::INT AS passed FROM chk), w AS (SELECT *, passed / 7e0 AS confidence, passed >= 7e0 * 0.7e0 AS is_valid FROM v)"""
 
 
 @query(f"{CHECKS} SELECT * FROM w")
 def q27_verify_checks(spark, sf):
-    return suggestions.verified(S.suggestions(spark, sf))
+    return suggestions.verified(_checked(spark, sf))
+
 
+@query(f"{CHECKS} SELECT seq, CASE risk_level WHEN 'low' THEN least(1e0, confidence + 0.1e0) WHEN 'high' THEN greatest(0e0, confidence - 0.1e0) ELSE confidence END AS confidence FROM w")
+def q99_verify_by_risk(spark, sf):
+    return suggestions.verified(_checked(spark, sf), strict_enum=True).select("seq", "confidence")
 
-@query(f"{CHECKS} SELECT count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE is_valid AND risk_level = 'low') AS low, count(*) FILTER (WHERE is_valid AND risk_level = 'high') AS high, sum(passed) FILTER (WHERE is_valid)::BIGINT AS checks_passed FROM w")
+
+@query(f"{CHECKS} SELECT count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE is_valid AND risk_level = 'low') AS low, count(*) FILTER (WHERE is_valid AND risk_level = 'medium') AS medium, count(*) FILTER (WHERE is_valid AND risk_level = 'high') AS high, (sum(passed) FILTER (WHERE is_valid))::BIGINT AS checks_passed, (sum(confidence::DECIMAL(30,12)) FILTER (WHERE is_valid))::DOUBLE / count(*) FILTER (WHERE is_valid) AS avg_confidence, (SELECT title FROM w JOIN sug USING (seq) ORDER BY w.confidence DESC, seq LIMIT 1) AS top_title, 25e0 AS gap_percent FROM w")
 def q28_verification_summary(spark, sf):
-    v = suggestions.verified(S.suggestions(spark, sf))
-    ok = F.col("is_valid")
-    return v.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("valid"), F.count_if(ok & (F.col("risk_level") == "low")).alias("low"), F.count_if(ok & (F.col("risk_level") == "high")).alias("high"), F.sum(F.when(ok, F.col("passed"))).cast("long").alias("checks_passed"))
+    s = _checked(spark, sf)
+    return summaries.verification_summary(suggestions.verified(s).join(s.select("seq", "title"), "seq"), 300, 400)
 
 
 #: Texts that bear keywords of every problem type.
@@ -302,9 +320,22 @@ def q31_diag_confidence(spark, sf):
     return diagnosis.confidence(c, "conv_id")
 
 
-@query(f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || description) AS t FROM sug), c AS (SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.CATEGORIES) + " ELSE 'other' END AS category FROM t) SELECT category, count(*) AS n FROM c GROUP BY 1")
+#: Words that lead to every category and every bottleneck, and one that leads to none.
+WORDS = ["Raft", "skiplist", "rpc", "mutex", "batch", "window", "lease", "fsync", "search", "timeout", "plain"]
+
+
+def _with_word(spark, sf):
+    """Suggestions without description, whose titles end in one of the words."""
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("seq") % len(WORDS)).cast("int") + 1)
+    return S.suggestions(spark, sf).withColumns({"title": word, "description": F.substring_index("title", " ", 1)})
+
+
+WORDY = f"WITH {SUG}, t AS (SELECT seq, lower({stop(WORDS)}[(seq % {len(WORDS)})::INT + 1] || ' ' || string_split(title, ' ')[1]) AS t FROM sug)"
+
+
+@query(f"{WORDY}, c AS (SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.CATEGORIES) + " ELSE 'other' END AS category FROM t) SELECT category, count(*) AS n FROM c GROUP BY 1")
 def q32_category_buckets(spark, sf):
-    return suggestions.categories(S.suggestions(spark, sf)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return suggestions.categories(_with_word(spark, sf)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 TEXT_STD = "'QPS: ' || event_id || '.5' || chr(10) || 'Avg Latency: ' || (event_id % 97) || '.25 ms' || chr(10) || 'P99 Latency: ' || (event_id % 301) || ' ms' || chr(10) || 'Error Rate: ' || (event_id % 7) || '%'"
@@ -365,8 +396,9 @@ def q39_saturation_takewhile(spark, sf):
     return history.saturation(_levels(spark, sf), "brand")
 
 
-@query(f"""WITH {LEVELS}, s AS (SELECT *, 0.6e0 * actual_qps / 400 + 0.4e0 * (10e0 / (p99_latency + 0.1e0)) AS score FROM lev WHERE success AND error_rate < 0.05e0)
-SELECT brand, level, actual_qps, score FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, level) AS r FROM s) WHERE r = 1""")
+@query(f"""WITH {LEVELS}, s AS (SELECT *, 0.6e0 * actual_qps / 400 + 0.4e0 * (10e0 / (p99_latency + 0.1e0)) AS score FROM lev WHERE success AND error_rate < 0.05e0), t AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, level) AS r FROM s)
+SELECT b.brand, coalesce(level, 0) AS level, coalesce(actual_qps, 0) AS actual_qps, coalesce(p99_latency, 0) AS p99_latency, coalesce(score, 0) AS score, CASE WHEN level IS NULL THEN 4 ELSE greatest(2, least(16, trunc(actual_qps / 90)::INT + 1)) END AS threads, CASE WHEN level IS NULL THEN 100 ELSE 200 END AS ops
+FROM (SELECT DISTINCT brand FROM lev) b LEFT JOIN t ON t.brand = b.brand AND r = 1""")
 def q40_optimal_config(spark, sf):
     return history.optimal_config(_levels(spark, sf), "brand")
 
@@ -399,12 +431,21 @@ def q44_location_left_join(spark, sf):
     return s.join(p.withColumn("found", F.lit(True)), "page_id", "left").select("seq", F.coalesce("found", F.lit(False)).alias("found"), "url")
 
 
-@query(f"WITH {SUG} SELECT seq, trim(pseudocode) = '' AS blank, len(pseudocode) - len(replace(pseudocode, '{{', '')) = len(pseudocode) - len(replace(pseudocode, '}}', '')) AS braces, true AS parens, true AS brackets, false AS loop_lock, false AS delete_lock, false AS memcpy FROM sug")
+CODES = ["f(a", "x[1]]", "while (lock(m)) {}", "delete p; Lock(m)", "memcpy(a, b)", "  ", "{ (", "int x;"]
+
+
+def _count_sql(ch: str) -> str:
+    return f"len(c) - len(replace(c, '{ch}', ''))"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS seq, {stop(CODES)}[(doc_id % 8)::INT + 1] AS c FROM documents) SELECT seq, trim(c) = '' AS blank, {_count_sql('{')} = {_count_sql('}')} AS braces, {_count_sql('(')} = {_count_sql(')')} AS parens, {_count_sql('[')} = {_count_sql(']')} AS brackets,
+ contains(c, 'while') AND contains(lower(c), 'lock') AS loop_lock, contains(c, 'delete') AND contains(lower(c), 'lock') AS delete_lock, contains(c, 'memcpy') AS memcpy FROM d""")
 def q45_syntax_checks(spark, sf):
-    return S.suggestions(spark, sf).select("seq", suggestions.syntax_checks(F.col("pseudocode")).alias("c")).select("seq", "c.*")
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("seq") % 8).cast("int") + 1)
+    return S.suggestions(spark, sf).select("seq", suggestions.syntax_checks(code).alias("c")).select("seq", "c.*")
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, least(6, len(l)) + 1), lambda i: (CASE WHEN i = 3 THEN '>>> ' ELSE '    ' END) || lpad(i::VARCHAR, 4, ' ') || ': ' || l[i]), chr(10)) AS snippet FROM l""")
 def q46_snippet_slice(spark, sf):
     return parsers.snippet(S.table(spark, sf, "documents").select("doc_id", "text"), "text", F.lit(3)).select("doc_id", "snippet")
 
@@ -433,10 +474,10 @@ def q50_stream_daily_counts(spark, sf):
     return observe.replay(spark, sf)
 
 
-@query(f"WITH {SUG} SELECT seq, CASE WHEN contains(source_model, '1') THEN 1.2e0 ELSE 0.7e0 END AS weight FROM sug")
+@query(f"WITH {SUG} SELECT seq, CASE WHEN contains(source_model, '1') THEN 1.2e0 ELSE 0.7e0 END AS weight, [1.5e0, 1.3e0, 0.9e0, 1.2e0][(seq % 4)::INT + 1] AS claude_weight FROM sug")
 def q51_default_weights(spark, sf):
     name = F.when(F.col("source_model").contains("1"), F.concat(F.lit("GPT-4-"), "source_model")).otherwise(F.col("source_model"))
-    return S.suggestions(spark, sf).select("seq", M.default_weight(name).alias("weight"))
+    return S.suggestions(spark, sf).select("seq", M.default_weight(name).alias("weight"), M.default_weight(F.element_at(F.array(*map(F.lit, ["Claude-Opus", "claude-sonnet-x", "haiku", "other"])), (F.col("seq") % 4).cast("int") + 1), claude_like=True).alias("claude_weight"))
 
 
 @query("SELECT event_id, (event_id % 900 + 1) / 2e0 AS qps, (event_id % 50) / 1000e0 AS avg_latency, (event_id % 50) / 1000e0 * 0.8e0 AS p50_latency, (event_id % 50) / 1000e0 * 2 AS p99_latency FROM events")
@@ -445,7 +486,8 @@ def q52_parse_redis(spark, sf):
     return parsers.redis_metrics(_output(spark, sf, text), "output").drop("output")
 
 
-@query()
+@query(f"""WITH {SUG}, {SETS}, r AS (SELECT *, row_number() OVER (ORDER BY CASE risk_level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, final_weight DESC, priority DESC, seq)::INT AS rank FROM weights WHERE {GOOD} ORDER BY rank LIMIT 5)
+SELECT '# Suggestions' || chr(10) || chr(10) || string_agg('## ' || rank || '. ' || title || chr(10) || chr(10) || '- model: ' || source_model || chr(10) || '- risk: ' || risk_level || chr(10) || '- priority: ' || priority || chr(10) || chr(10) || description || chr(10), chr(10) ORDER BY rank) AS report FROM r""")
 def q53_markdown_report(spark, sf):
     return sinks.markdown_report("Suggestions", suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), 5))
 
@@ -465,8 +507,7 @@ def q55_status_ratios(spark, sf):
 
 @query(f"""WITH {SNAP} SELECT count(*) AS n, sum(qps::DECIMAL(30,12))::DOUBLE / count(*) AS avg_qps, max(qps) AS max_qps, min(qps) AS min_qps, sum(avg_latency::DECIMAL(30,12))::DOUBLE / count(*) AS avg_latency, count(*) * 60e0 AS duration FROM snap""")
 def q56_sample_summary(spark, sf):
-    mean = lambda c: F.sum(F.col(c).cast("decimal(30,12)")).cast("double") / F.count(F.lit(1))
-    return S.snapshots(spark, sf).agg(F.count(F.lit(1)).alias("n"), mean("qps").alias("avg_qps"), F.max("qps").alias("max_qps"), F.min("qps").alias("min_qps"), mean("avg_latency").alias("avg_latency"), (F.count(F.lit(1)) * F.lit(60.0)).alias("duration"))
+    return summaries.sample_summary(S.snapshots(spark, sf))
 
 
 @query(f"""WITH {SUG}, {SETS} SELECT seq, priority, final_weight, row_number() OVER (ORDER BY final_weight DESC, priority DESC, seq)::INT AS rank FROM weights WHERE risk_level = 'medium' AND priority >= 4 ORDER BY rank LIMIT 5""")
@@ -479,9 +520,9 @@ def q58_roadmap(spark, sf):
     return suggestions.roadmap(S.suggestions(spark, sf)).select("seq", "risk_level", "priority", "step")
 
 
-@query(f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || description) AS t FROM sug) SELECT seq, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.BOTTLENECKS) + " END AS file FROM t")
+@query(f"{WORDY} SELECT seq, CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.BOTTLENECKS) + " ELSE 'none' END AS file FROM t")
 def q59_bottleneck_file(spark, sf):
-    return suggestions.related_file(S.suggestions(spark, sf)).select("seq", "file")
+    return suggestions.related_file(_with_word(spark, sf)).select("seq", F.coalesce("file", F.lit("none")).alias("file"))
 
 
 def _with_term(spark, sf):
@@ -494,26 +535,259 @@ def q60_technical_terms(spark, sf):
     return _with_term(spark, sf).select("seq", F.explode(suggestions.terms(F.concat_ws(" ", "title", "description"))).alias("term"))
 
 
-@query()
+@query(f"""WITH {SUG}, term AS (SELECT unnest({stop(suggestions.TERMS)}) AS term, generate_subscripts({stop(suggestions.TERMS)}, 1) AS no), mine AS (SELECT seq, term, no FROM sug JOIN term ON contains(lower(title || ' ' || {stop(suggestions.TERMS)}[(seq % 21)::INT + 1] || ' ' || description), lower(term))),
+f AS (SELECT conv_id::VARCHAR AS path, string_split(string_agg(text, chr(10) ORDER BY turn, text) || chr(10) || 'the log of a Batch' || chr(10) || 'end', chr(10)) AS l FROM conversations GROUP BY 1), n AS (SELECT path, l, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM f),
+h AS (SELECT path, term, min(pos) AS pos, any_value(l) AS l FROM n JOIN term ON contains(lower(line), lower(term)) GROUP BY 1, 2), b AS (SELECT seq, path, h.pos, l, row_number() OVER (PARTITION BY seq ORDER BY path, no, h.pos) AS k FROM mine JOIN h USING (term))
+SELECT seq, path, pos::INT AS pos, array_to_string(l[greatest(pos - 1, 1):least(pos + 5, len(l))], chr(10)) AS code FROM b WHERE k = 1""")
 def q61_related_code(spark, sf):
     files = S.table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n").alias("content"))
     files = files.withColumn("content", F.concat("content", F.lit("\nthe log of a Batch\nend")))
     return suggestions.related_code(_with_term(spark, sf), files)
 
 
-@query(f"""WITH {SNAP} SELECT ts, list_filter([CASE WHEN qps * 50000 >= 350 THEN 'qps' END, CASE WHEN avg_latency <= 5 THEN 'avg_latency' END, CASE WHEN p99_latency <= 15 THEN 'p99_latency' END, CASE WHEN error_rate < 0.01e0 THEN 'error_rate' END], lambda x: x IS NOT NULL).len() AS strong,
- list_filter([CASE WHEN qps * 50000 < 200 THEN 'qps' END, CASE WHEN avg_latency > 10 THEN 'avg_latency' END, CASE WHEN p99_latency > 50 THEN 'p99_latency' END, CASE WHEN error_rate > 0.05e0 THEN 'error_rate' END], lambda x: x IS NOT NULL).len() AS weak FROM snap""")
+@query(f"""WITH {MET} SELECT event_id, array_to_string(list_filter([CASE WHEN qps >= 350 THEN 'qps' END, CASE WHEN avg_latency <= 5 THEN 'avg_latency' END, CASE WHEN p99_latency <= 15 THEN 'p99_latency' END, CASE WHEN error_rate < 0.01e0 THEN 'error_rate' END], lambda x: x IS NOT NULL), '|') AS strong,
+ array_to_string(list_filter([CASE WHEN qps < 200 THEN 'qps' END, CASE WHEN avg_latency > 10 THEN 'avg_latency' END, CASE WHEN p99_latency > 50 THEN 'p99_latency' END, CASE WHEN error_rate > 0.05e0 THEN 'error_rate' END], lambda x: x IS NOT NULL), '|') AS weak FROM met""")
 def q62_strengths(spark, sf):
-    c = (F.col("qps") * 50000, F.col("avg_latency"), F.col("p99_latency"), F.col("error_rate"))
-    return S.snapshots(spark, sf).select("ts", F.size(M.strengths(*c)).cast("long").alias("strong"), F.size(M.bottlenecks(*c)).cast("long").alias("weak"))
+    c = [F.col(x) for x in ("qps", "avg_latency", "p99_latency", "error_rate")]
+    return _metrics(spark, sf).select("event_id", F.array_join(M.strengths(*c), "|").alias("strong"), F.array_join(M.bottlenecks(*c), "|").alias("weak"))
 
 
-@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
+@query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant')")
 def q63_enabled_models(spark, sf):
-    return S.table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant")).groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"))
+    return summaries.named(S.table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["user", "assistant"], "role")
 
 
-@query("SELECT turn, role, n FROM (SELECT turn, role, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY turn) AS r FROM conversations GROUP BY 1, 2) WHERE r <= 10")
+@query("SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r = 1) WHERE k <= 10")
 def q64_distinct_commands_capped(spark, sf):
-    c = S.table(spark, sf, "conversations").groupBy("turn", "role").agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("role").orderBy("turn"))).where("r <= 10").drop("r")
+    return summaries.first_distinct(S.table(spark, sf, "conversations").select("conv_id", "role", "turn"), "role", ["turn"], 10, ["conv_id"])
+
+
+MIXED = "CASE event_id % 5 WHEN 0 THEN 'QPS: ' || event_id || chr(10) || '错误率: ' || event_id % 9 WHEN 1 THEN 'p95 延迟: 7.5 ms, Error Rate: 3%' WHEN 2 THEN 'Error Rate: ' || event_id % 9 || '%' WHEN 3 THEN 'Throughput: ' || event_id || ' Median latency: 3.5' ELSE 'nothing' END"
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 3) THEN event_id::DOUBLE ELSE 0 END AS qps, 0e0 AS avg_latency, CASE WHEN event_id % 5 = 3 THEN 3.5e0 ELSE 0 END AS p50_latency, 0e0 AS p99_latency,
+ CASE WHEN event_id % 5 IN (0, 2) THEN CASE WHEN event_id % 9 > 1 THEN (event_id % 9) / 100e0 ELSE (event_id % 9)::DOUBLE END ELSE 0 END AS error_rate FROM events""")
+def q65_parse_bench_mixed(spark, sf):
+    return parsers.bench_metrics(_output(spark, sf, MIXED), "output").drop("output")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (event_id + 10) / 2.5e0 ELSE 77 END AS qps, CASE WHEN event_id % 2 = 0 THEN (event_id % 30) + 0.5e0 ELSE 0 END AS avg_latency, 0e0 AS p50_latency, 0e0 AS p99_latency, 0e0 AS error_rate FROM events")
+def q66_parse_sysbench(spark, sf):
+    text = "CASE WHEN event_id % 2 = 0 THEN 'requests: ' || (event_id + 10) || ' in 2.5s' ELSE 'QPS: 77 requests: 1 in 1s' END || chr(10) || 'avg: ' || event_id % 30 || '.5  min: 0.1'"
+    return parsers.sysbench_metrics(_output(spark, sf, text), "output").drop("output")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN event_id % 50 ELSE -1 END AS term, event_id AS last_log_index, CASE WHEN event_id % 4 <> 2 THEN event_id % 7 ELSE -1 END AS commit_index, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END::INT AS n_errors, CASE WHEN event_id % 3 = 0 THEN 'ERROR a' || event_id END AS first_error FROM events""")
+def q67_node_status(spark, sf):
+    text = "CASE WHEN event_id % 4 <> 3 THEN 'term{' || event_id % 50 || '}' ELSE '' END || ' lastLogIndex: ' || event_id || CASE WHEN event_id % 4 <> 2 THEN ' commitIndex=' || event_id % 7 ELSE '' END || CASE WHEN event_id % 3 = 0 THEN chr(10) || '  ERROR a' || event_id || chr(10) || 'error b' || chr(10) || 'WRONG c' ELSE '' END"
+    n = parsers.node_status(_output(spark, sf, text), "event_id", "output")
+    return n.select("event_id", F.coalesce("term", F.lit(-1)).alias("term"), "last_log_index", F.coalesce("commit_index", F.lit(-1)).alias("commit_index"), F.size("errors").alias("n_errors"), F.get("errors", 0).alias("first_error"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'SIGSEGV' WHEN 1 THEN 'SIGABRT' END AS signal, (event_id % 3)::INT AS frames, 2::INT AS threads, CASE WHEN event_id % 3 > 0 THEN 'f' || event_id END AS top_function,
+ CASE event_id % 3 WHEN 0 THEN '段错误 (SIGSEGV)' WHEN 1 THEN '程序中止 (SIGABRT)|查看崩溃函数' ELSE '查看崩溃函数' END AS advice FROM events""")
+def q68_gdb_report(spark, sf):
+    text = "CASE event_id % 3 WHEN 0 THEN 'Signal: SIGFPE' || chr(10) || 'Program terminated with signal SIGSEGV' WHEN 1 THEN 'Signal: SIGABRT' ELSE 'fine' END || chr(10) || '=== BACKTRACE ===' || repeat(chr(10) || '#0  0x1f in f' || event_id || ' ()', CAST(event_id % 3 AS INT)) || chr(10) || '#9  0x1f in g (x=1)' || chr(10) || '=== THREAD INFO ===' || chr(10) || '* 1 a' || chr(10) || '  2 b' || chr(10) || '=== END'"
+    return parsers.gdb_report(_output(spark, sf, text), "output", "event_id").withColumn("advice", F.array_join("advice", "|"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN '%Cpu(s): ' || event_id % 4 || ' us' END AS snapshot, (event_id % 3)::INT AS n FROM events")
+def q69_top_lines(spark, sf):
+    text = "CASE WHEN event_id % 4 > 0 THEN '%Cpu(s): 9 us' || chr(10) || '%Cpu(s): ' || event_id % 4 || ' us' || chr(10) ELSE '' END || 'bash 1.0' || repeat(chr(10) || ' 77 kvserver 3.0', CAST(event_id % 3 AS INT))"
+    return parsers.cpu_lines(_output(spark, sf, text), "output", "event_id", "kvserver").select("event_id", "snapshot", F.size("processes").alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'libm' || event_id || '.so => not found' ELSE '' END AS missing, CASE WHEN event_id % 5 > 0 THEN (event_id % 60) || 'Gi' END AS available FROM events")
+def q70_libraries_and_memory(spark, sf):
+    ldd = "'libc.so.6 => /lib/libc.so.6 (0x7f)' || CASE WHEN event_id % 2 = 0 THEN chr(10) || '\tlibm' || event_id || '.so => not found' ELSE '' END"
+    free = "'total used free' || CASE WHEN event_id % 5 > 0 THEN chr(10) || 'Mem:  62Gi 4Gi 50Gi 1Mi 3Gi ' || event_id % 60 || 'Gi' ELSE '' END || chr(10) || 'Swap: 0B 0B 0B'"
+    e = S.table(spark, sf, "events").select("event_id", F.expr(ldd).alias("ldd"), F.expr(free).alias("free"))
+    return e.select("event_id", F.array_join(parsers.missing_libraries(F.col("ldd")), "|").alias("missing"), parsers.available_memory(F.col("free")).alias("available"))
+
+
+@query("SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type <> 'view') = 0 THEN 10e0 ELSE list_sort(list((event_id % 1000) / 1000e0) FILTER (WHERE event_type <> 'view'))[least(floor((count(*) FILTER (WHERE event_type <> 'view')) * 0.99e0)::INT, (count(*) FILTER (WHERE event_type <> 'view'))::INT - 1) + 1] * 1000 END AS p99_ms FROM events GROUP BY 1")
+def q71_slow_log_p99(spark, sf):
+    e = S.table(spark, sf, "events")
+    line = F.when(F.col("event_type") != "view", F.concat(F.lit("# Query_time: 0."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit("  Lock_time: 0"))).otherwise("SELECT 1")
+    return parsers.p99_or_default(parsers.slow_times(e.select("user_id", line.alias("line")), F.col("line"), "user_id"), e.select("user_id").distinct(), "user_id")
+
+
+CASES = [("crash", "SIGSEGV in f", "libx not found, permission denied"), ("memory_leak", "definitely lost: 4,096 bytes in 2 blocks", "Leak summary"), ("page_fault", "", "OOM killer"), ("performance", "SIGSEGV", "leak not found")]
+
+
+def _cases(spark, sf):
+    dim = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "k long, problem string, stdout string, stderr string")
+    return S.table(spark, sf, "conversations").where("turn = 0").select("conv_id", (F.col("conv_id") % 4).alias("k"), "text").join(F.broadcast(dim), "k")
+
+
+@query("""SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN '检测到段错误 (SIGSEGV)' WHEN 1 THEN 'Valgrind 检测到内存泄漏' WHEN 2 THEN '系统内存不足 (OOM)' ELSE '' END AS symptoms, CASE conv_id % 4 WHEN 0 THEN '缺少动态库依赖|文件权限不足' WHEN 1 THEN '确定丢失内存: 4,096 bytes' WHEN 2 THEN '系统物理内存耗尽，触发 OOM Killer' ELSE '' END AS causes,
+ CASE WHEN trim(string_split(text, chr(10))[1]) <> '' THEN '日志错误: ' || substring(trim(string_split(text, chr(10))[1]), 1, 100) END AS first_log FROM conversations WHERE turn = 0""")
+def q72_symptoms_and_causes(spark, sf):
+    c, args = _cases(spark, sf), [F.col(x) for x in ("problem", "stdout", "stderr")]
+    first = F.get(diagnosis.log_symptoms(F.substring_index("text", "\n", 1)), 0)
+    return c.select("conv_id", F.array_join(diagnosis.output_symptoms(*args), "|").alias("symptoms"), F.array_join(diagnosis.output_causes(*args), "|").alias("causes"), first.alias("first_log"))
+
+
+@query(f"""WITH t(problem, priority, title, command) AS (VALUES {", ".join(f"('{p}', {n}, '{t}', '{c}')" for p, n, t, c in diagnosis.TEMPLATES)}), c AS (SELECT conv_id, ['crash', 'memory_leak', 'page_fault', 'performance'][(conv_id % 4)::INT + 1] AS problem FROM conversations WHERE turn = 0)
+SELECT conv_id, priority, title, command FROM c JOIN t USING (problem) UNION ALL SELECT conv_id, 1, '安装缺失依赖', '# 检查具体缺失的库: ' || CASE problem WHEN 'crash' THEN '{CASES[0][2]}' ELSE '{CASES[3][2]}' END FROM c WHERE problem IN ('crash', 'performance')""")
+def q73_repairs(spark, sf):
+    return diagnosis.repairs(_cases(spark, sf), "conv_id")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 't' || event_id WHEN 1 THEN '优化建议' WHEN 2 THEN 'u' || event_id END AS title, CASE event_id % 4 WHEN 1 THEN 3 ELSE 2 END::INT AS priority FROM events WHERE event_id % 4 <> 3""")
+def q74_command_responses(spark, sf):
+    text = """CASE event_id % 4 WHEN 0 THEN '```json\n[{"title": "t' || event_id || '", "priority": 2}]\n```' WHEN 1 THEN '{"suggestion": "", "rationale": "r"}' WHEN 2 THEN 'see: {"data": [{"title": "u' || event_id || '", "priority": 2}]} end' ELSE 'no json' END"""
+    return responses.suggestions_of(_output(spark, sf, text), "output", "event_id", way="command").select("event_id", "title", "priority")
+
+
+@query("SELECT event_id, pos::INT AS pos, CASE WHEN event_id % 2 = 0 THEN ['批处理', '缓存'][pos + 1] ELSE 'x' || event_id END AS title, 0.3e0 AS confidence FROM events, (VALUES (0), (1)) v(pos) WHERE event_id % 2 = 0 OR pos = 0")
+def q75_loose_responses(spark, sf):
+    text = "CASE WHEN event_id % 2 = 0 THEN '{}' || chr(10) || '建议1：批处理' || chr(10) || '优化: 缓存' || chr(10) || '建议: 批处理' ELSE '[] 优化方案 2: x' || event_id END"
+    text = text.replace("'{}' || chr(10) || ", "'plain answer' || chr(10) || ")
+    return responses.suggestions_of(_output(spark, sf, text), "output", "event_id", way="loose").select("event_id", "pos", "title", "confidence")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 1 ELSE 0 END::INT AS n, CASE WHEN event_id % 3 < 2 THEN 'a.cpp:' || event_id END AS place, event_id % 3 = 0 AS consensus FROM events")
+def q76_debate_outcome(spark, sf):
+    body = """'{"final_suggestions": [{"title": "t"}], "decision_summary": {"accepted": ' || CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END || '}, "proposals": [{"location": "a.cpp:' || event_id || '", "pseudocode": "p"}, {"location": "nowhere"}]}'"""
+    text = f"CASE event_id % 3 WHEN 0 THEN {body} WHEN 1 THEN '```json\n' || {body} || '\n```' ELSE '```\nbroken' END"
+    d = _output(spark, sf, text).select("event_id", responses.decided(F.col("output")).alias("d"))
+    return d.select("event_id", F.size("d.suggestions").alias("n"), F.get(F.map_keys("d.snippets"), 0).alias("place"), "d.consensus")
+
+
+@query("SELECT role || conv_id AS model_name, pos::INT AS pos, turn, conv_id % 5 AS priority FROM (SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn) - 1 AS pos FROM conversations) WHERE conv_id % 7 <> 0")
+def q77_collected_results(spark, sf):
+    c = S.table(spark, sf, "conversations").groupBy("role", "conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.col("conv_id") % 5).alias("priority")))).alias("suggestions"))
+    failed = c.select(F.lit("none").alias("model_name"), F.slice("suggestions", 1, 0).alias("suggestions"), F.lit(None).cast("string").alias("error"))
+    r = c.select(F.concat("role", F.col("conv_id").cast("string")).alias("model_name"), "suggestions", F.when(F.col("conv_id") % 7 == 0, "timeout").alias("error"))
+    return summaries.collected(summaries.bag_union(r, failed))
+
+
+@query(f"WITH {SUG}, {SETS} SELECT count(*) FILTER (WHERE final_weight > 0.5e0) AS high_confidence, count(*) FILTER (WHERE NOT final_weight > 0.5e0) AS low_confidence, bool_or(final_weight > 0.5e0) AS valid, count(*) FILTER (WHERE final_weight > 0.5e0)::DOUBLE / count(*) AS consensus_score, count(DISTINCT array_to_string(string_split(lower(title), ' ')[1:2], ' ')) AS topic_groups FROM weights")
+def q78_cross_validation(spark, sf):
+    return summaries.cross_validation(_weighted(spark, sf))
+
+
+@query(f"WITH {REC} SELECT count(*) AS total_runs, count(*) FILTER (WHERE error_rate < 0.4e0) AS successful_runs, (sum(actual_qps::DECIMAL(30,12)) FILTER (WHERE error_rate < 0.4e0))::DOUBLE / count(*) FILTER (WHERE error_rate < 0.4e0) AS avg_qps, max(actual_qps) FILTER (WHERE error_rate < 0.4e0) AS best_qps FROM rec")
+def q79_suite_summary(spark, sf):
+    return summaries.suite_summary(S.records(spark, sf).select(F.col("actual_qps").alias("qps"), (F.col("error_rate") < 0.4).alias("success")))
+
+
+@query(f"{CHECKS} SELECT count(*) AS n, count(*) FILTER (WHERE is_valid) AS valid, sum(confidence::DECIMAL(30,12))::DOUBLE / count(*) AS avg_confidence, max(confidence) AS highest_confidence, 'high risk|no steps' AS issues FROM w")
+def q80_agent_summary(spark, sf):
+    s = _checked(spark, sf)
+    issues = F.filter(F.array(F.when(F.col("risk_level") == "high", "high risk"), F.when(F.col("n_steps") == 0, "no steps")), lambda x: x.isNotNull())
+    v = suggestions.verified(s).join(s.select("seq", issues.alias("issues")), "seq")
+    return summaries.agent_summary(v).withColumn("issues", F.array_join("issues", "|"))
+
+
+def _ranked(spark, sf, k: int = 20):
+    return suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), k)
+
+
+RANKED = f"""WITH {SUG}, {SETS}, r AS (SELECT *, row_number() OVER (ORDER BY CASE risk_level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, final_weight DESC, priority DESC, seq)::INT AS rank FROM weights WHERE {GOOD} ORDER BY rank LIMIT 20)"""
+
+
+@query(f"""{RANKED}, h AS (SELECT *, row_number() OVER (ORDER BY priority DESC, rank) AS k FROM r), l AS (SELECT * FROM r WHERE risk_level = 'low' ORDER BY rank LIMIT 1)
+SELECT 0::INT AS pos, '优先解决基础瓶颈' AS action, 'high' AS priority, '系统评分较低，建议先从低风险优化入手' AS details UNION ALL SELECT 1, '立即实施 ' || title, 'high', '低风险优化，可快速验证效果' FROM l UNION ALL SELECT (k + 1)::INT, title, 'medium', '优先级 ' || priority || '，预期 ' || expected_gain FROM h WHERE k <= 2""")
+def q81_action_items(spark, sf):
+    return summaries.action_items(_ranked(spark, sf), 45)
+
+
+@query(f"WITH {SUG} SELECT seq, priority * CASE risk_level WHEN 'low' THEN 1.2e0 WHEN 'high' THEN 0.7e0 ELSE 1e0 END AS score, row_number() OVER (ORDER BY priority * CASE risk_level WHEN 'low' THEN 1.2e0 WHEN 'high' THEN 0.7e0 ELSE 1e0 END DESC, seq)::INT AS rank FROM sug")
+def q82_debate_order(spark, sf):
+    return summaries.by_debate_score(S.suggestions(spark, sf)).select("seq", "score", "rank")
+
+
+@query(f"WITH {SUG} SELECT seq, priority FROM sug ORDER BY priority DESC, seq LIMIT 5")
+def q83_priority_cap(spark, sf):
+    return summaries.by_priority(S.suggestions(spark, sf)).select("seq", "priority")
+
+
+@query(f"{CHECKS} SELECT seq, confidence, row_number() OVER (ORDER BY confidence DESC, seq)::INT AS rank FROM w")
+def q84_confidence_order(spark, sf):
+    return summaries.by_confidence(suggestions.verified(_checked(spark, sf))).select("seq", "confidence", "rank")
+
+
+@query("SELECT p_partkey AS pos, p_retailprice AS level FROM part WHERE p_retailprice >= 0.8e0 * 1000 ORDER BY p_partkey LIMIT 3")
+def q85_next_levels(spark, sf):
+    return summaries.next_levels(S.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("level")), 1000)
+
+
+@query("SELECT n_name, n_nationkey FROM nation WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 7) ORDER BY n_nationkey LIMIT 1")
+def q86_point_lookup(spark, sf):
+    n = S.table(spark, sf, "nation")
+    return summaries.point(n, n.where("n_nationkey = 7").first().n_name, "n_nationkey", "n_name").select("n_name", "n_nationkey")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 10")
+def q87_slow_queries(spark, sf):
+    return summaries.slowest(S.table(spark, sf, "events").select("event_id", "value"), 10, "value", "event_id")
+
+
+@query(f"""{RANKED}, m AS (SELECT trim(unnest(string_split(source_model, ' + '))) AS m FROM r), mm AS (SELECT string_agg(m || '=' || n, '|' ORDER BY m) AS s FROM (SELECT m, count(*) AS n FROM m GROUP BY 1)), rr AS (SELECT string_agg(k || '=' || n, '|' ORDER BY k) AS s FROM (SELECT risk_level AS k, count(*) AS n FROM r GROUP BY 1))
+SELECT count(*) AS total, (SELECT s FROM rr) AS by_risk, (SELECT s FROM mm) AS by_model, arg_min(title, rank) AS top_title, arg_min(final_weight, rank) AS top_weight FROM r""")
+def q88_suggestion_summary(spark, sf):
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x.key, F.lit("="), x.value.cast("string"))), "|").alias(c)
+    return summaries.suggestion_summary(_ranked(spark, sf)).select("total", shown("by_risk"), shown("by_model"), "top_title", "top_weight")
+
+
+@query(f"WITH {SUG} SELECT (row_number() OVER (ORDER BY priority DESC) - 1)::INT AS pos, priority, count(*) AS n, string_agg(title, '|' ORDER BY seq) AS titles FROM sug GROUP BY priority")
+def q89_group_by_priority(spark, sf):
+    return summaries.grouped_by_priority(S.suggestions(spark, sf)).withColumn("titles", F.array_join("titles", "|"))
+
+
+@query(f"{RANKED} SELECT seq, rank, risk_level FROM (SELECT *, row_number() OVER (PARTITION BY risk_level ORDER BY rank) AS k FROM r) WHERE k <= 2")
+def q90_capped_by_risk(spark, sf):
+    return summaries.capped_by_risk(_ranked(spark, sf)).select("seq", "rank", "risk_level")
+
+
+@query("SELECT count(*) AS files, sum(len(string_split(html, chr(10))))::BIGINT AS lines, count(*) AS analyses, sum(page_id)::BIGINT AS hits FROM pages")
+def q91_cache_stats(spark, sf):
+    p = S.table(spark, sf, "pages")
+    files = p.select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    return caches.stats(caches.digests(files), p.select(F.col("page_id").alias("hits")))
+
+
+@query("SELECT page_id::VARCHAR AS path FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0")
+def q92_stale_files(spark, sf):
+    p = S.table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    seen = caches.digests(p.where("page_id % 3 <> 0"))
+    changed = p.withColumn("content", F.when(F.col("page_id") % 5 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return caches.stale(changed.select("path", "content"), seen).select("path")
+
+
+@query("SELECT doc_id, 'metrics:' || chr(10) || doc_id || CASE WHEN text <> '' THEN chr(10) || chr(10) || 'logs:' || chr(10) || right(text, 5000) || chr(10) || chr(10) || 'source:' || chr(10) || substring(text, 1, 3000) ELSE '' END AS prompt FROM documents")
+def q93_prompts(spark, sf):
+    return S.table(spark, sf, "documents").select("doc_id", reports.prompt(F.col("doc_id").cast("string"), F.col("text"), F.col("text")).alias("prompt"))
+
+
+@query(f"WITH {SUG} SELECT seq, title, priority FROM sug")
+def q94_report_rows(spark, sf):
+    d = summaries.as_report_row(S.suggestions(spark, sf))
+    got = F.from_json("document", "title string, priority int, base_weight double")
+    return d.select("seq", got["title"].alias("title"), got["priority"].alias("priority"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS part FROM documents")
+def q95_line_range(spark, sf):
+    return S.table(spark, sf, "documents").select("doc_id", parsers.line_range(F.col("text"), F.lit(2), F.lit(4)).alias("part"))
+
+
+@query()
+def q96_regression_report(spark, sf):
+    return reports.regression_report(S.snapshots(spark, sf))
+
+
+@query()
+def q97_domain_report(spark, sf):
+    s = S.snapshots(spark, sf)
+    return reports.domain_report(summaries.latest(s, 1).withColumn("qps", F.col("qps") * 50000).withColumn("target_qps", F.lit(200.0)), _ranked(spark, sf))
+
+
+@query()
+def q98_diagnosis_report(spark, sf):
+    c, args = _cases(spark, sf), [F.col(x) for x in ("problem", "stdout", "stderr")]
+    fixes = diagnosis.repairs(c, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("priority", "title", "command"))).alias("suggestions"))
+    d = c.join(fixes, "conv_id", "left").select("conv_id", "problem", diagnosis.severity(F.col("problem"), F.array("stdout")).alias("severity"), F.lit(0.75).alias("confidence"), diagnosis.output_symptoms(*args).alias("symptoms"), diagnosis.output_causes(*args).alias("causes"), F.array(F.lit("ldd")).alias("commands"), F.coalesce("suggestions", F.array().cast("array<struct<priority: int, title: string, command: string>>")).alias("suggestions"))
+    return reports.diagnosis_report(d, "conv_id")

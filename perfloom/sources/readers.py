@@ -6,7 +6,7 @@ import json
 import os
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNAPSHOT = "timestamp string, qps double, avg_latency double, p99_latency double, error_rate double, target_qps double, notes string"
@@ -33,12 +33,27 @@ def model_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str, newest: int = 3) -> DataFrame:
-    """file, pos, line of the newest files; a file's lines keep their order, as a file is read whole."""
-    rows = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
-    rows = rows.withColumn("r", F.row_number().over(Window.orderBy(F.desc("at"), "file"))).where(F.col("r") <= newest)
+    """file, pos, line of the newest files; which those are is told by the files' metadata, and only they are read."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(newest)
+    names = [r.path for r in files.collect()]  # at most newest
+    schema = "file string, pos int, line string"
+    if not names:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.text(names, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     return rows.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
 
 
+def with_headers(lines: DataFrame) -> DataFrame:
+    """One text per file: a header line with its name, then its lines."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
+    return lines.groupBy("file").agg(body.alias("b")).select("file", F.concat(F.lit("=== "), "file", F.lit(" ===\n"), "b").alias("text"))
+
+
+def config_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, content of the *.conf files in a folder."""
+    return spark.read.option("pathGlobFilter", "*.conf").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+
+
 def source_files(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("path"), F.col("value").alias("content"))
     return df if names is None else df.where(F.col("path").isin(names))
@@ -46,7 +61,7 @@ def source_files(spark: SparkSession, path: str, names: list[str] | None = None)
 
 def key_values(text: Column, comment: str = "#") -> Column:
     """A map out of lines `key:value`, without comments."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x.contains(":") & ~x.startswith(comment))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.contains(":") & ~x.startswith(comment))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), x.alias("x")))
     return F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: p.k)), lambda k: F.struct(k, F.element_at(F.transform(F.filter(pairs, lambda p: p.k == k), lambda p: F.substr(p.x, F.length(k) + 2)), -1))))
 
@@ -59,10 +74,34 @@ def suggestion_file(text: Column) -> Column:
     return F.when(F.trim(text).startswith("["), array).otherwise(F.coalesce(inner, F.when(one["title"].isNotNull(), F.array(one))))
 
 
+def command_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """Captured command outputs, one JSON object a line."""
+    return spark.read.schema("command string, stdout string, stderr string, returncode int, description string").json(path)
+
+
+def status_value(text: Column, name: str) -> Column:
+    """The number behind a name in a status text (name, white space, number a line), or null."""
+    return F.regexp_extract(text, rf"(?m)^\s*{re.escape(name)}\s+([\d.]+)", 1).try_cast("double")
+
+
+#: What a configuration has where the file says nothing.
+DEFAULTS = {"weight_engine": {"confidence_threshold": 0.3, "default_model_weight": 0.7, "max_suggestions": 5, "history_db_path": "./data/history.json"}, "models": [], "systems": [], "output_dir": "./output", "data_dir": "./data"}
+
+
 def config(path: str) -> dict:
-    """A JSON configuration (a subset of YAML), with whole-string ${NAME} replaced from the environment."""
+    """A YAML configuration (JSON without PyYAML, as it is a subset), with defaults, and whole-string ${NAME} replaced from the environment."""
     with open(path, encoding="utf-8") as f:
-        return resolve(json.load(f))
+        text = f.read()
+    try:
+        import yaml
+    except ImportError:
+        return with_defaults(json.loads(text))
+    return with_defaults(yaml.safe_load(text) or {})
+
+
+def with_defaults(data: dict) -> dict:
+    data = resolve(data)
+    return DEFAULTS | data | {"weight_engine": DEFAULTS["weight_engine"] | (data.get("weight_engine") or {})}
 
 
 def resolve(value: object) -> object:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,9 @@ def with_record_id(df: DataFrame) -> DataFrame:
 
 def export_csv(records: DataFrame, path: str) -> None:
     ok = succeeded(F.col("actual_qps"), F.col("target_qps"), F.col("error_rate"))
-    records.select("ts", "system", "target_qps", "actual_qps", "avg_latency", "error_rate", "threads", ok.alias("success")).write.option("header", True).csv(path)
+    some = lambda c, t: F.col(c) if c in records.columns else F.lit(None).cast(t).alias(c)
+    at = F.col("timestamp") if "timestamp" in records.columns else F.col("ts").alias("timestamp")
+    records.select(at, "system", "target_qps", "actual_qps", "avg_latency", some("p99_latency", "double"), "error_rate", "threads", some("ops", "int"), ok.alias("success")).write.option("header", True).csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -40,3 +45,20 @@ def markdown_report(title: str, ranked: DataFrame) -> DataFrame:
     line = F.format_string("## %d. %s\n\n- model: %s\n- risk: %s\n- priority: %d\n\n%s\n", "rank", "title", "source_model", "risk_level", "priority", "description")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("text")))), lambda x: x.text), "\n")
     return ranked.agg(F.concat(F.lit(f"# {title}\n\n"), body).alias("report"))
+
+
+def stamped(name: str, at: str) -> str:
+    """A report's file name: name_yyyyMMdd_HHmmss.md for an ISO time."""
+    return f"{name}_{datetime.fromisoformat(at):%Y%m%d_%H%M%S}.md"
+
+
+def export_config(config: dict, path: str) -> None:
+    """A configuration as JSON, keys of models masked, or for .yaml and .yml as YAML as it is."""
+    with open(path, "w", encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            yaml.safe_dump(config, f, allow_unicode=True, sort_keys=False)
+        else:
+            models = [m | ({"api_key": "${API_KEY}"} if m.get("api_key") else {}) for m in config.get("models", [])]
+            json.dump(config | {"models": models}, f, ensure_ascii=False, indent=2)
