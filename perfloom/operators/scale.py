@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +16,16 @@ from pyspark.sql import functions as F
 HOT = 2000
 
 
+#: Paths of tables staged in the open scratch blocks of a thread, the innermost last.
+_OPEN = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of this machine only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder there that all its machines share")
         base = "file://" + tempfile.mkdtemp(prefix="perfloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -26,7 +35,42 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and a lost executor costs no more than a reread."""
     path = f"{shared_dir(df.sparkSession)}/perfloom/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if blocks := getattr(_OPEN, "blocks", None):
+        blocks[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged within the block are removed at its end, but for those given to keep (which outlast it, up to a block around it).
+
+    What leaves the block must be read from kept tables alone.
+    """
+    blocks = _OPEN.blocks = getattr(_OPEN, "blocks", [])
+    mine: list[str] = []
+    kept: list[str] = []
+    blocks.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        blocks.pop()
+        if blocks:
+            blocks[-1].extend(kept)
+        for path in mine:
+            if path not in kept:
+                remove(spark, path)
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -46,8 +90,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the smallest node that can be reached.
 
     Large-star and small-star steps in turn (Kiveris et al. 2014), each as a grouped minimum and a lookup; each round is
-    staged. Ends when a round changes nothing.
+    staged, and the round before it removed. Ends when a round changes nothing.
     """
+    spark = edges.sparkSession
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
@@ -55,13 +100,16 @@ def components(edges: DataFrame) -> DataFrame:
         if n == 0 or (n, mark) == before:
             break
         before = (n, mark)
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("w"))
-        large = attach(both, least, ["u"], "w", 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, "large-star")
-        n = large.count()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w"))
-        small = attach(large, least, ["a"], "w", n)
-        now = small.where("b <> m").select("b", "m").union(least.select("a", "m")).toDF("a", "b").distinct()
-        now = staged(now, "small-star")
+        old = now
+        with scratch(spark) as keep:
+            both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("w"))
+            large = attach(both, least, ["u"], "w", 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+            large = staged(large, "large-star")
+            n = large.count()
+            least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("w"))
+            small = attach(large, least, ["a"], "w", n)
+            now = small.where("b <> m").select("b", "m").union(least.select("a", "m")).toDF("a", "b").distinct()
+            now = keep(staged(now, "small-star"))
+        remove(spark, old._staged_at)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -134,3 +134,29 @@ def test_filter_rank_verify(spark):
     v = {r.seq: r for r in suggestions.verified(s).collect()}
     assert v[3].passed == 6 and v[3].is_valid and v[4].passed == 3 and not v[4].is_valid
     assert {r.seq for r in suggestions.prefix_dedup(frame(spark, [row(0, "T" * 40, priority=1), row(1, "t" * 35, priority=4), row(2, "t" * 50, priority=4)])).collect()} == {1}
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    from perfloom.operators import scale
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    with scale.scratch(spark) as outer:
+        with scale.scratch(spark) as keep:
+            a, b, c = (scale.staged(spark.range(3), x) for x in "abc")
+            keep(a)
+            keep(b)
+        assert there(a) and there(b) and not there(c)
+        outer(a)
+    assert there(a) and not there(b) and a.count() == 3
+
+
+def test_components(spark):
+    from perfloom.operators.scale import components
+
+    edges = [(5, 3), (3, 9), (7, 8), (2, 2), (10, 11), (11, 12), (12, 13), (13, 1)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 7: 7, 8: 7, 1: 1, 10: 1, 11: 1, 12: 1, 13: 1}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
