@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import HOT, attach, components, shared_dir, staged
+from ..operators.scale import HOT, attach, components, remove, scratch, shared_dir, staged
 
-__all__ = ["HOT", "WORD", "attach", "bitmap_of", "components", "keyed", "marked", "salted_lookup", "shared_dir", "staged", "without"]
+__all__ = ["HOT", "WORD", "attach", "bitmap_of", "components", "keyed", "marked", "remove", "salted_lookup", "scratch", "shared_dir", "staged", "without"]
 
 #: Lower-casing of A-Z only, and the white space that ends a word (space, \t, \n, \v, \f, \r), are what bytes.lower() and
 #: bytes.split() do, so Python code works on UTF-8 bytes.

@@ -13,6 +13,7 @@ it; a length has one salt for each RANKED of its pieces, so that no task ranks m
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import struct
@@ -29,8 +30,11 @@ from .token_counts import tokenizer_path
 
 WINDOW, GRANULE, SLACK, RANKED = 2048, 8, 40, 100_000
 MEMO = 300_000
+#: Documents whose ids are held at a time.
+TAKEN = 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<long>, ids binary"
-PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long, ids binary"
+#: A piece as placed: how far from the start of what was cut, its length and digest, sequence and slot.
+PLACED = pa.struct([(c, pa.int64()) for c in ("shift", "length", "ids_crc32", "sequence_id", "slot")])
 
 
 def byte_letters() -> dict[int, str]:
@@ -233,41 +237,41 @@ def plan(hist: np.ndarray, window: int = WINDOW, granule: int = GRANULE, slack:
 
 
 def place(p: dict, whole: int, window: int) -> Callable:
-    """For mapInArrow: pieces with their rank among those of their length become placed pieces."""
+    """For arrow_udf: length, crc32, crc32 of the parts and rank of pieces to arrays of placed pieces. The ids themselves don't come here."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(lengths: pa.Array, digests: pa.Array, parts: pa.Array, ranks: pa.Array) -> pa.Array:
         seg = p["seg"]
         keys = list(map(tuple, seg[:, :2].tolist()))
-        import bisect
-
         blocks = powers(p["total"] % window)
         last = p["total"] - p["total"] % window
-        for b in batches:
-            out = []
-            for doc_id, start, length, crc, tokens, parts, ids, rank in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if length == window:
-                    out.append((doc_id, start, length, crc, tokens, rank, 0, ids))
-                elif rank < p["rest"][length]:
-                    g, r = int(p["bins"][length]), int(p["base"][length]) + rank
-                    _, first, _, sequence, slot = seg[bisect.bisect_right(keys, (g, r)) - 1].tolist()
-                    out.append((doc_id, start, length, crc, tokens, whole + sequence + r - first, slot, ids))
-                else:
-                    at = start
-                    for piece, c in zip(powers(length), parts, strict=True):
-                        k = piece.bit_length() - 1
-                        pos = int(p["start"][k]) + (int(p["before"][length, k]) + rank - int(p["rest"][length])) * piece
-                        sequence, slot = whole + p["sequences"] + pos // window, pos % window
-                        if pos >= last:  # the last window is several, each of a power of two
-                            end = 0
-                            for i, size in enumerate(blocks):
-                                if slot < end + size:
-                                    sequence += i
-                                    break
-                                end += size
-                        out.append((doc_id, at, piece, c, tokens, sequence, slot, ids and ids[4 * (at - start) : 4 * (at - start + piece)]))
-                        at += piece
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot", "ids"])
+        out: list[tuple] = []
+        ends = [0]
+        for length, crc, own, rank in zip(*(x.to_pylist() for x in (lengths, digests, parts, ranks)), strict=True):
+            if length == window:
+                out.append((0, length, crc, rank, 0))
+            elif rank < p["rest"][length]:
+                g, r = int(p["bins"][length]), int(p["base"][length]) + rank
+                _, first, _, sequence, slot = seg[bisect.bisect_right(keys, (g, r)) - 1].tolist()
+                out.append((0, length, crc, whole + sequence + r - first, slot))
+            else:
+                at = 0
+                for piece, c in zip(powers(length), own, strict=True):
+                    k = piece.bit_length() - 1
+                    pos = int(p["start"][k]) + (int(p["before"][length, k]) + rank - int(p["rest"][length])) * piece
+                    sequence, slot = whole + p["sequences"] + pos // window, pos % window
+                    if pos >= last:  # the last window is several, each of a power of two
+                        end = 0
+                        for i, size in enumerate(blocks):
+                            if slot < end + size:
+                                sequence += i
+                                break
+                            end += size
+                    out.append((at, piece, c, sequence, slot))
+                    at += piece
+            ends.append(len(out))
+        cols = list(zip(*out, strict=True)) or [()] * len(PLACED)
+        rows = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=list(PLACED))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return run
 
@@ -284,7 +288,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
-        for b in batches:
+        for b in (x.slice(k, TAKEN) for x in batches for k in range(0, max(1, x.num_rows), TAKEN)):
             rows = []
             for doc_id, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 line = encode(body.as_py()) + tail
@@ -305,7 +309,11 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
     ranks = pieces.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(earlier), ["length", "_salt"])
     ranks = ranks.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", "ids", (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
-    placed = ranks.mapInArrow(place(plan(hist[:window], window, granule, slack), whole, window), PLACED)
+    kind = "array<struct<shift: long, length: long, ids_crc32: long, sequence_id: long, slot: long>>"
+    put = F.arrow_udf(place(plan(hist[:window], window, granule, slack), whole, window), kind)
+    placed = ranks.select("doc_id", "start", "doc_tokens", "ids", F.explode(put("length", "ids_crc32", "parts", "_rank")).alias("x"))
+    own = F.substring("ids", (4 * F.col("x.shift") + 1).cast("int"), (4 * F.col("x.length")).cast("int"))
+    placed = placed.select("doc_id", (F.col("start") + F.col("x.shift")).alias("start"), F.col("x.length").alias("length"), F.col("x.ids_crc32").alias("ids_crc32"), "doc_tokens", F.col("x.sequence_id").alias("sequence_id"), F.col("x.slot").alias("slot"), own.alias("ids"))
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot", "start")) - F.col("length")
     out = placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "ids")
     return out if ids else out.drop("ids")

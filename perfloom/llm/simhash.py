@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, staged
+from .common import attach, components, scratch, staged
 from .similar_texts import similar_texts
 
 TAU, BITS, BUCKET, STEP = 2, 64, 32, 4
@@ -166,14 +166,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.cast("binary").alias("_text"), F.xxhash64(body).alias("_th"))
-    prints = staged(rows.mapInArrow(scan, "doc_id long, _th long, fp long"), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
-    classes = staged(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses")), "classes")
-    n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
-    found = components(links(classes.select("fp"), n_classes))
-    where = classes.join(found.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    where = staged(where, "class-roots")
-    tops = where.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n"))
-    named = staged(attach(where, tops, ["root"], "n", n_classes).select("fp", "uses", "top"), "class-names")
+    with scratch(docs.sparkSession) as keep:
+        prints = keep(staged(rows.mapInArrow(scan, "doc_id long, _th long, fp long"), "fingerprints"))
+        classes = staged(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses")), "classes")
+        n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
+        found = components(links(classes.select("fp"), n_classes))
+        where = classes.join(found.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        where = staged(where, "class-roots")
+        tops = where.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n"))
+        named = keep(staged(attach(where, tops, ["root"], "n", n_classes).select("fp", "uses", "top"), "class-names"))
     out = attach(prints, named, ["fp"], "uses", n_rows or 0)
     return out.select("doc_id", "_th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"), (place == F.col("top")).alias("stays"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bitmap_of, components, keyed, marked, staged
+from .common import attach, bitmap_of, components, keyed, marked, scratch, staged
 
 WORDS, SIMILARITY, BLOCK, TOGETHER = 5, 0.8, 4096, 64
 #: Documents that the order of shingles comes from, and the shingles that it puts last: bounds of a broadcast, not of the result.
@@ -96,11 +96,18 @@ def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, own) for each class of the pairs, with the shingles taken from its first document again."""
+    """(cls, own) for each class of the pairs, with the shingles taken from its first document again; other documents' texts stay where they are."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    of = classes.join(needed, "cls", "left_semi").select("cls", F.coalesce("first._id", F.lit(-(1 << 63))).alias("_k"), F.col("first._th").alias("_th"))
-    texts = docs.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_k"), "_th", "_text").join(of, ["_k", "_th"])
-    return staged(texts.select("cls", "_text").mapInArrow(as_sets, "cls long, own array<long>").dropDuplicates(["cls"]), "shingle-sets")
+    place = lambda id, th: F.xxhash64(F.coalesce(F.col(id), F.lit(-(1 << 63))), F.col(th))
+    of = staged(classes.join(needed, "cls", "left_semi").select(F.col("cls").alias("_cls"), place("first._id", "first._th").alias("h")), "needed-sets")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(of.select("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from as_sets(iter([b.take(pa.array(marked(bitmap.value, b.column(0).to_numpy())))]))
+
+    sets = docs.select(place("_id", "_th"), "_text").mapInArrow(run, "cls long, own array<long>").join(of, F.col("cls") == F.col("h"))
+    return staged(sets.select(F.col("_cls").alias("cls"), "own").dropDuplicates(["cls"]), "shingle-sets")
 
 
 def compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +250,16 @@ def similar_texts(docs: DataFrame, fingerprint: Callable[[bytes, int], int], clo
     text and a shingle length) and close (pairs of close fingerprints) are what SimHash brings.
     """
     rows = keyed(docs, text, key)
-    often = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, docs.count()))
-    prints = staged(rows.mapInArrow(scan(often, fingerprint), PRINTS), "shingle-prefixes")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th")
-    classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", "wide", *SKETCH))), "text-classes")
-    n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
-    where = classes.select("cls", "first", "uses").join(components(links(rows, classes, close)).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    where = staged(where, "text-roots")
-    tops = where.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n"))
-    named = staged(attach(where, tops, ["root"], "n", n_classes).select("cls", "uses", "top"), "text-names")
-    out = attach(prints.select("_id", "_th", "cls"), named, ["cls"], "uses", n_rows or 0)
+    with scratch(docs.sparkSession) as keep:
+        often = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, docs.count()))
+        prints = staged(rows.mapInArrow(scan(often, fingerprint), PRINTS), "shingle-prefixes")
+        ends = keep(staged(prints.select("_id", "_th", "cls"), "text-rows"))
+        classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", "wide", *SKETCH))), "text-classes")
+        n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
+        where = classes.select("cls", "first", "uses").join(components(links(rows, classes, close)).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        where = staged(where, "text-roots")
+        tops = where.groupBy("root").agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("n"))
+        named = keep(staged(attach(where, tops, ["root"], "n", n_classes).select("cls", "uses", "top"), "text-names"))
+    out = attach(ends, named, ["cls"], "uses", n_rows or 0)
     return out.select(F.col("_id").alias("doc_id"), "_th", F.col("top._id").alias("component_id"), (place == F.col("top")).alias("stays"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, keyed, marked, staged
+from .common import bitmap_of, keyed, marked, remove, staged
 
 SPAN, GRAM = 100, 24
 #: The quicksort takes SYMBOL bytes at a time, and this many in all: a right arm's anchor and two symbols, a left arm's two symbols.
@@ -410,23 +410,24 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     counts = staged(counts, "repeated-anchors")
     twice = spark.sparkContext.broadcast(bitmap_of(counts.select(F.col("g").alias("h"))))
     rows = docs.mapInArrow(lambda batches: local(twice.value)(batches), ROWS)
-    total, deal, covered = counts.agg(F.sum("n")).first()[0] or 0, True, None
+    total, deal, spread, covered = counts.agg(F.sum("n")).first()[0] or 0, True, True, None
     while True:
         # At most SHARE groups are dealt out; the salt depends on the place alone, so a task that is run again does the same.
-        large = counts.where((F.col("n") > GROUP) & (F.col("n") * SHARE > F.lit(total))).select("g", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
+        large = counts.where(F.lit(spread) & (F.col("n") > GROUP) & (F.col("n") * SHARE > F.lit(total))).select("g", F.ceil(F.col("n") / GROUP).cast("int").alias("salts"))
         salt = F.coalesce(F.pmod(F.xxhash64("doc", "lo"), F.col("salts")), F.lit(-1)).cast("int")
         sent = rows.join(F.broadcast(large), "g", "left").select(*NAMES, salt.alias("salt"))
         done = staged(sent.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(compare_groups(deal), ROWS), "compared")
+        remove(spark, counts._staged_at)
         some = done.where("context is null").select("doc", "th", "lo", "hi")
         covered = some if covered is None else covered.unionByName(some)
         rows = done.where("context is not null")
         counts = staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "left-groups")
         left = counts.agg(F.sum("n")).first()[0] or 0
         if not left:
+            remove(spark, counts._staged_at)
             return covered
-        if not deal and 2 * left > total:  # dealing out no longer helps: groups hold different strings that share most bytes
-            counts = counts.where("false")
-        total, deal = left, False
+        # Where dealing out no longer helps, groups hold different strings that share most bytes, and are compared whole.
+        total, deal, spread = left, False, deal or 2 * left <= total
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
