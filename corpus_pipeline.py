@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfloom.llm.common import staged, without
+from perfloom.llm.common import remove, staged, without
 from perfloom.llm.decontamination import contaminated
 from perfloom.llm.line_dedup import dedup_lines
 from perfloom.llm.packing import pack_documents
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if old is not None:
+            remove(spark, old._staged_at)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
