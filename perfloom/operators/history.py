@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 from ..functions.metrics import succeeded, threads_for
 
 
+#: A key's values are cut into about so many ranges, of which only those that hold a rank are sorted.
+RANGES = 256
+
+
 def nearest_rank(rows: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
     """For each key the value at place min(int(n * q), n - 1) of the sorted values; not SQL's percentile.
 
-    Values are counted first, so what is ranked are distinct values, and no group of equal values is sorted.
+    Equal values are counted first. Approximate percentiles cut the values into ranges, exact counts of these tell which
+    range has the place, and only that one's values are sorted; the result doesn't depend on where the cuts lie.
     """
-    n = Window.partitionBy(key)
-    upto = n.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     c = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    c = c.withColumn("_n", F.sum("_c").over(n)).withColumn("_hi", F.sum("_c").over(upto))
-    place = lambda q: F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1)
-    here = lambda q: (place(q) < F.col("_hi")) & (place(q) >= F.col("_hi") - F.col("_c"))
-    return c.groupBy(key).agg(*(F.max(F.when(here(q), F.col(value))).alias(name) for name, q in ranks.items()))
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
+    told = c.join(c.groupBy(key).agg(F.array_distinct(cuts).alias("_cuts")), key)
+    told = told.withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    sizes = told.groupBy(key, "_b").agg(F.sum("_c").alias("_m"))  # at most RANGES rows a key
+    each = Window.partitionBy(key)
+    sizes = sizes.withColumn("_n", F.sum("_m").over(each)).withColumn("_lo", F.sum("_m").over(each.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
+    wanted = F.inline(F.array(*(F.struct(F.lit(name).alias("_name"), F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1).alias("_at")) for name, q in ranks.items())))
+    wanted = sizes.select(key, "_b", "_lo", "_m", wanted).where("_at >= _lo and _at < _lo + _m")
+    some = told.join(wanted.groupBy(key, "_b").agg(F.first("_lo").alias("_lo"), F.collect_list(F.struct("_name", "_at")).alias("_wanted")), [key, "_b"])
+    upto = Window.partitionBy(key, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("_hi", F.col("_lo") + F.sum("_c").over(upto))
+    here = lambda name: F.exists("_wanted", lambda x: (x["_name"] == name) & (x["_at"] < F.col("_hi")) & (x["_at"] >= F.col("_hi") - F.col("_c")))
+    return some.groupBy(key).agg(*(F.max(F.when(here(name), F.col(value))).alias(name) for name in ranks))
 
 
 def _changed(now: Column, then: Column) -> Column:

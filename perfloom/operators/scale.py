@@ -12,8 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key counts as hot from this share of all rows on; so there are at most HOT hot keys, however large the table is.
-HOT = 2000
+#: A key counts as hot from over 1 / HOT of all rows on (or 1 / (4 * shuffle partitions), if that is less), so there are at most so many hot keys, however large the table is.
+HOT, MOST_HOT = 2000, 200_000
 
 
 #: Paths of tables staged in the open scratch blocks of a thread, the innermost last.
@@ -76,12 +76,14 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with table on keys, safe against hot keys.
 
-    table has one row per key, and in column weight how many of the total rows have that key. Keys with over total / HOT
-    rows are at most HOT, so they are broadcast; the others, which are all small, meet in a shuffle. rows is read twice:
-    give a staged or cheap one. how: inner or left. Keys must not be null.
+    table has one row per key, and in column weight how many of the total rows have that key. Keys with over 1 / HOT of all
+    rows (or less, with many shuffle partitions, but not under 1 / MOST_HOT) are that many at most, so they are broadcast;
+    the others, each clearly less than a partition's share, meet in a shuffle. rows is read twice: give a staged or cheap
+    one. how: inner or left. Keys must not be null.
     """
-    hot = F.broadcast(table.where(F.col(weight) * HOT > F.lit(total)))
-    few = table.where(F.col(weight) * HOT <= F.lit(total))
+    share = min(max(HOT, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_HOT)
+    hot = F.broadcast(table.where(F.col(weight) * share > F.lit(total)))
+    few = table.where(F.col(weight) * share <= F.lit(total))
     few_rows = rows.join(hot.select(*keys), list(keys), "left_anti")
     return rows.join(hot, list(keys), "inner").unionByName(few_rows.join(few, list(keys), how))
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scale import shared_dir
+
 
 def windowed(events: DataFrame, *, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts and errors by window; events: ts (timestamp), event_type, value. Works on streams and tables alike."""
@@ -15,10 +17,12 @@ def windowed(events: DataFrame, *, window: str = "1 day", late: str = "1 hour")
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, run until all of it is read; complete mode, so all windows come out."""
+    """The events table as a stream, run until all of it is read; complete mode, so all windows come out, written by the executors."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"observed_{uuid.uuid4().hex}"
-    q = windowed(raw.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{shared_dir(spark)}/perfloom/observed-{uuid.uuid4().hex}"
+    windows = windowed(raw.withColumn("ts", F.col("ts").cast("timestamp")))
+    q = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("ts"), "event_type", "n", F.col("total").cast("double").alias("total"))
+    done = spark.read.schema(windows.schema).parquet(path)
+    return done.select(F.col("window.start").cast("timestamp_ntz").alias("ts"), "event_type", "n", F.col("total").cast("double").alias("total"))
