@@ -26,13 +26,17 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def without(docs: DataFrame, gone: DataFrame, *, once: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose doc_id and text hash are not in gone (doc_id, _th). once: of rows that agree in both, one stays."""
-    mark = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("_th").alias("__th")).distinct()
-    left = mark.join(gone, ["__id", "__th"], "left_anti")
+    """Rows of docs whose doc_id and text hash are not in gone (doc_id, _th). once: of rows that agree in both, one stays.
+
+    Null ids and null texts (as empty) are compared like others. Columns of docs may have any names.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    mine = docs.select(whole.alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
+    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_th").distinct()
+    left = mine.join(gone, ["_id", "_th"], "left_anti")
     if once:
-        left = left.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("__id"))).where("__n = 1")
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+        left = left.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_id"))).where("_n = 1")
+    return left.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def salted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: str, salts: int = 64) -> DataFrame:

@@ -57,7 +57,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def correlated_order(bits: np.ndarray) -> list[int]:
     """Bits in an order that puts each next to the one it is correlated with most."""
-    c = np.nan_to_num(np.abs(np.corrcoef(bits.T)))
+    with np.errstate(invalid="ignore", divide="ignore"):  # a bit that never changes is correlated with none
+        c = np.nan_to_num(np.abs(np.corrcoef(bits.T)))
     np.fill_diagonal(c, -1)
     left = set(range(BITS))
     order = [int(c.max(1).argmax())]

@@ -121,7 +121,9 @@ def test_token_counts_come_from_the_cache(spark, tmp_path):
 # URL rules
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("small", [10_000, 2])
+def test_url_rules(spark, monkeypatch, small):
+    monkeypatch.setattr(url_filters, "SMALL", small)
     rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "", ""), ("block", "a.b", "/x"), ("allow", "a.b", "/x")]
     urls = ["http://x.Example.COM/en/71?q#f", "https://example.com/en/6", "http://notexample.com/en/7", "net", None, "", "a://", "x://net/de/1://y", "x://a.b/xy", "x://a.b/xy", "x://b/x", "x://NET/de", "http://n.net/de/#"]
 
@@ -133,7 +135,8 @@ def test_url_rules(spark):
         fit = [(len(h + p), len(h), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p) and (h or not host)]
         return (host, path, max(fit)[3] if fit else None, max(fit)[2] if fit else "allow")
 
-    pages = spark.createDataFrame([(i % 11, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    names = "page_id long, url string, host string, path string, rule int, verdict string, _n int, _short string, _best string"
+    pages = spark.createDataFrame([(i % 11, u, "h", "p", 1, "v", 2, "s", "b") for i, u in enumerate(urls)], names)
     got = rows_of(url_filters.judge_urls(pages, spark.createDataFrame(rules, url_filters.RULES)), "page_id", "host", "path", "rule", "verdict")
     assert got == sorted(((i % 11, *judge(u)) for i, u in enumerate(urls)), key=repr)
     assert url_filters.judge_urls(pages.where("false"), spark.createDataFrame(rules, url_filters.RULES)).count() == 0
@@ -178,6 +181,10 @@ def test_decontamination(spark):
     few = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b, index_bytes=1500)
     assert [(*k, *(round(x, 9) for x in v)) for *k, v in sorted((r.doc_id, r.item_id, tuple(r)[3:]) for r in few.collect())] == [(*k, *(round(x, 9) for x in v)) for *k, v in sorted((r.doc_id, r.item_id, tuple(r)[3:]) for r in got.collect())]
     assert decontamination.contaminated(nasty(spark), b).count() == 0
+    page = next(r for r in nasty_rows() if r[1] and "\n" in r[1] and len(r[1]) > 300)[1]
+    own = spark.createDataFrame([(1, page), (2, page), (None, page.split("\n")[0] + ". " + page.split("\n")[1])], "item_id long, text string")
+    hits = collections.Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(nasty(spark), own).collect())
+    assert hits == collections.Counter((r[0], i) for r in nasty_rows() if page in (r[1] or "") for i in (1, 2, None))
     assert decontamination.contaminated(nasty(spark), b.where("false")).count() == 0
     assert decontamination.contaminated(empty(spark), b).count() == 0
 

@@ -66,3 +66,35 @@ def test_stages(spark, tmp_path):
             check_pieces(after, [(r.doc_id, r.text) for r in before])
         docs = out
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
+
+
+CLASHES = ["_row", "_id", "_th", "_text", "_n", "__id", "__th", "__n", "h", "cls", "n", "top", "keep", "count", "fp", "host", "path", "_lines", "_full", "_gone", "start", "length", "ids"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit(7) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/clash-{name.replace(' ', '-')}")
+        docs = spark.read.parquet(f"{tmp_path}/clash-{name.replace(' ', '-')}")
+        assert docs.where(" and ".join(f"`{c}` = 7" for c in CLASHES)).count() == docs.count() > 0
+    check_pieces(corpus_pipeline.packing(spark, docs, str(tmp_path)).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_stages_take_an_empty_table(spark, tmp_path):
+    corpus(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_on_null_and_repeated_rows(spark, tmp_path):
+    """Null texts are empty ones; of rows equal in id and text near-dedup leaves one, the other stages treat them alike."""
+    corpus(spark, tmp_path)
+    rows = [(1, None), (2, ""), (None, "one of its own kind"), (None, "one of its own kind"), (5, "other words than those"), (5, "other words than those")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda name: sorted(((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got("line dedup") == got("benchmark decontamination") == sorted(rows, key=repr)
+    assert got("SimHash near-dedup") == sorted([(1, None), (None, "one of its own kind"), (5, "other words than those")], key=repr)
