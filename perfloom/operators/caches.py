@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,18 @@ def stats(cache: DataFrame, analyses: DataFrame) -> DataFrame:
     """One row: files, lines, analyses and hits. analyses: hits of each kept analysis."""
     a = cache.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
     return a.crossJoin(analyses.agg(F.count(F.lit(1)).alias("analyses"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits")))
+
+
+#: What an analysis depends on, in the order of its key.
+KEYED = ["avg_latency", "error_rate", "p99_latency", "qps"]
+
+
+def metrics_key() -> Column:
+    """MD5 of the metrics columns as JSON with sorted names; missing ones are 0."""
+    parts = [F.concat(F.lit(f'"{c}": '), F.coalesce(F.col(c).cast("string"), F.lit("0"))) for c in KEYED]
+    return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+
+
+def fresh(cache: DataFrame, asof: Column, ttl: int = 3600) -> DataFrame:
+    """Entries (cached_at: timestamp) that are younger than ttl seconds at a given time."""
+    return cache.where(F.unix_timestamp(asof.cast("timestamp")) - F.unix_timestamp(F.col("cached_at").cast("timestamp")) < ttl)

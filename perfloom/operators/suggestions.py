@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.metrics import accuracy_factor, consensus_factor, first_hit, risk_factor
+from . import parsers
 from .scale import attach, components, staged
 
 #: Keywords of each category, in the order they are tried.
@@ -281,3 +282,14 @@ def related_code(s: DataFrame, files: DataFrame) -> DataFrame:
     code = F.array_join(F.slice("lines", F.greatest(F.col("pos") - 1, F.lit(1)), F.least(F.col("pos") + 5, F.size("lines")) - F.greatest(F.col("pos") - 1, F.lit(1)) + 1), "\n")
     found = mine.join(hits.select("path", "term", "pos", code.alias("code")), "term")
     return found.groupBy("seq").agg(F.min(F.struct("path", "term_no", "pos", "code")).alias("b")).select("seq", "b.path", "b.pos", "b.code")
+
+
+def located(s: DataFrame, files: DataFrame) -> DataFrame:
+    """s with found, snippet and issue: does its file exist among files (path, content; one row a path), and the lines around line_start.
+
+    s: file, line_start (as parsers.location gives them). Issues are fixed texts; a file that is there has none.
+    """
+    both = s.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
+    found = F.col("content").isNotNull()
+    both = both.select(*s.columns, found.alias("found"), "content", F.when(F.col("file").isNull(), "无法解析代码位置").when(~found, F.concat(F.lit("文件不存在: "), "file")).alias("issue"))
+    return parsers.snippet(both, "content", F.col("line_start")).drop("content")

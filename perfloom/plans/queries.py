@@ -424,11 +424,14 @@ def q43_location_parse(spark, sf):
     return parsers.location(_output(spark, sf, text), "output").drop("output")
 
 
-@query(f"WITH {SUG} SELECT seq, page_id IS NOT NULL AS found, url FROM sug LEFT JOIN pages ON seq % 400 = page_id")
+@query("""WITH s AS (SELECT doc_id AS seq, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 400)::VARCHAR END AS file, (doc_id % 9)::INT AS ln FROM documents), j AS (SELECT seq, file, ln, html IS NOT NULL AS found, string_split(html, chr(10)) AS l FROM s LEFT JOIN pages ON file = page_id::VARCHAR)
+SELECT seq, found, CASE WHEN file IS NULL THEN '无法解析代码位置' WHEN NOT found THEN '文件不存在: ' || file ELSE '' END AS issue, CASE WHEN found THEN array_to_string(list_transform(range(greatest(1, ln - 3), least(ln + 3, len(l)) + 1), lambda i: (CASE WHEN i = ln THEN '>>> ' ELSE '    ' END) || lpad(i::VARCHAR, 4, ' ') || ': ' || l[i]), chr(10)) ELSE '' END AS snippet FROM j""")
 def q44_location_left_join(spark, sf):
-    p = S.table(spark, sf, "pages").select("page_id", "url")
-    s = S.suggestions(spark, sf).select("seq", (F.col("seq") % 400).alias("page_id"))
-    return s.join(p.withColumn("found", F.lit(True)), "page_id", "left").select("seq", F.coalesce("found", F.lit(False)).alias("found"), "url")
+    files = S.table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
+    k = F.col("doc_id")
+    s = S.table(spark, sf, "documents").select(k.alias("seq"), F.when(k % 5 > 0, (k % 400).cast("string")).alias("file"), (k % 9).cast("int").alias("line_start"))
+    none = F.lit("")
+    return suggestions.located(s, files).select("seq", "found", F.coalesce("issue", none).alias("issue"), F.coalesce("snippet", none).alias("snippet"))
 
 
 CODES = ["f(a", "x[1]]", "while (lock(m)) {}", "delete p; Lock(m)", "memcpy(a, b)", "  ", "{ (", "int x;"]
@@ -791,3 +794,14 @@ def q98_diagnosis_report(spark, sf):
     fixes = diagnosis.repairs(c, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("priority", "title", "command"))).alias("suggestions"))
     d = c.join(fixes, "conv_id", "left").select("conv_id", "problem", diagnosis.severity(F.col("problem"), F.array("stdout")).alias("severity"), F.lit(0.75).alias("confidence"), diagnosis.output_symptoms(*args).alias("symptoms"), diagnosis.output_causes(*args).alias("causes"), F.array(F.lit("ldd")).alias("commands"), F.coalesce("suggestions", F.array().cast("array<struct<priority: int, title: string, command: string>>")).alias("suggestions"))
     return reports.diagnosis_report(d, "conv_id")
+
+
+@query(f"""WITH {MET} SELECT event_id, md5('{{"avg_latency": ' || avg_latency || ', "error_rate": ' || error_rate || ', "p99_latency": ' || p99_latency || ', "qps": ' || qps || '}}') AS key FROM met""")
+def q100_metrics_key(spark, sf):
+    return _metrics(spark, sf).select("event_id", caches.metrics_key().alias("key"))
+
+
+@query("SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-10 12:00:00') - floor(epoch(ts)) < 864000")
+def q101_fresh_analyses(spark, sf):
+    e = S.table(spark, sf, "events").select("event_id", F.col("ts").alias("cached_at"))
+    return caches.fresh(e, F.lit("2024-01-10 12:00:00"), 864000).select("event_id")
