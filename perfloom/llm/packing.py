@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .token_counts import tokenizer_path
 
-WINDOW, GRANULE, SLACK, RANKED = 2048, 8, 40, 100_000
+WINDOW, GRANULE, SLACK, RANKED = 2048, 8, 40, 4_000
 MEMO = 300_000
 #: Documents whose ids are held at a time.
 TAKEN = 500
@@ -307,7 +307,7 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids
     groups = staged(pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")  # a row for each RANKED pieces
     earlier = groups.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")
-    ranks = pieces.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(earlier), ["length", "_salt"])
+    ranks = pieces.withColumn("_rank", F.row_number().over(order)).join(earlier, ["length", "_salt"])
     ranks = ranks.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", "ids", (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
     kind = "array<struct<shift: long, length: long, ids_crc32: long, sequence_id: long, slot: long>>"
     put = F.arrow_udf(place(plan(hist[:window], window, granule, slack), whole, window), kind)

@@ -7,9 +7,10 @@ puts shingles that a bounded sample of documents holds often at the end; the res
 apart cheaply by size and by parity sketches (a bit of such a sketch is the parity of the shingles that hash to it, so two
 sets differ in at least as many shingles as their sketches in bits), and verified by the similarity itself.
 
-In a bucket (classes that share a prefix shingle) each class meets the least one first; what is linked then counts as one.
-Buckets that still hold several components are compared in blocks of at most BLOCK classes, and only pairs of different
-components that pass the sketches become rows.
+In a bucket (classes that share a prefix shingle) each class meets the least one first. Buckets that then still hold several
+components are compared in blocks of at most BLOCK classes: once for the nearest class by sketch in another component, which
+links most of what belongs together, and once for all pairs of different components that pass the sketches. Other pairs
+never become rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .common import attach, bitmap_of, components, keyed, marked, scratch, stage
 WORDS, SIMILARITY, BLOCK, TOGETHER = 5, 0.8, 4096, 64
 #: Documents that the order of shingles comes from, and the shingles that it puts last: bounds of a broadcast, not of the result.
 SAMPLE, OFTEN = 5_000, 100_000
-#: The small sketch goes with each row of a bucket; one of WIDE bits is looked up for pairs that pass the small one.
-SKETCH, WIDE = ["b0", "b1", "b2", "b3"], 2048
+#: The small sketch goes with each row of a bucket, one of MIDDLE bits with those of buckets that are compared in blocks; a
+#: wide one, which grows with the set, is looked up for pairs that pass these.
+SKETCH, MIDDLE = ["b0", "b1", "b2", "b3"], 1024
 #: Of two sets that are similar enough, this share of their sizes' sum differs at most.
 DIFFER = (1 - SIMILARITY) / (1 + SIMILARITY)
 
@@ -65,14 +67,19 @@ def sketch(own: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
-PRINTS = "_id long, _th long, cls long, size int, prefix array<long>, fp long, wide array<long>, b0 long, b1 long, b2 long, b3 long"
+def width(size: int) -> int:
+    """Bits of a wide sketch: a power of two, at least twice the size of the set."""
+    return max(MIDDLE, 1 << (2 * size - 1).bit_length())
+
+
+PRINTS = "_id long, _th long, cls long, size int, prefix array<long>, fp long, middle binary, wide array<long>, b0 long, b1 long, b2 long, b3 long"
 
 
 def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, uses = often.value
         for b in batches:
-            cls, size, first, code, bits, wide = [], [], [], [], [], []
+            cls, size, first, code, bits, middle, wide = [], [], [], [], [], [], []
             for t in b.column(2):
                 body = t.as_py()
                 own = shingles(body)
@@ -80,7 +87,8 @@ def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
                 size.append(len(own))
                 code.append(fingerprint(body, WORDS))
                 bits.append(sketch(own))
-                wide.append(sketch(own, WIDE))
+                middle.append(sketch(own, MIDDLE).tobytes())
+                wide.append(sketch(own, width(len(own))))
                 weight = np.zeros(len(own), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -90,7 +98,7 @@ def scan(often, fingerprint: Callable[[bytes, int], int]) -> Callable:
                 first.append(own[np.lexsort((own, weight))[:n]].view(np.int64))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
             table = np.array(bits, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(cls), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), signed(code), pa.array(wide, pa.list_(pa.int64())), *(pa.array(table[:, i]) for i in range(4))], names=["_id", "_th", "cls", "size", "prefix", "fp", "wide", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(cls), pa.array(size, pa.int32()), pa.array(first, pa.list_(pa.int64())), signed(code), pa.array(middle, pa.binary()), pa.array(wide, pa.list_(pa.int64())), *(pa.array(table[:, i]) for i in range(4))], names=["_id", "_th", "cls", "size", "prefix", "fp", "middle", "wide", *SKETCH])
 
     return run
 
@@ -136,7 +144,12 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     uses = pairs.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("w"))
     held = staged(uses.join(wide, "cls").select(F.col("cls").alias("b"), "w", F.col("x").alias("y")), "pair-ends")
     both = attach(pairs, held, ["b"], "w", pairs.count()).join(wide.withColumnRenamed("cls", "a"), "a")
-    apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    # Sets of close sizes have sketches of one width, or one has twice the other's: then its halves are folded together.
+    n = F.least(F.size("x.wide"), F.size("y.wide"))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda c: F.when(F.size(c) == n, F.col(c)).otherwise(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), xor))
+    apart = F.aggregate(F.zip_with(folded("x.wide"), folded("y.wide"), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda a, b: a + b)
+    both = both.where(F.least("x.size", "y.size") >= F.lit(SIMILARITY) * F.greatest("x.size", "y.size") - 1e-9)
     pairs = staged(both.where(apart <= F.lit(DIFFER) * (F.col("x.size") + F.col("y.size")) + 1e-9).select("a", "b", F.ceil(F.col("w") / TOGETHER).cast("int").alias("salts")), "promising-pairs")
     sets = sets_of(docs, classes, pairs)
     ends = pairs.select("b", "salts").distinct().join(sets.toDF("b", "own"), "b")
@@ -177,40 +190,62 @@ def near_enough(size: Column, bits: list, size2: Column, bits2: list) -> Column:
     return (F.least(size, size2) >= F.lit(SIMILARITY) * F.greatest(size, size2) - 1e-9) & (apart <= F.lit(DIFFER) * (size + size2) + 1e-9)
 
 
-def cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows h, i, j, block, cls, root, size, sketch: pairs of different roots that can be similar enough, within a bucket's blocks i and j."""
-    held: list[np.ndarray] = []
-    key = None
+def cross_pairs(nearest: bool) -> Callable:
+    """Sorted rows h, i, j, block, cls, root, size, middle to pairs of different roots within a bucket's blocks i and j that can be similar enough.
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        x = np.concatenate(held)
-        _, i, j = key
-        one, two = (x, x) if i == j else (x[x[:, 3] == i], x[x[:, 3] == j])
-        bits = two[:, 7:].view(np.uint64)
+    nearest: for each class outside the largest component only the pair with the least difference of sketches.
+    """
+
+    def pairs(x: np.ndarray, bits: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        roots, many = np.unique(x[:, 5], return_counts=True)
+        # Pairs within the largest component need no look: of each pair at least one row is of another, and is among the first.
+        other = x[:, 5] != roots[many.argmax()]
+        one = np.flatnonzero(other)
         for k in range(0, len(one), 64):
             part = one[k : k + 64]
-            apart = np.bitwise_count(part[:, 7:].view(np.uint64)[:, None] ^ bits[None]).sum(2, dtype=np.int32)
-            a, b = part[:, 6][:, None], two[:, 6][None]
-            ok = (part[:, 5][:, None] != two[:, 5][None]) & (apart <= DIFFER * (a + b) + 1e-9) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9)
-            if i == j:
-                ok &= part[:, 4][:, None] > two[:, 4][None]
+            a, b = x[part][:, None], x[None]
+            ok = (a[..., 5] != b[..., 5]) & (np.minimum(a[..., 6], b[..., 6]) >= SIMILARITY * np.maximum(a[..., 6], b[..., 6]) - 1e-9)
+            if not same:
+                ok &= a[..., 3] != b[..., 3]
+            if not nearest:
+                ok &= ~other | (x[:, 4] < a[..., 4])
             p, q = np.nonzero(ok)
-            if len(p):
-                a, b = part[p, 4], two[q, 4]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            u, v, d = [], [], []
+            for at in range(0, len(p), 1 << 16):
+                m, n = part[p[at : at + (1 << 16)]], q[at : at + (1 << 16)]
+                apart = np.bitwise_count(bits[m] ^ bits[n]).sum(1, dtype=np.int32)
+                near = apart <= DIFFER * (x[m, 6] + x[n, 6]) + 1e-9
+                u, v, d = [*u, m[near]], [*v, n[near]], [*d, apart[near]]
+            if not u:
+                continue
+            u, v, d = np.concatenate(u), np.concatenate(v), np.concatenate(d)
+            if nearest:
+                by = np.lexsort((x[v, 4], d, u))
+                u, v = u[by], v[by]
+                first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else by
+                u, v = u[first], v[first]
+            if len(u):
+                u, v = x[u, 4], x[v, 4]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["a", "b"])
 
-    for b in batches:
-        x = np.stack([c.to_numpy() for c in b.columns], 1) if b.num_rows else np.zeros((0, 11), np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], (x[1:, :3] != x[:-1, :3]).any(1), [True]])).tolist() if len(x) else []
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            new = tuple(x[lo, :3].tolist())
-            if new != key and held:
-                yield from pairs()
-                held = []
-            key = new
-            held.append(x[lo:hi])
-    if held:
-        yield from pairs()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key = None
+        for b in batches:
+            x = np.stack([c.to_numpy() for c in b.columns[:7]], 1) if b.num_rows else np.zeros((0, 7), np.int64)
+            bits = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, MIDDLE // 64)
+            edge = np.flatnonzero(np.concatenate([[True], (x[1:, :3] != x[:-1, :3]).any(1), [True]])).tolist() if len(x) else []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                new = tuple(x[lo, :3].tolist())
+                if new != key and held:
+                    yield from pairs(*map(np.concatenate, zip(*held, strict=True)), key[1] == key[2])
+                    held = []
+                key = new
+                held.append((x[lo:hi], bits[lo:hi]))
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held, strict=True)), key[1] == key[2])
+
+    return run
 
 
 def links(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -224,21 +259,24 @@ def links(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int],
     buckets = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min(one).alias("least")).where("w > 1"), "shingle-buckets")
     total = rows.count()
     met = staged(attach(rows, buckets, ["h"], "w", total), "bucket-members")
+
     near = near_enough(F.col("size"), [F.col(c) for c in SKETCH], F.col("least.size"), [F.col(f"least.{c}") for c in SKETCH])
-    stars = met.where((F.col("cls") != F.col("least.cls")) & near).select(F.col("cls").alias("a"), F.col("least.cls").alias("b")).distinct()
-    sure = sure.union(verified(staged(stars.join(sure, ["a", "b"], "left_anti"), "stars"), docs, classes))
-    # What is left: buckets with several components. In one of two classes the only pair has been looked at.
-    many = met.where("w > 2").select("h", "w", "cls", "size", *SKETCH)
-    tagged = staged(many.join(components(sure).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "tagged-members")
-    split = tagged.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "n")
-    blocks = F.ceil(F.col("w") / BLOCK).cast("int")
-    own = F.pmod(F.hash("cls"), blocks).cast("long")
-    parts = attach(tagged, staged(split, "split-buckets"), ["h"], "n", total).withColumn("block", own)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
-    parts = parts.select("h", "block", other.alias("other"), "cls", "root", F.col("size").cast("long").alias("size"), *SKETCH)
-    parts = parts.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "size", *SKETCH)
-    found = parts.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(cross_pairs, "a long, b long").distinct()
-    return sure.union(verified(staged(found.join(stars, ["a", "b"], "left_anti"), "cross-pairs"), docs, classes))
+    seen = met.where((F.col("cls") != F.col("least.cls")) & near).select(F.col("cls").alias("a"), F.col("least.cls").alias("b"))
+    seen = staged(seen.distinct(), "stars")
+    sure = sure.union(verified(staged(seen.join(sure, ["a", "b"], "left_anti"), "new-stars"), docs, classes))
+    members = met.where("w > 2").select("h", "cls", "size")  # of two classes the only pair has been looked at
+    for nearest in (True, False):
+        members = staged(members.join(components(sure).toDF("cls", "root"), "cls", "left").select("h", "cls", "size", F.coalesce("root", "cls").alias("root")), "rooted-members")
+        split = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "n")
+        members = staged(attach(members, staged(split, "split-buckets"), ["h"], "n", total), "split-members")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+        parts = members.withColumn("block", F.pmod(F.hash("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        parts = parts.join(classes.select("cls", "middle"), "cls")
+        parts = parts.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", F.col("size").cast("long").alias("size"), "middle")
+        found = parts.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(cross_pairs(nearest), "a long, b long").distinct()
+        found = staged(found.join(seen, ["a", "b"], "left_anti"), "cross-pairs")
+        sure, seen, members = sure.union(verified(found, docs, classes)), seen.union(found), members.select("h", "cls", "size")
+    return sure
 
 
 def similar_texts(docs: DataFrame, fingerprint: Callable[[bytes, int], int], close: Callable[[DataFrame, int], DataFrame], *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -255,7 +293,7 @@ def similar_texts(docs: DataFrame, fingerprint: Callable[[bytes, int], int], clo
         often = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, docs.count()))
         prints = staged(rows.mapInArrow(scan(often, fingerprint), PRINTS), "shingle-prefixes")
         ends = keep(staged(prints.select("_id", "_th", "cls"), "text-rows"))
-        classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", "wide", *SKETCH))), "text-classes")
+        classes = staged(prints.groupBy("cls").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("uses"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), *(F.first(c).alias(c) for c in ("fp", "middle", "wide", *SKETCH))), "text-classes")
         n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.sum("uses")).first()
         where = classes.select("cls", "first", "uses").join(components(links(rows, classes, close)).toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         where = staged(where, "text-roots")
