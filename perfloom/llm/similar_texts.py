@@ -115,7 +115,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield from as_sets(iter([b.take(pa.array(marked(bitmap.value, b.column(0).to_numpy())))]))
 
     sets = docs.select(place("_id", "_th"), "_text").mapInArrow(run, "cls long, own array<long>").join(of, F.col("cls") == F.col("h"))
-    return staged(sets.select(F.col("_cls").alias("cls"), "own").dropDuplicates(["cls"]), "shingle-sets")
+    out = staged(sets.select(F.col("_cls").alias("cls"), "own").dropDuplicates(["cls"]), "shingle-sets")
+    bitmap.destroy()
+    return out
 
 
 def compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +257,7 @@ def links(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int],
     twice = docs.sparkSession.sparkContext.broadcast(bitmap_of(staged(counts, "repeated-shingles").select("h")))
     few = classes.select("cls", "prefix").mapInArrow(lambda batches: of_marked(twice.value)(batches), "cls long, prefix array<long>").where(F.size("prefix") > 0)
     rows = staged(few.join(classes.select("cls", "size", *SKETCH), "cls").select("cls", "size", *SKETCH, F.explode("prefix").alias("h")), "prefix-shingles")
+    twice.destroy()
     one = F.struct("cls", "size", *SKETCH)
     buckets = staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min(one).alias("least")).where("w > 1"), "shingle-buckets")
     total = rows.count()

@@ -417,6 +417,8 @@ def covered_runs(docs: DataFrame) -> DataFrame:
         salt = F.coalesce(F.pmod(F.xxhash64("doc", "lo"), F.col("salts")), F.lit(-1)).cast("int")
         sent = rows.join(F.broadcast(large), "g", "left").select(*NAMES, salt.alias("salt"))
         done = staged(sent.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(compare_groups(deal), ROWS), "compared")
+        if deal:
+            twice.destroy()
         remove(spark, counts._staged_at)
         some = done.where("context is null").select("doc", "th", "lo", "hi")
         covered = some if covered is None else covered.unionByName(some)
