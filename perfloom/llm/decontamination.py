@@ -2,7 +2,9 @@
 
 Scores are divided by an item's score for its own words, so one threshold fits items of any length. Before the walk over
 postings, upper bounds are added up for all passages of a batch at once: what rare terms give each item, plus all that the
-item's frequent terms could give. Only passages with an item that can reach the threshold are walked.
+item's frequent terms could give. Only passages with an item that can reach the threshold are walked, so the screen costs
+what the rare terms' postings cost, and WAND with its block maxima is spent where frequent terms' long postings would have
+to be read.
 """
 
 from __future__ import annotations
