@@ -302,8 +302,8 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids
     for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():
         hist[length] = n
     whole = int(hist[window])
-    salts = F.element_at(F.array(*(F.lit(int(x)) for x in -(-hist // ranked))), F.col("length").cast("int") + 1)
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
+    salts = docs.sparkSession.createDataFrame([(i, -(-int(n) // ranked)) for i, n in enumerate(hist) if n], "length long, _salts long")
+    pieces = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_salts"))).drop("_salts")
     groups = staged(pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")  # a row for each RANKED pieces
     earlier = groups.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")

@@ -117,7 +117,7 @@ def long(x: int):
 
 def links(codes: DataFrame, total: int) -> DataFrame:
     """Edges (a, b) that join all fingerprints (column fp, distinct) within TAU bits of each other, directly or by others."""
-    some = codes.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
+    some = codes.orderBy(F.xxhash64("fp")).limit(SAMPLE).toArrow()["fp"].to_numpy().view(np.uint64)
     parts = plan_partitions(some, total)
     # The index holds each part as it is; probes are the part with up to t bits flipped, so only one side is expanded.
     index, probes = [], []
