@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, staged
+from .common import attach, release, staged
 
 BITS = 17
 #: How many documents a prior is worth at most, and at least; and where there is but one site, so that no spread can be seen.
@@ -106,7 +106,10 @@ def fitted(rows: DataFrame, labels: DataFrame, fit_rows: int) -> np.ndarray:
     table = rows.sparkSession.createDataFrame([(int(s),) for s in np.flatnonzero(use)], "slot int")
     lists = each.join(F.broadcast(table), "slot").groupBy("id").agg(F.array_sort(F.collect_list("slot")).alias("clear"))
     told = known.select("id", "good", "shape").join(lists, "id", "left").orderBy("id").toArrow()
-    return fit([x or [] for x in told["clear"].to_pylist()], np.array(told["shape"].to_pylist(), float).reshape(-1, SHAPE), told["good"].to_numpy() == 1)
+    w = fit([x or [] for x in told["clear"].to_pylist()], np.array(told["shape"].to_pylist(), float).reshape(-1, SHAPE), told["good"].to_numpy() == 1)
+    del told, counts
+    release()
+    return w
 
 
 def judge(w: np.ndarray):
