@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filters
+from . import fill_in_middle as fim
+from . import line_dedup, ranked_search, url_filters
 from . import quality_rules as rules
+from .byte_bpe import decode_ids, encode_texts
 from .decontamination import contaminated
 from .lm_scoring import score_documents
 from .packing import pack_documents
@@ -66,5 +68,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).drop("_th", "_gone")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_quality_classifier, op7_line_dedup, op8_simhash, op9_suffix_dedup, op10_quality_rules)}
-ORACLE: dict[str, str] = {"op3_url_filters": url_filters.sql(URL_RULES), "op7_line_dedup": line_dedup.SQL, "op10_quality_rules": rules.SQL}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    return out.withColumn("output_sha256", F.sha2("output", 256)).withColumn("restored_sha256", F.sha2(fim.restored(F.col("output"), F.col("form")), 256)).drop("output")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode_ids(encode_texts(read(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_url_filters, op4_lm_scoring, op5_decontamination, op6_quality_classifier, op7_line_dedup, op8_simhash, op9_suffix_dedup, op10_quality_rules, op11_ranked_search, op12_fill_in_middle, op13_byte_bpe)}
+ORACLE: dict[str, str] = {"op3_url_filters": url_filters.sql(URL_RULES), "op7_line_dedup": line_dedup.SQL, "op10_quality_rules": rules.SQL, "op11_ranked_search": ranked_search.SQL, "op12_fill_in_middle": fim.SQL}
