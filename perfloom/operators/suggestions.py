@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..functions import text as T
 from ..functions.metrics import accuracy_factor, consensus_factor, first_hit, risk_factor
 from . import parsers
 from .scale import attach, components, staged
+from .set_similarity import candidate_pairs, hashed, similar_sets
 
 #: Keywords of each category, in the order they are tried.
 CATEGORIES = [
@@ -22,40 +26,15 @@ CATEGORIES = [
 TERMS = ["AppendEntries", "Pipeline", "Batch", "nextIndex", "matchIndex", "ReadIndex", "Snapshot", "Persister", "SkipList", "Lock", "buffer", "channel", "RPC", "commit", "apply", "log", "raft", "leader", "follower", "candidate", "election"]
 
 
-def key_of(tokens: Column) -> Column:
-    """The same for equal token sets alone."""
-    return F.md5(F.array_join(F.array_sort(tokens), "\u0001"))
-
-
-def kinds_of(rows: DataFrame, tokens: str) -> DataFrame:
-    """k, x, n, first: each distinct token set once, how many rows have it, and the least seq of those."""
-    return rows.groupBy(key_of(F.col(tokens)).alias("k")).agg(F.first(tokens).alias("x"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-
-
-def ranked_tokens(kinds: DataFrame) -> DataFrame:
-    """k, t, size, r: the tokens of each set, the rarest first (ties by the token)."""
-    one = kinds.select("k", F.size("x").alias("size"), F.explode("x").alias("t"))
-    df = one.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    return one.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("df", "t")))
-
-
-def blocked_pairs(kinds: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b: all pairs of sets (k, x) that can have a Jaccard similarity of over least, and some others.
-
-    Prefix filter: such sets share one of their n - ceil(least * n) + 1 rarest tokens, so only those are joined. Rare tokens
-    make short lists; frequent ones are a set's last choice. Equal sets are one, so copies make no pairs.
-    """
-    keep = ranked_tokens(kinds).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * F.lit(least)) + 1)
-    a, b = keep.select(F.col("k").alias("a"), "t", F.col("size").alias("na")), keep.select(F.col("k").alias("b"), "t", F.col("size").alias("nb"))
-    sizes = (F.col("na") >= F.col("nb") * F.lit(least)) & (F.col("nb") >= F.col("na") * F.lit(least))
-    return a.join(b, "t").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+def key_of(x: Column) -> Column:
+    """The same for equal token sets (sorted hashes) alone."""
+    return F.md5(F.array_join(x, ","))
 
 
-def similar_kinds(kinds: DataFrame, over: float) -> DataFrame:
-    """(a, b, similarity) of all pairs of different sets whose Jaccard similarity is over the bound."""
-    sets = kinds.select("k", "x")
-    p = blocked_pairs(sets, over).join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
-    return p.select("a", "b", T.jaccard(F.col("xa"), F.col("xb")).alias("similarity")).where(F.col("similarity") > over)
+def kinds_of(sets: DataFrame, x: str) -> DataFrame:
+    """no, k, x, n, first: each distinct token set (hashes) once, numbered, how many rows have it, and the least seq of those; staged."""
+    kinds = sets.groupBy(key_of(F.col(x)).alias("k")).agg(F.first(x).alias("x"), F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    return staged(kinds.withColumn("no", F.monotonically_increasing_id()), "token-sets")
 
 
 def named_pairs(pairs: DataFrame, kinds: DataFrame, value: str, own: Column) -> DataFrame:
@@ -70,13 +49,13 @@ def named_pairs(pairs: DataFrame, kinds: DataFrame, value: str, own: Column) ->
 
 def similar_pairs(rows: DataFrame, tokens: str, over: float) -> DataFrame:
     """(a, b, similarity, n_a, n_b): distinct token sets, by the least seq of each, whose Jaccard similarity is over the bound."""
-    kinds = staged(kinds_of(rows.where(F.size(tokens) > 0), tokens), "token-sets")
-    return named_pairs(similar_kinds(kinds, over), kinds, "similarity", F.lit(1.0))
+    kinds = kinds_of(rows.select("seq", hashed(F.col(tokens)).alias("x")).where(F.size("x") > 0), "x")
+    return named_pairs(similar_sets(kinds, over), kinds, "similarity", F.lit(1.0))
 
 
 def both_ways(kinds: DataFrame, over: float) -> DataFrame:
     """(a, b): a set, and each that is similar to it, itself included where it holds tokens."""
-    p = similar_kinds(kinds, over).select("a", "b")
+    p = similar_sets(kinds, over).select("a", "b")
     return p.union(p.select("b", "a")).union(kinds.where(F.size("x") > 0).select("k", "k")).toDF("a", "b")
 
 
@@ -86,7 +65,7 @@ def consensus_counts(s: DataFrame) -> DataFrame:
     Counted by distinct sets: those with similar titles, plus those with similar descriptions, less those with both; of
     each, all models less the own one. No pair of rows is made.
     """
-    rows = s.select("seq", F.coalesce("source_model", F.lit("")).alias("model"), T.split_tokens(F.col("title"), T.CONSENSUS_TITLE).alias("tt"), T.word_tokens(F.col("description"), T.CONSENSUS_KEYWORDS).alias("dt"))
+    rows = s.select("seq", F.coalesce("source_model", F.lit("")).alias("model"), hashed(T.split_tokens(F.col("title"), T.CONSENSUS_TITLE)).alias("tt"), hashed(T.word_tokens(F.col("description"), T.CONSENSUS_KEYWORDS)).alias("dt"))
     rows = staged(rows.withColumns({"kt": key_of(F.col("tt")), "kd": key_of(F.col("dt"))}), "suggestion-sets")
     title = staged(both_ways(kinds_of(rows, "tt"), 0.8), "title-edges")
     text = staged(both_ways(kinds_of(rows, "dt"), 0.6), "description-edges")
@@ -123,56 +102,91 @@ def prefix_dedup(s: DataFrame, n: int = 30) -> DataFrame:
     return s.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def composite(a: dict, b: dict) -> float:
-    def j(x, y):
-        return len(x & y) / len(x | y) if x and y else 0.0
+def alike_edges(nodes: DataFrame, over: float) -> DataFrame:
+    """(a, b) of all pairs of nodes (no, tk, tt, dt, gt: keys of titles, hashes of title, description and gain) whose composite similarity is over the bound.
 
-    return 0.5 * j(a["tt"], b["tt"]) + 0.3 * j(a["dt"], b["dt"]) + 0.2 * j(a["gt"], b["gt"])
+    Over the bound the title similarity is over twice (bound - 0.5), so titles are joined first, each distinct one once; the
+    score is a condition of the join that brings their nodes together.
+    """
+    titles = staged(nodes.groupBy("tk").agg(F.first("tt").alias("x")).where(F.size("x") > 0).withColumn("no", F.monotonically_increasing_id()), "titles")
+    key = titles.select("no", "tk")
+    met = candidate_pairs(titles, 2 * (over - 0.5)).join(key.toDF("a", "ta"), "a").join(key.toDF("b", "tb"), "b").select("ta", "tb").union(key.select("tk", "tk"))
+    x, y = nodes.alias("x"), nodes.alias("y")
+    part = lambda c, w: F.lit(w) * T.jaccard(F.col(f"x.{c}"), F.col(f"y.{c}"))
+    score = part("tt", 0.5) + part("dt", 0.3) + part("gt", 0.2)
+    once = (F.col("ta") != F.col("tb")) | (F.col("x.no") < F.col("y.no"))
+    return met.join(x, F.col("ta") == F.col("x.tk")).join(y, (F.col("tb") == F.col("y.tk")) & once & (score > over)).select(F.col("x.no").alias("a"), F.col("y.no").alias("b"))
+
+
+DECIDED = "seq long, label string"
+
+
+def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The greedy run, component after component: rows (c, other, seq, no, final_weight, source_model) to (seq, label), null for what goes.
+
+    Of each component first come its alike nodes (no, other), then its suggestions in seq order. Who is kept is appended, so
+    those kept are in seq order and a newcomer's twin is the least alike one. Only these and the edges are held.
+    """
+    now, near, stay, kept = None, {}, {}, {}
+    out: list[tuple[int, str | None]] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [(), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["seq", "label"])
+
+    for b in batches:
+        for r in b.to_pylist():
+            if r["c"] != now:
+                out.extend((i, label) for i, (_, label) in kept.items())
+                now, near, stay, kept = r["c"], defaultdict(list), defaultdict(deque), {}
+            if r["other"] is not None:
+                near[r["no"]].append(r["other"])
+                continue
+            at = min((j for j in near[r["no"]] if stay[j]), key=lambda j: stay[j][0], default=None)
+            if at is not None:
+                twin = stay[at][0]
+                weight, label = kept[twin]
+                if not r["final_weight"] > weight:
+                    if r["source_model"] not in label:
+                        kept[twin] = weight, f"{label} + {r['source_model']}"
+                    out.append((r["seq"], None))
+                    continue
+                stay[at].popleft()
+                del kept[twin]
+                out.append((twin, None))
+            stay[r["no"]].append(r["seq"])
+            kept[r["seq"]] = r["final_weight"], r["source_model"]
+        if len(out) > 10_000:
+            yield flush()
+    out.extend((i, label) for i, (_, label) in kept.items())
+    yield flush()
 
 
 def greedy_dedup(s: DataFrame, over: float = 0.75) -> DataFrame:
     """Keeps, in seq order, suggestions unlike those kept so far; of two alike (over the bound) the heavier stays.
 
     A heavier newcomer goes to the end of those kept and keeps its own model label; otherwise the kept one's label gains the
-    newcomer's, unless it holds it already. Only suggestions in one component of the graph of alike pairs can meet, so the
-    run is done per component. Over the bound the title similarity is over twice (bound - 0.5), which the blocking uses.
-    Suggestions with equal token sets are one node of the graph, and within a component each pair of nodes is compared once.
+    newcomer's, unless it holds it already. Only suggestions in one component of the graph of alike token sets can meet, so
+    components are sorted by seq and run one after the other as streams of thin rows: what is held of one are its edges and
+    those kept, not its rows. seq is unique; a null label counts as an empty one, a null weight as the least.
     """
-    sets = s.withColumns({"tt": T.word_tokens(F.col("title"), T.DEDUP_TITLE), "dt": T.word_tokens(F.col("description"), T.DEDUP_KEYWORDS), "gt": T.word_tokens(F.col("expected_gain"), T.DEDUP_KEYWORDS)})
-    sets = staged(sets.withColumn("k", F.concat(*(key_of(F.col(c)) for c in ("tt", "dt", "gt")))), "dedup-sets")
-    nodes = staged(sets.groupBy("k").agg(*(F.first(c).alias(c) for c in ("tt", "dt", "gt")), F.count(F.lit(1)).alias("n")), "dedup-kinds")
-    p = blocked_pairs(nodes.select("k", F.col("tt").alias("x")), 2 * (over - 0.5))
-    at = nodes.select("k", "tt", "dt", "gt")
-    p = p.join(at.toDF("a", "ta", "da", "ga"), "a").join(at.toDF("b", "tb", "db", "gb"), "b")
-    score = F.lit(0.5) * T.jaccard(F.col("ta"), F.col("tb")) + F.lit(0.3) * T.jaccard(F.col("da"), F.col("db")) + F.lit(0.2) * T.jaccard(F.col("ga"), F.col("gb"))
-    label = components(p.where(score > over).select("a", "b")).toDF("k", "c")
-    groups = staged(nodes.select("k", "n").join(label, "k", "left").where("c is not null or n > 1").select("k", "n", F.coalesce("c", "k").alias("c")), "dedup-groups")
-    tagged = attach(sets, groups, ["k"], "n", sets.count(), "left")
-    kept = s.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").to_dict("records")
-        tokens = {r["k"]: {c: set(r[c]) for c in ("tt", "dt", "gt")} for r in rows}
-        alike: dict[tuple[str, str], bool] = {}
-
-        def same(a: str, b: str) -> bool:
-            if (a, b) not in alike:
-                alike[a, b] = alike[b, a] = composite(tokens[a], tokens[b]) > over
-            return alike[a, b]
-
-        stay: list[dict] = []
-        for r in rows:
-            twin = next((i for i, k in enumerate(stay) if same(r["k"], k["k"])), None)
-            if twin is None:
-                stay.append(r)
-            elif r["final_weight"] > stay[twin]["final_weight"]:
-                stay = [*stay[:twin], *stay[twin + 1 :], r]
-            elif r["source_model"] not in stay[twin]["source_model"]:
-                stay[twin]["source_model"] = f"{stay[twin]['source_model']} + {r['source_model']}"
-        return pd.DataFrame(stay)[kept]
-
-    alone = tagged.where("c is null").select(*kept)
-    return alone.unionByName(tagged.where("c is not null").groupBy("c").applyInPandas(run, s.schema))
+    sets = s.select("seq", F.coalesce("final_weight", F.lit(float("-inf"))).alias("final_weight"), F.coalesce("source_model", F.lit("")).alias("source_model"), hashed(T.word_tokens(F.col("title"), T.DEDUP_TITLE)).alias("tt"), hashed(T.word_tokens(F.col("description"), T.DEDUP_KEYWORDS)).alias("dt"), hashed(T.word_tokens(F.col("expected_gain"), T.DEDUP_KEYWORDS)).alias("gt"))
+    sets = sets.withColumn("tk", key_of(F.col("tt"))).withColumn("k", F.concat("tk", key_of(F.col("dt")), key_of(F.col("gt"))))
+    sets = staged(sets, "dedup-sets")
+    nodes = sets.groupBy("k").agg(*(F.first(c).alias(c) for c in ("tk", "tt", "dt", "gt")), F.count(F.lit(1)).alias("n"))
+    nodes = staged(nodes.withColumn("no", F.monotonically_increasing_id()), "dedup-kinds")
+    edges = staged(alike_edges(nodes, over), "dedup-edges")
+    own = sum((F.when(F.size(c) > 0, w).otherwise(0.0) for c, w in (("dt", 0.3), ("gt", 0.2))), F.when(F.size("tt") > 0, 0.5).otherwise(0.0)) > over
+    label = components(edges).toDF("no", "c")
+    groups = nodes.select("k", "no", "n", own.alias("own")).join(label, "no", "left").where("c is not null or own and n > 1").withColumn("c", F.coalesce("c", "no"))
+    groups = staged(groups, "dedup-groups")
+    both = edges.union(edges.select("b", "a")).toDF("no", "other").union(groups.where("own").select("no", "no"))
+    thin = attach(sets.select("seq", "k", "final_weight", "source_model"), groups.select("k", "no", "c", "n"), ["k"], "n", sets.count())
+    rows = thin.select("c", "no", "seq", "final_weight", "source_model").unionByName(both.join(groups.select("no", "c"), "no"), allowMissingColumns=True)
+    decided = rows.repartition("c").sortWithinPartitions("c", F.col("other").isNull(), "seq").mapInArrow(decide, DECIDED)
+    told = s.join(decided.withColumn("decided", F.lit(True)), "seq", "left").where("decided is null or label is not null")
+    return told.select(*(F.coalesce("label", "source_model").alias(c) if c == "source_model" else F.col(c) for c in s.columns))
 
 
 def quality_filter(s: DataFrame, least: float = 0.3) -> DataFrame:
@@ -198,17 +212,17 @@ def aggregate(s: DataFrame, history: DataFrame, *, least: float = 0.3, k: int =
     return top_ranked(quality_filter(greedy_dedup(weighted(s, history)), least), k)
 
 
-def conflicts(s: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, overlap, n_a, n_b): distinct title word sets, by the least seq of each, that share at least so many words.
+def conflicts(s: DataFrame) -> DataFrame:
+    """(a, b, overlap, n_a, n_b): distinct title word sets, by the least seq of each, that share at least two words.
 
-    Two such sets share a word besides the least - 1 most frequent ones of each, so those make no candidates.
+    Sets meet by pairs of words, so no row is made for sets that share one word only. Two sets with m words in common meet
+    m * (m - 1) / 2 times, which tells m: the sets themselves aren't joined.
     """
-    kinds = staged(kinds_of(s.select("seq", T.split_tokens(F.col("title")).alias("x")).where(F.size("x") >= least), "x"), "title-sets")
-    keep = ranked_tokens(kinds).where(F.col("r") <= F.col("size") - (least - 1)).select("k", "t")
-    p = keep.toDF("a", "t").join(keep.toDF("b", "t"), "t").where("a < b").select("a", "b").distinct()
-    x = kinds.select("k", "x")
-    p = p.join(x.toDF("a", "xa"), "a").join(x.toDF("b", "xb"), "b").select("a", "b", F.size(F.array_intersect("xa", "xb")).cast("long").alias("overlap"))
-    return named_pairs(p.where(F.col("overlap") >= least), kinds, "overlap", F.size("x").cast("long"))
+    kinds = kinds_of(s.select("seq", hashed(T.split_tokens(F.col("title"))).alias("x")).where(F.size("x") >= 2), "x")
+    twos = F.flatten(F.transform("x", lambda t, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
+    keys = kinds.select("k", F.inline(twos))
+    p = keys.toDF("a", "t", "u").join(keys.toDF("b", "t", "u"), ["t", "u"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
+    return named_pairs(p.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("m"))) / 2).cast("long").alias("overlap")), kinds, "overlap", F.size("x").cast("long"))
 
 
 def topics(s: DataFrame) -> DataFrame:
@@ -270,18 +284,26 @@ def roadmap(s: DataFrame, k: int = 5) -> DataFrame:
     return s.orderBy(*order).limit(k).withColumn("step", F.row_number().over(Window.orderBy(*order)))
 
 
+def first_hits(files: DataFrame) -> DataFrame:
+    """term_no, term, path, pos, code: of each term the first file that holds it, its first line there and the lines around; one row a term at most."""
+    held = files.select("path", F.posexplode(terms(F.col("content"))).alias("_", "term"))
+    least = F.broadcast(held.groupBy("term").agg(F.min("path").alias("path")))
+    lines = files.join(least, "path").withColumn("lines", F.split("content", "\n"))
+    pos = F.array_position(F.transform("lines", lambda x: F.contains(F.lower(x), F.lower("term"))), True).cast("int") - 1
+    at = F.greatest(F.col("pos") - 1, F.lit(1))
+    code = F.array_join(F.slice("lines", at, F.least(F.col("pos") + 5, F.size("lines")) - at + 1), "\n")
+    return lines.withColumn("pos", pos).select((F.array_position(F.array(*map(F.lit, TERMS)), F.col("term")) - 1).cast("int").alias("term_no"), "term", "path", "pos", code.alias("code"))
+
+
 def related_code(s: DataFrame, files: DataFrame) -> DataFrame:
     """seq, path, pos, code: of the first file that holds a term of the suggestion, the lines around the first hit of its first term.
 
-    files: path, content. Terms are at most 21, so terms of suggestions and of lines meet in an equi-join on the term.
+    files: path, content; one row a path. What files have to say is one row a term, 21 at most, which go to the suggestions
+    as one array; neither suggestions nor files are shuffled.
     """
-    mine = s.select("seq", F.posexplode(terms(F.concat_ws(" ", "title", "description"))).alias("term_no", "term"))
-    lines = files.select("path", F.split("content", "\n").alias("lines")).select("path", "lines", F.posexplode("lines").alias("pos", "line"))
-    hits = lines.select("path", "pos", "lines", F.explode(terms(F.col("line"))).alias("term"))
-    hits = hits.groupBy("path", "term").agg(F.min("pos").alias("pos"), F.min_by("lines", "pos").alias("lines"))
-    code = F.array_join(F.slice("lines", F.greatest(F.col("pos") - 1, F.lit(1)), F.least(F.col("pos") + 5, F.size("lines")) - F.greatest(F.col("pos") - 1, F.lit(1)) + 1), "\n")
-    found = mine.join(hits.select("path", "term", "pos", code.alias("code")), "term")
-    return found.groupBy("seq").agg(F.min(F.struct("path", "term_no", "pos", "code")).alias("b")).select("seq", "b.path", "b.pos", "b.code")
+    hits = first_hits(files).agg(F.collect_list(F.struct("path", "term_no", "pos", "code", "term")).alias("hits"))
+    mine = F.filter("hits", lambda h: F.array_contains(terms(F.concat_ws(" ", "title", "description")), h["term"]))
+    return s.crossJoin(F.broadcast(hits)).select("seq", F.array_min(mine).alias("b")).where("b is not null").select("seq", "b.path", "b.pos", "b.code")
 
 
 def located(s: DataFrame, files: DataFrame) -> DataFrame:

@@ -44,6 +44,11 @@ def test_weight_example(spark):
     assert suggestions.weighted(big, h).first().final_weight == 2.0
 
 
+def composite(a, b):
+    j = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    return 0.5 * j(a["tt"], b["tt"]) + 0.3 * j(a["dt"], b["dt"]) + 0.2 * j(a["gt"], b["gt"])
+
+
 def greedy(rows):
     word = lambda t, stop: set(__import__("re").findall(r"\w+", (t or "").lower())) - set(stop)
     sets = {r[0]: {"tt": word(r[1], T.DEDUP_TITLE), "dt": word(r[2], T.DEDUP_KEYWORDS), "gt": word(r[6], T.DEDUP_KEYWORDS)} for r in rows}
@@ -51,7 +56,7 @@ def greedy(rows):
     for r in rows:
         r = list(r)
         for k in stay:
-            if suggestions.composite(sets[r[0]], sets[k[0]]) > 0.75:
+            if composite(sets[r[0]], sets[k[0]]) > 0.75:
                 if r[11] > k[11]:
                     stay.remove(k)
                     stay.append(r)
@@ -72,6 +77,17 @@ def test_greedy_dedup_equals_the_loop(spark):
     assert got == greedy(rows)
 
 
+def test_greedy_dedup_of_long_chains_and_many_equal_rows(spark):
+    """Each row of the chain is alike its neighbours only; equal rows are one node."""
+    rng = random.Random(9)
+    chain = [row(i, " ".join(f"w{j}" for j in range(i, i + 10)), f"m{i % 3}", "same text", "5%", rng.randrange(9) / 4) for i in range(300)]
+    equal = [row(1000 + i, "one title", f"m{i % 7}", "one text", "1%", rng.randrange(30) / 10) for i in range(500)]
+    empty = [row(2000 + i, t, "m", d, "1%", 1.0) for i, (t, d) in enumerate([("", "x"), ("", "x"), ("a", ""), ("a", ""), ("a", "b"), ("a", "b")])]
+    rows = chain + equal + empty
+    got = sorted((r.seq, r.source_model) for r in suggestions.greedy_dedup(frame(spark, rows)).collect())
+    assert got == greedy(rows) and 50 < len(got) < 290
+
+
 def test_identical_twins_keep_the_heavier(spark):
     rows = [row(0, "内存优化", "deepseek", "使用内存池", "20%", 0.9), row(1, "内存优化", "claude", "使用内存池", "20%", 1.1)]
     got = suggestions.greedy_dedup(frame(spark, rows)).collect()
@@ -107,6 +123,37 @@ def test_similar_pairs_lose_nothing(spark):
         assert {tuple(r) for r in suggestions.similar_pairs(df, "t", least).collect()} == brute_pairs(sets, jaccard, lambda x, least=least: x > least)
 
 
+def test_similarity_join_of_long_sets_makes_few_candidates(spark):
+    """Copies with some tokens changed among sets of common words: no pair is lost, and what meets is near what is similar."""
+    from perfloom.operators import set_similarity
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    weights = [1 / (i + 20) for i in range(1500)]
+    sets = []
+    for _ in range(120):
+        base = set(rng.choices(vocabulary, weights, k=rng.randrange(3, 400)))
+        sets.append(base)
+        for _ in range(rng.randrange(4)):
+            gone = set(rng.sample(sorted(base), int(len(base) * rng.random() * 0.4)))
+            sets.append((base - gone) | {f"x{rng.randrange(10**6)}" for _ in range(int(len(gone) * rng.random()))} or base)
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "seq long, t array<string>")
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    for over in (0.5, 0.6, 0.8):
+        want = brute_pairs(rows, jaccard, lambda x, over=over: x > over)
+        assert {tuple(r) for r in suggestions.similar_pairs(df, "t", over).collect()} == want
+        kinds = suggestions.kinds_of(df.select("seq", set_similarity.hashed(F.col("t")).alias("x")), "x")
+        assert set_similarity.candidate_pairs(kinds, over).count() <= 10 * len(want) + len(sets)
+
+
+def test_related_code_takes_the_first_file_of_any_term(spark):
+    files = [("b/raft.cc", "x\nthe LOG\nBatch of raft\nend"), ("a/none.cc", "nothing"), ("c/apply.cc", "apply\nraft\nlog"), ("a/rpc.cc", "1\n2\n3\nRpc call\n5\n6\n7\n8\n9\n10")]
+    rows = [row(0, "raft apply"), row(1, "apply"), row(2, "rpc and raft"), row(3, "zzz"), row(4, "batch", description="log")]
+    got = {r.seq: (r.path, r.pos, r.code) for r in suggestions.related_code(frame(spark, rows), spark.createDataFrame(files, "path string, content string")).collect()}
+    assert got == {0: ("b/raft.cc", 2, files[0][1]), 1: ("c/apply.cc", 0, files[2][1]), 2: ("a/rpc.cc", 3, "2\n3\nRpc call\n5\n6\n7\n8"), 4: ("b/raft.cc", 2, files[0][1])}
+
+
 def test_conflicts(spark):
     rng = random.Random(5)
     titles = [(i, " ".join(rng.sample("ab cd ef gh ij kl mn op qr".split(), rng.randrange(1, 5)))) for i in range(50)] + [(60, "AB cd"), (61, "cd ab")]
