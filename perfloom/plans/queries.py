@@ -453,11 +453,43 @@ def q46_snippet_slice(spark, sf):
     return parsers.snippet(S.table(spark, sf, "documents").select("doc_id", "text"), "text", F.lit(3)).select("doc_id", "snippet")
 
 
-@query("""SELECT event_id, pos::INT AS pos, 't' || event_id AS title, CASE WHEN pos = 0 THEN 5 ELSE 1 END::INT AS priority, 'low' AS risk_level, CASE WHEN pos = 0 THEN 1e0 ELSE 0.5e0 END AS confidence FROM events, (VALUES (0), (1)) v(pos) WHERE NOT (pos = 1 AND event_id % 5 = 0)""")
+#: Answers (§ is an event's id, @ its type) and the suggestions that they hold: title, description, pseudocode, priority, risk, gain, steps, confidence.
+PLAIN = ("", "# 无伪代码", 3, "medium", "未知", 0, 0.5)
+ANSWERS = [
+    ('[{"title": "t§", "priority": 9, "risk_level": "low", "self_confidence": 3}, {"title": "u@", "priority": -2, "risk_level": "LOW"}]', [("t§", "", "# 无伪代码", 5, "low", "未知", 0, 1.0), ("u@", "", "# 无伪代码", 1, "low", "未知", 0, 0.5)]),
+    ('so:\n```json\n[{"title": "t§", "description": "@", "pseudocode": "f(§)", "implementation_steps": ["a", "b"], "expected_gain": "§%"}]\n```', [("t§", "@", "f(§)", 3, "medium", "§%", 2, 0.5)]),
+    ('{"suggestions": [{"title": "t§", "priority": "4", "self_confidence": "0.9"}, {"title": "gone", "priority": "4.5"}, 5]}', [("t§", "", "# 无伪代码", 4, "medium", "未知", 0, 0.9)]),
+    ('```json\n{"suggestions": [{"title": "t§"}]}\n```', [("未命名建议", *PLAIN)]),
+    ("##@ t§\ntext\n### more\n", [("@ t§", "（解析失败，请参考原文）", "# 解析失败", 3, "medium", "未知", 1, 0.3), ("more", "（解析失败，请参考原文）", "# 解析失败", 3, "medium", "未知", 1, 0.3)]),
+    ('{"other": §}', []),
+    ('[{"title": "a§", "risk_level": " low "}, {"title": "b§", "priority": null}, {"title": "c§", "self_confidence": "high"}, {"title": "t§", "priority": 4.7, "risk_level": 3}]', [("t§", "", "# 无伪代码", 4, "medium", "未知", 0, 0.5)]),
+    ('[{"title": "t§", "implementation_steps": "do it"}, {"title": "u§", "implementation_steps": 5}]', [("t§", "", "# 无伪代码", 3, "medium", "未知", 1, 0.5), ("u§", *PLAIN)]),
+    ('```\n{broken\n``` or ```json\n{"title": "t§", "risk_level": "High"}\n```', [("t§", "", "# 无伪代码", 3, "high", "未知", 0, 0.5)]),
+    ('{"suggestions": 5}', []),
+    ("```\n§\n``` ```json\n[{}]\n```", []),
+    ('[{"title": 7, "confidence": 0.9}, [], null, {"expected_gain": "§"}]', [("7", *PLAIN), ("未命名建议", "", "# 无伪代码", 3, "medium", "§", 0, 0.5)]),
+]
+
+
+def _answers_sql(cases: list, names: str) -> str:
+    def text(x) -> str:
+        return "'" + x.replace("'", "''").replace("§", "' || event_id || '").replace("@", "' || event_type || '") + "'" if isinstance(x, str) else f"{x!r}e0" if isinstance(x, float) else repr(x)
+
+    parts = [f"SELECT event_id, {pos}, {', '.join(map(text, r))} FROM events WHERE event_id % {len(cases)} = {k}" for k, (_, rows) in enumerate(cases) for pos, r in enumerate(rows)]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) v(event_id, pos, {names})"
+
+
+def _answers(spark, sf, cases) -> DataFrame:
+    """event_id, output: an answer for each event, with its id and type in it."""
+    dim = F.broadcast(spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "k long, answer string"))
+    e = S.table(spark, sf, "events").withColumn("k", F.pmod("event_id", F.lit(len(cases)))).join(dim, "k")
+    return e.select("event_id", F.replace(F.replace(F.col("answer"), F.lit("§"), F.col("event_id").cast("string")), F.lit("@"), F.col("event_type")).alias("output"))
+
+
+@query(_answers_sql(ANSWERS, "title, description, pseudocode, priority, risk_level, expected_gain, n_steps, confidence"))
 def q47_json_suggestions(spark, sf):
-    one = """'{"title": "t' || event_id || '", "priority": 9, "risk_level": "low", "self_confidence": 3}, {"title": "t' || event_id || '", "priority": -2, "risk_level": "' || CASE event_id % 5 WHEN 0 THEN 'odd' ELSE 'LOW' END || '"}'"""
-    text = f"CASE event_id % 3 WHEN 0 THEN '[' || {one} || ']' WHEN 1 THEN 'so:\\n```json\\n[' || {one} || ']\\n```' ELSE '{{\"suggestions\": [' || {one} || ']}}' END"
-    return responses.suggestions_of(_output(spark, sf, text), "output", "event_id").select("event_id", "pos", "title", "priority", "risk_level", "confidence")
+    out = responses.suggestions_of(_answers(spark, sf, ANSWERS), "output", "event_id")
+    return out.withColumn("n_steps", F.size("steps")).drop("steps")
 
 
 @query("SELECT o_orderkey AS seq, substring(md5(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ':' || o_custkey || ':' || o_orderkey), 1, 12) AS record_id FROM orders")
@@ -643,19 +675,38 @@ def q74_command_responses(spark, sf):
     return responses.suggestions_of(_output(spark, sf, text), "output", "event_id", way="command").select("event_id", "title", "priority")
 
 
-@query("SELECT event_id, pos::INT AS pos, CASE WHEN event_id % 2 = 0 THEN ['批处理', '缓存'][pos + 1] ELSE 'x' || event_id END AS title, 0.3e0 AS confidence FROM events, (VALUES (0), (1)) v(pos) WHERE event_id % 2 = 0 OR pos = 0")
+#: Answers that give nothing else, read by loose titles.
+LOOSE_ANSWERS = [
+    ("plain answer\n建议1：批处理\n优化: @ §\n建议: 批处理", [("批处理", 0.3), ("@ §", 0.3)]),
+    ("[] 优化方案 2: x§", [("x§", 0.3)]),
+    ('[{"priority": "high"}]\n建议: 1, 2: y§', [("1, 2: y§", 0.3)]),
+    ('[{"title": "z§", "implementation_steps": 5, "self_confidence": "1"}]', [("z§", 1.0)]),
+    ("#建议 @\n§", [("建议 @", 0.3)]),
+    ("§", []),
+]
+
+
+@query(_answers_sql(LOOSE_ANSWERS, "title, confidence"))
 def q75_loose_responses(spark, sf):
-    text = "CASE WHEN event_id % 2 = 0 THEN '{}' || chr(10) || '建议1：批处理' || chr(10) || '优化: 缓存' || chr(10) || '建议: 批处理' ELSE '[] 优化方案 2: x' || event_id END"
-    text = text.replace("'{}' || chr(10) || ", "'plain answer' || chr(10) || ")
-    return responses.suggestions_of(_output(spark, sf, text), "output", "event_id", way="loose").select("event_id", "pos", "title", "confidence")
+    return responses.suggestions_of(_answers(spark, sf, LOOSE_ANSWERS), "output", "event_id", way="loose").select("event_id", "pos", "title", "confidence")
+
+
+#: Outcomes of debates: how many suggestions, the first place with its code, whether any was accepted.
+OUTCOMES = [
+    ('{"final_suggestions": [{"title": "t"}], "decision_summary": {"accepted": 2}, "proposals": [{"location": "a.cpp:§", "pseudocode": "@"}, {"location": "nowhere"}]}', [(1, "a.cpp:§", "@", True)]),
+    ('```json\n{"final_suggestions": [{}, 3, {"priority": "x"}], "decision_summary": {"accepted": 0}, "proposals": [{"location": ["a:1"]}, {"location": "b.cpp:§"}]}\n```', [(2, "b.cpp:§", "", False)]),
+    ("```\nbroken", [(0, None, None, False)]),
+    ('{"proposals": §, "final_suggestions": 3, "decision_summary": [1]}', [(0, None, None, False)]),
+    ('{"decision_summary": {"accepted": "1"}, "final_suggestions": {"a": 1}}', [(0, None, None, False)]),
+    ("[§]", [(0, None, None, False)]),
+]
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 1 ELSE 0 END::INT AS n, CASE WHEN event_id % 3 < 2 THEN 'a.cpp:' || event_id END AS place, event_id % 3 = 0 AS consensus FROM events")
+@query("SELECT event_id, n, place, code, consensus FROM (" + _answers_sql(OUTCOMES, "n, place, code, consensus").replace("None", "NULL") + ")")
 def q76_debate_outcome(spark, sf):
-    body = """'{"final_suggestions": [{"title": "t"}], "decision_summary": {"accepted": ' || CASE event_id % 3 WHEN 0 THEN 2 ELSE 0 END || '}, "proposals": [{"location": "a.cpp:' || event_id || '", "pseudocode": "p"}, {"location": "nowhere"}]}'"""
-    text = f"CASE event_id % 3 WHEN 0 THEN {body} WHEN 1 THEN '```json\n' || {body} || '\n```' ELSE '```\nbroken' END"
-    d = _output(spark, sf, text).select("event_id", responses.decided(F.col("output")).alias("d"))
-    return d.select("event_id", F.size("d.suggestions").alias("n"), F.get(F.map_keys("d.snippets"), 0).alias("place"), "d.consensus")
+    d = _answers(spark, sf, OUTCOMES).select("event_id", responses.decided(F.col("output")).alias("d"))
+    first = lambda f: F.get(f("d.snippets"), 0)
+    return d.select("event_id", F.size("d.suggestions").alias("n"), first(F.map_keys).alias("place"), first(F.map_values).alias("code"), "d.consensus")
 
 
 @query("SELECT role || conv_id AS model_name, pos::INT AS pos, turn, conv_id % 5 AS priority FROM (SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role, conv_id ORDER BY turn) - 1 AS pos FROM conversations) WHERE conv_id % 7 <> 0")

@@ -41,7 +41,7 @@ def test_problem_types(spark):
 
 def test_responses(spark):
     item = {"title": "a", "description": "d", "priority": 9, "risk_level": "low", "self_confidence": 7}
-    texts = [json.dumps([item, item]), "x\n```json\n" + json.dumps({"suggestions": [item]}) + "\n```", json.dumps({"other": 1}), "# First\ntext\n## Second", "junk", None, json.dumps([item | {"risk_level": "odd"}])]
+    texts = [json.dumps([item, item]), "x\n```json\n" + json.dumps(item) + "\n```", json.dumps({"other": 1}), "# First\ntext\n## Second", "junk", None, json.dumps([item | {"risk_level": "odd"}])]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = responses.suggestions_of(df, "t", "i").collect()
     count = lambda i: sum(r.i == i for r in got)
@@ -49,6 +49,32 @@ def test_responses(spark):
     assert {(r.priority, r.confidence) for r in got if r.i < 2} == {(5, 1.0)}
 
 
+def test_odd_answers_are_read_or_dropped_one_by_one():
+    one = lambda **x: responses.items(json.dumps([x]))
+    assert one() == [{"title": "未命名建议", "description": "", "pseudocode": "# 无伪代码", "expected_gain": "未知", "priority": 3, "risk_level": "medium", "steps": [], "confidence": 0.5}]
+    assert [(r["priority"], r["confidence"]) for r in one(priority="4", self_confidence="0.9")] == [(4, 0.9)]
+    assert one(priority=4.7)[0]["priority"] == 4 and one(priority=True)[0]["priority"] == 1 and one(priority=" -2 ")[0]["priority"] == 1
+    assert one(priority="4.5") == one(priority=None) == one(self_confidence="x") == one(self_confidence=None) == one(risk_level=" low ") == one(priority=[1]) == one(priority=1e999) == []
+    assert one(risk_level="HIGH")[0]["risk_level"] == "high" and one(risk_level=3)[0]["risk_level"] == "medium"
+    assert one(confidence=0.9)[0]["confidence"] == 0.5  # no key of an item
+    assert one(implementation_steps="do it")[0]["steps"] == ["do it"] and one(implementation_steps=5)[0]["steps"] == [] and one(implementation_steps=["a", None, 2])[0]["steps"] == ["a", "2"]
+    assert one(title=None)[0]["title"] is None and one(title={"a": "é"})[0]["title"] == '{"a": "é"}'
+    assert responses.items('[3, null, "x", [1], {"title": "t"}]')[0]["title"] == "t"
+    assert responses.items("5") == responses.items("null") == responses.items('{"suggestions": 5}') == responses.items('{"suggestions": {"title": "t"}}') == []
+    assert [r["title"] for r in responses.items('```json\n{"suggestions": [{"title": "in"}]}\n```')] == ["未命名建议"]  # a fenced object is a suggestion
+    assert [r["title"] for r in responses.items('```\n{broken\n``` then ```json\n[{"title": "t"}]\n```')] == ["t"]
+    assert responses.items("```\n5\n``` ```json\n[{}]\n```") == []  # the first block that is JSON decides
+    head = responses.items("##Title\n### \n next\n#third\n#fourth")
+    assert [r["title"] for r in head] == ["Title", "next", "third"] and head[0]["pseudocode"] == "# 解析失败" and head[0]["description"] and head[0]["confidence"] == 0.3
+    assert responses.items("[" * 100_000) == []
+    assert [r["priority"] for r in responses.command_items('[{"priority": "x", "risk_level": "odd"}, {"priority": 2}, 7]')] == [3, 2]
+    assert responses.command_items('{"suggestion": {"a": 1}}')[0]["title"] == '{"a": 1}' and responses.command_items('{"suggestion": ""}')[0]["title"] == "优化建议"
+    nothing = {"suggestions": [], "snippets": {}, "consensus": False}
+    assert responses.decision('{"proposals": 5, "final_suggestions": 3, "decision_summary": [1]}') == nothing
+    assert responses.decision('{"proposals": [{"location": ["a:1"]}, 3, {"location": "f"}], "final_suggestions": {"a": 1}, "decision_summary": {"accepted": "1"}}') == nothing
+    assert responses.decision('{"proposals": [{"location": "a:1", "pseudocode": null}], "decision_summary": {"accepted": 0.5}}')["snippets"] == {"a:1": None}
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo ERROR\nthree\n")
     lines = readers.log_lines(spark, str(tmp_path / "*.log"))
