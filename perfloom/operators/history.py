@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.metrics import succeeded, threads_for
 
 
-#: A key's values are cut into about so many ranges, of which only those that hold a rank are sorted.
-RANGES = 256
+#: Value ranges for an octave (a factor of two), and what lies over all of them.
+RANGES, OVER = 64, 1 << 18
+
+
+def value_range(value: Column) -> Column:
+    """A whole number that never falls as the value grows: its sign and its logarithm in steps; NaN is the greatest, as in sorting."""
+    v = value.cast("double")
+    steps = lambda x: F.greatest(F.lit(-OVER + 2.0), F.least(F.lit(OVER - 2.0), F.floor(F.log2(x) * RANGES))).cast("int") + OVER
+    return F.when(F.isnan(v), 2 * OVER + 1).when(v > 0, steps(v)).when(v < 0, -steps(-v)).otherwise(0)
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, ranks: dict[str, float]) -> DataFrame:
     """For each key the value at place min(int(n * q), n - 1) of the sorted values; not SQL's percentile.
 
-    Equal values are counted first. Approximate percentiles cut the values into ranges, exact counts of these tell which
-    range has the place, and only that one's values are sorted; the result doesn't depend on where the cuts lie.
+    Equal values are counted first, in the one pass over rows; these counts, shuffled once, serve both steps: counts by range
+    of values tell which range has the place, and only that one's values are sorted.
     """
     c = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)
-    told = c.join(c.groupBy(key).agg(F.array_distinct(cuts).alias("_cuts")), key)
-    told = told.withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
-    sizes = told.groupBy(key, "_b").agg(F.sum("_c").alias("_m"))  # at most RANGES rows a key
+    told = c.withColumn("_b", value_range(F.col(value)))
+    sizes = told.groupBy(key, "_b").agg(F.sum("_c").alias("_m"))
     each = Window.partitionBy(key)
     sizes = sizes.withColumn("_n", F.sum("_m").over(each)).withColumn("_lo", F.sum("_m").over(each.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
     wanted = F.inline(F.array(*(F.struct(F.lit(name).alias("_name"), F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1).alias("_at")) for name, q in ranks.items())))

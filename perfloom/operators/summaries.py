@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import gap_to_target
+from .ranking import total_ranks
 from .suggestions import CATEGORIES, categories, risk_order
 
 RISKS = ["low", "medium", "high"]
@@ -81,7 +82,7 @@ def by_debate_score(s: DataFrame) -> DataFrame:
     """s with score and rank: priority times 1.2, 1 or 0.7 by risk, highest first, then in order."""
     factor = F.when(F.col("risk_level") == "low", 1.2).when(F.col("risk_level") == "high", 0.7).otherwise(1.0)
     s = s.withColumn("score", F.coalesce("priority", F.lit(3)) * factor)
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")))
+    return total_ranks(s, F.desc("score"), F.col("seq"))
 
 
 def by_priority(s: DataFrame, k: int = 5) -> DataFrame:
@@ -90,7 +91,7 @@ def by_priority(s: DataFrame, k: int = 5) -> DataFrame:
 
 def by_confidence(v: DataFrame) -> DataFrame:
     """v with rank: surest first, then in order."""
-    return v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "seq")))
+    return total_ranks(v, F.desc("confidence"), F.col("seq"))
 
 
 def suggestion_summary(s: DataFrame) -> DataFrame:
@@ -103,17 +104,25 @@ def suggestion_summary(s: DataFrame) -> DataFrame:
     return top.crossJoin(counts).select("total", "by_risk", "by_model", "top_title", "top_weight")
 
 
+def _grouped(s: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Each suggestion with its place (rank) in its group, by seq, and a row a group: n, top_priority."""
+    return total_ranks(s, F.col("seq"), by=[by]), s.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max("priority").alias("top_priority"))
+
+
 def grouped_by_risk(s: DataFrame) -> DataFrame:
-    """risk_level, n, top_priority and titles (in order) for low, medium and high, empty groups too."""
+    """pos, risk_level, n, top_priority and, a row for each suggestion, rank, seq and title, for low, medium and high; an empty group has one row, without them."""
     levels = s.sparkSession.createDataFrame([(i, r) for i, r in enumerate(RISKS)], "pos int, risk_level string")
-    per = s.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), F.max("priority").alias("p"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x.title).alias("titles"))
-    return levels.join(per, "risk_level", "left").select("pos", "risk_level", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(0)).alias("top_priority"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
+    rows, per = _grouped(s.where(F.col("risk_level").isin(RISKS)).select("risk_level", "seq", "title", "priority"), "risk_level")
+    heads = F.broadcast(levels.join(per, "risk_level", "left").select("pos", "risk_level", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("top_priority", F.lit(0)).alias("top_priority")))
+    every = rows.join(heads, "risk_level").select("pos", "risk_level", "n", "top_priority", "rank", "seq", "title")
+    return every.unionByName(heads.where("n = 0"), allowMissingColumns=True)
 
 
 def grouped_by_priority(s: DataFrame) -> DataFrame:
-    """pos (0 for the highest), priority, n and titles in order."""
-    per = s.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "title"))), lambda x: x.title).alias("titles"))
-    return per.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("priority"))) - 1)
+    """pos (0 for the highest), priority, n and, a row for each suggestion, its rank in the group, seq and title."""
+    rows, per = _grouped(s.select("priority", "seq", "title"), "priority")
+    heads = per.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("priority"))) - 1)  # a row a priority
+    return rows.join(F.broadcast(heads.withColumnRenamed("priority", "_p")), F.col("priority").eqNullSafe(F.col("_p"))).select("pos", "priority", "n", "rank", "seq", "title")
 
 
 def cross_validation(s: DataFrame, sure: float = 0.5) -> DataFrame:
@@ -150,9 +159,9 @@ def verification_summary(v: DataFrame, qps: float, target: float) -> DataFrame:
 
 
 def agent_summary(v: DataFrame) -> DataFrame:
-    """One row: n, valid, avg_confidence and highest_confidence over all, distinct issues in order. v also has issues (array)."""
-    issues = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("issues", F.array().cast("array<string>"))))))
-    return v.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"), F.coalesce(mean(F.col("confidence")), F.lit(0.0)).alias("avg_confidence"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("highest_confidence"), issues.alias("issues"))
+    """One row: n, valid, avg_confidence and highest_confidence over all, distinct issues in order. v also has issues (array); kinds of issues are few."""
+    issues = v.select(F.explode("issues").alias("issue")).distinct().agg(F.array_sort(F.collect_list("issue")).alias("issues"))
+    return v.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"), F.coalesce(mean(F.col("confidence")), F.lit(0.0)).alias("avg_confidence"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("highest_confidence")).crossJoin(F.broadcast(issues))
 
 
 def action_items(s: DataFrame, score: int) -> DataFrame:

@@ -237,9 +237,9 @@ def q22_aggregate_end_to_end(spark, sf):
     return suggestions.aggregate(S.suggestions(spark, sf), S.model_history(spark, sf)).select("rank", "seq", "title", "source_model", "risk_level", "final_weight")
 
 
-@query(f"WITH {SUG} SELECT r.pos, r.risk_level, count(seq) AS n, coalesce(max(priority), 0)::INT AS top_priority, coalesce(string_agg(title, '|' ORDER BY seq), '') AS titles FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'high')) r(pos, risk_level) LEFT JOIN sug USING (risk_level) GROUP BY 1, 2")
+@query(f"WITH {SUG} SELECT r.pos, r.risk_level, count(seq) OVER g AS n, coalesce(max(priority) OVER g, 0)::INT AS top_priority, CASE WHEN seq IS NOT NULL THEN row_number() OVER (PARTITION BY risk_level ORDER BY seq) END AS rank, seq, title FROM (VALUES (0, 'low'), (1, 'medium'), (2, 'high')) r(pos, risk_level) LEFT JOIN sug USING (risk_level) WINDOW g AS (PARTITION BY risk_level)")
 def q23_group_by_risk(spark, sf):
-    return summaries.grouped_by_risk(S.suggestions(spark, sf)).withColumn("titles", F.array_join("titles", "|"))
+    return summaries.grouped_by_risk(S.suggestions(spark, sf))
 
 
 @query(f"WITH {SUG} SELECT unnest(string_split(source_model || CASE WHEN seq % 9 = 0 THEN ' + extra' ELSE '' END, ' + ')) AS model, count(*) AS n FROM sug GROUP BY 1")
@@ -325,12 +325,12 @@ WORDS = ["Raft", "skiplist", "rpc", "mutex", "batch", "window", "lease", "fsync"
 
 
 def _with_word(spark, sf):
-    """Suggestions without description, whose titles end in one of the words."""
+    """Suggestions whose titles end in one of the words."""
     word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("seq") % len(WORDS)).cast("int") + 1)
-    return S.suggestions(spark, sf).withColumns({"title": word, "description": F.substring_index("title", " ", 1)})
+    return S.suggestions(spark, sf).withColumn("title", F.concat("title", F.lit(" "), word))
 
 
-WORDY = f"WITH {SUG}, t AS (SELECT seq, lower({stop(WORDS)}[(seq % {len(WORDS)})::INT + 1] || ' ' || string_split(title, ' ')[1]) AS t FROM sug)"
+WORDY = f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || {stop(WORDS)}[(seq % {len(WORDS)})::INT + 1] || ' ' || description) AS t FROM sug)"
 
 
 @query(f"{WORDY}, c AS (SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{v}'" for words, v in suggestions.CATEGORIES) + " ELSE 'other' END AS category FROM t) SELECT category, count(*) AS n FROM c GROUP BY 1")
@@ -651,22 +651,33 @@ CASES = [("crash", "SIGSEGV in f", "libx not found, permission denied"), ("memor
 
 
 def _cases(spark, sf):
-    dim = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "k long, problem string, stdout string, stderr string")
-    return S.table(spark, sf, "conversations").where("turn = 0").select("conv_id", (F.col("conv_id") % 4).alias("k"), "text").join(F.broadcast(dim), "k")
+    """A case for each turn of each conversation: its text is the log and the beginning of what the command said."""
+    dim = spark.createDataFrame([(i, *c) for i, c in enumerate(CASES)], "k long, problem string, said string, stderr string")
+    c = S.table(spark, sf, "conversations").withColumn("k", (F.col("conv_id") + F.col("turn")) % 4).join(F.broadcast(dim), "k")
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), "problem", "text", F.concat_ws("\n", "text", "said").alias("stdout"), "stderr")
 
 
-@query("""SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN '检测到段错误 (SIGSEGV)' WHEN 1 THEN 'Valgrind 检测到内存泄漏' WHEN 2 THEN '系统内存不足 (OOM)' ELSE '' END AS symptoms, CASE conv_id % 4 WHEN 0 THEN '缺少动态库依赖|文件权限不足' WHEN 1 THEN '确定丢失内存: 4,096 bytes' WHEN 2 THEN '系统物理内存耗尽，触发 OOM Killer' ELSE '' END AS causes,
- CASE WHEN trim(string_split(text, chr(10))[1]) <> '' THEN '日志错误: ' || substring(trim(string_split(text, chr(10))[1]), 1, 100) END AS first_log FROM conversations WHERE turn = 0""")
+def _some_sql(*cases: str) -> str:
+    return f"list_filter([{', '.join(f'CASE WHEN {c} END' for c in cases)}], lambda x: x IS NOT NULL)"
+
+
+CASE_SQL = f"""WITH dim(k, problem, said, stderr) AS (VALUES {", ".join(f"({i}, '{p}', '{a}', '{b}')" for i, (p, a, b) in enumerate(CASES))}), raw AS (SELECT conv_id || '-' || turn AS case_id, problem, text, text || chr(10) || said AS stdout, stderr FROM conversations JOIN dim ON (conv_id + turn) % 4 = k),
+t(problem, priority, title, command) AS (VALUES {", ".join(f"('{p}', {n}, '{t}', '{c}')" for p, n, t, c in diagnosis.TEMPLATES)}),
+c AS (SELECT *, {_some_sql("problem = 'crash' AND (contains(stdout, 'SIGSEGV') OR contains(stderr, 'SIGSEGV')) THEN '检测到段错误 (SIGSEGV)'", "problem = 'crash' AND (contains(stdout, 'SIGABRT') OR contains(stderr, 'SIGABRT')) THEN '检测到程序中止 (SIGABRT)'", "problem = 'memory_leak' AND contains(lower(stderr), 'leak') THEN 'Valgrind 检测到内存泄漏'", "problem = 'page_fault' AND (contains(lower(stderr), 'oom') OR contains(lower(stderr), 'out of memory')) THEN '系统内存不足 (OOM)'")} AS symptoms,
+ {_some_sql("problem = 'crash' AND contains(stderr, 'not found') THEN '缺少动态库依赖'", "problem = 'crash' AND contains(stderr, 'permission denied') THEN '文件权限不足'", "problem = 'memory_leak' AND contains(stdout, 'definitely lost') AND regexp_extract(stdout, '([0-9]+,?[0-9]*) bytes in', 1) <> '' THEN '确定丢失内存: ' || regexp_extract(stdout, '([0-9]+,?[0-9]*) bytes in', 1) || ' bytes'", "problem = 'page_fault' AND contains(lower(stderr), 'oom') THEN '系统物理内存耗尽，触发 OOM Killer'")} AS causes FROM raw),
+fix AS (SELECT case_id, priority, title, command FROM c JOIN t USING (problem) UNION ALL SELECT case_id, 1, '安装缺失依赖', '# 检查具体缺失的库: ' || stderr FROM c WHERE contains(stderr, 'not found'))"""
+
+
+@query(f"""{CASE_SQL} SELECT case_id, array_to_string(symptoms, '|') AS symptoms, array_to_string(causes, '|') AS causes, array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10))[1:10], lambda x: trim(x)), lambda x: x <> ''), lambda x: '日志错误: ' || substring(x, 1, 100)), '|') AS logs FROM c""")
 def q72_symptoms_and_causes(spark, sf):
     c, args = _cases(spark, sf), [F.col(x) for x in ("problem", "stdout", "stderr")]
-    first = F.get(diagnosis.log_symptoms(F.substring_index("text", "\n", 1)), 0)
-    return c.select("conv_id", F.array_join(diagnosis.output_symptoms(*args), "|").alias("symptoms"), F.array_join(diagnosis.output_causes(*args), "|").alias("causes"), first.alias("first_log"))
+    joined = lambda x, name: F.array_join(x, "|").alias(name)
+    return c.select("case_id", joined(diagnosis.output_symptoms(*args), "symptoms"), joined(diagnosis.output_causes(*args), "causes"), joined(diagnosis.log_symptoms(F.col("text")), "logs"))
 
 
-@query(f"""WITH t(problem, priority, title, command) AS (VALUES {", ".join(f"('{p}', {n}, '{t}', '{c}')" for p, n, t, c in diagnosis.TEMPLATES)}), c AS (SELECT conv_id, ['crash', 'memory_leak', 'page_fault', 'performance'][(conv_id % 4)::INT + 1] AS problem FROM conversations WHERE turn = 0)
-SELECT conv_id, priority, title, command FROM c JOIN t USING (problem) UNION ALL SELECT conv_id, 1, '安装缺失依赖', '# 检查具体缺失的库: ' || CASE problem WHEN 'crash' THEN '{CASES[0][2]}' ELSE '{CASES[3][2]}' END FROM c WHERE problem IN ('crash', 'performance')""")
+@query(f"{CASE_SQL} SELECT case_id, priority, title, command FROM fix")
 def q73_repairs(spark, sf):
-    return diagnosis.repairs(_cases(spark, sf), "conv_id")
+    return diagnosis.repairs(_cases(spark, sf), "case_id")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 't' || event_id WHEN 1 THEN '优化建议' WHEN 2 THEN 'u' || event_id END AS title, CASE event_id % 4 WHEN 1 THEN 3 ELSE 2 END::INT AS priority FROM events WHERE event_id % 4 <> 3""")
@@ -748,7 +759,7 @@ def q81_action_items(spark, sf):
     return summaries.action_items(_ranked(spark, sf), 45)
 
 
-@query(f"WITH {SUG} SELECT seq, priority * CASE risk_level WHEN 'low' THEN 1.2e0 WHEN 'high' THEN 0.7e0 ELSE 1e0 END AS score, row_number() OVER (ORDER BY priority * CASE risk_level WHEN 'low' THEN 1.2e0 WHEN 'high' THEN 0.7e0 ELSE 1e0 END DESC, seq)::INT AS rank FROM sug")
+@query(f"WITH {SUG} SELECT seq, priority * CASE risk_level WHEN 'low' THEN 1.2e0 WHEN 'high' THEN 0.7e0 ELSE 1e0 END AS score, row_number() OVER (ORDER BY priority * CASE risk_level WHEN 'low' THEN 1.2e0 WHEN 'high' THEN 0.7e0 ELSE 1e0 END DESC, seq) AS rank FROM sug")
 def q82_debate_order(spark, sf):
     return summaries.by_debate_score(S.suggestions(spark, sf)).select("seq", "score", "rank")
 
@@ -758,7 +769,7 @@ def q83_priority_cap(spark, sf):
     return summaries.by_priority(S.suggestions(spark, sf)).select("seq", "priority")
 
 
-@query(f"{CHECKS} SELECT seq, confidence, row_number() OVER (ORDER BY confidence DESC, seq)::INT AS rank FROM w")
+@query(f"{CHECKS} SELECT seq, confidence, row_number() OVER (ORDER BY confidence DESC, seq) AS rank FROM w")
 def q84_confidence_order(spark, sf):
     return summaries.by_confidence(suggestions.verified(_checked(spark, sf))).select("seq", "confidence", "rank")
 
@@ -786,9 +797,9 @@ def q88_suggestion_summary(spark, sf):
     return summaries.suggestion_summary(_ranked(spark, sf)).select("total", shown("by_risk"), shown("by_model"), "top_title", "top_weight")
 
 
-@query(f"WITH {SUG} SELECT (row_number() OVER (ORDER BY priority DESC) - 1)::INT AS pos, priority, count(*) AS n, string_agg(title, '|' ORDER BY seq) AS titles FROM sug GROUP BY priority")
+@query(f"WITH {SUG} SELECT (dense_rank() OVER (ORDER BY priority DESC) - 1)::INT AS pos, priority, count(*) OVER (PARTITION BY priority) AS n, row_number() OVER (PARTITION BY priority ORDER BY seq) AS rank, seq, title FROM sug")
 def q89_group_by_priority(spark, sf):
-    return summaries.grouped_by_priority(S.suggestions(spark, sf)).withColumn("titles", F.array_join("titles", "|"))
+    return summaries.grouped_by_priority(S.suggestions(spark, sf))
 
 
 @query(f"{RANKED} SELECT seq, rank, risk_level FROM (SELECT *, row_number() OVER (PARTITION BY risk_level ORDER BY rank) AS k FROM r) WHERE k <= 2")
@@ -839,12 +850,15 @@ def q97_domain_report(spark, sf):
     return reports.domain_report(summaries.latest(s, 1).withColumn("qps", F.col("qps") * 50000).withColumn("target_qps", F.lit(200.0)), _ranked(spark, sf))
 
 
-@query()
+@query(f"""{CASE_SQL}, f AS (SELECT case_id, string_agg('- ' || title || ': ' || command, chr(10) ORDER BY priority, title, command) AS fixes FROM fix GROUP BY 1),
+v AS (SELECT *, CASE WHEN problem = 'crash' OR contains(stdout, 'SIGSEGV') OR contains(stdout, 'SIGABRT') OR contains(stdout, 'OOM') OR contains(stdout, '段错误') THEN 'critical' WHEN contains(stdout, 'leak') OR contains(stdout, 'deadlock') OR contains(stdout, '内存泄漏') OR contains(stdout, '死锁') THEN 'high' ELSE 'medium' END AS severity FROM c LEFT JOIN f USING (case_id))
+SELECT case_id, concat_ws(chr(10) || chr(10), 'problem: ' || problem || chr(10) || 'severity: ' || severity || chr(10) || 'confidence: 75%', CASE WHEN len(symptoms) > 0 THEN 'symptoms:' || chr(10) || '- ' || array_to_string(symptoms, chr(10) || '- ') END,
+ CASE WHEN len(causes) > 0 THEN 'causes:' || chr(10) || '- ' || array_to_string(causes, chr(10) || '- ') END, 'suggestions:' || chr(10) || fixes, 'commands:' || chr(10) || '- ldd') AS report FROM v""")
 def q98_diagnosis_report(spark, sf):
     c, args = _cases(spark, sf), [F.col(x) for x in ("problem", "stdout", "stderr")]
-    fixes = diagnosis.repairs(c, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("priority", "title", "command"))).alias("suggestions"))
-    d = c.join(fixes, "conv_id", "left").select("conv_id", "problem", diagnosis.severity(F.col("problem"), F.array("stdout")).alias("severity"), F.lit(0.75).alias("confidence"), diagnosis.output_symptoms(*args).alias("symptoms"), diagnosis.output_causes(*args).alias("causes"), F.array(F.lit("ldd")).alias("commands"), F.coalesce("suggestions", F.array().cast("array<struct<priority: int, title: string, command: string>>")).alias("suggestions"))
-    return reports.diagnosis_report(d, "conv_id")
+    fixes = diagnosis.repairs(c, "case_id").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("priority", "title", "command"))).alias("suggestions"))
+    d = c.join(fixes, "case_id", "left").select("case_id", "problem", diagnosis.severity(F.col("problem"), F.array("stdout")).alias("severity"), F.lit(0.75).alias("confidence"), diagnosis.output_symptoms(*args).alias("symptoms"), diagnosis.output_causes(*args).alias("causes"), F.array(F.lit("ldd")).alias("commands"), F.coalesce("suggestions", F.array().cast("array<struct<priority: int, title: string, command: string>>")).alias("suggestions"))
+    return reports.diagnosis_report(d, "case_id")
 
 
 @query(f"""WITH {MET} SELECT event_id, md5('{{"avg_latency": ' || avg_latency || ', "error_rate": ' || error_rate || ', "p99_latency": ' || p99_latency || ', "qps": ' || qps || '}}') AS key FROM met""")

@@ -78,3 +78,31 @@ def test_time_range_is_inclusive(runs):
     assert history.time_range(runs, RUNS[1][0], RUNS[3][0]).count() == 3
     assert history.trailing(runs, 1).count() == 15
     assert runs.select(F.max("qps")).first()[0] == 387.746
+
+
+def test_nearest_rank_of_odd_values(spark):
+    rng = random.Random(8)
+    values = [0.0, -0.0, 1e-300, -1e-300, 5e-324, 1e300, float("inf"), float("-inf"), float("nan"), 1.0, 1.0, 2.0, -2.0, 0.5] + [rng.uniform(-5, 5) * 10 ** rng.randrange(-9, 9) for _ in range(300)] + [7.0] * 200
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None), ("b", 3.0), ("c", None)], "k string, v double")
+    order = sorted(values, key=lambda x: (x != x, x))
+    for q in (0.0, 0.01, 0.5, 0.9, 0.99, 1.0):
+        got = {r.k: r.p for r in history.nearest_rank(df, "k", "v", {"p": q}).collect()}
+        want = order[min(int(len(order) * q), len(order) - 1)]
+        assert got["b"] == 3.0 and "c" not in got and (got["a"] == want or got["a"] != got["a"] and want != want)
+    plan = history.nearest_rank(df, "k", "v", {"p": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") <= 2
+
+
+def test_total_ranks(spark):
+    from perfloom.operators.ranking import total_ranks
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, g string, v int").repartition(5)
+    got = {r.seq: r["rank"] for r in total_ranks(df, F.desc("v"), F.col("seq")).collect()}
+    want = {r[0]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])), 1)}
+    assert got == want
+    got = {r.seq: r["rank"] for r in total_ranks(df, F.desc("v"), F.col("seq"), by=["g"]).collect()}
+    for g in ("a", "b", None):
+        assert [got[r[0]] for r in sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))] == list(range(1, sum(r[1] == g for r in rows) + 1))
+    assert total_ranks(df.limit(0), F.col("seq")).count() == 0

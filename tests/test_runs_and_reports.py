@@ -44,9 +44,11 @@ def test_domain_report(spark):
 
 
 def test_diagnosis_report(spark):
-    rows = {r.conv_id % 4: r.report for r in queries.QUERIES["q98_diagnosis_report"](spark, SF).collect()}
-    assert rows[0].startswith("problem: crash\nseverity: critical\nconfidence: 75%\n\nsymptoms:\n- 检测到段错误 (SIGSEGV)\n\ncauses:\n- 缺少动态库依赖\n- 文件权限不足")
-    assert "symptoms" not in rows[3] and "安装缺失依赖" in rows[3] and rows[3].endswith("commands:\n- ldd")
+    rows = {r.case_id: r.report for r in queries.QUERIES["q98_diagnosis_report"](spark, SF).collect()}
+    assert len(rows) == spark.read.parquet(f"{SF}/conversations.parquet").count()  # every turn is a case
+    kind = lambda k: next(r for i, r in sorted(rows.items()) if sum(map(int, i.split("-"))) % 4 == k)
+    assert kind(0).startswith("problem: crash\nseverity: critical\nconfidence: 75%\n\nsymptoms:\n- 检测到段错误 (SIGSEGV)\n\ncauses:\n- 缺少动态库依赖\n- 文件权限不足")
+    assert "symptoms" not in kind(3) and "安装缺失依赖" in kind(3) and kind(3).endswith("commands:\n- ldd")
 
 
 def test_no_suggestions(spark):
