@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -85,12 +84,13 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", *, cac
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row.
 
     tokenizer: a path, or the name of a public tokenizer file. cache: the cache's folder; None: the one that the session
-    names in spark.perfloom.tokenCache, else a new one in the shared folder. Null and empty texts have 0 bytes and 0 tokens; repeated rows each come back; other columns are not read.
+    names in spark.perfloom.tokenCache, else the tokenizer's own one in the shared folder, so a later call encodes only texts
+    that no call before had. Null and empty texts have 0 bytes and 0 tokens; repeated rows each come back; other columns are not read.
     """
     spark = docs.sparkSession
     path = tokenizer if "/" in tokenizer else tokenizer_path(tokenizer)
     version = tokenizer_digest(path)
-    cache = cache or spark.conf.get(CACHE, None) or f"{shared_dir(spark)}/perfloom/token-cache-{uuid.uuid4().hex}"
+    cache = cache or spark.conf.get(CACHE, None) or f"{shared_dir(spark)}/perfloom/token-cache/{version}"
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), body.alias("_text"), F.unhex(F.sha2(body, 256)).alias("digest"))
     seen = staged(rows.select("doc_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "digests")

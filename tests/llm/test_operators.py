@@ -118,6 +118,21 @@ def test_token_counts_come_from_the_cache(spark, tmp_path):
         spark.conf.unset("spark.perfloom.tokenCache")
 
 
+def test_the_query_encodes_nothing_twice(spark, monkeypatch):
+    """The registered query looks texts up in the cache that its first run left in the shared folder."""
+    from perfloom.llm import queries, token_counts
+
+    sf = "/root/testdata/sf0.001"
+    shared = f"{token_counts.shared_dir(spark)}/once-{os.getpid()}"
+    monkeypatch.setattr(token_counts, "shared_dir", lambda spark: shared)
+    first = rows_of(queries.op2_token_counts(spark, sf), "doc_id", "n_tokens")
+    cache = f"{shared}/perfloom/token-cache/{token_counts.tokenizer_digest(tokenizer_path('piece_bpe_32k.model'))}"
+    n = spark.read.parquet(cache).count()
+    assert n == spark.read.parquet(f"{sf}/documents.parquet").select("text").distinct().count()
+    assert rows_of(queries.op2_token_counts(spark, sf), "doc_id", "n_tokens") == first
+    assert spark.read.parquet(cache).count() == n
+
+
 # URL rules
 
 
