@@ -204,19 +204,41 @@ def test_decontamination(spark):
     assert decontamination.contaminated(empty(spark), b).count() == 0
 
 
-def test_wand_finds_all_above_the_threshold():
+def test_wand_finds_all_above_the_threshold(monkeypatch):
     rng = random.Random(4)
     index = decontamination.Index([(i, words(rng, 12, "abc").encode()) for i in range(80)])
+    found = 0
     for _ in range(60):
         terms = np.array(sorted({index.term[w] for w in words(rng, 30, "abc").encode().split() if w in index.term}))
         score = collections.Counter()
         for t in terms:
-            for d, x in zip(index.docs[t], index.impact[t], strict=True):
+            for d, x in zip(*index.postings(t), strict=True):
                 score[int(d)] += x
         want = {d for d, x in score.items() if x >= decontamination.THRESHOLD}
         assert {d for d, _ in index.walk(terms)} == want
-        if want:
-            assert list(index.promising(terms, np.zeros(len(terms), int), 1)) == [0]
+        found += bool(want)
+        for postings in (1 << 20, 50, 1):
+            monkeypatch.setattr(decontamination, "POSTINGS", postings)
+            got = index.promising(np.concatenate([terms] * 3), np.repeat([3, 5, 6], len(terms)))
+            assert list(got) == ([3, 5, 6] if want else [])
+            for blocks in got.values():
+                assert {d for d, _ in index.walk(terms, blocks)} == want
+    assert found
+
+
+def test_items_are_judged_alike_whatever_others_there_are(spark):
+    """One very long item changes neither the passages of short ones nor what they score; frequent words don't end the screen."""
+    rng = random.Random(14)
+    short = [(i, words(rng, 20, "abcdefghijkl") + ". " + words(rng, 8, "abcdefghijkl")) for i in range(20)]
+    common = [(100 + i, "the of and. " + words(rng, 12, "abcdefghijkl")) for i in range(10)] + [(150, "the of. and")]
+    long = (200, words(rng, 1500, "abcdefghijkl") + ". " + words(rng, 10, "abcdefghijkl"))
+    docs = [(i, f"{words(rng, 300)} {t[1]} {words(rng, 200)}") for i, t in enumerate([*short, *common, long])] + [(99, words(rng, 400))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = lambda items: {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    few, all_ = found(short), found([*short, *common, long])
+    assert {(i, i) for i in range(20)} <= few == {x for x in all_ if x[1] < 20}
+    assert (30 + 1, 200) in all_ and {(20 + i, 100 + i) for i in range(10)} <= all_
+    assert [decontamination.half_passage(n) for n in (1, 64, 65, 128, 1510)] == [64, 64, 128, 128, 2048]
 
 
 # quality classifier
