@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 #: Hash classes that tokens are counted by; words of the parity bitmap; how many tokens before a row's own are carried.
-CLASSES, WORDS, BEFORE = 1 << 20, 8, 4
+CLASSES, WORDS, BEFORE = 1 << 20, 16, 4
 EPS = 1e-9
 ROWS = "no long, n int, i int, t long, low boolean, bits array<long>, before array<long>"
 

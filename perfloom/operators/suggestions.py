@@ -27,8 +27,8 @@ TERMS = ["AppendEntries", "Pipeline", "Batch", "nextIndex", "matchIndex", "ReadI
 
 
 def key_of(x: Column) -> Column:
-    """The same for equal token sets (sorted hashes) alone."""
-    return F.md5(F.array_join(x, ","))
+    """128 bits of a token set (sorted hashes)."""
+    return F.concat(F.hex(F.xxhash64(x)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), x)))
 
 
 def kinds_of(sets: DataFrame, x: str) -> DataFrame:
@@ -49,7 +49,7 @@ def named_pairs(pairs: DataFrame, kinds: DataFrame, value: str, own: Column) ->
 
 def similar_pairs(rows: DataFrame, tokens: str, over: float) -> DataFrame:
     """(a, b, similarity, n_a, n_b): distinct token sets, by the least seq of each, whose Jaccard similarity is over the bound."""
-    kinds = kinds_of(rows.select("seq", hashed(F.col(tokens)).alias("x")).where(F.size("x") > 0), "x")
+    kinds = kinds_of(rows.select("seq", hashed(F.col(tokens)).alias("x")), "x").where(F.size("x") > 0)
     return named_pairs(similar_sets(kinds, over), kinds, "similarity", F.lit(1.0))
 
 
@@ -218,7 +218,7 @@ def conflicts(s: DataFrame) -> DataFrame:
     Sets meet by pairs of words, so no row is made for sets that share one word only. Two sets with m words in common meet
     m * (m - 1) / 2 times, which tells m: the sets themselves aren't joined.
     """
-    kinds = kinds_of(s.select("seq", hashed(T.split_tokens(F.col("title"))).alias("x")).where(F.size("x") >= 2), "x")
+    kinds = kinds_of(s.select("seq", hashed(T.split_tokens(F.col("title"))).alias("x")), "x").where(F.size("x") >= 2)
     twos = F.flatten(F.transform("x", lambda t, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda u: F.struct(t.alias("t"), u.alias("u")))))
     keys = kinds.select("k", F.inline(twos))
     p = keys.toDF("a", "t", "u").join(keys.toDF("b", "t", "u"), ["t", "u"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))
@@ -230,12 +230,18 @@ def topics(s: DataFrame) -> DataFrame:
     return s.groupBy(F.array_join(F.slice(words, 1, 2), " ").alias("topic")).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+def lowered(df: DataFrame, *columns: str) -> DataFrame:
+    """df with low: the columns, joined and in lower case, as a column of its own, as it is then looked at once for each word."""
+    return df.withColumn("low", F.lower(F.concat_ws(" ", *columns)))
+
+
 def categories(s: DataFrame) -> DataFrame:
-    return s.withColumn("category", first_hit(F.lower(F.concat_ws(" ", "title", "description")), CATEGORIES, "other"))
+    return lowered(s, "title", "description").withColumn("category", first_hit(F.col("low"), CATEGORIES, "other")).drop("low")
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, TERMS)), lambda t: F.lower(text).contains(F.lower(t)))
+def terms(low: Column) -> Column:
+    """The technical terms in a lower-cased text."""
+    return F.array_compact(F.array(*(F.when(low.contains(t.lower()), F.lit(t)) for t in TERMS)))
 
 
 def verified(s: DataFrame, *, strict_enum: bool = False) -> DataFrame:
@@ -268,7 +274,7 @@ BOTTLENECKS = [
 
 def related_file(s: DataFrame) -> DataFrame:
     """s with file: what the first bottleneck in title and description points to, or null."""
-    return s.withColumn("file", F.nullif(first_hit(F.lower(F.concat_ws(" ", "title", "description")), BOTTLENECKS, ""), F.lit("")))
+    return lowered(s, "title", "description").withColumn("file", F.nullif(first_hit(F.col("low"), BOTTLENECKS, ""), F.lit(""))).drop("low")
 
 
 def top_by(s: DataFrame, *, risk: int | None = None, least_priority: int | None = None, k: int = 5) -> DataFrame:
@@ -286,7 +292,7 @@ def roadmap(s: DataFrame, k: int = 5) -> DataFrame:
 
 def first_hits(files: DataFrame) -> DataFrame:
     """term_no, term, path, pos, code: of each term the first file that holds it, its first line there and the lines around; one row a term at most."""
-    held = files.select("path", F.posexplode(terms(F.col("content"))).alias("_", "term"))
+    held = lowered(files, "content").select("path", F.explode(terms(F.col("low"))).alias("term"))
     least = F.broadcast(held.groupBy("term").agg(F.min("path").alias("path")))
     lines = files.join(least, "path").withColumn("lines", F.split("content", "\n"))
     pos = F.array_position(F.transform("lines", lambda x: F.contains(F.lower(x), F.lower("term"))), True).cast("int") - 1
@@ -301,9 +307,9 @@ def related_code(s: DataFrame, files: DataFrame) -> DataFrame:
     files: path, content; one row a path. What files have to say is one row a term, 21 at most, which go to the suggestions
     as one array; neither suggestions nor files are shuffled.
     """
-    hits = first_hits(files).agg(F.collect_list(F.struct("path", "term_no", "pos", "code", "term")).alias("hits"))
-    mine = F.filter("hits", lambda h: F.array_contains(terms(F.concat_ws(" ", "title", "description")), h["term"]))
-    return s.crossJoin(F.broadcast(hits)).select("seq", F.array_min(mine).alias("b")).where("b is not null").select("seq", "b.path", "b.pos", "b.code")
+    hits = first_hits(files).agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("path", "term_no", "pos", "code")))).alias("hits"))
+    mine = F.transform(terms(F.col("low")), lambda t: F.try_element_at("hits", t))  # of these the least, nulls aside
+    return lowered(s, "title", "description").select("seq", "low").crossJoin(F.broadcast(hits)).select("seq", F.array_min(mine).alias("b")).where("b is not null").select("seq", "b.path", "b.pos", "b.code")
 
 
 def located(s: DataFrame, files: DataFrame) -> DataFrame:

@@ -567,7 +567,7 @@ def _with_term(spark, sf):
 
 @query(f"WITH {SUG}, t AS (SELECT seq, lower(title || ' ' || {stop(suggestions.TERMS)}[(seq % 21)::INT + 1] || ' ' || description) AS t FROM sug) SELECT seq, term FROM t, (SELECT unnest({stop(suggestions.TERMS)}) AS term) WHERE contains(t, lower(term))")
 def q60_technical_terms(spark, sf):
-    return _with_term(spark, sf).select("seq", F.explode(suggestions.terms(F.concat_ws(" ", "title", "description"))).alias("term"))
+    return suggestions.lowered(_with_term(spark, sf), "title", "description").select("seq", F.explode(suggestions.terms(F.col("low"))).alias("term"))
 
 
 @query(f"""WITH {SUG}, term AS (SELECT unnest({stop(suggestions.TERMS)}) AS term, generate_subscripts({stop(suggestions.TERMS)}, 1) AS no), mine AS (SELECT seq, term, no FROM sug JOIN term ON contains(lower(title || ' ' || {stop(suggestions.TERMS)}[(seq % 21)::INT + 1] || ' ' || description), lower(term))),
