@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ WINDOW, GRANULE, SLACK, RANKED = 2048, 8, 40, 4_000
 MEMO = 300_000
 #: Documents whose ids are held at a time.
 TAKEN = 500
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<long>, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<long>, ids binary, task long, nth long"
 #: A piece as placed: how far from the start of what was cut, its length and digest, sequence and slot.
 PLACED = pa.struct([(c, pa.int64()) for c in ("shift", "length", "ids_crc32", "sequence_id", "slot")])
 
@@ -237,7 +238,7 @@ def plan(hist: np.ndarray, window: int = WINDOW, granule: int = GRANULE, slack:
 
 
 def place(p: dict, whole: int, window: int) -> Callable:
-    """For arrow_udf: length, crc32, crc32 of the parts and rank of pieces to arrays of placed pieces. The ids themselves don't come here."""
+    """For arrow_udf: length, crc32, crc32 of the parts and rank of tails to arrays of placed pieces, in sequences after the whole ones. The ids themselves don't come here."""
 
     def run(lengths: pa.Array, digests: pa.Array, parts: pa.Array, ranks: pa.Array) -> pa.Array:
         seg = p["seg"]
@@ -247,9 +248,7 @@ def place(p: dict, whole: int, window: int) -> Callable:
         out: list[tuple] = []
         ends = [0]
         for length, crc, own, rank in zip(*(x.to_pylist() for x in (lengths, digests, parts, ranks)), strict=True):
-            if length == window:
-                out.append((0, length, crc, rank, 0))
-            elif rank < p["rest"][length]:
+            if rank < p["rest"][length]:
                 g, r = int(p["bins"][length]), int(p["base"][length]) + rank
                 _, first, _, sequence, slot = seg[bisect.bisect_right(keys, (g, r)) - 1].tolist()
                 out.append((0, length, crc, whole + sequence + r - first, slot))
@@ -287,21 +286,30 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encode, task, seen = word_encoder(path), TaskContext.get().partitionId(), 0
         for b in (x.slice(k, TAKEN) for x in batches for k in range(0, max(1, x.num_rows), TAKEN)):
             rows = []
             for doc_id, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 line = encode(body.as_py()) + tail
-                rows += [(doc_id, *x[:3], len(line) // 4, x[3], line[4 * x[0] : 4 * (x[0] + x[1])] if ids else None) for x in cut(line, window)]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.list_(pa.int64())), pa.array(cols[6], pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", "ids"])
+                for x in cut(line, window):
+                    rows.append((doc_id, *x[:3], len(line) // 4, x[3], line[4 * x[0] : 4 * (x[0] + x[1])] if ids else None, task, seen))
+                    seen += x[1] == window
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = [*[pa.int64()] * 5, pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "parts", "ids", "task", "nth"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-    pieces = staged(rows.mapInArrow(tokenize, PIECES), "pieces")
+    every = staged(rows.mapInArrow(tokenize, PIECES), "pieces")
     hist = np.zeros(window + 1, np.int64)
-    for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():
+    for length, n in every.groupBy("length").agg(F.count(F.lit(1))).collect():
         hist[length] = n
-    whole = int(hist[window])
+    whole, hist[window] = int(hist[window]), 0
+    # Whole windows are sequences as they are: numbered in their task, after those of the tasks before (a row a task), and left where they are.
+    tasks = every.where(F.col("length") == window).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("_before"))
+    full = every.where(F.col("length") == window).join(F.broadcast(tasks), "task")
+    full = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_before") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
+    pieces = every.where(F.col("length") < window).drop("task", "nth")
     salts = docs.sparkSession.createDataFrame([(i, -(-int(n) // ranked)) for i, n in enumerate(hist) if n], "length long, _salts long")
     pieces = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_salts"))).drop("_salts")
     groups = staged(pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")), "lengths")  # a row for each RANKED pieces
@@ -315,5 +323,5 @@ def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", *, ids
     own = F.substring("ids", (4 * F.col("x.shift") + 1).cast("int"), (4 * F.col("x.length")).cast("int"))
     placed = placed.select("doc_id", (F.col("start") + F.col("x.shift")).alias("start"), F.col("x.length").alias("length"), F.col("x.ids_crc32").alias("ids_crc32"), "doc_tokens", F.col("x.sequence_id").alias("sequence_id"), F.col("x.slot").alias("slot"), own.alias("ids"))
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot", "start")) - F.col("length")
-    out = placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "ids")
+    out = full.unionByName(placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"), "ids"))
     return out if ids else out.drop("ids")
