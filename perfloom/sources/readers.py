@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .logs import LogSource
+
 SNAPSHOT = "timestamp string, qps double, avg_latency double, p99_latency double, error_rate double, target_qps double, notes string"
 SUGGESTION = "title string, description string, pseudocode string, priority int, risk_level string, expected_gain string, implementation_steps array<string>, self_confidence double"
 RECORD = "timestamp string, system string, target_qps double, actual_qps double, avg_latency double, p99_latency double, error_rate double, threads int, ops int, suggestions array<struct<priority: int, risk_level: string, adopted: boolean>>, metadata map<string, string>"
@@ -32,15 +34,11 @@ def model_history(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string, struct<adopted: bigint, total: bigint>>")).alias("source_model", "h")).select("source_model", F.coalesce("h.adopted", F.lit(0)).alias("adopted"), F.coalesce("h.total", F.lit(0)).alias("total"))
 
 
-def log_lines(spark: SparkSession, path: str, newest: int = 3) -> DataFrame:
-    """file, pos, line of the newest files; which those are is told by the files' metadata, and only they are read."""
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime").orderBy(F.desc("modificationTime"), "path").limit(newest)
-    names = [r.path for r in files.collect()]  # at most newest
-    schema = "file string, pos int, line string"
-    if not names:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.text(names, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    return rows.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
+def log_lines(spark: SparkSession, path: str, newest: int = 3, tail: int = 0) -> DataFrame:
+    """file, pos (offset of its first byte), line of the newest files that a path or pattern names; with tail only the last lines of each, read from its end."""
+    spark.dataSource.register(LogSource)
+    rows = spark.read.format(LogSource.name()).option("newest", newest).option("tail", tail).load(path)
+    return rows.select("file", F.col("start").alias("pos"), "line")
 
 
 def with_headers(lines: DataFrame) -> DataFrame:

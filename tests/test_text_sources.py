@@ -78,7 +78,7 @@ def test_odd_answers_are_read_or_dropped_one_by_one():
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo ERROR\nthree\n")
     lines = readers.log_lines(spark, str(tmp_path / "*.log"))
-    assert [(r.pos, r.line) for r in lines.orderBy("pos").collect()] == [(0, "one"), (1, "two ERROR"), (2, "three")]
+    assert [(r.pos, r.line) for r in lines.orderBy("pos").collect()] == [(0, "one"), (4, "two ERROR"), (14, "three")]
     assert parsers.error_lines(lines, "file", "line", "pos").count() == 1
     (tmp_path / "m.json").write_text(json.dumps({"m": {"adopted": 2, "total": 3}}))
     assert readers.model_history(spark, str(tmp_path / "m.json")).first().adopted == 2
