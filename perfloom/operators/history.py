@@ -43,7 +43,7 @@ def _changed(now: Column, then: Column) -> Column:
     return F.when(then > 0, (now - then) / then * 100).otherwise(F.lit(0.0))
 
 
-def _judged(df: DataFrame) -> DataFrame:
+def judged(df: DataFrame) -> DataFrame:
     """Severity from qps_change (per cent) and error_rate_change (absolute); latency has no say."""
     q, e = F.coalesce("qps_change", F.lit(0.0)), F.coalesce("error_rate_change", F.lit(0.0))
     level = F.when((q < -20) | (e > 0.05), "severe").when((q < -10) | (e > 0.02), "moderate").when((q < -5) | (e > 0.01), "minor").otherwise("none")
@@ -57,7 +57,7 @@ def compare_previous(snapshots: DataFrame, *, by: list[str] = ()) -> DataFrame:
     df = snapshots.select("*", *(v.alias(f"_{k}") for k, v in old.items()))
     df = df.withColumn("qps_change", F.when(F.col("_qps").isNotNull(), _changed(F.col("qps"), F.col("_qps"))))
     df = df.withColumn("latency_change", F.when(F.col("_qps").isNotNull(), _changed(F.col("avg_latency"), F.col("_avg_latency"))))
-    return _judged(df.withColumn("error_rate_change", F.col("error_rate") - F.col("_error_rate"))).drop("_qps", "_avg_latency", "_error_rate")
+    return judged(df.withColumn("error_rate_change", F.col("error_rate") - F.col("_error_rate"))).drop("_qps", "_avg_latency", "_error_rate")
 
 
 def compare_baseline(snapshots: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def compare_baseline(snapshots: DataFrame) -> DataFrame:
     base = snapshots.agg(F.min_by(F.struct("qps", "avg_latency", "error_rate"), "ts").alias("_b"))
     df = snapshots.crossJoin(F.broadcast(base))
     df = df.withColumn("qps_change", _changed(F.col("qps"), F.col("_b.qps"))).withColumn("latency_change", _changed(F.col("avg_latency"), F.col("_b.avg_latency")))
-    return _judged(df.withColumn("error_rate_change", F.col("error_rate") - F.col("_b.error_rate"))).drop("_b")
+    return judged(df.withColumn("error_rate_change", F.col("error_rate") - F.col("_b.error_rate"))).drop("_b")
 
 
 def trailing(rows: DataFrame, days: int, asof: Column | None = None) -> DataFrame:
