@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.versions import KeyedTable
+
 
 def digests(files: DataFrame) -> DataFrame:
     """path, digest (MD5 of the content), lines, size. files: path, content."""
@@ -42,3 +44,22 @@ def metrics_key() -> Column:
 def fresh(cache: DataFrame, asof: Column, ttl: int = 3600) -> DataFrame:
     """Entries (cached_at: timestamp) that are younger than ttl seconds at a given time."""
     return cache.where(F.unix_timestamp(asof.cast("timestamp")) - F.unix_timestamp(F.col("cached_at").cast("timestamp")) < ttl)
+
+
+#: Kept analyses, by a digest of what they depend on.
+ANALYSIS = "key string, result string, cached_at timestamp, hits long"
+
+
+def remember(table: KeyedTable, analyses: DataFrame, *, operation: str | None = None) -> int:
+    """Keeps analyses (key, result, cached_at) in place of those with their keys, not yet used."""
+    return table.merge(analyses.withColumn("hits", F.lit(0).cast("long")), operation=operation)
+
+
+def recalled(table: KeyedTable, asof: Column, ttl: int = 3600) -> DataFrame:
+    """What is kept and, at a given time, younger than ttl seconds."""
+    return fresh(table.read(), asof, ttl)
+
+
+def forget(table: KeyedTable) -> int:
+    """Clears a cache: a new version without rows."""
+    return table.clear()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import succeeded
+from .versions import KeyedTable
 
 
 def append_snapshots(df: DataFrame, path: str) -> None:
@@ -40,6 +41,24 @@ def latest_adoptions(events: DataFrame, keep: int = 100) -> DataFrame:
     return df.groupBy("source_model").agg(F.count(F.lit(1)).alias("total"), F.count_if("adopted").alias("adopted"), F.array_sort(F.collect_list(F.when(F.col("_r") <= keep, F.struct("at", "adopted")))).alias("details"))
 
 
+HISTORY = "source_model string, total long, adopted long, details array<struct<at: timestamp, adopted: boolean>>"
+
+
+def update_history(table: KeyedTable, events: DataFrame, *, operation: str | None = None, keep: int = 100) -> int:
+    """Adds adoption events (source_model, at: timestamp, adopted) to a model history (HISTORY, by source_model); the same operation counts once."""
+
+    def added(old: DataFrame, new: DataFrame) -> DataFrame:
+        last = F.array_sort(F.flatten(F.collect_list("details")))  # of two rows a model
+        both = old.unionByName(new).groupBy("source_model").agg(F.sum("total").alias("total"), F.sum("adopted").alias("adopted"), last.alias("_all"))
+        return both.select("source_model", "total", "adopted", F.slice("_all", F.greatest(F.size("_all") - keep + 1, F.lit(1)), F.lit(keep)).alias("details"))
+
+    return table.merge(latest_adoptions(events, keep), added, operation=operation)
+
+
+def reset_history(table: KeyedTable) -> int:
+    return table.clear()
+
+
 def markdown_report(title: str, ranked: DataFrame) -> DataFrame:
     """One row, report: the ranked suggestions as Markdown."""
     line = F.format_string("## %d. %s\n\n- model: %s\n- risk: %s\n- priority: %d\n\n%s\n", "rank", "title", "source_model", "risk_level", "priority", "description")
