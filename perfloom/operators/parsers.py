@@ -72,6 +72,44 @@ def redis_metrics(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"qps": F.when(first == 0, F.coalesce(rate("GET"), F.lit(0.0))).otherwise(first), "avg_latency": avg, "p50_latency": avg * 0.8, "p99_latency": p99})
 
 
+#: Metrics of a system that couldn't be asked.
+UNREACHABLE = {"qps": 0.0, "avg_latency": 0.0, "p50_latency": 0.0, "p99_latency": 0.0, "error_rate": 1.0}
+
+
+def info_value(text: Column, name: str) -> Column:
+    """What stands behind name: in the lines of an INFO text, the last one of several; null if it isn't there."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?m)^{name}:(.*?)\s*$"), F.lit(1))
+    return F.element_at(found, F.when(F.size(found) > 0, -1).otherwise(F.lit(None).cast("int")))
+
+
+def redis_info_metrics(df: DataFrame, text: str) -> DataFrame:
+    """df with qps, avg_latency (ms), p50_latency, p99_latency and error_rate out of redis' INFO; missing values are 0.
+
+    p50 and p99 are 0.8 times and twice the average. A rate or latency that is no number gives the metrics of an
+    unreachable system; counts that are no whole numbers give an error rate of 0.
+    """
+    t = F.col(text)
+    rate, latency = (F.coalesce(info_value(t, n), F.lit("0")).try_cast("double") for n in ("instantaneous_ops_per_sec", "avg_cmd_latency_us"))
+    total, rejected = (F.coalesce(info_value(t, n), F.lit("0")).try_cast("long") for n in ("total_commands_processed", "rejected_commands"))
+    avg = latency / 1000
+    found = {"qps": rate, "avg_latency": avg, "p50_latency": avg * 0.8, "p99_latency": avg * 2, "error_rate": F.coalesce(F.when(total > 0, rejected / total), F.lit(0.0))}
+    good = rate.isNotNull() & latency.isNotNull()
+    return df.withColumns({k: F.when(good, v).otherwise(F.lit(UNREACHABLE[k])) for k, v in found.items()})
+
+
+def mysql_metrics(df: DataFrame, text: str, by: str, times: DataFrame) -> DataFrame:
+    """by, qps, avg_latency, p50_latency, p99_latency and error_rate out of SHOW GLOBAL STATUS (one text a by) and the times of a slow log (by, seconds).
+
+    The average is taken for 1 ms, p50 for 0.9 ms; p99 is the nearest rank of the slow log's times, 10 ms without any. Counts
+    that are missing, or nothing to divide by, give 0.
+    """
+    t = F.col(text)
+    count = lambda name: F.regexp_extract(t, rf"{name}\s+(\d+)", 1).try_cast("long")
+    ratio = lambda a, b: F.coalesce(F.when(count(b) > 0, count(a) / count(b)), F.lit(0.0))
+    status = df.select(by, ratio("Questions", "Uptime").alias("qps"), F.lit(1.0).alias("avg_latency"), F.lit(0.9).alias("p50_latency"), ratio("Aborted_connects", "Connections").alias("error_rate"))
+    return status.join(p99_or_default(times, df.select(by), by).withColumnRenamed("p99_ms", "p99_latency"), by).select(by, *UNREACHABLE)
+
+
 def location(df: DataFrame, text: str) -> DataFrame:
     """df with file, line_start and line_end (line_start + 5) of the first format that fits."""
     t = F.col(text)

@@ -46,6 +46,11 @@ def named(df: DataFrame, names: Sequence[str], column: str = "name") -> DataFram
     return df.where(F.col(column).isin(list(names))) if names else df
 
 
+def enabled(df: DataFrame, names: Sequence[str] = (), column: str = "name") -> DataFrame:
+    """Rows that aren't switched off (column enabled; null counts as on), of the names in the list if there are any."""
+    return named(df.where(F.coalesce("enabled", F.lit(True))), names, column)
+
+
 def point(df: DataFrame, name: str, order: str, column: str = "name") -> DataFrame:
     """The first row of that name, or none."""
     return df.where(F.col(column) == name).orderBy(order).limit(1)

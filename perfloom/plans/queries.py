@@ -540,6 +540,28 @@ def q55_status_ratios(spark, sf):
     return S.table(spark, sf, "events").groupBy("user_id").agg(M.ratio(F.count_if(F.col("event_type") == "error"), n).alias("error_rate"), M.ratio(n, F.sum("event_id") % 7).alias("qps"))
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 11 AS k, floor(value * 100)::BIGINT AS v FROM events) SELECT event_id, CASE WHEN k = 3 THEN 0 ELSE v::DOUBLE END AS qps, CASE WHEN k IN (3, 5) THEN 0 ELSE (v % 700) / 1000e0 END AS avg_latency,
+ CASE WHEN k IN (3, 5) THEN 0 ELSE (v % 700) / 1000e0 * 0.8e0 END AS p50_latency, CASE WHEN k IN (3, 5) THEN 0 ELSE (v % 700) / 1000e0 * 2 END AS p99_latency, CASE WHEN k = 3 THEN 1 WHEN k = 7 OR event_id = 0 THEN 0 ELSE (v % 9)::DOUBLE / event_id END AS error_rate FROM e""")
+def q102_redis_info(spark, sf):
+    e, v = S.table(spark, sf, "events"), F.floor(F.col("value") * 100).cast("long")
+    k, at = F.col("event_id") % 11, lambda name, x: F.concat(F.lit(f"{name}:"), x.cast("string"))
+    rate = F.when(k == 3, "many").otherwise(v.cast("string"))
+    text = F.concat_ws("\r\n", F.lit("# Stats"), at("instantaneous_ops_per_sec", rate), F.when(k != 5, at("avg_cmd_latency_us", v % 700)), at("total_commands_processed", F.when(k == 7, "?").otherwise(F.col("event_id").cast("string"))), at("rejected_commands", v % 9))
+    return parsers.redis_info_metrics(e.select("event_id", text.alias("info")), "info").drop("info")
+
+
+@query("""WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e, list_sort(list(floor(value * 100)::BIGINT / 1000e0) FILTER (WHERE event_type <> 'error')) AS s FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN user_id % 6 > 0 THEN n::DOUBLE / (user_id % 6) ELSE 0 END AS qps, 1e0 AS avg_latency, 0.9e0 AS p50_latency, CASE WHEN len(s) > 0 THEN s[least(floor(len(s) * 0.99e0)::INT, len(s)::INT - 1) + 1] * 1000 ELSE 10 END AS p99_latency, CASE WHEN user_id % 4 = 0 THEN 0 ELSE e::DOUBLE / n END AS error_rate FROM u""")
+def q103_mysql_status(spark, sf):
+    e = S.table(spark, sf, "events").withColumn("bad", F.col("event_type") == "error")
+    n, u = F.count(F.lit(1)), F.col("user_id")
+    line = lambda name, x: F.concat(F.lit(f"{name}\t"), x.cast("string"))
+    text = F.concat_ws("\n", line("Questions", n), line("Uptime", u % 6), F.when(u % 4 > 0, line("Aborted_connects", F.count_if("bad"))), line("Connections", n))
+    status = e.groupBy("user_id").agg(text.alias("status"))
+    slow = parsers.slow_times(e.where("not bad").select("user_id", F.concat(F.lit("# Query_time: "), (F.floor(F.col("value") * 100) / 1000).cast("string")).alias("line")), F.col("line"), "user_id")
+    return parsers.mysql_metrics(status, "status", "user_id", slow)
+
+
 @query(f"""WITH {SNAP} SELECT count(*) AS n, sum(qps::DECIMAL(30,12))::DOUBLE / count(*) AS avg_qps, max(qps) AS max_qps, min(qps) AS min_qps, sum(avg_latency::DECIMAL(30,12))::DOUBLE / count(*) AS avg_latency, count(*) * 60e0 AS duration FROM snap""")
 def q56_sample_summary(spark, sf):
     return summaries.sample_summary(S.snapshots(spark, sf))
@@ -592,6 +614,12 @@ def q63_enabled_models(spark, sf):
     return summaries.named(S.table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["user", "assistant"], "role")
 
 
+@query("SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND (length(text) % 3 <> 0 OR conv_id % 5 = 0)")
+def q104_switched_on(spark, sf):
+    on = F.when(F.col("conv_id") % 5 > 0, F.length("text") % 3 != 0)
+    return summaries.enabled(S.table(spark, sf, "conversations").select("conv_id", "turn", "role", on.alias("enabled")), ["user", "assistant"], "role").drop("enabled")
+
+
 @query("SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r = 1) WHERE k <= 10")
 def q64_distinct_commands_capped(spark, sf):
     return summaries.first_distinct(S.table(spark, sf, "conversations").select("conv_id", "role", "turn"), "role", ["turn"], 10, ["conv_id"])
