@@ -58,6 +58,56 @@ def domain_report(metrics: DataFrame, ranked: DataFrame) -> DataFrame:
     return head.crossJoin(rows).crossJoin(kinds).crossJoin(steps).crossJoin(items).select(F.concat_ws("\n\n", part("Metrics", "a"), part("Suggestions", "b"), part("Categories", "c"), part("Roadmap", "d"), part("First steps", "e")).alias("report"))
 
 
+#: The order to go in, and what to heed, by risk.
+ORDER = [("low", "1. Low risk (at once)"), ("medium", "2. Medium risk (after tests)"), ("high", "3. High risk (after review)")]
+VERIFY = ["1. One suggestion at a time.", "2. Measure after each.", "3. Roll back what doesn't help.", "4. Note what each one gained."]
+
+
+def state_table(metrics: DataFrame) -> DataFrame:
+    """One row, a: the metrics row (qps, avg_latency, p50_latency, p99_latency, error_rate, target_qps) as a Markdown table with what has been reached."""
+    gap = M.gap_to_target(F.col("qps"), F.col("target_qps"))
+    reached = F.when(F.col("qps") >= F.col("target_qps"), "reached").otherwise(F.format_string("short by %.1f%%", gap))
+    rows = [
+        F.lit("| metric | now | target | state |\n|:-|:-|:-|:-|"),
+        F.format_string("| QPS | %.1f | %.1f | %s |", "qps", "target_qps", reached),
+        *(F.format_string(f"| {name} latency | %.2f ms | - | - |", f"{c}_latency") for name, c in (("average", "avg"), ("P50", "p50"), ("P99", "p99"))),
+        F.format_string("| error rate | %.2f%% | < 1%% | %s |", F.col("error_rate") * 100, F.when(M.is_healthy(F.col("error_rate")), "good").otherwise("bad")),
+    ]
+    return metrics.select(F.concat_ws("\n", *rows).alias("a"))
+
+
+def suggestion_text() -> Column:
+    """A ranked suggestion as Markdown: its attributes, its analysis, its code (fenced, if it isn't yet), its steps."""
+    level = F.when(F.col("priority") >= 4, "high").when(F.col("priority") >= 2, "medium").otherwise("low")
+    head = F.format_string("### %d. %s\n\n- priority: %s %s\n- risk: %s\n- gain: %s\n- model: %s\n- confidence: %.0f%%", "rank", "title", F.repeat(F.lit("*"), F.col("priority")), level, "risk_level", "expected_gain", "source_model", F.col("self_confidence") * 100)
+    code = F.when(F.col("pseudocode").contains("```"), F.col("pseudocode")).otherwise(F.concat(F.lit("```\n"), "pseudocode", F.lit("\n```")))
+    steps = F.array_join(F.transform("steps", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    return F.concat_ws("\n\n", head, "description", code, F.when(F.size("steps") > 0, steps))
+
+
+def optimization_report(metrics: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row, report: the state, all suggestions, the first two of each risk in the order to go in, and how to verify; without suggestions only the state and that there are none.
+
+    ranked: the few suggestions of a ranking, with rank and steps (array).
+    """
+    every = ranked.agg(F.count(F.lit(1)).alias("n"), lines_in_order(ranked, "rank", F.concat(suggestion_text(), F.lit("\n"))).alias("b"))
+    some = summaries.capped_by_risk(ranked, 2)
+    lists = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("risk_level") == risk, F.struct("rank", "title")))), lambda x: F.concat(F.lit("- "), x.title)), "\n").alias(risk) for risk, _ in ORDER]
+    go = F.concat_ws("\n\n", *(F.when(F.col(risk) != "", F.concat(F.lit(f"**{head}**\n"), F.col(risk))) for risk, head in ORDER))
+    texts = state_table(metrics).crossJoin(every).crossJoin(some.agg(*lists))
+    none = F.concat_ws("\n\n", F.lit("# Optimization"), "a", F.lit("No suggestions: nothing stands out."))
+    full = F.concat_ws("\n\n", F.lit("# Optimization"), "a", F.format_string("## %d suggestions", "n"), "b", F.lit("## Order"), go, F.lit("## Verification"), F.lit("\n".join(VERIFY)))
+    return texts.select(F.when(F.col("n") > 0, full).otherwise(none).alias("report"))
+
+
+def short_summary(metrics: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
+    """One row, report: rate and target, and the first k suggestions with 80 characters of each description."""
+    top = ranked.where(F.col("rank") <= k)
+    line = F.format_string("%d. **%s** (%s risk)\n   %s...", "rank", "title", "risk_level", F.substring("description", 1, 80))
+    head = metrics.select(F.format_string("QPS %.1f of %.1f", "qps", "target_qps").alias("a"))
+    return head.crossJoin(top.agg(lines_in_order(top, "rank", line).alias("b"))).select(F.concat_ws("\n\n", "a", F.nullif("b", F.lit(""))).alias("report"))
+
+
 def prompt(metrics: Column, logs: Column, source: Column, *, last: int = 5000, first: int = 3000) -> Column:
     """Metrics, the end of the logs and the beginning of the source as one text; parts that are missing stay out."""
     some = lambda head, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"{head}:\n"), text))

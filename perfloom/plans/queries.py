@@ -527,6 +527,36 @@ def q53_markdown_report(spark, sf):
     return sinks.markdown_report("Suggestions", suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), 5))
 
 
+def _state(spark, sf):
+    """The latest snapshot, at a rate of some hundreds a second."""
+    return summaries.latest(S.snapshots(spark, sf), 1).withColumn("qps", F.col("qps") * 50000).withColumn("target_qps", F.lit(200.0))
+
+
+def _stepped(spark, sf):
+    steps = F.slice(F.array(F.lit("build"), F.lit("test"), F.lit("ship")), 1, F.col("n_steps"))
+    return suggestions.top_ranked(suggestions.quality_filter(_weighted(spark, sf)), 5).withColumn("steps", steps)
+
+
+STEPPED = f"""WITH {SUG}, {SETS}, {SNAP}, m AS (SELECT qps * 50000 AS qps, avg_latency, p50_latency, p99_latency, error_rate FROM snap ORDER BY ts DESC LIMIT 1),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE risk_level WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, final_weight DESC, priority DESC, seq)::INT AS rank, ['build', 'test', 'ship'][1:n_steps] AS steps FROM weights WHERE {GOOD} ORDER BY rank LIMIT 5)"""
+
+
+@query(STEPPED + """, t AS (SELECT rank, concat_ws(chr(10) || chr(10), '### ' || rank || '. ' || title || chr(10) || chr(10) || '- priority: ' || repeat('*', priority) || CASE WHEN priority >= 4 THEN ' high' WHEN priority >= 2 THEN ' medium' ELSE ' low' END || chr(10) || '- risk: ' || risk_level || chr(10) || '- gain: ' || expected_gain || chr(10) || '- model: ' || source_model || chr(10) || '- confidence: ' || printf('%.0f', self_confidence * 100) || '%',
+ description, '```' || chr(10) || pseudocode || chr(10) || '```', CASE WHEN len(steps) > 0 THEN array_to_string(list_transform(steps, lambda x, i: i || '. ' || x), chr(10)) END) || chr(10) AS body FROM r),
+k AS (SELECT risk_level, '- ' || title AS line, rank, row_number() OVER (PARTITION BY risk_level ORDER BY rank) AS i FROM r),
+g AS (SELECT CASE risk_level WHEN 'low' THEN '**1. Low risk (at once)**' WHEN 'medium' THEN '**2. Medium risk (after tests)**' ELSE '**3. High risk (after review)**' END AS head, string_agg(line, chr(10) ORDER BY rank) AS lines FROM k WHERE i <= 2 GROUP BY 1)
+SELECT concat_ws(chr(10) || chr(10), '# Optimization', '| metric | now | target | state |' || chr(10) || '|:-|:-|:-|:-|' || chr(10) || '| QPS | ' || printf('%.1f', qps) || ' | 200.0 | ' || CASE WHEN qps >= 200 THEN 'reached' ELSE 'short by ' || printf('%.1f', (200e0 - qps) / 200e0 * 100) || '%' END || ' |' || chr(10)
+ || '| average latency | ' || printf('%.2f', avg_latency) || ' ms | - | - |' || chr(10) || '| P50 latency | ' || printf('%.2f', p50_latency) || ' ms | - | - |' || chr(10) || '| P99 latency | ' || printf('%.2f', p99_latency) || ' ms | - | - |' || chr(10) || '| error rate | ' || printf('%.2f', error_rate * 100) || '% | < 1% | ' || CASE WHEN error_rate < 0.01e0 THEN 'good' ELSE 'bad' END || ' |',
+ (SELECT '## ' || count(*) || ' suggestions' FROM r), (SELECT string_agg(body, chr(10) ORDER BY rank) FROM t), '## Order', (SELECT string_agg(head || chr(10) || lines, chr(10) || chr(10) ORDER BY head) FROM g), '## Verification', '""" + "\n".join(reports.VERIFY).replace("'", "''") + """') AS report FROM m""")
+def q105_optimization_report(spark, sf):
+    return reports.optimization_report(_state(spark, sf), _stepped(spark, sf))
+
+
+@query(STEPPED + """ SELECT concat_ws(chr(10) || chr(10), 'QPS ' || printf('%.1f', qps) || ' of 200.0', (SELECT string_agg(rank || '. **' || title || '** (' || risk_level || ' risk)' || chr(10) || '   ' || substring(description, 1, 80) || '...', chr(10) ORDER BY rank) FROM r WHERE rank <= 3)) AS report FROM m""")
+def q106_short_summary(spark, sf):
+    return reports.short_summary(_state(spark, sf), _stepped(spark, sf))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'deepseek' WHEN page_id % 4 = 1 THEN 'dashscope' WHEN page_id % 4 = 2 THEN 'openai' ELSE 'openai-compatible' END AS provider FROM pages")
 def q54_provider(spark, sf):
     k = F.col("page_id") % 4

@@ -51,6 +51,22 @@ def test_diagnosis_report(spark):
     assert "symptoms" not in kind(3) and "安装缺失依赖" in kind(3) and kind(3).endswith("commands:\n- ldd")
 
 
+def test_optimization_report(spark):
+    from perfloom.operators import reports
+
+    rows = [(i, f"t{i}", "d" * 100, "```\ncode\n```" if i == 1 else "x()", 6 - i, ["low", "low", "low", "high", "odd"][i - 1], "g", "m", 0.9, ["a", "b"] if i == 1 else []) for i in range(1, 6)]
+    ranked = spark.createDataFrame(rows, "rank int, title string, description string, pseudocode string, priority int, risk_level string, expected_gain string, source_model string, self_confidence double, steps array<string>")
+    metrics = spark.createDataFrame([(150.0, 3.0, 2.0, 9.0, 0.02, 200.0)], "qps double, avg_latency double, p50_latency double, p99_latency double, error_rate double, target_qps double")
+    text = reports.optimization_report(metrics, ranked).first().report
+    assert "short by 25.0%" in text and "| error rate | 2.00% | < 1% | bad |" in text and "## 5 suggestions" in text
+    assert "**1. Low risk (at once)**\n- t1\n- t2\n\n**3. High risk (after review)**\n- t4" in text and "Medium risk" not in text
+    assert text.count("```") == 10 and "1. a\n2. b" in text and text.index("### 1. t1") < text.index("### 5. t5") and "- priority: ***** high" in text
+    none = reports.optimization_report(metrics, ranked.limit(0)).first().report
+    assert none.startswith("# Optimization\n\n| metric") and none.endswith("nothing stands out.") and "## Order" not in none
+    assert reports.short_summary(metrics, ranked).first().report.count("...") == 3
+    assert reports.short_summary(metrics, ranked.limit(0)).first().report == "QPS 150.0 of 200.0"
+
+
 def test_no_suggestions(spark):
     none = ranked(spark).where("false")
     assert summaries.action_items(none, 90).count() == 0 and [r.n for r in summaries.grouped_by_risk(none).orderBy("pos").collect()] == [0, 0, 0]
