@@ -147,6 +147,30 @@ def test_similarity_join_of_long_sets_makes_few_candidates(spark):
         assert set_similarity.candidate_pairs(kinds, over).count() <= 10 * len(want) + len(sets)
 
 
+def test_similarity_join_in_passes_blocks_and_of_hot_tokens_loses_nothing(spark, monkeypatch):
+    """Long sets in several blocks, tokens in passes, hot tokens in Spark's join: the same pairs as brute force, and few candidates."""
+    from perfloom.operators import set_similarity
+
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(2500)]
+    weights = [1 / (i + 20) for i in range(2500)]
+    sets = []
+    for _ in range(60):
+        base = set(rng.choices(vocabulary, weights, k=rng.randrange(3, 900)))
+        sets.append(base)
+        for _ in range(rng.randrange(4)):
+            gone = set(rng.sample(sorted(base), int(len(base) * rng.random() * 0.4)))
+            sets.append((base - gone) | {f"x{rng.randrange(10**6)}" for _ in range(int(len(gone) * rng.random()))} or base)
+    rows = [(i, sorted(x)) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "seq long, t array<string>")
+    for name, value in {"LONG": 60, "BLOCK": 20, "MOST_IN_BLOCK": 20, "MANY": 0, "HOT_SETS": 8, "AT_ONCE": 50}.items():
+        monkeypatch.setattr(set_similarity, name, value)
+    want = brute_pairs(rows, lambda a, b: len(a & b) / len(a | b), lambda x: x > 0.6)
+    assert {tuple(r) for r in suggestions.similar_pairs(df, "t", 0.6).collect()} == want
+    kinds = suggestions.kinds_of(df.select("seq", set_similarity.hashed(F.col("t")).alias("x")), "x")
+    assert set_similarity.candidate_pairs(kinds, 0.6).count() <= 2 * len(want)
+
+
 def test_related_code_takes_the_first_file_of_any_term(spark):
     files = [("b/raft.cc", "x\nthe LOG\nBatch of raft\nend"), ("a/none.cc", "nothing"), ("c/apply.cc", "apply\nraft\nlog"), ("a/rpc.cc", "1\n2\n3\nRpc call\n5\n6\n7\n8\n9\n10")]
     rows = [row(0, "raft apply"), row(1, "apply"), row(2, "rpc and raft"), row(3, "zzz"), row(4, "batch", description="log")]
