@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scale import HOT, attach, components, remove, scratch, shared_dir, staged
+from ..operators.scale import HOT, attach, bitmap_of, components, marked, release, remove, scratch, shared_dir, staged
 
 __all__ = ["HOT", "WORD", "attach", "bitmap_of", "components", "keyed", "marked", "release", "remove", "salted_lookup", "scratch", "shared_dir", "staged", "without"]
 
 #: Lower-casing of A-Z only, and the white space that ends a word (space, \t, \n, \v, \f, \r), are what bytes.lower() and
 #: bytes.split() do, so Python code works on UTF-8 bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of a bitmap of hashes: 16 MB, whatever the input.
-BITMAP = 1 << 27
 
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -46,26 +41,3 @@ def salted_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], spread
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = rows.withColumn("_salt", F.pmod(F.hash(F.col(spread)), F.lit(salts)))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
-
-
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """A bit for the low bits of each hash (column h); what comes to the driver are at most BITMAP / 64 rows."""
-    bits = hashes.select(F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(BITMAP // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    del words
-    release()
-    return out.view(np.uint8)
-
-
-def release() -> None:
-    """Gives memory that Arrow holds on the driver back to the system, after a table has come there."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-
-
-def marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places of hashes whose bit is set."""
-    bit = h & (BITMAP - 1)
-    return np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)

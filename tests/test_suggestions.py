@@ -205,6 +205,35 @@ def test_consensus_counts(spark):
     assert {r.seq: r.n_similar for r in suggestions.consensus_counts(frame(spark, rows)).collect()} == want
 
 
+def test_consensus_shuffles_numbers_and_only_sets_that_meet(spark, monkeypatch):
+    """Edges are pairs of numbers; sets of a large input are dealt over two shuffles; of 200 sets without a like one hardly any is verified."""
+    from perfloom.operators import set_similarity
+
+    word = lambda i: " ".join(f"w{i}x{j}" for j in range(6)) + " common words"
+    rows = [row(i, f"title {i}", f"m{i % 3}", word(i)) for i in range(200)] + [row(300 + i, f"other {i}", f"m{i}", word(7) + " more" * i) for i in range(2)]
+    edges, verified, take = [], spark.sparkContext.accumulator(0), set_similarity.marked
+    put = suggestions.staged
+
+    def marked(bitmap, h):
+        at = take(bitmap, h)
+        verified.add(len(at))
+        return at
+
+    monkeypatch.setattr(set_similarity, "marked", marked)
+    monkeypatch.setattr(suggestions, "MANY", 0)
+    monkeypatch.setattr(suggestions, "staged", lambda df, what, *rest: edges.extend(t for _, t in df.dtypes if what.endswith("-edges")) or put(df, what, *rest))
+    got = {r.seq: r.n_similar for r in suggestions.consensus_counts(frame(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(200)} | {7: 1, 300: 2, 301: 1}  # those of models 1, 0 and 1
+    assert set(edges) == {"bigint"} and 0 < verified.value < 40
+
+
+def test_kinds_in_passes_are_the_same(spark):
+    df = spark.createDataFrame([(i, sorted({i % 37, i % 5})) for i in range(400)], "seq long, x array<long>")
+    once, twice = (suggestions.kinds_of(df, "x", passes).collect() for passes in (1, 2))
+    told = lambda rows: sorted((r.k, r.x, r.n, r["first"]) for r in rows)
+    assert told(once) == told(twice) and len({r.no for r in twice}) == len(twice)
+
+
 def test_filter_rank_verify(spark):
     d = {"description": "d"}
     rows = [row(0, "a", weight=0.29, **d), row(1, "b", code="# 无代码", **d), row(2, "c", risk="high", weight=2.0, **d), row(3, "d", risk="low", weight=0.5, **d), row(4, "", code="")]
