@@ -88,6 +88,21 @@ def test_greedy_dedup_of_long_chains_and_many_equal_rows(spark):
     assert got == greedy(rows) and 50 < len(got) < 290
 
 
+def test_greedy_dedup_of_one_title_compares_few_sets(spark, monkeypatch):
+    """Many texts under one title meet as sketches, in parts; as sets only those that may be alike. Nothing is lost."""
+    rng = random.Random(14)
+    w = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.sample(w, rng.choice([0, 5, 60, 900]))) for _ in range(150)]
+    rows = [row(i, "one title of many", f"m{i % 4}", t, rng.choice(["QPS +1%", "QPS +2%", "x y z", ""]), rng.randrange(20) / 10) for i, t in enumerate(texts)]
+    rows += [row(200 + i, rng.choice(["one title of many", "one title of some"]), f"m{i % 4}", " ".join(texts[i].split()[i % 9 :]), "QPS +1%", rng.randrange(20) / 10) for i in range(60)]
+    tried, put = [], suggestions.slimmed
+    monkeypatch.setattr(suggestions, "PART", 50)
+    monkeypatch.setattr(suggestions, "slimmed", lambda df, what, *rest: tried.append((what, put(df, what, *rest))) or tried[-1][1])
+    got = sorted((r.seq, r.source_model) for r in suggestions.greedy_dedup(frame(spark, rows)).collect())
+    assert got == greedy(rows) and len(got) < 205
+    assert 0 < dict(tried)["dedup-candidates"].count() < 210 * 209 / 2 / 4
+
+
 def test_identical_twins_keep_the_heavier(spark):
     rows = [row(0, "内存优化", "deepseek", "使用内存池", "20%", 0.9), row(1, "内存优化", "claude", "使用内存池", "20%", 1.1)]
     got = suggestions.greedy_dedup(frame(spark, rows)).collect()
