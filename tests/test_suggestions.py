@@ -97,10 +97,12 @@ def test_greedy_dedup_of_one_title_compares_few_sets(spark, monkeypatch):
     rows += [row(200 + i, rng.choice(["one title of many", "one title of some"]), f"m{i % 4}", " ".join(texts[i].split()[i % 9 :]), "QPS +1%", rng.randrange(20) / 10) for i in range(60)]
     tried, put = [], suggestions.slimmed
     monkeypatch.setattr(suggestions, "PART", 50)
+    monkeypatch.setattr(suggestions, "MOST_TRIED", 1)
     monkeypatch.setattr(suggestions, "slimmed", lambda df, what, *rest: tried.append((what, put(df, what, *rest))) or tried[-1][1])
     got = sorted((r.seq, r.source_model) for r in suggestions.greedy_dedup(frame(spark, rows)).collect())
     assert got == greedy(rows) and len(got) < 205
     assert 0 < dict(tried)["dedup-candidates"].count() < 210 * 209 / 2 / 4
+    assert [what for what, _ in tried].count("dedup-edges") > 1  # several passes
 
 
 def test_identical_twins_keep_the_heavier(spark):
