@@ -14,6 +14,7 @@ it; a length has one salt for each RANKED of its pieces, so that no task ranks m
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import struct
@@ -30,7 +31,8 @@ from .common import staged
 from .token_counts import tokenizer_path
 
 WINDOW, GRANULE, SLACK, RANKED = 2048, 8, 40, 4_000
-MEMO = 300_000
+#: Words, and parts of words, that a worker remembers (up to twice as many), and the longest ones in bytes.
+MEMO, LONGEST = 300_000, 64
 #: Documents whose ids are held at a time.
 TAKEN = 500
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, parts array<long>, ids binary, task long, nth long"
@@ -45,18 +47,40 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-#: Words of these characters alone need no normaliser but lower-casing: ASCII, and Latin letters that are composed already.
+#: Words of these characters alone need no normaliser but lower-casing: ASCII, and Latin letters that are composed already. Texts may have white space besides.
 PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f]+")
-#: How the split of the word tokenizer reads, for such characters in lower case.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+PLAIN_TEXT = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u017f\x20\x09-\x0d]*")
+#: How the split of the word tokenizer reads, for such characters in lower case. No part has white space, so those of a text are those of its words.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f\x20\x09-\x0d]+")
 
 
+class Memo(dict):
+    """What make gives for a key. Of two generations the older one goes when the younger one is full, so keys in use stay; long keys are not kept."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        x = self.old.pop(key, None)
+        if x is None:
+            x = self.make(key)
+            if len(key) > LONGEST:
+                return x
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = x
+        return x
+
+
+@functools.lru_cache(maxsize=1)
 def word_encoder(path: str) -> Callable[[bytes], bytes]:
     """Ids (unsigned 32-bit little-endian) of a text as tokenizers gives them without added special tokens.
 
     For a tokenizer that drops white space, words between ASCII white space are encoded apart and kept: its normaliser and
-    its split never look across them. Plain words of the known split go to the tokenizer's model part by part, without the
-    costly steps before it; other words go to the tokenizer as they are. Other tokenizers get whole texts.
+    its split never look across them. Plain texts and words of the known split go to the tokenizer's model part by part,
+    without the costly steps before it, each distinct part once; other words go to the tokenizer as they are. Other tokenizers
+    get whole texts. A worker has one encoder, so what is kept serves its next tasks too.
     """
     from tokenizers import Tokenizer
 
@@ -72,40 +96,24 @@ def word_encoder(path: str) -> Callable[[bytes], bytes]:
     special = re.compile("|".join(re.escape(x["content"]) for x in added) or "(?!)")
     letters, bpe = byte_letters(), model.model
     pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-    memo: dict[bytes, bytes] = {}
-    parts: dict[str, bytes] = {}
-
-    def plain(word: str) -> bytes:
-        out = []
-        for p in PARTS.findall(word.lower()):
-            if (x := parts.get(p)) is None:
-                if len(parts) > MEMO:
-                    parts.clear()
-                x = parts[p] = pack([t.id for t in bpe.tokenize(p.encode().decode("latin-1").translate(letters))])
-            out.append(x)
-        return b"".join(out)
+    parts = Memo(lambda p: pack([t.id for t in bpe.tokenize(p.encode().decode("latin-1").translate(letters))]), MEMO)
+
+    by_parts = lambda t: b"".join(map(parts.__getitem__, PARTS.findall(t.lower())))
+
+    def word(w: bytes) -> bytes:
+        t = w.decode()
+        if known and PLAIN.fullmatch(t) and not special.search(t):
+            return by_parts(t)
+        return pack(model.encode(t, add_special_tokens=False).ids)
+
+    words = Memo(word, MEMO)
 
     def encode(body: bytes) -> bytes:
-        nonlocal memo
         if not apart:
             return pack(model.encode(body.decode(), add_special_tokens=False).ids)
-        words = body.split()
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            fresh = [w for w in set(words) if w not in memo]
-            if len(memo) + len(fresh) > MEMO:
-                memo, fresh = {}, list(set(words))
-            rest = []
-            for w in fresh:
-                t = w.decode()
-                if known and PLAIN.fullmatch(t) and not special.search(t):
-                    memo[w] = plain(t)
-                else:
-                    rest.append(w)
-            if rest:
-                memo.update(zip(rest, (pack(e.ids) for e in model.encode_batch([w.decode() for w in rest], add_special_tokens=False)), strict=True))
-            return b"".join(map(memo.__getitem__, words))
+        if known and PLAIN_TEXT.fullmatch(t := body.decode()) and not special.search(t):
+            return by_parts(t)
+        return b"".join(map(words.__getitem__, body.split()))
 
     return encode
 
