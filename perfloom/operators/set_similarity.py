@@ -43,7 +43,7 @@ ROWS = "t long, no long, n int, i int, low boolean, bits array<long>, " + ", ".j
 
 def hashed(tokens: Column) -> Column:
     """A token array as sorted hashes; equal for equal sets."""
-    return F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t)))
+    return F.sort_array(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
 def parity(t: np.ndarray, of: np.ndarray, n: int, words: int) -> np.ndarray:

@@ -220,7 +220,7 @@ def _weighted(spark, sf):
 
 @query()
 def q20_greedy_dedup(spark, sf):
-    return suggestions.greedy_dedup(_weighted(spark, sf)).select("seq", "source_model", "final_weight")
+    return suggestions.greedy_dedup(_weighted(spark, sf), texts=S.suggestions(spark, sf)).select("seq", "source_model", "final_weight")
 
 
 GOOD = "final_weight >= 0.3e0 AND coalesce(title, '') <> '' AND coalesce(description, '') <> '' AND coalesce(pseudocode, '') NOT IN ('', '# 无代码')"

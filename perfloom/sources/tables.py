@@ -40,7 +40,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: seq, title (four words), description (the whole text), priority, risk_level, source_model and so on."""
     d = table(spark, sf_dir, "documents")
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    words = F.filter(F.split("text", r"\s+", 6), lambda w: w != "")  # only the first part can be empty, so the four are among five; the sixth is the rest
     k = F.col("doc_id")
     return d.select(
         k.alias("seq"),

@@ -105,6 +105,20 @@ def test_greedy_dedup_of_one_title_compares_few_sets(spark, monkeypatch):
     assert [what for what, _ in tried].count("dedup-edges") > 1  # several passes
 
 
+def test_greedy_dedup_of_one_title_makes_no_pairs(spark, monkeypatch):
+    """Suggestions of one title are a group that is run as it is: no pair of them is a row. Shelves grow and lose who goes."""
+    rng = random.Random(20)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(90)], 40)) for _ in range(60)]
+    rows = [row(i, "one title of many", f"m{i % 4}", rng.choice(texts), f"QPS +{i % 3}%", rng.randrange(20) / 10) for i in range(250)]
+    rows += [row(300 + i, f"a title of {i}", "m", texts[i]) for i in range(5)]
+    pairs, put = [], suggestions.slimmed
+    monkeypatch.setattr(suggestions, "slimmed", lambda df, what, *rest: pairs.append((what, put(df, what, *rest))) or pairs[-1][1])
+    s = frame(spark, rows)
+    got = sorted((r.seq, r.source_model) for r in suggestions.greedy_dedup(s.drop("description"), texts=s).collect())
+    assert got == greedy(rows) and 5 < len(got) < 250
+    assert dict(pairs)["dedup-candidates"].count() == 0
+
+
 def test_identical_twins_keep_the_heavier(spark):
     rows = [row(0, "内存优化", "deepseek", "使用内存池", "20%", 0.9), row(1, "内存优化", "claude", "使用内存池", "20%", 1.1)]
     got = suggestions.greedy_dedup(frame(spark, rows)).collect()
