@@ -265,6 +265,27 @@ def test_kinds_in_passes_are_the_same(spark):
     assert told(once) == told(twice) and len({r.no for r in twice}) == len(twice)
 
 
+def test_hashed_words_are_the_hashed_tokens(spark):
+    from perfloom.operators.set_similarity import hashed, hashed_words
+
+    texts = [None, "", " ", "the the", "The lock, a LOCK_2 (é优化)", "…x…", "is this it", "\na\tb "]
+    s = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = s.select(hashed(T.word_tokens(F.col("t"), T.DEDUP_KEYWORDS)), hashed_words(F.col("t"), T.DEDUP_KEYWORDS)).collect()
+    assert all(a == b for a, b in both) and sorted(len(a) for a, _ in both) == [0, 0, 0, 0, 0, 1, 1, 3]
+
+
+def test_aggregate_ranks_thin_rows(spark):
+    """The rows are those of the plain way; what is sorted for the ranking holds no text."""
+    rng = random.Random(4)
+    s = frame(spark, [row(i, f"title {i % 9} of", f"m{i % 4}", f"text {i % 5} with words", f"{i % 3}%", risk=rng.choice(["low", "high"]), base=rng.randrange(1, 9) / 4, code="" if i % 4 == 0 else "x") for i in range(60)]).drop("final_weight")
+    none = spark.createDataFrame([], "source_model string, total long, adopted long")
+    plain = suggestions.top_ranked(suggestions.quality_filter(suggestions.greedy_dedup(suggestions.weighted(s, none))))
+    got = suggestions.aggregate(s, none)
+    assert got.columns == plain.columns and got.collect() == plain.orderBy("rank").collect() and got.count() == 5
+    held = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line or "GlobalLimit" in line]
+    assert held and "description" not in " ".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "TakeOrderedAndProject" in x)
+
+
 def test_filter_rank_verify(spark):
     d = {"description": "d"}
     rows = [row(0, "a", weight=0.29, **d), row(1, "b", code="# 无代码", **d), row(2, "c", risk="high", weight=2.0, **d), row(3, "d", risk="low", weight=0.5, **d), row(4, "", code="")]
